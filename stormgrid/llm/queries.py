@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm import bpe, mix_wfq, quality_sa
+from stormgrid.llm import ann_hilbert, bpe, html_crf, langid_ecoc, license_sam, mix_wfq, quality_sa
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_hilbert.op1(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_sam.scanned(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"))
 
@@ -21,11 +33,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sa.judged(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid_ecoc.predicted(docs, langid_ecoc.train(docs))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_wfq.op10(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_byte_bpe, op7_quality_rules, op10_mix_sources)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op6_byte_bpe, op7_quality_rules, op8_language_id, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mix_wfq.ORACLE}
