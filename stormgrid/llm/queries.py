@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm import ann_hilbert, bpe, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa
+from stormgrid.llm import ann_hilbert, bpe, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_sam.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_rtree.components(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op5_jaccard_join, op6_byte_bpe, op7_quality_rules, op8_language_id, op10_mix_sources)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_byte_bpe, op7_quality_rules, op8_language_id, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mix_wfq.ORACLE}
