@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm import bpe, mix_wfq, quality_sa
+from stormgrid.llm import bpe, chain_dedup, jaccard_rtree, mix_wfq, quality_sa
 from stormgrid.llm.shared import materialise
 
 
@@ -13,6 +13,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_sa.filtered(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (word 5-grams, Jaccard 0.8)."""
+    return jaccard_rtree.representatives(docs, ngram=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of the text."""
+    return chain_dedup.cleaned(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document is repeated, or left out, as its source's weight asks for."""
     return mix_wfq.drawn(docs)
@@ -22,7 +32,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, ids=True)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources to target weights", mix_sources), ("byte-level BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 #: No SQL for suffix arrays, chaining or merges: tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 

@@ -2,8 +2,9 @@
 
 1. Each document's n-grams are hashed; a document's point is its number of n-grams in each of GROUPS hash groups. Equal
    sets become one node, so copies, however many, are no load.
-2. Two sets alike enough share one of the first n-grams of each in any common order; rarest first (by a sketch of fixed
-   size, summed over all documents). Nodes that share such an n-gram and have sizes in reach of each other are put into
+2. Two sets alike enough share one of the first n-grams of each in any common order. The order here puts those first
+   whose rarest word is rarest, as a word's count bounds that of the n-grams it is in; counts come from a sketch of fixed
+   size, summed over all documents. Nodes that share such an n-gram and have sizes in reach of each other are put into
    one cluster. This loses no link; a cluster may hold more than one component.
 3. Within a cluster, nodes are leaves of an R-tree over their points. The overlap of two sets is at most the sum of the
    coordinates' minima; what this bound leaves is verified on the sets. Nodes already in one component are not compared
@@ -31,28 +32,39 @@ from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import materialise, project
 
 NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 16, 1024
-#: Counters of the sketch that orders n-grams by how many documents hold them; one byte each is broadcast.
-SKETCH, SLICES = 1 << 20, 16
+#: Counters of the sketch of word counts; one byte each is broadcast.
+SKETCH_BITS, SLICES = 22, 16
+SKETCH = 1 << SKETCH_BITS
 
 
 _POINT = pa.list_(pa.int32())
 
 
-def sets_of(c: tk.Chunk, n: int = NGRAM) -> Iterator[np.ndarray]:
-    """Of each document, the sorted hashes of its distinct word n-grams."""
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> tk.U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def sets_of(c: tk.Chunk, n: int = NGRAM, level: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator:
+    """Of each document, the sorted hashes of its distinct word n-grams; with levels of word counts, these and for each
+    n-gram the level of its rarest word. Words are counted into the sketch, if there is one."""
     ws, we, first = c.words(tk.SPACED)
     h = tk.span_hash(tk.prefix_hash(c.buf), ws, we)
+    if sketch is not None:
+        np.add.at(sketch, _counter(h), 1)
     g, at = tk.grams(h, first, n)
+    rank = None
+    if level is not None and len(g):
+        rank = tk.sliding(level[_counter(h)], n)[at]
     each = np.searchsorted(at, first)
     for i in range(len(first) - 1):
         if first[i + 1] - first[i] >= n:
-            yield np.unique(g[each[i] : each[i + 1]])
-        elif first[i + 1] > first[i]:
-            short = h[first[i] : first[i + 1]]
-            whole, _ = tk.grams(short, np.array([0, len(short)]), len(short))
-            yield tk.mix(whole + tk.U(len(short)))
+            s, where = np.unique(g[each[i] : each[i + 1]], return_index=True)
+            r = None if rank is None else rank[each[i] + where]
         else:
-            yield np.empty(0, np.uint64)
+            short = h[first[i] : first[i + 1]]
+            s = tk.mix(tk.grams(short, np.array([0, len(short)]), len(short))[0] + tk.U(len(short))) if len(short) else np.empty(0, np.uint64)
+            r = np.zeros(len(s), np.uint8)
+        yield s if level is None else (s, r)
 
 
 def key_of(s: np.ndarray) -> int:
@@ -69,13 +81,11 @@ def need(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def prefix(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
     """The first n-grams in the common order, so many that alike sets share one."""
     n = len(s)
     k = n - (percent * n + 99) // 100 + 1
-    if k >= n:
-        return s
-    return s[np.lexsort((s, rarity[(s >> tk.U(44)).astype(np.int64)]))[:k]]
+    return s if k >= n else s[np.argsort(rank, kind="stable")[:k]]  # s is sorted: the hash breaks ties
 
 
 class CountTree:
@@ -149,13 +159,12 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
     """Rows of documents (doc_id, n, key, point) and, with a null doc_id, slices of the tasks' sketches (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(SKETCH, np.uint32)
         for b in batches:
             n, key, pts = [], [], []
             for c in tk.chunks(b.column(1), lower=True):
-                for s in sets_of(c, ngram):
+                for s in sets_of(c, ngram, sketch=sketch):
                     n.append(len(s)), key.append(key_of(s)), pts.append(point(s))
-                    np.add.at(sketch, (s >> tk.U(44)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(pts, _POINT), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
         z = zstandard.ZstdCompressor(1)
         parts = [z.compress(x.astype("<u4").tobytes()) for x in sketch.reshape(SLICES, -1)]
@@ -194,10 +203,10 @@ def _candidates(docs: DataFrame, rarity: np.ndarray, ngram: int, percent: int) -
         seen: set[int] = set()
         for b in batches:
             for c in tk.chunks(b.column(0), lower=True):
-                for s in sets_of(c, ngram):
+                for s, rank in sets_of(c, ngram, order.value):
                     if len(s) and (key := key_of(s)) not in seen:
                         seen.add(key)
-                        g = prefix(s, order.value, percent)
+                        g = prefix(s, rank, percent)
                         yield from pack.add(ex.bucket(g, nb), g.astype(np.uint32), np.full(len(g), key, np.int64), np.full(len(g), min(len(s), 2**32 - 1), np.uint32))
         yield from pack.flush()
 
@@ -355,3 +364,22 @@ def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf
     least = labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = labelled.join(least, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: Ids up to which a list of documents to leave out is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """docs, all columns, with the document of smallest id of each component; of rows equal in id and text, one. Rows
+    without an id stay."""
+    found = materialise(components(docs, **how), "jaccard-found")
+    out = found.where("component_id <> doc_id").select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    out, again = materialise(out, "jaccard-out"), materialise(again, "jaccard-again")
+    small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
+    kept = docs.join(small(out), "doc_id", "left_anti")
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    once = kept.join(small(again), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))

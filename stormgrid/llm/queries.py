@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm import ann_hilbert, bpe, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, suffix_dedup
+from stormgrid.llm import ann_hilbert, bpe, chain_dedup, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.predicted(docs, langid_ecoc.train(docs))
 
 
+def op9_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_wfq.op10(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_byte_bpe, op7_quality_rules, op8_language_id, op10_mix_sources)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_byte_bpe, op7_quality_rules, op8_language_id, op9_fuzzy_passages, op10_mix_sources)
 }
 ORACLES: dict[str, str] = {"op10_mix_sources": mix_wfq.ORACLE}

@@ -1,7 +1,7 @@
 """Documents packed into batches of a few MB, kept as a table in the shared folder.
 
 Operators that go over the texts more than once, with answers for each batch in between, join those answers by batch
-number: the texts travel compressed, a row a batch.
+number. The table is bucketed by it, so that texts are not shuffled; only answers travel.
 """
 
 from __future__ import annotations
@@ -15,39 +15,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormgrid.llm import textkit as tk
-from stormgrid.llm.shared import materialise, project
+from stormgrid.llm.shared import bucketed, project
 
 BATCH = 2 << 20
 #: Stands for a missing doc_id; after every other.
 NO_ID = 2**63 - 1
 
 
-def stage(docs: DataFrame, size: int = BATCH) -> DataFrame:
-    """(batch, ids, lens, blob): documents of a batch in order of doc_id; a null text is empty, a null id is NO_ID."""
+def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
+    """(batch, ids, lens, blob[, rest]): documents of a batch in order of doc_id; a null text is empty, a null id is NO_ID.
+    rest, if whole: all columns of those rows, as an Arrow stream."""
+    d = docs if whole else project(docs, "doc_id", "text")
+    at_id, at_text = d.columns.index("doc_id"), d.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(5)
-        ids: list[int] = []
-        texts: list[bytes] = []
-        held = 0
+        held: list[pa.RecordBatch] = []
+        total = 0
 
         def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids = [NO_ID if i is None else int(i) for i in t.column(at_id).to_pylist()]
             order = sorted(range(len(ids)), key=ids.__getitem__)
-            return pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(texts[i]) for i in order]], pa.list_(pa.int64())), pa.array([z.compress(b"\n".join(texts[i] for i in order))], pa.binary())], names=["ids", "lens", "blob"])
+            t = t.take(pa.array(order))
+            texts = tk.as_bytes(t.column(at_text))
+            cols = [pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([z.compress(b"\n".join(texts))], pa.binary())]
+            if whole:
+                sink = pa.BufferOutputStream()
+                slim = t.set_column(at_text, "text", pa.nulls(t.num_rows, pa.string()))
+                with pa.ipc.new_stream(sink, slim.schema) as w:
+                    w.write_table(slim)
+                cols.append(pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary()))
+            return pa.RecordBatch.from_arrays(cols, names=["ids", "lens", "blob", "rest"][: len(cols)])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), tk.as_bytes(b.column(1)), strict=True):
-                if texts and held + len(t) > size:
+            lens = np.array([len(x) for x in tk.as_bytes(b.column(at_text))], np.int64) + 1
+            at = 0
+            while at < b.num_rows:
+                fit = max(int(np.searchsorted(np.cumsum(lens[at:]), size - total, "right")), 0 if held else 1)
+                if not fit:
                     yield out()
-                    ids, texts, held = [], [], 0
-                ids.append(NO_ID if i is None else i), texts.append(t)
-                held += len(t) + 1
-        if texts:
+                    held, total = [], 0
+                    continue
+                held.append(b.slice(at, fit))
+                total += int(lens[at : at + fit].sum())
+                at += fit
+        if held:
             yield out()
 
-    docs = project(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = docs.mapInArrow(run, "ids array<long>, lens array<long>, blob binary")
-    return materialise(packed.withColumn("batch", F.monotonically_increasing_id()).select("batch", "ids", "lens", "blob"), "staged")
+    packed = d.mapInArrow(run, "ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
+    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed(packed.withColumn("batch", F.monotonically_increasing_id()), "staged", "batch", n)
 
 
 def opened(ids: list[int], lens: list[int], blob: bytes) -> tuple[np.ndarray, tk.Chunk]:
@@ -59,7 +77,7 @@ def opened(ids: list[int], lens: list[int], blob: bytes) -> tuple[np.ndarray, tk
 
 
 def over(staged: DataFrame, answers: list[DataFrame], f: Callable, schema: str) -> DataFrame:
-    """f(batch, ids, chunk, *answers) over the batches; it yields record batches. answers: (batch, bucket, data), each
+    """f(batch, ids, chunk, *answers[, rest]) over the batches; it yields record batches. answers: (batch, bucket, data), each
     given to f as the batch's data in order of bucket."""
     joined, n = staged, len(answers)
     for i, a in enumerate(answers):
@@ -71,6 +89,7 @@ def over(staged: DataFrame, answers: list[DataFrame], f: Callable, schema: str)
             for i in range(b.num_rows):
                 row = {n: b.column(n)[i].as_py() for n in b.schema.names}
                 ids, chunk = opened(row["ids"], row["lens"], row["blob"])
-                yield from f(row["batch"], ids, chunk, *[row[f"answer{k}"] or [] for k in range(n)])
+                more = [row["rest"]] if "rest" in row else []
+                yield from f(row["batch"], ids, chunk, *[row[f"answer{k}"] or [] for k in range(n)], *more)
 
     return joined.mapInArrow(run, schema)

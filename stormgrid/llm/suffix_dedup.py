@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from stormgrid.llm import exchange as ex
 from stormgrid.llm import staging
 from stormgrid.llm import textkit as tk
+from stormgrid.llm.shared import materialise
 
 LEAST, KMER = 50, 24
 REACH = LEAST - KMER  # bytes of a window that can stand left of its anchor
@@ -263,7 +264,7 @@ def deduplicated(docs: DataFrame, text: bool = False) -> DataFrame:
     for, kept (the remaining bytes)."""
     nb = ex.buckets_of(docs.sparkSession, 1)
     staged = staging.stage(docs)
-    shared = staging.materialise(_shared(staged, nb), "anchors")
+    shared = materialise(_shared(staged, nb), "anchors")
     judged = _judged(staged, shared, nb)
 
     def cut(batch, ids, c, masks, windows):
