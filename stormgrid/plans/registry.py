@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stormgrid.plans import fields, live, verification
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _m in (verification, fields, live):
+    QUERIES.update(_m.QUERIES)
+    ORACLES.update(_m.ORACLES)
