@@ -9,7 +9,12 @@ from stormgrid.operators import metrics as M
 from stormgrid.plans import base as B
 
 QUERIES, ORACLES = {}, {}
-PRED = F.col("prob") >= 0.15
+
+
+def pred():
+    return F.col("prob") >= 0.15
+
+
 COUNTS = "CAST(count(*) FILTER (WHERE {p} AND {o}) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE {p} AND NOT {o}) AS BIGINT) AS false_alarms, CAST(count(*) FILTER (WHERE NOT {p} AND {o}) AS BIGINT) AS misses, CAST(count(*) FILTER (WHERE NOT {p} AND NOT {o}) AS BIGINT) AS correct_negatives"
 SCORES = """x.*, round(h / nullif(h + m, 0), 6) AS pod, round(f / nullif(h + f, 0), 6) AS far, round(h / nullif(h + f + m, 0), 6) AS csi, round((h + f) / nullif(h + m, 0), 6) AS bias,
  round(2.0e0 * (h * cn - f * m) / nullif((h + m) * (m + cn) + (h + f) * (f + cn), 0), 6) AS hss,
@@ -34,10 +39,10 @@ def add(name, f, sql=None):
 
 
 C = COUNTS.format(p="prob >= 0.15e0", o="strike")
-add("contingency_overall", lambda s, d: M.contingency(B.cells(s, d), [], PRED, F.col("strike")), _scores_sql(B.CELLS, C + " FROM c", "", ""))
-add("contingency_by_type", lambda s, d: M.contingency(B.cells(s, d), ["kind"], PRED, F.col("prob") >= 0.3), _scores_sql(B.CELLS, "kind, " + COUNTS.format(p="prob >= 0.15e0", o="prob >= 0.3e0") + " FROM c", "kind", "GROUP BY kind"))
-add("contingency_by_day", lambda s, d: M.contingency(B.cells(s, d), ["day"], PRED, F.col("strike")), _scores_sql(B.CELLS, "day, " + C + " FROM c", "day", "GROUP BY day"))
-add("contingency_masked", lambda s, d: M.contingency(B.cells(s, d), ["day"], PRED, F.col("strike"), F.col("row") < 32), _scores_sql(B.CELLS, "day, " + COUNTS.format(p="prob >= 0.15e0", o="strike").replace("WHERE ", "WHERE row < 32 AND ") + " FROM c", "day", "GROUP BY day"))
+add("contingency_overall", lambda s, d: M.contingency(B.cells(s, d), [], pred(), F.col("strike")), _scores_sql(B.CELLS, C + " FROM c", "", ""))
+add("contingency_by_type", lambda s, d: M.contingency(B.cells(s, d), ["kind"], pred(), F.col("prob") >= 0.3), _scores_sql(B.CELLS, "kind, " + COUNTS.format(p="prob >= 0.15e0", o="prob >= 0.3e0") + " FROM c", "kind", "GROUP BY kind"))
+add("contingency_by_day", lambda s, d: M.contingency(B.cells(s, d), ["day"], pred(), F.col("strike")), _scores_sql(B.CELLS, "day, " + C + " FROM c", "day", "GROUP BY day"))
+add("contingency_masked", lambda s, d: M.contingency(B.cells(s, d), ["day"], pred(), F.col("strike"), F.col("row") < 32), _scores_sql(B.CELLS, "day, " + COUNTS.format(p="prob >= 0.15e0", o="strike").replace("WHERE ", "WHERE row < 32 AND ") + " FROM c", "day", "GROUP BY day"))
 
 _T = "(VALUES (0.02e0), (0.05e0), (0.10e0), (0.15e0), (0.20e0), (0.30e0), (0.40e0), (0.50e0), (0.70e0)) t(threshold)"
 _SWEEP = _scores_sql(B.CELLS, "threshold, " + COUNTS.format(p="prob >= threshold", o="strike") + f" FROM c, {_T}", "threshold", "GROUP BY threshold")
@@ -77,7 +82,7 @@ def _leads(s, d):
 
 _BAND = "CASE WHEN lead BETWEEN 5 AND 15 THEN '5-15' WHEN lead BETWEEN 20 AND 30 THEN '20-30' WHEN lead BETWEEN 35 AND 45 THEN '35-45' WHEN lead BETWEEN 50 AND 60 THEN '50-60' END"
 _LEADS = B.CELLS + f", l0 AS (SELECT *, (frame % 12 + 1) * 5 AS lead FROM c), l AS (SELECT *, {_BAND} AS band FROM l0)"
-add("lead_bands", lambda s, d: M.scores(_leads(s, d).groupingSets([[F.col("lead"), F.col("band")], [F.col("band")], []], "lead", "band").agg(*M.counts(PRED, F.col("strike")))),
+add("lead_bands", lambda s, d: M.scores(_leads(s, d).groupingSets([[F.col("lead"), F.col("band")], [F.col("band")], []], "lead", "band").agg(*M.counts(pred(), F.col("strike")))),
     _scores_sql(_LEADS, "lead, band, " + C + " FROM l", "lead, band", "GROUP BY GROUPING SETS ((lead, band), (band), ())"))
 add("lead_stats", lambda s, d: _leads(s, d).groupBy("lead").agg(F.max("prob").alias("max_prob"), F.round(F.avg("prob"), 6).alias("mean_prob"), F.count_if(F.col("prob") >= 0.5).alias("over")), f"WITH {_LEADS} SELECT lead, max(prob) AS max_prob, round(avg(prob), 6) AS mean_prob, CAST(count(*) FILTER (WHERE prob >= 0.5e0) AS BIGINT) AS over FROM l GROUP BY lead")
 

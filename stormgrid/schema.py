@@ -36,7 +36,7 @@ THRESHOLDS = [0.02, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.70]
 FSS_RADII = [0, 1, 2, 4, 8]
 
 CELL = T.StructType([T.StructField("event_id", T.IntegerType()), T.StructField("frame", T.IntegerType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in CHANNELS), T.StructField("y", T.DoubleType())])
-STRIKE = T.StructType.fromDDL("id string, source string, lat double, lon double, timestamp double, stroke_type string, peak_current_ka double, location_accuracy_m double, confidence double, cell_label string")
+STRIKE = "id string, source string, lat double, lon double, timestamp double, stroke_type string, peak_current_ka double, location_accuracy_m double, confidence double, cell_label string"
 
 
 def valid(c: str | Column) -> Column:
