@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts of these characters only are split by the standard library, which is faster; its letters and numbers follow.
 PLAIN = re.compile(r"[\t-\r -~\xa0-ɏ‐-‧]*")
 LETTER, NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Pieces remembered by one Python worker.
-REMEMBERED = 400_000
+#: Pieces, and pairs of entries, remembered by one Python worker; characters encoded before a batch of rows goes on.
+REMEMBERED, PAIRS, TURN = 200_000, 600_000, 1 << 20
 
 
 def _split(letter: str, number: str) -> str:
@@ -51,7 +52,7 @@ class Bpe(dict):
         self.ranks = ranks
         self.entry = {v: k for k, v in ranks.items()}
         self.by_text = {str(v): k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.reached: dict[int, bool] = {}
         self.auto = ahocorasick.Automaton()
         for k, v in ranks.items():
@@ -70,8 +71,8 @@ class Bpe(dict):
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges leave entries a and b, side by side, as they are."""
-        if (ok := self.pairs.get((a, b))) is None:
-            ok = self.pairs[a, b] = self.merged(self.entry[a] + self.entry[b]) == [a, b]
+        if (ok := self.pairs.get(a << 32 | b)) is None:
+            ok = self.pairs[a << 32 | b] = self.merged(self.entry[a] + self.entry[b]) == [a, b]
         return ok
 
     def reachable(self, a: int) -> bool:
@@ -111,7 +112,7 @@ class Bpe(dict):
     def __missing__(self, piece: str) -> str:
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         got = ",".join(map(str, self.encode_piece(piece.encode())))
         if len(piece) <= 64:
@@ -156,20 +157,26 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n, e, d, all_ids = [], [], [], []
-            for text in b.column(1).to_pylist():
-                s = bpe.encode_text(text or "")
-                n.append(s.count(",") + 1 if s else 0)
-                e.append(hashlib.sha256(s.encode()).hexdigest())
-                d.append(hashlib.sha256(bpe.decode_text(s)).hexdigest())
+            texts = b.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                start, left = at, TURN
+                n, e, d, all_ids = [], [], [], []
+                while at < len(texts) and left > 0:
+                    text = texts[at] or ""
+                    s = bpe.encode_text(text)
+                    n.append(s.count(",") + 1 if s else 0)
+                    e.append(hashlib.sha256(s.encode()).hexdigest())
+                    d.append(hashlib.sha256(bpe.decode_text(s)).hexdigest())
+                    if ids:
+                        all_ids.append(np.fromstring(s, np.int32, sep=",") if s else np.empty(0, np.int32))
+                    at, left = at + 1, left - len(text) - 1
+                cols = [b.column(0).slice(start, at - start), pa.array(n, pa.int64()), pa.array(e, pa.string()), pa.array(d, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    all_ids.append([int(x) for x in s.split(",")] if s else [])
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(e, pa.string()), pa.array(d, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(all_ids))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     docs = project(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

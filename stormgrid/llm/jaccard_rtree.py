@@ -24,20 +24,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormgrid.llm import exchange as ex
 from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import materialise, project
 
-NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 16, 1024
+NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 64, 2048
 #: Counters of the sketch of word counts; one byte each is broadcast.
 SKETCH_BITS, SLICES = 22, 16
 SKETCH = 1 << SKETCH_BITS
 
 
 _POINT = pa.list_(pa.int32())
+#: Ids up to which a list of documents is broadcast to filter texts before they are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def _lists(points: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(points) if points else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1) * GROUPS, pa.int32()), pa.array(flat.astype(np.int32)))
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -73,7 +80,7 @@ def key_of(s: np.ndarray) -> int:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> tk.U(60)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((s >> tk.U(58)).astype(np.int64), minlength=GROUPS)
 
 
 def need(a, b, percent: int):
@@ -165,7 +172,7 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
             for c in tk.chunks(b.column(1), lower=True):
                 for s in sets_of(c, ngram, sketch=sketch):
                     n.append(len(s)), key.append(key_of(s)), pts.append(point(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(pts, _POINT), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), _lists(pts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
         z = zstandard.ZstdCompressor(1)
         parts = [z.compress(x.astype("<u4").tobytes()) for x in sketch.reshape(SLICES, -1)]
         k = SLICES if sketch.any() else 0
@@ -252,6 +259,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in cols), pa.array(packed, pa.binary())], names=[*cols, "grams"]).filter(pa.array(right))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema if f.name != "doc_id")
+    ids = wanted.select("doc_id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     return docs.join(wanted, "doc_id").select("text", *cols).mapInArrow(run, f"{kinds}, grams binary")
 
 
@@ -289,6 +299,26 @@ def _local(group: Column, sets: DataFrame, percent: int) -> DataFrame:
     return sets.withColumn("g", group).groupBy("g").applyInArrow(run, "node long, root long")
 
 
+def _meetings(homes: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
+    """(leaf, key, guest): nodes of each leaf, and its guests, that some bound leaves to be compared. Only points travel."""
+
+    def run(home: pa.Table, guest: pa.Table) -> pa.Table:
+        here, there = set(), set()
+        leaf = (home if home.num_rows else guest).column("leaf")[0].as_py()
+        if home.num_rows and guest.num_rows:
+            root, key = home.column("root").to_numpy(), home.column("key").to_numpy()
+            tree = CountTree(_points(home), home.column("n").to_numpy())
+            for k, n, p, r in zip(guest.column("key").to_pylist(), guest.column("n").to_pylist(), _points(guest), guest.column("root").to_pylist(), strict=True):
+                cand = tree.search(p, n, percent)
+                cand = cand[root[cand] != r]
+                if len(cand):
+                    there.add(k)
+                    here.update(key[cand].tolist())
+        return pa.table({"leaf": pa.array([leaf] * (len(here) + len(there)), pa.int64()), "key": pa.array([*here, *there], pa.int64()), "guest": pa.array([False] * len(here) + [True] * len(there), pa.bool_())})
+
+    return homes.groupBy("leaf").cogroup(guests.groupBy("leaf")).applyInArrow(run, "leaf long, key long, guest boolean")
+
+
 def _visits(homes: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that a guest links with a node of another component, in the leaves it visits."""
 
@@ -327,12 +357,14 @@ def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf
     large = materialise(sizes.where(F.col("size") > leaf), "jaccard-large")
     some_large = large.limit(1).count() > 0
     packs = max(1, members.count() // leaf * 2)
-    # sizes within a factor of 1.03 share a tile; a tile of many nodes is cut further by digest
+    # sizes within a factor of 1.03 share a tile; small tiles in a row share a leaf, a tile of many nodes is cut by digest
     tile = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.03)))
     if some_large:
-        tiles = members.join(large, "cluster").withColumn("tile", tile).groupBy("cluster", "tile").agg(F.ceil(F.count(F.lit(1)) / leaf).alias("cuts"))
+        tiles = members.join(large, "cluster").withColumn("tile", tile).groupBy("cluster", "tile").agg(F.count(F.lit(1)).alias("in"))
+        upto = Window.partitionBy("cluster").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)  # of a cluster's few hundred tiles
+        tiles = tiles.select("cluster", "tile", F.ceil(F.col("in") / leaf).alias("cuts"), F.floor(F.coalesce(F.sum("in").over(upto), F.lit(0)) / leaf).alias("run"))
         in_large = materialise(members.join(large.select("cluster"), "cluster").withColumn("tile", tile).join(tiles, ["cluster", "tile"])
-                               .withColumn("leaf", F.xxhash64("cluster", "tile", F.pmod(F.xxhash64("key"), "cuts"))).select("doc_id", "key", "n", "point", "cluster", "leaf"), "jaccard-leaves")
+                               .withColumn("leaf", F.xxhash64("cluster", F.when(F.col("cuts") > 1, F.concat_ws(":", "tile", F.pmod(F.xxhash64("key"), "cuts"))).otherwise(F.col("run").cast("string")))).select("doc_id", "key", "n", "point", "cluster", "leaf"), "jaccard-leaves")
         members = members.join(large.select("cluster"), "cluster", "left_anti").select("doc_id", "key", "n", "point", "cluster", F.pmod("cluster", F.lit(packs)).alias("leaf")).unionByName(in_large)
     else:
         members = members.select("doc_id", "key", "n", "point", "cluster", F.pmod("cluster", F.lit(packs)).alias("leaf"))
@@ -356,9 +388,12 @@ def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf
             boxes = split.groupBy("cluster", F.col("leaf").alias("to")).agg(low.alias("box"), F.min("n").alias("lo"), F.max("n").alias("hi"))
             most = F.aggregate(F.zip_with("point", "box", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, x: a + x)
             may = (100 * F.col("hi") >= percent * F.col("n")) & (percent * F.col("lo") <= 100 * F.col("n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("lo")))
-            visiting = guests.join(boxes, "cluster").where(may).select("doc_id", "key", "point", "root", F.col("to").alias("leaf"))
-            homes = split.select("doc_id", "key", "point", "root", "leaf")
-            links = links.unionByName(materialise(_visits(_sets(docs, homes, ngram), _sets(docs, visiting, ngram), percent), "jaccard-visits"))
+            visiting = guests.join(boxes, "cluster").where(may).select("doc_id", "key", "n", "point", "root", F.col("to").alias("leaf"))
+            visiting = visiting.select(*[F.col(x).alias(x) for x in visiting.columns])  # apart from homes, of the same table
+            homes = split.select("doc_id", "key", "n", "point", "root", "leaf")
+            meet = materialise(_meetings(homes.drop("doc_id"), visiting.drop("doc_id"), percent), "jaccard-meet")
+            few = lambda d, g: d.join(meet.where(F.col("guest") == g).select("leaf", "key"), ["leaf", "key"]).select("doc_id", "key", "point", "root", "leaf")
+            links = links.unionByName(materialise(_visits(_sets(docs, few(homes, False), ngram), _sets(docs, few(visiting, True), ngram), percent), "jaccard-visits"))
     roots = ex.components(links, "a", "b").withColumnsRenamed({"node": "key"})
     labelled = rows.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key"))
     least = labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -366,9 +401,6 @@ def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-#: Ids up to which a list of documents to leave out is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """docs, all columns, with the document of smallest id of each component; of rows equal in id and text, one. Rows

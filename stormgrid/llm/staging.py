@@ -1,4 +1,4 @@
-"""Documents packed into batches of a few MB, kept as a table in the shared folder.
+"""Documents packed into batches of about a MB, kept as a table in the shared folder.
 
 Operators that go over the texts more than once, with answers for each batch in between, join those answers by batch
 number. The table is bucketed by it, so that texts are not shuffled; only answers travel.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import bucketed, project
 
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Stands for a missing doc_id; after every other.
 NO_ID = 2**63 - 1
 

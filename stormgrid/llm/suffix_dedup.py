@@ -200,6 +200,39 @@ def _windows(rights: list[bytes], lefts: list[bytes], docs: list[int]) -> list[i
     return out
 
 
+_PARTS = 8
+
+
+def _masks(h: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each context, the windows that a smaller document has too. Suffixes are sorted by anchor, then by their bytes,
+    then by what stands left of them, reversed; equal contexts come to stand together."""
+    n = len(h)
+    rows = np.zeros((n, 88), np.uint8)
+    rows[:, :LEAST] = text[:, REACH:]
+    rows[:, 56 : 56 + REACH] = text[:, :REACH][:, ::-1]
+    rows[:, 82], rows[:, 83] = right, left
+    cols = rows.view(">u8").astype(np.uint64)
+    order = np.lexsort((*cols.T[::-1], h))
+    cols, hs, ds = cols[order], h[order], doc[order]
+    new_group = np.concatenate(([True], hs[1:] != hs[:-1]))
+    new_context = new_group | np.concatenate(([True], (cols[1:] != cols[:-1]).any(1)))
+    context = np.cumsum(new_context) - 1
+    head = np.flatnonzero(new_context)
+    smallest = np.minimum.reduceat(ds, head)
+    lo, hi = np.maximum(0, LEAST - right[order]), np.minimum(REACH, left[order])
+    every = np.where(hi >= lo, (np.int64(1) << (hi + 1)) - (np.int64(1) << lo), 0)
+    per = np.add.reduceat(new_context.astype(np.int64), np.flatnonzero(new_group))
+    start = np.cumsum(per) - per
+    found = np.zeros(len(head), np.int64)
+    for a, m in zip(start[per > 1].tolist(), per[per > 1].tolist(), strict=True):
+        part = rows[order[head[a : a + m]]]
+        found[a : a + m] = _windows([r[: r[82]].tobytes() for r in part], [r[56 : 56 + r[83]].tobytes() for r in part], smallest[a : a + m].tolist())
+    # a context's smallest document learns what the tree found; larger ones lose all windows anyway
+    out = np.empty(n, np.int64)
+    out[order] = np.where(ds > smallest[context], every, found[context])
+    return out
+
+
 def _judged(staged: DataFrame, shared: DataFrame, nb: int) -> DataFrame:
     """(batch, bucket, data): for each of the batch's contexts, in order, the windows that go in its first document."""
 
@@ -208,10 +241,13 @@ def _judged(staged: DataFrame, shared: DataFrame, nb: int) -> DataFrame:
         if not len(g):
             return
         where, a, b = _slices(g, nb)
+        padded = np.concatenate((np.zeros(REACH, np.uint8), c.buf, np.zeros(LEAST, np.uint8)))
+        text = np.lib.stride_tricks.sliding_window_view(padded, _WIDTH)[p]
+        short = np.flatnonzero((left < REACH) | (right < LEAST))
         span = np.arange(-REACH, LEAST)
-        at = p[:, None] + span
-        text = c.buf[np.clip(at, 0, len(c.buf) - 1)]
-        text[(span < -left[:, None]) | (span >= right[:, None])] = 0
+        part = text[short]
+        part[(span < -left[short, None]) | (span >= right[short, None])] = 0
+        text[short] = part
         z = zstandard.ZstdCompressor(3)
         cut = list(zip(a.tolist(), b.tolist(), strict=True))
         raw = lambda x: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary())
@@ -224,34 +260,11 @@ def _judged(staged: DataFrame, shared: DataFrame, nb: int) -> DataFrame:
         left, right = ex.column(t, "left", np.uint8).astype(np.int64), ex.column(t, "right", np.uint8).astype(np.int64)
         sizes = np.array([len(x) for x in t.column("left").to_pylist()])
         text = np.frombuffer(b"".join(z.decompress(x, max_output_size=int(n) * _WIDTH) for x, n in zip(t.column("text").to_pylist(), sizes, strict=True)), np.uint8).reshape(-1, _WIDTH)
-        # the sorted suffixes: by anchor, suffix, then what stands left, reversed
-        n = len(h)
-        rows = np.zeros((n, 88), np.uint8)
-        rows[:, :LEAST] = text[:, REACH:]
-        rows[:, 56 : 56 + REACH] = text[:, :REACH][:, ::-1]
-        rows[:, 82], rows[:, 83] = right, left
-        cols = rows.view(">u8").astype(np.uint64)
-        order = np.lexsort((*cols.T[::-1], h))
-        cols, hs, ds = cols[order], h[order], doc[order]
-        new_group = np.concatenate(([True], hs[1:] != hs[:-1]))
-        new_context = new_group | np.concatenate(([True], (cols[1:] != cols[:-1]).any(1)))
-        context = np.cumsum(new_context) - 1
-        head = np.flatnonzero(new_context)
-        smallest = np.minimum.reduceat(ds, head)
-        lo, hi = np.maximum(0, LEAST - right[order]), np.minimum(REACH, left[order])
-        every = np.where(hi >= lo, (np.int64(1) << (hi + 1)) - (np.int64(1) << lo), 0)
-        mask = np.where(ds > smallest[context], every, 0)  # a smaller document has the same context: all its windows
-        per = np.add.reduceat(new_context.astype(np.int64), np.flatnonzero(new_group))
-        start = np.cumsum(per) - per
-        found = np.zeros(len(head), np.int64)
-        plain = rows[order[head]]
-        for a, m in zip(start[per > 1].tolist(), per[per > 1].tolist(), strict=True):
-            part = plain[a : a + m]
-            found[a : a + m] = _windows([r[: r[82]].tobytes() for r in part], [r[56 : 56 + r[83]].tobytes() for r in part], smallest[a : a + m].tolist())
-        # a context's own smallest document learns what the tree found; larger ones lose all windows anyway
-        mask = np.where(ds > smallest[context], mask, found[context])
-        out = np.empty(n, "<u4")
-        out[order] = mask
+        out = np.empty(len(h), "<u4")
+        for part in range(_PARTS):  # anchors of a part at a time, for memory
+            at = np.flatnonzero(h % tk.U(_PARTS) == tk.U(part))
+            if len(at):
+                out[at] = _masks(h[at], doc[at], left[at], right[at], text[at])
         ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays([t.column("batch").combine_chunks(), t.column("bucket").combine_chunks(), pa.array([out[e - k : e].tobytes() for k, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["batch", "bucket", "data"])
 

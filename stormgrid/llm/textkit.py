@@ -6,6 +6,8 @@ own), so that temporaries stay small whatever the batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +17,9 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 U = np.uint64
+with contextlib.suppress(OSError, AttributeError):
+    # arrays of a chunk's size get pages of their own, which go back to the system when they are freed
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 18)
 
 
 def _table(separators: bytes) -> np.ndarray:
