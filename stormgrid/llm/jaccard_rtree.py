@@ -7,7 +7,7 @@
    size, summed over all documents. Nodes that share such an n-gram and have sizes in reach of each other are put into
    one cluster. This loses no link; a cluster may hold more than one component.
 3. Within a cluster, nodes are leaves of an R-tree over their points. The overlap of two sets is at most the sum of the
-   coordinates' minima; what this bound leaves is verified on the sets. Nodes already in one component are not compared
+   coordinates' minima, in the tree's groups and then in FINE ones; what these bounds leave is verified on the sets. Nodes already in one component are not compared
    again. Clusters of more than LEAF nodes are cut into leaves that are joined each for itself; the components' smallest
    members are then joined in the same way, and every node outside its cluster's largest component visits the leaves
    whose bounding box it can overlap enough.
@@ -32,6 +32,8 @@ from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import materialise, project
 
 NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 64, 2048
+#: Groups of the second bound: sets of thousands of n-grams fill the tree's few groups alike, whatever is in them.
+FINE = 4096
 #: Counters of the sketch of word counts; one byte each is broadcast.
 SKETCH_BITS, SLICES = 22, 16
 SKETCH = 1 << SKETCH_BITS
@@ -132,12 +134,18 @@ def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
+def fine(sets: list[np.ndarray]) -> np.ndarray:
+    """Counts of the sets' 48-bit n-grams in FINE groups."""
+    return np.array([np.bincount((s >> tk.U(36)).astype(np.int64), minlength=FINE).astype(np.uint16) for s in sets])
+
+
 def linked(sets: list[np.ndarray], points: np.ndarray, percent: int) -> ex.Forest:
     """Components of a group of sets: breadth first, each node against what no component holds yet."""
     n = len(sets)
     forest = ex.Forest(n)
     sizes = np.array([len(s) for s in sets])
     tree = CountTree(points, sizes) if n > 64 else None
+    counts = fine(sets)
     left = np.ones(n, bool)
     for start in range(n):
         if not left[start]:
@@ -154,6 +162,9 @@ def linked(sets: list[np.ndarray], points: np.ndarray, percent: int) -> ex.Fores
                 cand = cand[np.minimum(points[cand], points[p]).sum(1) >= need(sizes[p], sizes[cand], percent)]
             for at in range(0, len(cand), 256):
                 part = cand[at : at + 256]
+                part = part[np.minimum(counts[part], counts[p]).sum(1, dtype=np.int64) >= need(sizes[p], sizes[part], percent)]
+                if not len(part):
+                    continue
                 o = overlaps(sets[p], [sets[i] for i in part])
                 for i in part[(100 + percent) * o >= percent * (sizes[p] + sizes[part])].tolist():
                     left[i] = False
@@ -328,14 +339,16 @@ def _visits(homes: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
             sets = [_unpack(x) for x in home.column("grams").to_pylist()]
             points = _points(home)
             sizes, root = np.array([len(s) for s in sets]), home.column("root").to_numpy()
-            tree = CountTree(points, sizes)
+            tree, counts = CountTree(points, sizes), fine(sets)
             for g, p, r in zip(guest.column("grams").to_pylist(), _points(guest), guest.column("root").to_pylist(), strict=True):
                 s = _unpack(g)
                 cand = tree.search(p, len(s), percent)
                 cand = cand[root[cand] != r]
+                own = fine([s])[0]
                 for at in range(0, len(cand), 256):
                     part = cand[at : at + 256]
-                    part = part[[(r, int(x)) not in out for x in root[part]]]
+                    part = part[np.minimum(counts[part], own).sum(1, dtype=np.int64) >= need(len(s), sizes[part], percent)]
+                    part = part[np.array([(r, int(x)) not in out for x in root[part]], bool)]
                     if len(part):
                         o = overlaps(s, [sets[i] for i in part])
                         out.update((r, int(x)) for x in root[part[(100 + percent) * o >= percent * (len(s) + sizes[part])]])
