@@ -1,6 +1,6 @@
 """Operator 9: fuzzy substring dedup by collinear chaining.
 
-1. Seeds: word 5-grams whose hash falls in one of EVERY parts, the same in every document. Batches send each distinct
+1. Seeds: all word 5-grams. Batches send each distinct
    seed's first place to buckets; a seed's first two documents, in order of id, are what all later ones refer to, so a
    seed that thousands of documents share costs each of them two links and no pairs.
 2. Chains: a document's seeds that refer to one earlier document are matches (place here, place there). Runs on one
@@ -31,9 +31,11 @@ from stormgrid.llm import staging
 from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import materialise
 
-SEED_WORDS, EVERY = 5, 4
+SEED_WORDS = 5
 #: A passage has so many words at least, and so large a part of them alike.
 LEAST_WORDS, ALIKE = 45, 0.8
+#: Words from the first to the last seed of a chain that is aligned, at least; ends are extended from there.
+LEAST_CHAIN = 16
 #: Score of a seed, cost of a word skipped, and words that a chain may skip at once.
 WORTH, COST, SKIP = 4.0, 0.1, 40
 #: Seeds on one diagonal, so near each other, are one segment.
@@ -54,8 +56,6 @@ def _seeds(c: tk.Chunk):
     first seed, which is in the batch's document of smallest id."""
     ws, we, first, h = _words(c)
     g, at = tk.grams(h, first, SEED_WORDS)
-    some = g < tk.U(2**64 // EVERY)
-    g, at = g[some] * tk.U(EVERY), at[some]
     doc = np.searchsorted(first, at, "right") - 1
     hashes, head, which = np.unique(g, return_index=True, return_inverse=True)
     return (ws, we, first, h), (at, doc, which), hashes, head
@@ -287,7 +287,7 @@ def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], nb: int
         for chain in best_chains(segments) if len(segments) > 1 else [[0]]:
             if sum(segments[k][3] for k in chain) >= 2 * WORTH:
                 got = [segments[k][:3] for k in chain]
-                if got[-1][0] + got[-1][2] - got[0][0] >= LEAST_WORDS // 2:
+                if got[-1][0] + got[-1][2] - got[0][0] >= LEAST_CHAIN:
                     out.append((int(d[i]), int(rb[i]), int(rd[i]), int(ri[i]), got))
     return words, out
 
@@ -325,7 +325,7 @@ def _passages(words, chains: list, blocks: dict) -> dict[int, list[tuple]]:
 
 
 def _run(docs: DataFrame, finish, schema: str, whole: bool = False) -> DataFrame:
-    nb = ex.buckets_of(docs.sparkSession, 1)
+    nb = ex.buckets_of(docs.sparkSession, 4)
     staged = staging.stage(docs, whole=whole)
     referred = materialise(_referred(staged, nb), "seeds")
 

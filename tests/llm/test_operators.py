@@ -235,6 +235,25 @@ def test_chained_passages(spark, size, monkeypatch):
     assert all(r["n_chars"] == len(r["text"] or "") for r in out.values())
 
 
+def test_passages_of_50_to_60_words_with_changes(spark):
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(4000)]
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    data, planted = [], set()
+    for i in range(300):
+        q, most = line(rng.randint(50, 60)), rng.choice([7, 8, 10])
+        changed = list(q)
+        for k in range(rng.randrange(most), len(q), most):
+            changed[k] = rng.choice(words)
+        data += [(2 * i, " ".join(line(30) + q + line(30))), (2 * i + 1, " ".join(line(20) + changed + line(40)))]
+        same = [a == b for a, b in zip(q, changed, strict=True)]
+        # brute force: a stretch of the planted words that is long and alike enough
+        if any(sum(same[a:b]) >= chain_dedup.ALIKE * (b - a) for a in range(len(q)) for b in range(a + chain_dedup.LEAST_WORDS, len(q) + 1)):
+            planted.add((2 * i + 1, 2 * i))
+    got = {(r["doc_id"], r["other_id"]) for r in chain_dedup.passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert len(planted) > 290 and got <= planted and len(planted - got) == 0
+
+
 def test_chain_of_segments():
     s = [(0, 100, 10, 8.0), (12, 112, 10, 8.0), (25, 40, 10, 8.0), (26, 126, 9, 8.0), (200, 300, 10, 8.0)]
     chains = chain_dedup.best_chains(s)
