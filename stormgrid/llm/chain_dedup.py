@@ -1,8 +1,10 @@
 """Operator 9: fuzzy substring dedup by collinear chaining.
 
-1. Seeds: all word 5-grams. Batches send each distinct
-   seed's first place to buckets; a seed's first two documents, in order of id, are what all later ones refer to, so a
-   seed that thousands of documents share costs each of them two links and no pairs.
+1. Seeds: all word 5-grams. Batches send each
+   document's seeds to buckets; a seed's first two documents, in order of id, are what all later ones refer to at first,
+   so a seed that thousands of documents share costs each of them two links and no pairs. Where that leaves a stretch of
+   shared seeds that no passage covers, its seeds ask for their next holders, round after round, until a passage covers
+   it or there are no more: a passage whose pieces also stand elsewhere is found as well.
 2. Chains: a document's seeds that refer to one earlier document are matches (place here, place there). Runs on one
    diagonal become segments; a Fenwick tree over places there gives each segment the best chain that ends before it in
    both, less a gap cost, which is linear in the words skipped on either side.
@@ -52,13 +54,18 @@ def _words(c: tk.Chunk):
 
 
 def _seeds(c: tk.Chunk):
-    """Words as above; seeds' places (word numbers), documents, index into distinct hashes; the hashes and each one's
-    first seed, which is in the batch's document of smallest id."""
+    """Words as above; seeds' places (word numbers), documents, index into distinct pairs of hash and document; those
+    pairs' hashes, in order, and each one's first seed."""
     ws, we, first, h = _words(c)
     g, at = tk.grams(h, first, SEED_WORDS)
     doc = np.searchsorted(first, at, "right") - 1
-    hashes, head, which = np.unique(g, return_index=True, return_inverse=True)
-    return (ws, we, first, h), (at, doc, which), hashes, head
+    order = np.argsort(g, kind="stable")  # places ascend within a hash, and so do documents
+    gs, ds = g[order], doc[order]
+    new = np.ones(len(gs), bool)
+    new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1])
+    which = np.empty(len(gs), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return (ws, we, first, h), (at, doc, which), gs[new], order[new]
 
 
 def _slices(hashes: np.ndarray, nb: int):
@@ -69,11 +76,28 @@ def _slices(hashes: np.ndarray, nb: int):
 
 _PARTS = 8
 _REF = np.dtype([("batch", "<i8"), ("id", "<i8"), ("doc", "<u4"), ("at", "<u4")])
+NO_BATCH = -1
+_ASK = np.dtype([("h", "<u8"), ("id", "<i8"), ("entry", "<u4"), ("since", "<i8")])
+_WIDE = np.dtype([("entry", "<u4"), ("more", "u1"), *_REF.descr])
+#: A round asks for so many times the holders of the one before. Of a stretch of LEAST_WORDS words, so many are in shared
+#: seeds where it is asked about.
+TIMES, LEAST_SHARED = 8, 11
+
+
+def _ranked(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in order of hash and id: where the hash's entries start, how many of them have smaller ids, their end."""
+    a, b = ex.runs(h)
+    start, end = np.repeat(a, b - a), np.repeat(b, b - a)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
+    same = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    return start, same - start, end
 
 
 def _referred(staged: DataFrame, nb: int) -> DataFrame:
-    """(batch, bucket, data): for each of the batch's distinct seeds, in order of hash, the first two documents elsewhere
-    that hold it (a mask, then the references)."""
+    """(batch, bucket, data): for each of the batch's seeds of a document, in order of hash, the first two documents with
+    smaller ids that hold it (a mask, then the references); a mask's third bit says that there are more. Rows of batch
+    NO_BATCH hold, for a bucket, all holders of the seeds that have more."""
 
     def emit(batch, ids, c, *_):
         (_, _, first, _), (at, doc, _), hashes, head = _seeds(c)
@@ -83,35 +107,36 @@ def _referred(staged: DataFrame, nb: int) -> DataFrame:
         z = zstandard.ZstdCompressor(1)
         d = doc[head]
         low, more = (hashes & tk.U(0xFFFFFFFF)).astype("<u4"), ((hashes >> tk.U(32)) & tk.U(0xFF)).astype(np.uint8)
-        own, place = ids[d].astype("<i8"), (at[head] - first[d]).astype("<u4")
+        place = (at[head] - first[d]).astype("<u4")
         raw = lambda x: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary())
         small = lambda x: pa.array([z.compress(x[i:j].tobytes()) for i, j in cut], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array(where, pa.int32()), raw(low), raw(more), small(own), small(d.astype("<u4")), small(place)], names=["batch", "bucket", "low", "more", "id", "doc", "at"])
+        own = z.compress(ids.astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array(where, pa.int32()), raw(low), raw(more), pa.array([own] * len(cut), pa.binary()), small(d.astype("<u4")), small(place)], names=["batch", "bucket", "low", "more", "ids", "doc", "at"])
 
     def judge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(tables)
         z, unz = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
         low, more = ex.column(t, "low", "<u4"), ex.column(t, "more", np.uint8)
         sizes = np.array([len(x) for x in t.column("more").to_pylist()])
-        opened = lambda n, kind: np.frombuffer(b"".join(map(unz.decompress, t.column(n).to_pylist())), kind)
+        opened = lambda n: [np.frombuffer(unz.decompress(x), "<u4") for x in t.column(n).to_pylist()]
+        docs = opened("doc")
         ref = np.empty(len(low), _REF)
-        ref["batch"], ref["id"], ref["doc"], ref["at"] = np.repeat(t.column("batch").to_numpy(), sizes), opened("id", "<i8"), opened("doc", "<u4"), opened("at", "<u4")
+        ref["batch"], ref["doc"], ref["at"] = np.repeat(t.column("batch").to_numpy(), sizes), np.concatenate(docs), np.concatenate(opened("at"))
+        ref["id"] = np.concatenate([np.frombuffer(unz.decompress(x), "<i8")[d] for x, d in zip(t.column("ids").to_pylist(), docs, strict=True)])
         h = low.astype(np.uint64) | (more.astype(np.uint64) << tk.U(32))
         mask = np.zeros(len(h), np.uint8)
         first, second = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)  # places in ref
+        held = []
         for part in range(_PARTS):  # seeds of a part at a time, for memory
             at = np.flatnonzero(h % tk.U(_PARTS) == tk.U(part))
             if not len(at):
                 continue
             at = at[np.lexsort((ref["batch"][at], ref["id"][at], h[at]))]
-            a, b = ex.runs(h[at])
-            group = np.repeat(np.arange(len(a)), b - a)
-            one, two, own = at[a][group], at[np.minimum(a + 1, b - 1)][group], ref["id"][at]
+            start, rank, end = _ranked(h[at], ref["id"][at])
             # a document refers to smaller ids only; ids that are missing are no one's reference
-            ok1 = (ref["id"][one] < own) & (ref["id"][one] != staging.NO_ID)
-            ok2 = (ref["id"][two] < own) & (ref["id"][two] != ref["id"][one]) & (ref["id"][two] != staging.NO_ID)
-            mask[at] = ok1.astype(np.uint8) | (ok2.astype(np.uint8) << 1)
-            first[at], second[at] = one, two
+            mask[at] = (rank > 0).astype(np.uint8) | ((rank > 1).astype(np.uint8) << 1) | ((rank > 2).astype(np.uint8) << 2)
+            first[at], second[at] = at[start], at[np.minimum(start + 1, len(at) - 1)]
+            held.append(at[end - start > 2])
         data = []
         ends = np.cumsum(sizes)
         for k, e in zip(sizes.tolist(), ends.tolist(), strict=True):
@@ -121,9 +146,13 @@ def _referred(staged: DataFrame, nb: int) -> DataFrame:
                 got = ref[src[e - k : e][(m & bit) > 0]]
                 parts += [got[f].tobytes() for f in _REF.names]
             data.append(z.compress(b"".join(parts)))
-        yield pa.RecordBatch.from_arrays([t.column("batch").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
+        batches, buckets = t.column("batch").to_pylist(), t.column("bucket").to_pylist()
+        if held and len(held := np.concatenate(held)):
+            batches.append(NO_BATCH), buckets.append(int(key[0].as_py()))
+            data.append(z.compress(h[held].tobytes() + ref[held].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(batches, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
 
-    sent = staging.over(staged, [], emit, "batch long, bucket int, low binary, more binary, id binary, doc binary, at binary")
+    sent = staging.over(staged, [], emit, "batch long, bucket int, low binary, more binary, ids binary, doc binary, at binary")
     return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
 
 
@@ -147,6 +176,47 @@ def _answers(data: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarra
     return mask, refs[0], refs[1]
 
 
+def _further(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(batch, bucket, data): the next holders, in order of id, that asked seeds have, TIMES as many as before."""
+
+    def judge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, unz = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        h, ref, asks = np.empty(0, np.uint64), np.empty(0, _REF), []
+        for r in pa.Table.from_batches(tables).select(["batch", "data"]).to_pylist():
+            x = unz.decompress(r["data"])
+            if r["batch"] != NO_BATCH:
+                asks.append((r["batch"], np.frombuffer(x, _ASK)))
+                continue
+            n = len(x) // (8 + _REF.itemsize)
+            h, ref = np.frombuffer(x, "<u8", n), np.frombuffer(x, _REF, n, 8 * n)
+            order = np.lexsort((ref["batch"], ref["id"], h))
+            h, ref = h[order], ref[order]
+        start, rank, _ = _ranked(h, ref["id"])
+        for batch, a in asks:
+            at = np.searchsorted(h, a["h"])  # a seed that is asked about is in the index, with its own document
+            size = np.searchsorted(h, a["h"], "right") - at
+            top = int(size.max())
+            less = np.zeros(len(a), np.int64)  # holders of smaller ids, by bisection
+            step = 1 << top.bit_length()
+            while step:
+                to = less + step
+                ok = to <= size
+                ok[ok] = ref["id"][at[ok] + to[ok] - 1] < a["id"][ok]
+                less = np.where(ok, to, less)
+                step >>= 1
+            since, most = a["since"], a["since"] * TIMES
+            n = np.maximum(np.minimum(less, most) - since, 0)
+            out = np.empty(int(n.sum()), _WIDE)
+            src = np.repeat(at + since - (np.cumsum(n) - n), n) + np.arange(len(out))
+            out["entry"], out["more"] = np.repeat(a["entry"], n), np.repeat(less > most, n)
+            for f in _REF.names:
+                out[f] = ref[f][src]
+            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([z.compress(out.tobytes())], pa.binary())], names=["batch", "bucket", "data"])
+
+    both = asked.select("batch", "bucket", "data").unionByName(index.join(asked.select("bucket").distinct(), "bucket", "left_semi").select("batch", "bucket", "data"))
+    return both.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
+
+
 def best_chains(segments: list[tuple[int, int, int, float]]) -> list[list[int]]:
     """Disjoint chains of segments (place here, place there, words, score), best first: both places ascend along a chain,
     and segments overlap by less than a seed. A gap costs COST a word on either side; chains part where one is over SKIP.
@@ -244,31 +314,32 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], lo: i
     return start, xe + on, other, ye + on, alike / max(xe + on - start, ye + on - other, 1)
 
 
-def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], nb: int):
-    """Words of the batch, and its chains: (document, reference's batch, document and id, chain of (here, there, words))."""
+def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], wide: list[bytes], nb: int):
+    """Words of the batch, and its chains: (document, reference's batch, document and id, chain of (here, there, words));
+    its seeds, and the answers about them."""
     words, (at, doc, which), hashes, head = _seeds(c)
     first = words[2]
     out: list = []
     if not data or not len(hashes):
-        return words, out
+        return words, out, None
     _, cut = _slices(hashes, nb)
     mask, one, two = _answers(data, [j - i for i, j in cut])
-    # the batch's own first holder of a seed is a reference for its other documents, where elsewhere there are not two
-    own = np.zeros(len(hashes), _REF)
-    own["batch"], own["id"], own["doc"], own["at"] = batch, ids[doc[head]], doc[head], at[head] - first[doc[head]]
-    later = (ids[doc] > own["id"][which]) & (own["id"][which] != staging.NO_ID)
-    has1, has2 = (mask[which] & 1) > 0, (mask[which] & 2) > 0
-    r1 = np.where(has1, one[which], own[which])
-    r2 = np.where(has2, two[which], own[which])
+    unz = zstandard.ZstdDecompressor()
+    more = np.concatenate([np.empty(0, _WIDE), *(np.frombuffer(unz.decompress(x), _WIDE) for x in wide)])
+    more = more[np.argsort(more["entry"], kind="stable")]
+    lo, hi = np.searchsorted(more["entry"], which), np.searchsorted(more["entry"], which, "right")
+    some, n = np.flatnonzero(hi > lo), (hi - lo)[hi > lo]
+    further = np.repeat(lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     rows = []
-    for some, r in ((np.flatnonzero(has1 | later), r1), (np.flatnonzero(has2 | (later & has1)), r2)):
-        r = r[some]
+    for some, r in ((np.flatnonzero(mask[which] & 1), one[which]), (np.flatnonzero(mask[which] & 2), two[which]), (np.repeat(some, n), more[further])):
+        r = r if len(r) == len(some) and r.dtype == _WIDE else r[some]
         rows.append((doc[some], (at - first[doc])[some], r["batch"], r["doc"].astype(np.int64), r["id"], r["at"].astype(np.int64)))
+    seeds_of = (at, doc, which, hashes, mask, more)
     d, x, rb, rd, ri, y = (np.concatenate(v) for v in zip(*rows, strict=True))
     order = np.lexsort((x, y - x, rd, rb, d))
     d, x, rb, rd, ri, y = d[order], x[order], rb[order], rd[order], ri[order], y[order]
     if not len(d):
-        return words, out
+        return words, out, seeds_of
     new = np.ones(len(d), bool)
     pair = new.copy()
     pair[1:] = (d[1:] != d[:-1]) | (rb[1:] != rb[:-1]) | (rd[1:] != rd[:-1])
@@ -289,7 +360,7 @@ def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], nb: int
                 got = [segments[k][:3] for k in chain]
                 if got[-1][0] + got[-1][2] - got[0][0] >= LEAST_CHAIN:
                     out.append((int(d[i]), int(rb[i]), int(rd[i]), int(ri[i]), got))
-    return words, out
+    return words, out, seeds_of
 
 
 def _blocks_of(chain: list[tuple[int, int, int]]) -> range:
@@ -324,13 +395,40 @@ def _passages(words, chains: list, blocks: dict) -> dict[int, list[tuple]]:
     return out
 
 
+def _open(words, ids: np.ndarray, seeds_of, found: dict[int, list[tuple]]) -> np.ndarray:
+    """Entries (seeds of a document) whose further holders may have a passage that is not found yet: they have more, and
+    stand in a stretch of LEAST_WORDS words with LEAST_SHARED in shared seeds and a word of no passage in such a seed."""
+    at, doc, which, hashes, mask, wide = seeds_of
+    more = (mask & 4) > 0
+    more[wide["entry"][wide["more"] == 0]] = False  # all of their holders are known
+    first, shared, more = words[2], (mask[which] & 1) > 0, more[which]
+    ask = np.zeros(len(which), bool)
+    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+    for d in np.unique(doc[more]).tolist():
+        a, b, n = cut[d], cut[d + 1], int(first[d + 1] - first[d])
+        x, m = at[a:b] - first[d], more[a:b]
+        spans = lambda p, n=n: np.cumsum(np.bincount(p, minlength=n + SEED_WORDS + 1) - np.bincount(p + SEED_WORDS, minlength=n + SEED_WORDS + 1))[:n] > 0
+        gone = np.zeros(n, bool)
+        for p, q, *_ in found.get(d, []):
+            gone[p:q] = True
+        sums = lambda v: np.concatenate(([0], np.cumsum(v)))
+        size = min(LEAST_WORDS, n)
+        both, left = sums(spans(x[shared[a:b]])), sums(spans(x[m]) & ~gone)
+        ok = (both[size:] - both[:-size] >= min(LEAST_SHARED, size)) & (left[size:] > left[:-size]) & (n >= LEAST_WORDS)
+        inside = np.cumsum(np.append(ok, np.zeros(size)) - np.concatenate((np.zeros(size), ok)))[:n] > 0
+        ask[a:b] = m & inside[x]
+    return np.unique(which[ask])
+
+
 def _run(docs: DataFrame, finish, schema: str, whole: bool = False) -> DataFrame:
     nb = ex.buckets_of(docs.sparkSession, 4)
     staged = staging.stage(docs, whole=whole)
     referred = materialise(_referred(staged, nb), "seeds")
 
-    def ask(batch, ids, c, data, *_):
-        _, chains = _chains(batch, ids, c, data, nb)
+    index = referred.where(F.col("batch") == NO_BATCH)
+
+    def ask(batch, ids, c, data, wide, *_):
+        _, chains, _ = _chains(batch, ids, c, data, wide, nb)
         want = sorted({(rb, rd, k) for _, rb, rd, _, chain in chains for k in _blocks_of(chain)})
         if want:
             yield pa.RecordBatch.from_arrays([pa.array([batch] * len(want), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*want, strict=True))], names=["asker", "ref", "doc", "block"])
@@ -347,17 +445,42 @@ def _run(docs: DataFrame, finish, schema: str, whole: bool = False) -> DataFrame
         if keys:
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(data, pa.binary())], names=["ref", "doc", "block", "words"])
 
-    asked = materialise(staging.over(staged, [referred], ask, "asker long, ref long, doc long, block long"), "asked")
-    want = asked.select("ref", "doc", "block").distinct().select(F.col("ref").alias("batch"), F.lit(0).alias("bucket"), F.struct("doc", "block").alias("data"))
-    told = staging.over(staged, [want], tell, "ref long, doc long, block long, words binary")
-    back = asked.join(told, ["ref", "doc", "block"]).select(F.col("asker").alias("batch"), F.lit(0).alias("bucket"), F.struct("ref", "doc", "block", "words").alias("data"))
-
-    def last(batch, ids, c, data, back, *rest):
-        words, chains = _chains(batch, ids, c, data, nb)
+    def known(batch, ids, c, data, wide, back):
+        words, chains, seeds_of = _chains(batch, ids, c, data, wide, nb)
         blocks = {(r["ref"], r["doc"], r["block"]): np.frombuffer(r["words"], "<u4") for r in back}
-        yield from finish(ids, c, words, _passages(words, chains, blocks), *rest)
-
-    return staging.over(staged, [referred, back], last, schema)
+        return words, _passages(words, chains, blocks), seeds_of
+
+    def seek(batch, ids, c, *answers):
+        words, found, seeds_of = known(batch, ids, c, *answers[:3])
+        e = _open(words, ids, seeds_of, found) if seeds_of else np.empty(0, np.int64)
+        if len(e):
+            _, doc, which, hashes, _, more = seeds_of
+            of = np.empty(len(hashes), np.int64)
+            of[which] = doc
+            out = np.empty(len(e), _ASK)
+            out["h"], out["id"], out["entry"], out["since"] = hashes[e] & tk.U(0xFFFFFFFFFF), ids[of[e]], e, 2 + np.bincount(more["entry"], minlength=len(hashes))[e]
+            where, cut = _slices(hashes[e], nb)
+            z = zstandard.ZstdCompressor(1)
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array(where, pa.int32()), pa.array([z.compress(out[i:j].tobytes()) for i, j in cut], pa.binary())], names=["batch", "bucket", "data"])
+
+    def last(batch, ids, c, *answers):
+        words, found, _ = known(batch, ids, c, *answers[:3])
+        yield from finish(ids, c, words, found, *answers[3:])
+
+    spark, packed = docs.sparkSession, "batch long, bucket int, data binary"
+    wide, some, backs = spark.createDataFrame([], packed), staged, None
+    while True:
+        asked = materialise(staging.over(some, [referred, wide], ask, "asker long, ref long, doc long, block long"), "asked")
+        want = asked.select("ref", "doc", "block").distinct().select(F.col("ref").alias("batch"), F.lit(0).alias("bucket"), F.struct("doc", "block").alias("data"))
+        told = staging.over(staged, [want], tell, "ref long, doc long, block long, words binary")
+        back = materialise(asked.join(told, ["ref", "doc", "block"]).select(F.col("asker").alias("batch"), F.lit(0).alias("bucket"), F.struct("ref", "doc", "block", "words").alias("data")), "back")
+        # a batch that asks again has all its blocks in the new answer
+        backs = back if backs is None else backs.join(some.select("batch"), "batch", "left_anti").unionByName(back)
+        sought = materialise(staging.over(some, [referred, wide, back], seek, packed), "sought")
+        if sought.isEmpty():
+            return staging.over(staged, [referred, wide, backs], last, schema)
+        wide = wide.unionByName(materialise(_further(sought, index), "further"))
+        some = staged.join(sought.select("batch").distinct(), "batch", "left_semi")
 
 
 def passages(docs: DataFrame) -> DataFrame:

@@ -254,6 +254,29 @@ def test_passages_of_50_to_60_words_with_changes(spark):
     assert len(planted) > 290 and got <= planted and len(planted - got) == 0
 
 
+@pytest.mark.parametrize("size", [600, 9000, 1 << 20])
+@pytest.mark.parametrize("others", [2, 20])
+def test_passage_whose_pieces_stand_elsewhere(spark, size, others, monkeypatch):
+    """Pieces of a passage have many holders, the whole has two; a piece ends where the next begins, or words before."""
+    monkeypatch.setattr(staging.stage, "__defaults__", (size, False))
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(5000)]
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    data, planted = [], {}
+    for cuts in ((0, 30, 60), (0, 20, 40, 60), (0, 34, 64)):
+        p, n = line(cuts[-1]), len(data)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for _ in range(others):
+                data.append((len(data) + 1, " ".join(line(9) + p[a : b + 4] + line(9))))
+        holder = len(data) + 1
+        data += [(holder, " ".join(line(12) + p + line(12))), (holder + 1, " ".join(line(25) + p + line(3)))]
+        planted[holder + 1] = (25, 25 + len(p) - 1, holder)
+    got = collections.defaultdict(set)
+    for r in chain_dedup.passages(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect():
+        got[r["doc_id"]].add((r["first_word"], r["last_word"], r["other_id"]))
+    assert dict(got) == {k: {v} for k, v in planted.items()}
+
+
 def test_chain_of_segments():
     s = [(0, 100, 10, 8.0), (12, 112, 10, 8.0), (25, 40, 10, 8.0), (26, 126, 9, 8.0), (200, 300, 10, 8.0)]
     chains = chain_dedup.best_chains(s)
