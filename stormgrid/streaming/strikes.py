@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormgrid.functions import geo, scalar
 from stormgrid.operators import grid
 
-KEEP_S, MOST = 1800, 10_000
+KEEP_S = 1800
 
 
 def accumulate(strikes: DataFrame, time: str = "ts", window: str = "5 minutes", late: str = "30 minutes", ids: str | None = "event_id", keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
@@ -24,12 +24,12 @@ def accumulate(strikes: DataFrame, time: str = "ts", window: str = "5 minutes",
 
 
 def query(strikes: DataFrame, now: Column, most_age_s: float = 3600.0, source: str | None = None, time: str = "ts") -> DataFrame:
-    """Strikes not older than most_age_s, newest first, of a source (ALL: any); at most the buffer's size."""
+    """Strikes not older than most_age_s, newest first, of a source (ALL: any)."""
     age = (F.unix_micros(now) - F.unix_micros(F.col(time).cast("timestamp"))) / 1e6
     ok = age.between(0, most_age_s)
     if source and "ALL" not in source.upper():
         ok = ok & F.contains(F.lit(source.upper()), F.upper("source"))
-    return strikes.where(ok).orderBy(F.col(time).desc(), "event_id").limit(MOST)
+    return strikes.where(ok).orderBy(F.col(time).desc(), "event_id")
 
 
 def proxy_reflectivity(strikes: DataFrame, keys: list[str], lat0: float, lon0: float) -> DataFrame:

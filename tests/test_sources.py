@@ -63,3 +63,9 @@ def test_scalars(spark):
 def test_duplicates_count_once(spark):
     e = spark.sql("select 1L event_id, timestamp'2024-01-01 00:01:00' ts, 1 row, 1 col union all select 1L, timestamp'2024-01-01 00:01:00', 1, 1")
     assert strikes.accumulate(e).first()["strikes"] == 1
+
+
+def test_recent_strikes_are_all_kept(spark):
+    k = spark.range(10_500).selectExpr("id as event_id", "timestamp_ltz'2024-01-15 11:00:00' as ts", "'IITM_LLN' as source")
+    got = strikes.query(k, F.expr("timestamp_ltz'2024-01-15 12:00:00'"), 86_400.0, "IITM_LLN")
+    assert got.count() == 10_500
