@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormgrid.functions import scalar
@@ -115,17 +119,21 @@ add("tumbling_5min", lambda s, d: K.accumulate(B.cells(s, d).where("strike")).se
 
 def _stream(s, d):
     """The same by Structured Streaming over the parquet file, run to its end."""
-    import tempfile
-
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    e = s.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).where("event_type = 'error'")
+    # a pattern: a stream takes a plain path for a folder, and the table is a file or a folder of files
+    e = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").where("event_type = 'error'")
     k = F.get_json_object("props", "$.k").cast("long")
     e = e.select("event_id", "ts", (F.col("user_id") % 64).cast("int").alias("row"), (k % 64).cast("int").alias("col"))
-    name = f"tumbling_{abs(hash(d)) % 10**8}"
-    at = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stormgrid-")
-    q = K.accumulate(e).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{at}/{name}-{id(e)}").start()
+    at = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stormgrid-")).rstrip("/") + f"/tumbling-{uuid.uuid4().hex[:12]}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch_{number}")
+
+    # an update has the whole count of each window that changed, so the last one of a window counts
+    q = K.accumulate(e).writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start()
     q.awaitTermination()
-    return s.table(name)
+    out = s.read.schema("start timestamp, row int, col int, strikes long, batch int").option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return out.groupBy("start", "row", "col").agg(F.max_by("strikes", "batch").alias("strikes"))
 
 
 add("stream_tumbling_5min", _stream)

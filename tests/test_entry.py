@@ -29,3 +29,14 @@ def test_stream_equals_batch(spark):
     q = entry.queries()
     n = lambda name: q[name](spark, DIR).agg({"strikes": "sum"}).first()[0]
     assert n("stream_tumbling_5min") == n("tumbling_5min")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_leaves_its_rows_in_files(spark, tmp_path, files):
+    """Equal to the batch query row by row, of a table in a folder too, and not held in the driver's memory sink."""
+    spark.read.parquet(f"{DIR}/events.parquet").repartition(files).write.parquet(str(tmp_path / "events.parquet"))
+    q = entry.queries()
+    got = q["stream_tumbling_5min"](spark, str(tmp_path))
+    assert got.inputFiles()
+    rows = lambda df, first: sorted(tuple(r) for r in df.selectExpr(first, "row", "col", "strikes").collect())
+    assert rows(got, "unix_micros(start) div 300000000") == rows(q["tumbling_5min"](spark, str(tmp_path)), "frame")
