@@ -71,15 +71,16 @@ def initiation_mask(df: DataFrame, keys: list[str], lit: str, r: int = 4) -> Dat
     return grid.box_max(had, keys, "_h", r, "_n").select(*keys, "row", "col", (F.col("_n") == 0).alias("eligible"))
 
 
-def swept_mask(df: DataFrame, keys: list[str], lit: str, dy: float, dx: float, leads: range = LEADS, r: int = 4) -> DataFrame:
+def swept_mask(df: DataFrame, keys: list[str], lit: str, dy: float | Column, dx: float | Column, leads: range = LEADS, r: int = 4) -> DataFrame:
     """Pixels that advected lightning reaches, with the first lead at which it does: those leads and later are excluded.
 
     Each struck pixel lists, step by step, the box it has moved and widened to; a box over an edge is cut, never wrapped.
     A box joins the sweep through its rows only, and columns by a window, so a step costs a box's side, not its area."""
     had = df.groupBy(*keys, "row", "col").agg(F.max(F.col(lit).cast("int")).alias("_h"))
+    near = lambda d, step: F.rint(d * step).cast("int") if isinstance(d, Column) else round(d * step)
     parts = []
     for step in [0, *leads]:
-        my, mx, rr = round(dy * step), round(dx * step), r + (grid.spread_radius(step) if step else 0)
+        my, mx, rr = near(dy, step), near(dx, step), r + (grid.spread_radius(step) if step else 0)
         at = had.withColumns({"row": F.col("row") + my, "col": F.col("col") + mx}).where((F.col("_h") == 1) & F.col("row").between(0, S.GRID - 1) & F.col("col").between(0, S.GRID - 1)).select(*keys, "row", "col", F.lit(1).alias("_hit"))
         d = had.select(*keys, "row", "col").join(at, [*keys, "row", "col"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
         parts.append(grid.box_max(d, keys, "_hit", rr, "_n").where("_n = 1").select(*keys, "row", "col", F.lit(max(step, 1)).alias("lead")))

@@ -146,6 +146,22 @@ def _swept_sql() -> str:
 
 
 add("swept_corridor", lambda s, d: P.swept_mask(B.day_grid(s, d), ["day"], "lit", 1.5, -0.75, range(1, 4)), _swept_sql())
+
+
+def _with_motion(s, d):
+    """Each day's grid with the day's estimated motion, capped, as two more keys."""
+    m = P.motion(_frames(s, d), ["day"], "hour", "z")
+    dy, dx = P.capped(F.col("dy"), F.col("dx"))
+    return B.day_grid(s, d).join(m.select("day", dy.alias("dy"), dx.alias("dx")), "day")
+
+
+# The whole jobs: shifts of 6 pixels, all leads, and the estimated motion. The queries above are narrower and have SQL;
+# tests hold these against numpy.
+_MOVED = ["day", "dy", "dx"]
+add("motion_xcorr_whole", lambda s, d: P.motion(_frames(s, d), ["day"], "hour", "z"))
+add("advection_whole", lambda s, d: P.advection(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", *r6("prob")))
+add("charging_rule_whole", lambda s, d: P.charging_rule(_with_motion(s, d), _MOVED, "z", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", *r6("prob")))
+add("swept_corridor_whole", lambda s, d: P.swept_mask(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "row", "col", "first_lead"))
 add("ensemble_mean_var", lambda s, d: P.ensemble(B.cells(s, d).withColumns({"a": F.col("prob"), "b": F.col("prob") / 2.3, "p": F.when(F.col("strike"), 1.0).otherwise(0.0), "k": F.lit(0.015)}), "a", "b", "p", "k").select("event_id", *r6("ens_mean", "ens_var")),
     f"WITH {B.CELLS}, a AS (SELECT event_id, prob AS a, prob / 2.3e0 AS b, CASE WHEN strike THEN 1.0e0 ELSE 0.0e0 END AS p FROM c), m AS (SELECT *, (a + b + p) / 3.0e0 AS m FROM a) SELECT event_id, round(0.5e0 * a + 0.25e0 * b + 0.15e0 * p + 0.10e0 * 0.015e0, 6) AS ens_mean, round(((a - m) * (a - m) + (b - m) * (b - m) + (p - m) * (p - m)) / 3.0e0, 6) AS ens_var FROM m")
 

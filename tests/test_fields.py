@@ -142,3 +142,73 @@ def test_radar_layers(spark):
 def test_sentinels(spark):
     df = S.from_sentinels(spark.createDataFrame([(-999.0,), (float("nan"),), (12.0,)], "vil double"))
     assert [r[0] for r in df.collect()] == [None, None, 12.0]
+
+
+def _box(a, r, mean):
+    p = np.pad(a, r, mode="edge") if mean else np.pad(a, r, constant_values=0)
+    x = [p[i : i + N, j : j + N] for i in range(2 * r + 1) for j in range(2 * r + 1)]
+    return sum(x) / len(x) if mean else np.max(x, axis=0)
+
+
+def _moved(a, y, x):
+    out = np.zeros_like(a)
+    for r, c in np.argwhere(a != 0):
+        for i in (0, 1):
+            for j in (0, 1):
+                p, q = int(np.floor(y)) + r + i, int(np.floor(x)) + c + j
+                if 0 <= p < N and 0 <= q < N:
+                    fy, fx = y - np.floor(y), x - np.floor(x)
+                    out[p, q] += a[r, c] * (fy if i else 1 - fy) * (fx if j else 1 - fx)
+    return out
+
+
+def test_whole_forecasts_against_numpy(spark, tmp_path):
+    """A storm that moves by (-3, 5) pixels an hour, with noise, over a day: 6 pixels of shift, 12 leads, its own motion."""
+    from datetime import datetime, timezone
+
+    from stormgrid.plans import registry
+
+    rng, rows = np.random.Generator(np.random.PCG64(4)), []
+    for hour in range(5):
+        at = datetime(2024, 1, 15, hour, tzinfo=timezone.utc)
+        for i, j, v in [(0, 0, 400.0), (0, 2, 320.0), (3, 1, 500.0)]:
+            rows.append((40 - 3 * hour + i, 8 + 5 * hour + j, at, v, "error"))
+        rows += [(int(r), int(c), at, 9.0, "view") for r, c in rng.integers(0, N, (8, 2))]
+    df = spark.createDataFrame([(i, ts, r, kind, v, '{"k": %d}' % c) for i, (r, c, ts, v, kind) in enumerate(rows)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    q = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+
+    frames, lit, top = np.zeros((5, N, N)), np.zeros((N, N)), np.zeros((N, N))
+    for r, c, ts, v, kind in rows:
+        frames[ts.hour, r, c], top[r, c] = max(frames[ts.hour, r, c], v / 8.0), max(top[r, c], v / 7.3)
+        lit[r, c] = max(lit[r, c], kind == "error")
+    best = []
+    for a, b in zip(frames, frames[1:], strict=False):
+        score = {(dy, dx): sum(a[r, c] * b[r + dy, c + dx] for r, c in np.argwhere(a > 0) if 0 <= r + dy < N and 0 <= c + dx < N) for dy in range(-6, 7) for dx in range(-6, 7)}
+        best.append(max(score, key=score.get))
+    dy, dx = np.median(best, axis=0)
+    (m,) = q("motion_xcorr_whole")
+    assert (m["dy"], m["dx"]) == (dy, dx) == (-3.0, 5.0)
+    size = np.hypot(dy, dx)
+    dy, dx = dy * 4 / size, dx * 4 / size
+
+    for name, start, decay in (("advection_whole", _box(lit, 1, True), 0.97), ("charging_rule_whole", _box(_box((top >= 40) * 1.0, 2, False), 1, True), 0.95)):
+        got = np.zeros((13, N, N))
+        for r in q(name):
+            got[r["lead"], r["row"], r["col"]] = r["prob"]
+        for step in range(1, 13):
+            want = np.clip(_box(_moved(start, dy * step, dx * step), round(np.sqrt(step)), True) * decay**step, 0, 1)
+            assert np.allclose(got[step], want, atol=2e-6), (name, step)
+
+    want = np.full((N, N), 99)
+    for step in range(12, -1, -1):
+        hit = np.zeros((N, N))
+        for r, c in np.argwhere(lit):
+            p, k = r + round(dy * step), c + round(dx * step)
+            if 0 <= p < N and 0 <= k < N:
+                hit[p, k] = 1
+        want[_box(hit, 4 + (round(np.sqrt(step)) if step else 0), False) > 0] = max(step, 1)
+    got = np.full((N, N), 99)
+    for r in q("swept_corridor_whole"):
+        got[r["row"], r["col"]] = r["first_lead"]
+    assert np.array_equal(got, want) and got[got < 99].max() > 3
