@@ -350,9 +350,10 @@ def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], wide: l
     worth = (tail - head + 1) * WORTH
     starts = np.flatnonzero(pair[head])
     seeds = np.add.reduceat(tail - head + 1, starts)
-    for s, e, n in zip(starts.tolist(), [*starts[1:].tolist(), len(head)], seeds.tolist(), strict=True):
-        if n < 2:
-            continue
+    ends = np.append(starts[1:], len(head))
+    reach = np.maximum.reduceat((x[head] + length), starts) - np.minimum.reduceat(x[head], starts)
+    may = (seeds >= 2) & (reach >= LEAST_CHAIN)  # no chain of the others is long enough
+    for s, e in zip(starts[may].tolist(), ends[may].tolist(), strict=True):
         segments = list(zip(x[head[s:e]].tolist(), y[head[s:e]].tolist(), length[s:e].tolist(), worth[s:e].tolist(), strict=True))
         i = head[s]
         for chain in best_chains(segments) if len(segments) > 1 else [[0]]:
