@@ -1,9 +1,10 @@
-"""Operator 1: approximate nearest neighbours by shifted space-filling curves.
+"""Operator 1: nearest neighbours over blocks along a space-filling curve.
 
-Unit vectors are projected, ORDERS times, onto random orthonormal directions, shifted, and put in the order of a Hilbert
-curve through those AXES directions. Keys of an order are cut into buckets of about BUCKET rows at quantiles taken over
-all rows. A query goes to its bucket and the two beside it, and in each looks at WINDOW vectors on either side of its
-place; the windows of all orders are merged and ranked by the exact cosine.
+Unit vectors are projected onto random orthonormal directions, shifted, and put in the order of a Hilbert curve through
+those AXES directions. Keys are cut into buckets at quantiles taken over all rows. Every query goes to every bucket, so
+results are exact whatever the data; a bucket ranks by single precision, 2 WINDOW vectors at once, and its best again by
+the exact cosine. Buckets grow with the root of the rows, and queries of a bucket are dealt into groups of QUERIES, for
+which the bucket's rows are repeated: work grows with queries times rows.
 
 Copies: equal vectors are one point that carries its smallest ids (as many as a result can show), so a group of copies,
 however large, is no load; a limit of that kind is applied before the shuffle by Spark's group limit. Keys that tie are
@@ -12,7 +13,7 @@ spread by a digest of the vector.
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
 candidate; so do rows without vec_id. A row's own id is never its neighbour; rows repeating an id and vector are one.
 Vectors of different lengths never meet. Fewer candidates than k: all found. Empty table: empty result. Other columns are
-not looked at. On directionless data (all distances alike) recall at a fixed WINDOW falls as rows grow; see README.
+not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stormgrid.llm.shared import materialise, project
 
-ORDERS, AXES, BITS, WINDOW, BUCKET = 16, 8, 7, 2048, 8192
+ORDERS, AXES, BITS, WINDOW, BUCKET, QUERIES = 1, 8, 7, 2048, 8192, 32_768
 #: Buckets of an order at most; beyond, buckets grow. Their bounds go to every task.
 MOST_BUCKETS = 10_000
 SEED = 3
@@ -89,7 +90,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], bounds: dict | None) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], bounds: dict | None, groups: int = 1) -> Iterator[pa.RecordBatch]:
     for b in batches:
         dims = np.array(b.column("dim").to_pylist())
         for dim in np.unique(dims):
@@ -107,15 +108,17 @@ def _keyed(batches: Iterator[pa.RecordBatch], bounds: dict | None) -> Iterator[p
                     bucket = np.searchsorted(cut, key, "right").astype(np.int32)
                     vec = pa.array([x.tobytes() for x in flat.astype("<f8")], pa.binary())
                     query = np.array(t.column("asks").to_pylist(), bool)
-                    for side in (0, -1, 1):
-                        take = np.flatnonzero(np.ones(len(key), bool) if side == 0 else query & (bucket + side >= 0) & (bucket + side <= len(cut)))
+                    group = np.array(t.column("rep").to_pylist(), np.int64) % groups
+                    for to in range((len(cut) + 1) * groups):  # rows go to all groups of their bucket, queries to all buckets
+                        home, ask = bucket == to // groups, query & (group == to % groups)
+                        take = np.flatnonzero(home | ask)
                         if len(take):
                             i = pa.array(take)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), order, np.int32)), t.column("dim").take(i), pa.array(bucket[take] + np.int32(side)), pa.array(key[take]), t.column("rep").take(i), t.column("ids").take(i), vec.take(i), pa.array(query[take]), pa.array(np.full(len(take), side == 0))], names=["ord", "dim", "bucket", "key", "rep", "ids", "vec", "asks", "home"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), order, np.int32)), t.column("dim").take(i), pa.array(np.full(len(take), to, np.int32)), pa.array(key[take]), t.column("rep").take(i), t.column("ids").take(i), vec.take(i), pa.array(ask[take]), pa.array(home[take])], names=["ord", "dim", "bucket", "key", "rep", "ids", "vec", "asks", "home"])
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:
-    """Of one bucket: for each query, the k + 1 nearest points of its window."""
+    """Of one bucket: for each query, the k + 1 nearest points."""
     home = np.array(table.column("home").to_pylist(), bool)
     asks = np.array(table.column("asks").to_pylist(), bool)
     key = table.column("key").to_numpy()
@@ -128,7 +131,6 @@ def _search(table: pa.Table, k: int) -> pa.Table:
     base = base[np.lexsort((rep[base], key[base]))]
     ask = np.flatnonzero(asks)
     ask = ask[np.argsort(key[ask], kind="stable")]
-    place = np.searchsorted(key[base], key[ask])
     out_q, out_c, out_s = [], [], []
 
     def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -136,14 +138,15 @@ def _search(table: pa.Table, k: int) -> pa.Table:
 
     for at in range(0, len(ask), 64):
         q = ask[at : at + 64]
-        c = base[max(0, place[at] - WINDOW) : place[min(at + 63, len(ask) - 1)] + WINDOW + 1]
-        if len(c):
+        near = []
+        for lo in range(0, len(base), 2 * WINDOW):
+            c = base[lo : lo + 2 * WINDOW]
             s = unit[q] @ unit[c].T
             s[rep[q][:, None] == rep[c][None]] = -9
             most = min(k + 8, len(c))
-            near = np.argpartition(-s, most - 1, axis=1)[:, :most]
-            for row, cols in zip(q, near, strict=True):
-                cand = c[cols]
+            near.append(c[np.argpartition(-s, most - 1, axis=1)[:, :most]])
+        if near:
+            for row, cand in zip(q, np.concatenate(near, axis=1), strict=True):
                 cand = cand[rep[cand] != rep[row]]
                 score = exact(np.full(len(cand), row), cand)
                 top = np.lexsort((rep[cand], -score))[: k + 1]
@@ -165,7 +168,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     points = points.join(asks.groupBy("embedding").agg(F.lit(True).alias("asks")), "embedding", "left").select("rep", "ids", "embedding", F.size("embedding").alias("dim"), F.coalesce("asks", F.lit(False)).alias("asks"))
     points = materialise(points, "ann-points")
     n = points.count()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(n / BUCKET)))
+    groups = max(1, math.ceil(points.where("asks").count() / QUERIES))
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(n / max(BUCKET, 16 * math.isqrt(n)))))
     bounds: dict = {}
     if buckets > 1:
         at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
@@ -173,7 +177,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
         for r in keyed.groupBy("ord", "dim").agg(F.percentile_approx("key", at, F.lit(max(10_000, 20 * buckets))).alias("cuts")).collect():
             bounds[r["ord"], r["dim"]] = np.unique(np.array(r["cuts"], np.int64))
     shared = points.sparkSession.sparkContext.broadcast(bounds)
-    placed = points.mapInArrow(lambda b: _keyed(b, shared.value), "ord int, dim int, bucket int, key long, rep long, ids array<long>, vec binary, asks boolean, home boolean")
+    placed = points.mapInArrow(lambda b: _keyed(b, shared.value, groups), "ord int, dim int, bucket int, key long, rep long, ids array<long>, vec binary, asks boolean, home boolean")
     found = placed.groupBy("ord", "dim", "bucket").applyInArrow(lambda t: _search(t, k), "rep_q long, rep_c long, ids array<long>, score double")
     merged = found.groupBy("rep_q", "rep_c").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = merged.withColumn("n", F.row_number().over(Window.partitionBy("rep_q").orderBy(F.col("score").desc(), "rep_c"))).where(F.col("n") <= k + 2)

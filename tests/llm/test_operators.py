@@ -362,6 +362,20 @@ def test_recall_with_small_windows(spark, monkeypatch):
     assert sum(len(got[q] & s) for q, s in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("queries", [32_768, 20])
+def test_nearest_without_directions(spark, monkeypatch, queries):
+    """Vectors that have all distances alike, many more than a window: all neighbours are found."""
+    rng = np.random.Generator(np.random.PCG64(10))
+    data = [(i, [float(v) for v in x]) for i, x in enumerate(rng.standard_normal((6000, 64)))]
+    monkeypatch.setattr(ann_hilbert, "WINDOW", 20)
+    monkeypatch.setattr(ann_hilbert, "BUCKET", 300)
+    monkeypatch.setattr(ann_hilbert, "QUERIES", queries, raising=False)
+    got = collections.defaultdict(set)
+    for r in ann_hilbert.op1(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert dict(got) == {q: {i for _, i in s} for q, s in _nearest(data).items()}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav><div id="cookie-notice">We use cookies.<button>Fine</button></div>
 <article><h1>The title</h1><p><b>First &amp; best&nbsp;text that goes
