@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -217,10 +218,13 @@ class Scanner:
         for k, ms in per.items():
             ms.sort()
             best: list[tuple[int, int]] = []  # covered words, first word
+            far = list(accumulate((a + n for a, _, n in ms), max))  # none up to here ends later
             top = (0, 0, 0)
             for i, (a, t, n) in enumerate(ms):
                 score, first = n, a
-                for j in range(i - 1, max(-1, i - 64), -1):
+                for j in range(i - 1, -1, -1):
+                    if a - far[j] > GAP:
+                        break
                     a2, t2, n2 = ms[j]
                     over = max(0, a2 + n2 - a, t2 + n2 - t)
                     if a2 < a and t2 < t and over < n and a - a2 - n2 <= GAP and best[j][0] + n - over > score:

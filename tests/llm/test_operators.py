@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -115,6 +116,13 @@ def _base(t):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({n for _, n in places}))
 
 
+def test_chain_reaches_past_many_matches():
+    """A phrase with 80 places in the template stands between two parts of it that belong together."""
+    ends = {0: [(0, 19)], 1: [(0, 102 + 3 * i) for i in range(80)], 2: [(0, 39)]}
+    stub = SimpleNamespace(auto=SimpleNamespace(ends=ends), n_phrases=0, sequences=[[0] * 400])
+    assert license_sam.Scanner.chain(stub, [(0, 20, 0), (21, 3, 1), (25, 20, 2)])[0] == (40 / 400, 0, 44)
+
+
 def test_licenses(spark, docs, rows, empty):
     got = license_sam.scanned(docs).collect()
     assert counted(tuple(r)[:6] for r in got) == counted((i, *_base(t)) for i, t, *_ in rows)
