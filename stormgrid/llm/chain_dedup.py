@@ -1,24 +1,34 @@
 """Operator 9: fuzzy substring dedup by collinear chaining.
 
-1. Seeds: all word 5-grams. Batches send each
-   document's seeds to buckets; a seed's first two documents, in order of id, are what all later ones refer to at first,
-   so a seed that thousands of documents share costs each of them two links and no pairs. Where that leaves a stretch of
-   shared seeds that no passage covers, its seeds ask for their next holders, round after round, until a passage covers
-   it or there are no more: a passage whose pieces also stand elsewhere is found as well.
-2. Chains: a document's seeds that refer to one earlier document are matches (place here, place there). Runs on one
+1. Seeds: all word 5-grams. Batches send the hashes of their seeds to buckets and learn which ones stand in one document
+   only, in few (FEW at most) or in many. The rest takes part no more.
+2. References: a seed of few documents refers to all of them that have smaller ids. A seed of many refers to the first
+   one, and to the first one among those that also agree on what stands around: the next words, up to each of LEVELS
+   words in all, or the least shared seed in each of STROBES ranges of words further on, whatever lies between. So a
+   passage finds its like though thousands of documents hold its pieces, at a cost that is linear in its words.
+3. Chains: a document's seeds that refer to one earlier document are matches (place here, place there). Runs on one
    diagonal become segments; a Fenwick tree over places there gives each segment the best chain that ends before it in
    both, less a gap cost, which is linear in the words skipped on either side.
-3. Alignment: the earlier document's words around a chain are fetched in blocks of BLOCK words, distinct ones only, and
+4. Alignment: the earlier document's words around a chain are fetched in blocks of BLOCK words, distinct ones only, and
    the chain is aligned: words on segments compared, gaps by edit distance, ends extended while they pay. What is long
    and alike enough is a passage; the later document loses it.
+5. What is left open: a stretch of LEAST_WORDS words that begins and ends in shared seeds, with LEAST_SHARED of its words
+   in shared seeds but in no passage (a seed counts where it first stands in its document). All holders of the rarest of
+   those seeds are asked for, so many seeds that an earlier document with LEAST_SHARED of the words must hold LEAST_ASKED
+   words of the asked ones; holders of so many are aligned as above.
+
+Nothing here depends on how rows are dealt over batches: references go by id.
 
 Edge cases: null or empty text, fewer than 5 words: no passage. Documents with equal ids do not refer to each other; a
-null id refers to others and is never referred to. Repeats within one document stay. Whole texts are read; a document is
-held by one task. Upper case A-Z counts as lower case. Empty table: empty result. Other columns pass through `cleaned`.
+null id refers to others and is never referred to. Repeated rows have equal ids, so neither loses a passage to the other,
+and both lose what a smaller id has. Repeats within one document stay. Of equal chains the one with smaller places wins.
+Whole texts are read; a document is held by one task. Upper case A-Z counts as lower case. Empty table: empty result.
+Other columns pass through `cleaned`; a text that is null there stays null.
 """
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -44,6 +54,25 @@ WORTH, COST, SKIP = 4.0, 0.1, 40
 NEAR = 16
 BLOCK = 128
 _MORE = 64  # words fetched beyond a chain's ends
+#: Documents up to which a seed refers to all of them; what tells the holders of other seeds apart.
+FEW, LEVELS, STROBES = 8, (9, 17, 33, 45), ((6, 26), (16, 56))
+#: Words in shared seeds, of LEAST_WORDS in a row, from which a stretch without a passage is looked at again; of them, in
+#: the seeds that are asked for then.
+LEAST_SHARED, LEAST_ASKED = 30, 10
+#: Words from a seed's first place in a document to a repeat of it that is taken to be repeated in the other document too.
+_FAR = 256
+#: Bytes of text whose seeds one bucket answers for.
+BUCKET_BYTES = 24 << 20
+_ALONE, _FEW, _MANY = 0, 1, 2
+_RARE = int(np.log2(FEW) * 8)  # rarity up to which references are all there are
+
+
+def _dump(x) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(pickle.dumps(x, 5))
+
+
+def _load(x: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
 def _words(c: tk.Chunk):
@@ -74,147 +103,216 @@ def _slices(hashes: np.ndarray, nb: int):
     return where[a], list(zip(a.tolist(), b.tolist(), strict=True))
 
 
-_PARTS = 8
-_REF = np.dtype([("batch", "<i8"), ("id", "<i8"), ("doc", "<u4"), ("at", "<u4")])
-NO_BATCH = -1
-_ASK = np.dtype([("h", "<u8"), ("id", "<i8"), ("entry", "<u4"), ("since", "<i8")])
-_WIDE = np.dtype([("entry", "<u4"), ("more", "u1"), *_REF.descr])
-#: A round asks for so many times the holders of the one before. Of a stretch of LEAST_WORDS words, so many are in shared
-#: seeds where it is asked about.
-TIMES, LEAST_SHARED = 8, 11
+def _within(hashes: np.ndarray, nb: int) -> np.ndarray:
+    """32 bits that tell a bucket's hashes apart, in their order."""
+    part = ((hashes >> tk.U(32)) * tk.U(nb)) & tk.U(0xFFFFFFFF)  # the place in the bucket
+    return np.minimum(part + ((hashes & tk.U(0xFFFFFFFF)) * tk.U(nb) >> tk.U(32)), tk.U(0xFFFFFFFF)).astype("<u4")
 
 
-def _ranked(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries in order of hash and id: where the hash's entries start, how many of them have smaller ids, their end."""
-    a, b = ex.runs(h)
-    start, end = np.repeat(a, b - a), np.repeat(b, b - a)
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-    same = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return start, same - start, end
+def _ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, n of them, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
+def _planes(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers, as differences, byte by byte."""
+    d = np.diff(x, prepend=x[:0].dtype.type(0)).astype("<u4")
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes())
 
-def _referred(staged: DataFrame, nb: int) -> DataFrame:
-    """(batch, bucket, data): for each of the batch's seeds of a document, in order of hash, the first two documents with
-    smaller ids that hold it (a mask, then the references); a mask's third bit says that there are more. Rows of batch
-    NO_BATCH hold, for a bucket, all holders of the seeds that have more."""
 
-    def emit(batch, ids, c, *_):
-        (_, _, first, _), (at, doc, _), hashes, head = _seeds(c)
+def _unplaned(x: bytes) -> np.ndarray:
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(b.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _packed(batch: int, where: np.ndarray, **cols: list[bytes]) -> pa.RecordBatch:
+    k = len(where)
+    return pa.RecordBatch.from_arrays([pa.array([batch] * k, pa.int64()), pa.array(where, pa.int32()), *(pa.array(x, pa.binary()) for x in cols.values())], names=["batch", "bucket", *cols])
+
+
+def _marked(staged: DataFrame, nb: int) -> DataFrame:
+    """(batch, bucket, data): of each of the batch's distinct seeds, in order of hash, whether one, few or many hold it."""
+
+    def emit(batch, ids, c):
+        _, _, hashes, _ = _seeds(c)
         if not len(hashes):
             return
-        where, cut = _slices(hashes, nb)
+        a, b = ex.runs(hashes)
+        h, n = hashes[a], np.minimum(b - a, FEW + 1).astype(np.uint8)
+        where, cut = _slices(h, nb)
         z = zstandard.ZstdCompressor(1)
-        d = doc[head]
-        low, more = (hashes & tk.U(0xFFFFFFFF)).astype("<u4"), ((hashes >> tk.U(32)) & tk.U(0xFF)).astype(np.uint8)
-        place = (at[head] - first[d]).astype("<u4")
-        raw = lambda x: pa.array([x[i:j].tobytes() for i, j in cut], pa.binary())
-        small = lambda x: pa.array([z.compress(x[i:j].tobytes()) for i, j in cut], pa.binary())
-        own = z.compress(ids.astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array(where, pa.int32()), raw(low), raw(more), pa.array([own] * len(cut), pa.binary()), small(d.astype("<u4")), small(place)], names=["batch", "bucket", "low", "more", "ids", "doc", "at"])
+        low = _within(h, nb)
+        yield _packed(batch, where, low=[_planes(low[i:j]) for i, j in cut], n=[z.compress(n[i:j].tobytes()) for i, j in cut])
 
     def judge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(tables)
         z, unz = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-        low, more = ex.column(t, "low", "<u4"), ex.column(t, "more", np.uint8)
-        sizes = np.array([len(x) for x in t.column("more").to_pylist()])
-        opened = lambda n: [np.frombuffer(unz.decompress(x), "<u4") for x in t.column(n).to_pylist()]
-        docs = opened("doc")
-        ref = np.empty(len(low), _REF)
-        ref["batch"], ref["doc"], ref["at"] = np.repeat(t.column("batch").to_numpy(), sizes), np.concatenate(docs), np.concatenate(opened("at"))
-        ref["id"] = np.concatenate([np.frombuffer(unz.decompress(x), "<i8")[d] for x, d in zip(t.column("ids").to_pylist(), docs, strict=True)])
-        h = low.astype(np.uint64) | (more.astype(np.uint64) << tk.U(32))
-        mask = np.zeros(len(h), np.uint8)
-        first, second = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)  # places in ref
-        held = []
-        for part in range(_PARTS):  # seeds of a part at a time, for memory
-            at = np.flatnonzero(h % tk.U(_PARTS) == tk.U(part))
-            if not len(at):
-                continue
-            at = at[np.lexsort((ref["batch"][at], ref["id"][at], h[at]))]
-            start, rank, end = _ranked(h[at], ref["id"][at])
-            # a document refers to smaller ids only; ids that are missing are no one's reference
-            mask[at] = (rank > 0).astype(np.uint8) | ((rank > 1).astype(np.uint8) << 1) | ((rank > 2).astype(np.uint8) << 2)
-            first[at], second[at] = at[start], at[np.minimum(start + 1, len(at) - 1)]
-            held.append(at[end - start > 2])
-        data = []
-        ends = np.cumsum(sizes)
-        for k, e in zip(sizes.tolist(), ends.tolist(), strict=True):
-            m = mask[e - k : e]
-            parts = [m.tobytes()]
-            for bit, src in ((1, first), (2, second)):
-                got = ref[src[e - k : e][(m & bit) > 0]]
-                parts += [got[f].tobytes() for f in _REF.names]
-            data.append(z.compress(b"".join(parts)))
-        batches, buckets = t.column("batch").to_pylist(), t.column("bucket").to_pylist()
-        if held and len(held := np.concatenate(held)):
-            batches.append(NO_BATCH), buckets.append(int(key[0].as_py()))
-            data.append(z.compress(h[held].tobytes() + ref[held].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(batches, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
-
-    sent = staging.over(staged, [], emit, "batch long, bucket int, low binary, more binary, ids binary, doc binary, at binary")
+        lows = [_unplaned(x) for x in t.column("low").to_pylist()]
+        low = np.concatenate(lows)
+        n = np.frombuffer(b"".join(map(unz.decompress, t.column("n").to_pylist())), np.uint8)
+        order = np.argsort(low, kind="stable")
+        a, b = ex.runs(low[order])
+        total = np.add.reduceat(n[order].astype(np.int64), a)
+        mark = np.empty(len(low), np.uint8)
+        mark[order] = np.repeat(np.where(total > FEW, _MANY, np.where(total > 1, _FEW, _ALONE)).astype(np.uint8), b - a)
+        sizes = [len(x) for x in lows]
+        ends = np.cumsum(sizes).tolist()
+        data = [z.compress(mark[e - k : e].tobytes()) for k, e in zip(sizes, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([t.column("batch").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
+
+    sent = staging.over(staged, [], emit, "batch long, bucket int, low binary, n binary")
     return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
 
 
-def _answers(data: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Masks and both references of all distinct seeds; where a mask has no bit, the reference says nothing."""
+def _shared(c: tk.Chunk, marks: list[bytes]):
+    """As _seeds, of shared seeds' pairs only (-1: alone), with each pair's mark."""
+    words, (at, doc, which), hashes, head = _seeds(c)
+    if not len(hashes):
+        return words, (at, doc, which), hashes, head, np.empty(0, np.uint8)
     unz = zstandard.ZstdDecompressor()
-    total = sum(sizes)
-    mask, refs = np.zeros(total, np.uint8), (np.zeros(total, _REF), np.zeros(total, _REF))
-    at = 0
-    for x, n in zip(data, sizes, strict=True):
-        x = unz.decompress(x)
-        m = np.frombuffer(x, np.uint8, n)
-        mask[at : at + n] = m
-        pos = n
-        for bit, ref in ((1, refs[0]), (2, refs[1])):
-            some = at + np.flatnonzero(m & bit)
-            for f in _REF.names:
-                ref[f][some] = np.frombuffer(x, _REF[f], len(some), pos)
-                pos += len(some) * _REF[f].itemsize
+    mark = np.frombuffer(b"".join(map(unz.decompress, marks)), np.uint8)
+    a, b = ex.runs(hashes)
+    mark = np.repeat(mark, b - a)
+    keep = mark > _ALONE
+    number = np.where(keep, np.cumsum(keep) - 1, -1)
+    return words, (at, doc, number[which]), hashes[keep], head[keep], mark[keep]
+
+
+def _contexts(words, seeds, hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each pair, and each level and strobe, 32 bits of what stands around its first seed; 0 where a document ends."""
+    _, _, first, h = words
+    at, doc, which = seeds
+    p = at[head]
+    end = first[1:][doc[head]]
+    out = np.zeros((len(LEVELS) + len(STROBES), len(p)), "<u4")
+    up, _ = tk._power(len(h) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+    for k, n in enumerate(LEVELS):
+        ok = p + n <= end
+        out[k, ok] = (tk.span_hash(sums, p[ok], p[ok] + n) >> tk.U(32)) | tk.U(1)
+    most = np.uint64(2**64 - 1)
+    least = np.full(len(h), most)
+    some = which >= 0
+    least[at[some]] = hashes[which[some]]
+    for k, (lo, hi) in enumerate(STROBES, len(LEVELS)):
+        if len(h) < hi:
+            continue
+        m = tk.sliding(least, hi - lo)
+        ok = p + hi <= end
+        x = np.full(len(p), most)
+        x[ok] = m[p[ok] + lo]
+        ok &= x != most
+        out[k, ok] = (tk.mix(x[ok]) >> tk.U(32)) | tk.U(1)
+    return out
+
+
+_ENTRY = np.dtype([("h", "<u8"), ("id", "<i8"), ("batch", "<i8"), ("doc", "<u4"), ("at", "<u4")])
+NO_BATCH = -1
+_COLUMNS = len(LEVELS) + len(STROBES)
+
+
+def _sent(staged: DataFrame, marks: DataFrame, nb: int) -> DataFrame:
+    """(batch, bucket, low, more, around, data): the batch's pairs of a shared seed and a document."""
+
+    def emit(batch, ids, c, marks):
+        words, seeds, hashes, head, mark = _shared(c, marks)
+        if not len(hashes):
+            return
+        at, doc, _ = seeds
+        where, cut = _slices(hashes, nb)
+        z = zstandard.ZstdCompressor(1)
+        d = doc[head]
+        low, more = (hashes & tk.U(0xFFFFFFFF)).astype("<u4"), ((hashes >> tk.U(32)) & tk.U(0xFF)).astype(np.uint8)
+        place = (at[head] - words[2][d]).astype("<u4")
+        many = mark == _MANY
+        around = _contexts(words, seeds, hashes, head)
+        data = []
+        for i, j in cut:
+            data.append(_dump((ids[d[i:j]], d[i:j].astype("<u4"), place[i:j], np.packbits(many[i:j]))))
+        yield _packed(batch, where, low=[low[i:j].tobytes() for i, j in cut], more=[more[i:j].tobytes() for i, j in cut], around=[z.compress(around[:, i:j][:, many[i:j]].tobytes()) for i, j in cut], data=data)
+
+    return staging.over(staged, [marks], emit, "batch long, bucket int, low binary, more binary, around binary, data binary")
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """A bucket's pairs as _ENTRY, what stands around each, and how many pairs each row has."""
+    low, more = ex.column(t, "low", "<u4"), ex.column(t, "more", np.uint8)
+    sizes = [len(x) for x in t.column("more").to_pylist()]
+    out = np.empty(len(low), _ENTRY)
+    out["h"] = low.astype(np.uint64) | (more.astype(np.uint64) << tk.U(32))
+    out["batch"] = np.repeat(t.column("batch").to_numpy(), sizes)
+    around = np.zeros((_COLUMNS, len(low)), "<u4")
+    unz, at = zstandard.ZstdDecompressor(), 0
+    for n, x, y in zip(sizes, t.column("data").to_pylist(), t.column("around").to_pylist(), strict=True):
+        ids, doc, place, many = _load(x)
+        part = out[at : at + n]
+        part["id"], part["doc"], part["at"] = ids, doc, place
+        some = at + np.flatnonzero(np.unpackbits(many, count=n))
+        around[:, some] = np.frombuffer(unz.decompress(y), "<u4").reshape(_COLUMNS, -1)
         at += n
-    return mask, refs[0], refs[1]
+    return out, around, sizes
+
+
+def _ranked(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in order of x and id: where the entries of equal x start, how many of them have smaller ids, their end."""
+    a, b = ex.runs(x)
+    start, end = np.repeat(a, b - a), np.repeat(b, b - a)
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (ids[1:] != ids[:-1])
+    same = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return start, same - start, end
+
+
+def references(e: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (entry, entry it refers to), in order of the first, and of each entry how many documents hold its seed."""
+    order = np.lexsort((e["doc"], e["batch"], e["id"], e["h"]))
+    s = e[order]
+    start, rank, end = _ranked(s["h"], s["id"])
+    held = np.empty(len(e), np.int64)
+    held[order] = end - start
+    few = end - start <= FEW
+    n = np.where(few, rank, np.minimum(rank, 1))
+    of, to = [np.repeat(order, n)], [order[_ragged(start, n)]]
+    many = np.flatnonzero(~few)
+    for level in around:
+        x = many[level[order[many]] > 0]
+        if not len(x):
+            continue
+        key = tk.mix(s["h"][x] + (level[order[x]].astype(np.uint64) << tk.U(40) | level[order[x]].astype(np.uint64) >> tk.U(24)))
+        o = x[np.argsort(key, kind="stable")]  # ids ascend within a key
+        key = np.sort(key, kind="stable")
+        start, rank, _ = _ranked(key, s["id"][o])
+        got = rank > 0
+        of.append(order[o[got]]), to.append(order[o[start[got]]])
+    both = np.unique(np.concatenate(of) * len(e) + np.concatenate(to)) if len(e) else np.empty(0, np.int64)
+    return both // max(len(e), 1), both % max(len(e), 1), held
 
 
-def _further(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(batch, bucket, data): the next holders, in order of id, that asked seeds have, TIMES as many as before."""
+def _referred(sent: DataFrame) -> DataFrame:
+    """(batch, bucket, data): of each of the batch's pairs, in order, its references. Rows of batch NO_BATCH hold all pairs
+    of a bucket's seeds of many documents."""
 
     def judge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, unz = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-        h, ref, asks = np.empty(0, np.uint64), np.empty(0, _REF), []
-        for r in pa.Table.from_batches(tables).select(["batch", "data"]).to_pylist():
-            x = unz.decompress(r["data"])
-            if r["batch"] != NO_BATCH:
-                asks.append((r["batch"], np.frombuffer(x, _ASK)))
-                continue
-            n = len(x) // (8 + _REF.itemsize)
-            h, ref = np.frombuffer(x, "<u8", n), np.frombuffer(x, _REF, n, 8 * n)
-            order = np.lexsort((ref["batch"], ref["id"], h))
-            h, ref = h[order], ref[order]
-        start, rank, _ = _ranked(h, ref["id"])
-        for batch, a in asks:
-            at = np.searchsorted(h, a["h"])  # a seed that is asked about is in the index, with its own document
-            size = np.searchsorted(h, a["h"], "right") - at
-            top = int(size.max())
-            less = np.zeros(len(a), np.int64)  # holders of smaller ids, by bisection
-            step = 1 << top.bit_length()
-            while step:
-                to = less + step
-                ok = to <= size
-                ok[ok] = ref["id"][at[ok] + to[ok] - 1] < a["id"][ok]
-                less = np.where(ok, to, less)
-                step >>= 1
-            since, most = a["since"], a["since"] * TIMES
-            n = np.maximum(np.minimum(less, most) - since, 0)
-            out = np.empty(int(n.sum()), _WIDE)
-            src = np.repeat(at + since - (np.cumsum(n) - n), n) + np.arange(len(out))
-            out["entry"], out["more"] = np.repeat(a["entry"], n), np.repeat(less > most, n)
-            for f in _REF.names:
-                out[f] = ref[f][src]
-            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([key[0].as_py()], pa.int32()), pa.array([z.compress(out.tobytes())], pa.binary())], names=["batch", "bucket", "data"])
-
-    both = asked.select("batch", "bucket", "data").unionByName(index.join(asked.select("bucket").distinct(), "bucket", "left_semi").select("batch", "bucket", "data"))
-    return both.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
+        t = pa.Table.from_batches(tables)
+        e, around, sizes = _entries(t)
+        of, to, held = references(e, around)
+        ref = e[["batch", "doc", "at"]]
+        rare = np.minimum(np.ceil(np.log2(held) * 8), 255).astype(np.uint8)
+        data, at = [], 0
+        for n in sizes:
+            lo, hi = np.searchsorted(of, (at, at + n))
+            got = ref[to[lo:hi]]
+            count = np.bincount(of[lo:hi] - at, minlength=n).astype(np.uint8)
+            data.append(_dump((count, rare[at : at + n], got["batch"].copy(), got["doc"].copy(), got["at"].copy())))
+            at += n
+        batches, buckets = t.column("batch").to_pylist(), t.column("bucket").to_pylist()
+        many = np.flatnonzero(held > FEW)
+        if len(many):
+            many = e[many[np.lexsort((e["doc"][many], e["batch"][many], e["id"][many], e["h"][many]))]]
+            batches.append(NO_BATCH), buckets.append(key[0].as_py()), data.append(_dump([many[f].copy() for f in _ENTRY.names]))
+        yield pa.RecordBatch.from_arrays([pa.array(batches, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
+
+    return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
 
 
 def best_chains(segments: list[tuple[int, int, int, float]]) -> list[list[int]]:
@@ -314,32 +412,17 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], lo: i
     return start, xe + on, other, ye + on, alike / max(xe + on - start, ye + on - other, 1)
 
 
-def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], wide: list[bytes], nb: int):
-    """Words of the batch, and its chains: (document, reference's batch, document and id, chain of (here, there, words));
-    its seeds, and the answers about them."""
-    words, (at, doc, which), hashes, head = _seeds(c)
-    first = words[2]
-    out: list = []
-    if not data or not len(hashes):
-        return words, out, None
-    _, cut = _slices(hashes, nb)
-    mask, one, two = _answers(data, [j - i for i, j in cut])
-    unz = zstandard.ZstdDecompressor()
-    more = np.concatenate([np.empty(0, _WIDE), *(np.frombuffer(unz.decompress(x), _WIDE) for x in wide)])
-    more = more[np.argsort(more["entry"], kind="stable")]
-    lo, hi = np.searchsorted(more["entry"], which), np.searchsorted(more["entry"], which, "right")
-    some, n = np.flatnonzero(hi > lo), (hi - lo)[hi > lo]
-    further = np.repeat(lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    rows = []
-    for some, r in ((np.flatnonzero(mask[which] & 1), one[which]), (np.flatnonzero(mask[which] & 2), two[which]), (np.repeat(some, n), more[further])):
-        r = r if len(r) == len(some) and r.dtype == _WIDE else r[some]
-        rows.append((doc[some], (at - first[doc])[some], r["batch"], r["doc"].astype(np.int64), r["id"], r["at"].astype(np.int64)))
-    seeds_of = (at, doc, which, hashes, mask, more)
-    d, x, rb, rd, ri, y = (np.concatenate(v) for v in zip(*rows, strict=True))
+Chain = tuple[int, int, int, list[tuple[int, int, int]]]  # document here, batch and document there, (here, there, words)
+
+
+def chained(d, x, rb, rd, y, seeds: int = 2, reach: int = LEAST_CHAIN) -> list[Chain]:
+    """Chains of matches (document and place here, batch, document and place there) that have so many seeds, and so many
+    words from the first to the last."""
+    out: list[Chain] = []
     order = np.lexsort((x, y - x, rd, rb, d))
-    d, x, rb, rd, ri, y = d[order], x[order], rb[order], rd[order], ri[order], y[order]
+    d, x, rb, rd, y = d[order], x[order], rb[order], rd[order], y[order]
     if not len(d):
-        return words, out, seeds_of
+        return out
     new = np.ones(len(d), bool)
     pair = new.copy()
     pair[1:] = (d[1:] != d[:-1]) | (rb[1:] != rb[:-1]) | (rd[1:] != rd[:-1])
@@ -349,19 +432,17 @@ def _chains(batch: int, ids: np.ndarray, c: tk.Chunk, data: list[bytes], wide: l
     length = x[tail] + SEED_WORDS - x[head]
     worth = (tail - head + 1) * WORTH
     starts = np.flatnonzero(pair[head])
-    seeds = np.add.reduceat(tail - head + 1, starts)
     ends = np.append(starts[1:], len(head))
-    reach = np.maximum.reduceat((x[head] + length), starts) - np.minimum.reduceat(x[head], starts)
-    may = (seeds >= 2) & (reach >= LEAST_CHAIN)  # no chain of the others is long enough
+    far = np.maximum.reduceat((x[head] + length), starts) - np.minimum.reduceat(x[head], starts)
+    may = (np.add.reduceat(tail - head + 1, starts) >= seeds) & (far >= reach)  # no chain of the others is long enough
     for s, e in zip(starts[may].tolist(), ends[may].tolist(), strict=True):
         segments = list(zip(x[head[s:e]].tolist(), y[head[s:e]].tolist(), length[s:e].tolist(), worth[s:e].tolist(), strict=True))
         i = head[s]
         for chain in best_chains(segments) if len(segments) > 1 else [[0]]:
-            if sum(segments[k][3] for k in chain) >= 2 * WORTH:
-                got = [segments[k][:3] for k in chain]
-                if got[-1][0] + got[-1][2] - got[0][0] >= LEAST_CHAIN:
-                    out.append((int(d[i]), int(rb[i]), int(rd[i]), int(ri[i]), got))
-    return words, out, seeds_of
+            got = [segments[k][:3] for k in chain]
+            if sum(segments[k][3] for k in chain) >= seeds * WORTH and got[-1][0] + got[-1][2] - got[0][0] >= reach:
+                out.append((int(d[i]), int(rb[i]), int(rd[i]), got))
+    return out
 
 
 def _blocks_of(chain: list[tuple[int, int, int]]) -> range:
@@ -369,163 +450,325 @@ def _blocks_of(chain: list[tuple[int, int, int]]) -> range:
     return range(lo // BLOCK, (hi - 1) // BLOCK + 1)
 
 
-def _passages(words, chains: list, blocks: dict) -> dict[int, list[tuple]]:
-    """Of each document, its passages (start, end, other id, start and end there, part alike)."""
-    first, h = words[2], words[3].astype(np.uint32)
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """Of n words, which are in a seed that starts at one of x."""
+    d = np.bincount(x, minlength=n + 1) - np.bincount(np.minimum(x + SEED_WORDS, n), minlength=n + 1)
+    return np.cumsum(d[:n]) > 0
+
+
+def _rich(words: np.ndarray) -> np.ndarray:
+    """Starts of stretches of LEAST_WORDS words that begin and end with one of these and hold LEAST_SHARED of them."""
+    if len(words) < LEAST_WORDS:
+        return np.empty(0, np.int64)
+    c = np.concatenate(([0], np.cumsum(words)))
+    return np.flatnonzero((c[LEAST_WORDS:] - c[:-LEAST_WORDS] >= LEAST_SHARED) & words[: len(words) - LEAST_WORDS + 1] & words[LEAST_WORDS - 1 :])
+
+
+def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:
+    """(batch, want, data, open): chains to align, with their documents' words around them and the blocks that they want;
+    documents with rich stretches: (id, words, places, hashes, rarity and known holders of shared seeds)."""
+
+    def run(batch, ids, c, marks, refs):
+        words, (at, doc, which), hashes, head, _ = _shared(c, marks)
+        if not len(hashes):
+            return
+        first, h = words[2], words[3].astype("<u4")
+        got = [np.concatenate(x) for x in zip(*map(_load, refs), strict=True)]
+        count, rare, (rb, rd, ry) = got[0].astype(np.int64), got[1], (x.astype(np.int64) for x in got[2:])
+        some = np.flatnonzero(which >= 0)
+        some = some[count[which[some]] > 0]
+        n = count[which[some]]
+        if not len(some):
+            return
+        src = _ragged((np.cumsum(count) - count)[which[some]], n)
+        place = at - first[doc]
+        d, x, b_, d_, y = np.repeat(doc[some], n), np.repeat(place[some], n), rb[src], rd[src], ry[src]
+        # a seed that a document repeats may be repeated there at the same distances
+        far = x - np.repeat(place[head[which[some]]], n)
+        again = np.flatnonzero((far > 0) & (far <= _FAR))
+        chains = chained(*(np.concatenate(v) for v in ((d, d[again]), (x, x[again]), (b_, b_[again]), (d_, d_[again]), (y, (y + far)[again]))))
+        span: dict[int, tuple[int, int]] = {}
+        for d, _, _, chain in chains:
+            lo, hi = span.get(d, (1 << 60, 0))
+            span[d] = min(lo, chain[0][0]), max(hi, chain[-1][0] + chain[-1][2])
+        here = {}
+        for d, (lo, hi) in span.items():
+            lo, hi = max(0, lo - 2 * _MORE - BLOCK), min(int(first[d + 1] - first[d]), hi + 2 * _MORE + BLOCK)
+            here[d] = lo, h[first[d] + lo : first[d] + hi]
+        some = some[at[some] == at[head[which[some]]]]
+        whole = _spread(at[some], len(h))
+        rich = _rich(whole)
+        of = np.searchsorted(first, rich, "right") - 1
+        left = {}
+        cut = np.searchsorted(doc[some], np.arange(len(ids) + 1))
+        for d in np.unique(of[rich + LEAST_WORDS <= first[of + 1]]).tolist():
+            s = some[cut[d] : cut[d + 1]]
+            q = which[s]
+            n = np.where(rare[q] <= _RARE, count[q], 0)
+            src = _ragged((np.cumsum(count) - count)[q], n)
+            left[d] = int(ids[d]), h[first[d] : first[d + 1]], place[s], hashes[q], rare[q], (n, rb[src], rd[src], ry[src])
+        want = sorted({(rb, rd, k) for _, rb, rd, chain in chains for k in _blocks_of(chain)})
+        if want or left:
+            yield _wanting(batch, want, (chains, here, ids), left)
+
+    return staging.over(staged, [marks, refs], run, _WANTING)
+
+
+_WANTING = "batch long, want array<struct<ref:long,doc:long,block:long>>, data binary, open binary"
+
+
+def _wanting(batch: int, want: list, data, left) -> pa.RecordBatch:
+    kind = pa.list_(pa.struct([("ref", pa.int64()), ("doc", pa.int64()), ("block", pa.int64())]))
+    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([[dict(zip(("ref", "doc", "block"), w, strict=True)) for w in want]], kind), pa.array([_dump(data)], pa.binary()), pa.array([_dump(left) if left else None], pa.binary())], names=["batch", "want", "data", "open"])
+
+
+def _passages(chains: list[Chain], here: dict, blocks: dict) -> dict[int, list[tuple]]:
+    """Of each document, its passages (start, end, other id, start and end there, part alike), none within another."""
     out: dict[int, list[tuple]] = {}
-    for d, rb, rd, ri, chain in chains:
+    for d, rb, rd, chain in chains:
         need = _blocks_of(chain)
-        parts = [blocks.get((rb, rd, k)) for k in need]
-        have = [p for p in parts if p is not None]
-        if not have or parts[0] is None:
+        have = [p for p in (blocks.get((rb, rd, k)) for k in need) if p is not None]
+        if not have or (rb, rd, need.start) not in blocks:
             continue
-        known = np.concatenate(have)
-        lo = need.start * BLOCK
-        y = np.concatenate((np.zeros(lo, np.uint32), known))
-        x = h[first[d] : first[d + 1]]
-        todo = [chain]
+        lo, ri = need.start * BLOCK, have[0][0]
+        y = np.concatenate((np.zeros(lo, "<u4"), *(p[1] for p in have)))
+        start, x = here[d]
+        # what a repeat was taken for may lie beyond the other document's end
+        todo = [[(a - start, b, min(n, len(y) - b)) for a, b, n in chain if b < len(y)]]
+        todo = [part for part in todo if part]
         while todo:
             part = todo.pop()
             a, b, oa, ob, alike = align(x, y, part, lo, len(y))
             if b - a >= LEAST_WORDS and alike >= ALIKE:
-                out.setdefault(d, []).append((a, b, ri, oa, ob, alike))
+                out.setdefault(d, []).append((a + start, b + start, ri, oa, ob, alike))
             elif b - a >= LEAST_WORDS and len(part) > 1:  # its parts on either side of the widest gap may be alike
                 gap = [max(q[0] - p[0] - p[2], q[1] - p[1] - p[2]) for p, q in zip(part, part[1:], strict=False)]
                 at = gap.index(max(gap)) + 1
                 todo += [part[:at], part[at:]]
+    for d, found in out.items():
+        found.sort(key=lambda p: (p[0], -p[1], p[2]))
+        far, keep = -1, []
+        for p in found:
+            if p[1] > far:
+                keep.append(p)
+                far = p[1]
+        out[d] = keep
     return out
 
 
-def _open(words, ids: np.ndarray, seeds_of, found: dict[int, list[tuple]]) -> np.ndarray:
-    """Entries (seeds of a document) whose further holders may have a passage that is not found yet: they have more, and
-    stand in a stretch of LEAST_WORDS words with LEAST_SHARED in shared seeds and a word of no passage in such a seed."""
-    at, doc, which, hashes, mask, wide = seeds_of
-    more = (mask & 4) > 0
-    more[wide["entry"][wide["more"] == 0]] = False  # all of their holders are known
-    first, shared, more = words[2], (mask[which] & 1) > 0, more[which]
-    ask = np.zeros(len(which), bool)
-    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
-    for d in np.unique(doc[more]).tolist():
-        a, b, n = cut[d], cut[d + 1], int(first[d + 1] - first[d])
-        x, m = at[a:b] - first[d], more[a:b]
-        spans = lambda p, n=n: np.cumsum(np.bincount(p, minlength=n + SEED_WORDS + 1) - np.bincount(p + SEED_WORDS, minlength=n + SEED_WORDS + 1))[:n] > 0
-        gone = np.zeros(n, bool)
-        for p, q, *_ in found.get(d, []):
-            gone[p:q] = True
-        sums = lambda v: np.concatenate(([0], np.cumsum(v)))
-        size = min(LEAST_WORDS, n)
-        both, left = sums(spans(x[shared[a:b]])), sums(spans(x[m]) & ~gone)
-        ok = (both[size:] - both[:-size] >= min(LEAST_SHARED, size)) & (left[size:] > left[:-size]) & (n >= LEAST_WORDS)
-        inside = np.cumsum(np.append(ok, np.zeros(size)) - np.concatenate((np.zeros(size), ok)))[:n] > 0
-        ask[a:b] = m & inside[x]
-    return np.unique(which[ask])
-
-
-def _run(docs: DataFrame, finish, schema: str, whole: bool = False) -> DataFrame:
-    nb = ex.buckets_of(docs.sparkSession, 4)
-    staged = staging.stage(docs, whole=whole)
-    referred = materialise(_referred(staged, nb), "seeds")
+_FOUND = "batch long, doc long, doc_id long, first long, end long, other_id long, other_first long, other_end long, similarity double"
 
-    index = referred.where(F.col("batch") == NO_BATCH)
 
-    def ask(batch, ids, c, data, wide, *_):
-        _, chains, _ = _chains(batch, ids, c, data, wide, nb)
-        want = sorted({(rb, rd, k) for _, rb, rd, _, chain in chains for k in _blocks_of(chain)})
-        if want:
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(want), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*want, strict=True))], names=["asker", "ref", "doc", "block"])
+def _aligned(staged: DataFrame, wanting: DataFrame) -> DataFrame:
+    """Passages (_FOUND) of chains (_WANTING)."""
 
-    def tell(batch, ids, c, wanted, *_):
-        _, _, first, h = _words(c)
-        h = h.astype("<u4")
+    def tell(batch, ids, c, wanted):
         keys, data = [], []
+        of: dict[int, list[int]] = {}
         for w in wanted:
-            d, k = w["doc"], w["block"]
-            part = h[first[d] + k * BLOCK : min(first[d] + (k + 1) * BLOCK, first[d + 1])]
-            if len(part):
-                keys.append((batch, d, k)), data.append(part.tobytes())
+            of.setdefault(w["doc"], []).append(w["block"])
+        docs = sorted(of)
+        start, end = c.start[docs], c.end[docs]
+        ends = np.cumsum(end - start + 1) - 1
+        buf = np.frombuffer(b"\n".join(c.buf[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint8)
+        _, _, first, h = _words(tk.Chunk(range(len(docs)), buf, ends - (end - start), ends))
+        h = h.astype("<u4")
+        for i, d in enumerate(docs):
+            for k in sorted(of[d]):
+                part = h[first[i] + k * BLOCK : min(first[i] + (k + 1) * BLOCK, first[i + 1])]
+                if len(part):
+                    keys.append((batch, d, k, int(ids[d]))), data.append(part.tobytes())
         if keys:
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(data, pa.binary())], names=["ref", "doc", "block", "words"])
-
-    def known(batch, ids, c, data, wide, back):
-        words, chains, seeds_of = _chains(batch, ids, c, data, wide, nb)
-        blocks = {(r["ref"], r["doc"], r["block"]): np.frombuffer(r["words"], "<u4") for r in back}
-        return words, _passages(words, chains, blocks), seeds_of
-
-    def seek(batch, ids, c, *answers):
-        words, found, seeds_of = known(batch, ids, c, *answers[:3])
-        e = _open(words, ids, seeds_of, found) if seeds_of else np.empty(0, np.int64)
-        if len(e):
-            _, doc, which, hashes, _, more = seeds_of
-            of = np.empty(len(hashes), np.int64)
-            of[which] = doc
-            out = np.empty(len(e), _ASK)
-            out["h"], out["id"], out["entry"], out["since"] = hashes[e] & tk.U(0xFFFFFFFFFF), ids[of[e]], e, 2 + np.bincount(more["entry"], minlength=len(hashes))[e]
-            where, cut = _slices(hashes[e], nb)
-            z = zstandard.ZstdCompressor(1)
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array(where, pa.int32()), pa.array([z.compress(out[i:j].tobytes()) for i, j in cut], pa.binary())], names=["batch", "bucket", "data"])
-
-    def last(batch, ids, c, *answers):
-        words, found, _ = known(batch, ids, c, *answers[:3])
-        yield from finish(ids, c, words, found, *answers[3:])
-
-    spark, packed = docs.sparkSession, "batch long, bucket int, data binary"
-    wide, some, backs = spark.createDataFrame([], packed), staged, None
-    while True:
-        asked = materialise(staging.over(some, [referred, wide], ask, "asker long, ref long, doc long, block long"), "asked")
-        want = asked.select("ref", "doc", "block").distinct().select(F.col("ref").alias("batch"), F.lit(0).alias("bucket"), F.struct("doc", "block").alias("data"))
-        told = staging.over(staged, [want], tell, "ref long, doc long, block long, words binary")
-        back = materialise(asked.join(told, ["ref", "doc", "block"]).select(F.col("asker").alias("batch"), F.lit(0).alias("bucket"), F.struct("ref", "doc", "block", "words").alias("data")), "back")
-        # a batch that asks again has all its blocks in the new answer
-        backs = back if backs is None else backs.join(some.select("batch"), "batch", "left_anti").unionByName(back)
-        sought = materialise(staging.over(some, [referred, wide, back], seek, packed), "sought")
-        if sought.isEmpty():
-            return staging.over(staged, [referred, wide, backs], last, schema)
-        wide = wide.unionByName(materialise(_further(sought, index), "further"))
-        some = staged.join(sought.select("batch").distinct(), "batch", "left_semi")
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*keys, strict=True)), pa.array(data, pa.binary())], names=["ref", "doc", "block", "id", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                chains, here, ids = _load(r["data"])
+                blocks = {(x["ref"], x["doc"], x["block"]): (x["id"], np.frombuffer(x["words"], "<u4")) for x in r["back"]}
+                rows = [(r["batch"], d, int(ids[d]), *p) for d, ps in _passages(chains, here, blocks).items() for p in ps]
+                if rows:
+                    kinds = [pa.int64()] * 8 + [pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    each = wanting.select(F.col("batch").alias("asker"), F.explode("want").alias("w")).select("asker", "w.*")
+    asked = each.select("ref", "doc", "block").distinct().select(F.col("ref").alias("batch"), F.lit(0).alias("bucket"), F.struct("doc", "block").alias("data"))
+    told = staging.over(staged, [asked], tell, "ref long, doc long, block long, id long, words binary")
+    back = each.join(told, ["ref", "doc", "block"]).groupBy("asker").agg(F.collect_list(F.struct("ref", "doc", "block", "id", "words")).alias("back"))
+    return wanting.where(F.size("want") > 0).select("batch", "data").join(back, F.col("batch") == F.col("asker")).select("batch", "data", "back").mapInArrow(run, _FOUND)
+
+
+def _still_open(words: np.ndarray, x: np.ndarray, rare: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Seeds (numbers in x) to ask for: in each rich stretch the rarest, until a document with LEAST_SHARED of the stretch's
+    words must hold LEAST_ASKED of the asked ones."""
+    n = len(words)
+    keep = np.flatnonzero(~np.logical_or.reduce([gone[np.minimum(x + k, n - 1)] for k in range(SEED_WORDS)])) if len(x) else np.empty(0, np.int64)
+    keep = keep[np.argsort(x[keep], kind="stable")]
+    xs = x[keep]
+    shared = _spread(xs, n)
+    asked, out = np.zeros(n, bool), set()
+    for s in _rich(shared).tolist():
+        most = int(shared[s : s + LEAST_WORDS].sum()) - LEAST_SHARED + LEAST_ASKED
+        if int(asked[s : s + LEAST_WORDS].sum()) >= most:
+            continue
+        lo, hi = np.searchsorted(xs, (max(0, s - SEED_WORDS + 1), s + LEAST_WORDS))
+        for i in (lo + np.argsort(rare[keep[lo:hi]], kind="stable")).tolist():
+            if int(asked[s : s + LEAST_WORDS].sum()) >= most:
+                break
+            asked[xs[i] : xs[i] + SEED_WORDS] = True
+            out.add(int(keep[i]))
+    return np.array(sorted(out), np.int64)
+
+
+def _asks(wanting: DataFrame, found: DataFrame, nb: int) -> DataFrame:
+    """(batch, bucket, data): seeds of stretches that are still open; in bucket -1, the known holders of rare ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                spans: dict[int, list] = {}
+                for s in r["spans"] or []:
+                    spans.setdefault(s["doc"], []).append((s["first"], s["end"]))
+                rows, known = [], []
+                for d, (id_, words, x, h, rare, (n, rb, rd, ry)) in _load(r["open"]).items():
+                    gone = np.zeros(len(words), bool)
+                    for p, q in spans.get(d, []):
+                        gone[p:q] = True
+                    k = _still_open(words, x, rare, gone)
+                    some = k[n[k] > 0]
+                    if len(some):
+                        src = _ragged((np.cumsum(n) - n)[some], n[some])
+                        known.append((np.full(len(src), d), np.repeat(x[some], n[some]), rb[src], rd[src], ry[src]))
+                    k = k[rare[k] > _RARE]
+                    if len(k):
+                        rows.append((np.full(len(k), d), np.full(len(k), id_), x[k], h[k]))
+                if known:
+                    yield _packed(r["batch"], np.array([-1]), data=[_dump([np.concatenate(v) for v in zip(*known, strict=True)])])
+                if rows:
+                    d, id_, x, h = (np.concatenate(v) for v in zip(*rows, strict=True))
+                    o = np.argsort(h, kind="stable")
+                    where, cut = _slices(h[o], nb)
+                    yield _packed(r["batch"], where, data=[_dump((d[o[i:j]], id_[o[i:j]], x[o[i:j]], h[o[i:j]] & tk.U(0xFFFFFFFFFF))) for i, j in cut])
+
+    spans = found.groupBy("batch").agg(F.collect_list(F.struct("doc", "first", "end")).alias("spans")).withColumnRenamed("batch", "of")
+    return wanting.where("open IS NOT NULL").select("batch", "open").join(spans, F.col("batch") == F.col("of"), "left").select("batch", "open", "spans").mapInArrow(run, "batch long, bucket int, data binary")
+
+
+def _holders(asks: DataFrame, index: DataFrame, open_: DataFrame) -> DataFrame:
+    """Chains (_WANTING) of holders with smaller ids that hold LEAST_ASKED words of a document's asked seeds."""
+    TURN = 1 << 20
+
+    def judge(asked: pa.Table, index: pa.Table) -> pa.Table:
+        batch, data = [], []
+        if asked.num_rows and index.num_rows:
+            cols = _load(index.column("data")[0].as_py())
+            e = np.empty(len(cols[0]), _ENTRY)
+            for f, x in zip(_ENTRY.names, cols, strict=True):
+                e[f] = x
+            for b, x in zip(asked.column("batch").to_pylist(), asked.column("data").to_pylist(), strict=True):
+                d, id_, place, h = _load(x)
+                lo = np.searchsorted(e["h"], h)
+                size = np.searchsorted(e["h"], h, "right") - lo
+                less, step = np.zeros(len(h), np.int64), 1 << int(size.max(initial=0)).bit_length()
+                while step:  # holders of smaller ids, by bisection
+                    to = less + step
+                    ok = to <= size
+                    ok[ok] = e["id"][lo[ok] + to[ok] - 1] < id_[ok]
+                    less = np.where(ok, to, less)
+                    step >>= 1
+                at = 0
+                while at < len(h):  # a row has about TURN holders
+                    end = max(at + 1, int(np.searchsorted(np.cumsum(less), (np.cumsum(less)[at] - less[at]) + TURN, "right")))
+                    n = less[at:end]
+                    got = e[_ragged(lo[at:end], n)]
+                    if len(got):
+                        batch.append(b)
+                        data.append(_dump((np.repeat(d[at:end], n), np.repeat(place[at:end], n), got["batch"].copy(), got["doc"].astype(np.int64), got["at"].astype(np.int64))))
+                    at = end
+        return pa.table({"batch": pa.array(batch, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                d, x, rb, rd, y = (np.concatenate(v) for v in zip(*map(_load, r["got"]), strict=True))
+                o = np.lexsort((x, rd, rb, d))
+                d, x, rb, rd, y = d[o], x[o], rb[o], rd[o], y[o]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (rb[1:] != rb[:-1]) | (rd[1:] != rd[:-1])
+                fresh = np.where(new, SEED_WORDS, np.minimum(np.diff(x, prepend=0), SEED_WORDS))
+                enough = np.repeat(np.add.reduceat(fresh, np.flatnonzero(new)) >= LEAST_ASKED, np.diff(np.append(np.flatnonzero(new), len(d))))
+                chains = chained(*(v[enough] for v in (d, x, rb, rd, y)), seeds=1, reach=SEED_WORDS)
+                left = _load(r["open"])
+                here = {d: (0, left[d][1]) for d, *_ in chains}
+                ids = {d: left[d][0] for d in here}
+                want = sorted({(rb, rd, k) for _, rb, rd, chain in chains for k in _blocks_of(chain)})
+                yield _wanting(r["batch"], want, (chains, here, ids), None)
+
+    some = index.join(asks.select("bucket").distinct(), "bucket", "left_semi")
+    got = asks.where("bucket >= 0").groupBy("bucket").cogroup(some.groupBy("bucket")).applyInArrow(judge, "batch long, data binary")
+    got = got.unionByName(asks.where("bucket < 0").select("batch", "data")).groupBy("batch").agg(F.collect_list("data").alias("got")).withColumnRenamed("batch", "of")
+    return open_.join(got, F.col("batch") == F.col("of")).select("batch", "open", "got").mapInArrow(run, _WANTING)
+
+
+def _found(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The staged batches, and all passages of their documents."""
+    staged = staging.stage(docs, whole=whole)
+    slim = staged.drop("rest")
+    nb = staging.buckets(staged, BUCKET_BYTES)
+    marks = materialise(_marked(slim, nb), "marks")
+    refs = materialise(_referred(_sent(slim, marks, nb)), "references")
+    wanting = materialise(_chains(slim, marks, refs.where(F.col("batch") != NO_BATCH)), "chains")
+    found = materialise(_aligned(slim, wanting), "passages")
+    asks = materialise(_asks(wanting, found, nb), "asks")
+    if not asks.isEmpty():
+        more = materialise(_holders(asks, refs.where(F.col("batch") == NO_BATCH), wanting.where("open IS NOT NULL").select("batch", "open")), "holders")
+        found = found.unionByName(materialise(_aligned(slim, more), "more-passages"))
+    return staged, found
 
 
 def passages(docs: DataFrame) -> DataFrame:
     """A row for each passage that an earlier document has: doc_id, first_word, last_word (words from 0), other_id,
     other_first, other_last, similarity. Documents without one have no row."""
-
-    def finish(ids, c, words, found):
-        rows = [(int(ids[d]), a, b - 1, ri, oa, ob - 1, s) for d, ps in found.items() for a, b, ri, oa, ob, s in sorted(ps)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.int64()] * 6 + [pa.float64()]
-        none = [None if x == staging.NO_ID else x for x in cols[0]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([none, *cols[1:]], kinds, strict=True)], names=["doc_id", "first_word", "last_word", "other_id", "other_first", "other_last", "similarity"])
-
-    return _run(docs, finish, "doc_id long, first_word long, last_word long, other_id long, other_first long, other_last long, similarity double")
+    _, found = _found(docs)
+    id_ = F.when(F.col("doc_id") != staging.NO_ID, F.col("doc_id"))
+    return found.select(id_.alias("doc_id"), F.col("first").alias("first_word"), (F.col("end") - 1).alias("last_word"), "other_id", F.col("other_first"), (F.col("other_end") - 1).alias("other_last"), "similarity")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs, all columns, with passages that an earlier document has cut out of text (n_chars follows, where there is
-    one); a document of which no word is left goes."""
+    one); a document of which no word is left goes. Texts without a passage, null ones too, stay as they are."""
     names, kind = docs.columns, docs.schema
+    staged, found = _found(docs, whole=True)
 
-    def finish(ids, c, words, found, rest):
+    def cut(batch, ids, c, spans, rest):
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)) as r:
             t = r.read_all()
-        ws, we, first, _ = words
+        mine: dict[int, list] = {}
+        for s in spans:
+            mine.setdefault(s["doc"], []).append((s["first"], s["end"]))
+        null = t.column("_null").to_pylist()
         texts, keep = [], []
         for d in range(len(ids)):
             a, b = int(c.start[d]), int(c.end[d])
-            if d not in found:
-                texts.append(c.buf[a:b].tobytes().decode()), keep.append(True)
+            if d not in mine:
+                texts.append(None if null[d] else c.buf[a:b].tobytes().decode()), keep.append(True)
                 continue
-            gone = np.zeros(first[d + 1] - first[d], bool)
-            for x, y, *_ in found[d]:
+            ws, we, _ = tk.Chunk(range(1), c.buf[a:b], np.zeros(1, np.int64), np.array([b - a])).words(tk.SPACED)
+            gone = np.zeros(len(ws), bool)
+            for x, y in mine[d]:
                 gone[x:y] = True
             parts, at = [], a
             edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))).reshape(-1, 2)
             for x, y in edge.tolist():
-                parts.append(c.buf[at : ws[first[d] + x]].tobytes())
-                at = int(ws[first[d] + y]) if first[d] + y < first[d + 1] else b
+                parts.append(c.buf[at : a + ws[x]].tobytes())
+                at = a + int(ws[y]) if y < len(ws) else b
             parts.append(c.buf[at:b].tobytes())
             texts.append(b"".join(parts).decode()), keep.append(not gone.all())
+        t = t.drop_columns(["_null"])
         t = t.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in names:
-            t = t.set_column(names.index("n_chars"), "n_chars", pa.array(map(len, texts), pa.int64()).cast(t.schema.field("n_chars").type))
+            t = t.set_column(names.index("n_chars"), "n_chars", pa.array([len(x or "") for x in texts], pa.int64()).cast(t.schema.field("n_chars").type))
         yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return _run(docs, finish, kind, whole=True)
+    spans = found.select("batch", F.lit(0).alias("bucket"), F.struct("doc", "first", "end").alias("data"))
+    return staging.over(staged, [spans], cut, kind)

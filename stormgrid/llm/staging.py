@@ -6,6 +6,7 @@ number. The table is bucketed by it, so that texts are not shuffled; only answer
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ NO_ID = 2**63 - 1
 
 
 def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
-    """(batch, ids, lens, blob[, rest]): documents of a batch in order of doc_id; a null text is empty, a null id is NO_ID.
-    rest, if whole: all columns of those rows, as an Arrow stream."""
+    """(batch, size, ids, lens, blob[, rest]): documents of a batch in order of doc_id; a null text is empty, a null id is
+    NO_ID. size: bytes of its texts. rest, if whole: all columns of those rows, and whether text is null (_null), as an Arrow stream."""
     d = docs if whole else project(docs, "doc_id", "text")
     at_id, at_text = d.columns.index("doc_id"), d.columns.index("text")
 
@@ -39,14 +40,15 @@ def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
             order = sorted(range(len(ids)), key=ids.__getitem__)
             t = t.take(pa.array(order))
             texts = tk.as_bytes(t.column(at_text))
-            cols = [pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([z.compress(b"\n".join(texts))], pa.binary())]
+            lens = [len(x) for x in texts]
+            cols = [pa.array([sum(lens)], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([z.compress(b"\n".join(texts))], pa.binary())]
             if whole:
                 sink = pa.BufferOutputStream()
-                slim = t.set_column(at_text, "text", pa.nulls(t.num_rows, pa.string()))
+                slim = t.append_column("_null", t.column(at_text).is_null()).set_column(at_text, "text", pa.nulls(t.num_rows, pa.string()))
                 with pa.ipc.new_stream(sink, slim.schema) as w:
                     w.write_table(slim)
                 cols.append(pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary()))
-            return pa.RecordBatch.from_arrays(cols, names=["ids", "lens", "blob", "rest"][: len(cols)])
+            return pa.RecordBatch.from_arrays(cols, names=["size", "ids", "lens", "blob", "rest"][: len(cols)])
 
         for b in batches:
             lens = np.array([len(x) for x in tk.as_bytes(b.column(at_text))], np.int64) + 1
@@ -63,11 +65,16 @@ def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
         if held:
             yield out()
 
-    packed = d.mapInArrow(run, "ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
+    packed = d.mapInArrow(run, "size long, ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return bucketed(packed.withColumn("batch", F.monotonically_increasing_id()), "staged", "batch", n)
 
 
+def buckets(staged: DataFrame, size: int) -> int:
+    """So many buckets that each has `size` bytes of text to answer for, however many documents there are."""
+    return max(8, math.ceil((staged.agg(F.sum("size")).first()[0] or 0) / size))
+
+
 def opened(ids: list[int], lens: list[int], blob: bytes) -> tuple[np.ndarray, tk.Chunk]:
     total = int(sum(lens)) + max(len(lens) - 1, 0)
     buf = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(total, 1)), np.uint8)
