@@ -37,6 +37,8 @@ from stormgrid.llm.shared import materialise
 LEAST, KMER = 50, 24
 REACH = LEAST - KMER  # bytes of a window that can stand left of its anchor
 _WIDTH = REACH + LEAST
+#: Bytes of text whose anchors one bucket answers for: at most a few hundred MB in its task, however large the input is.
+BUCKET_BYTES = 12 << 20
 
 
 def anchors(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def anchors(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(w - 1, np.uint64)
     most = tk.sliding(np.concatenate((none, least, none)), w, np.maximum)
     p = np.flatnonzero((most == g) & (g > 0))
-    return p, g[p]
+    return p, tk.mix(g[p])  # least hashes are small; buckets go by evenly spread ones
 
 
 def _distinct(c: tk.Chunk, ids: np.ndarray):
@@ -259,13 +261,16 @@ def _judged(staged: DataFrame, shared: DataFrame, nb: int) -> DataFrame:
         h, doc = ex.column(t, "hash", "<u8"), ex.column(t, "doc", "<i8")
         left, right = ex.column(t, "left", np.uint8).astype(np.int64), ex.column(t, "right", np.uint8).astype(np.int64)
         sizes = np.array([len(x) for x in t.column("left").to_pylist()])
-        text = np.frombuffer(b"".join(z.decompress(x, max_output_size=int(n) * _WIDTH) for x, n in zip(t.column("text").to_pylist(), sizes, strict=True)), np.uint8).reshape(-1, _WIDTH)
+        ends = np.cumsum(sizes)
+        zipped = t.column("text")
+        text = np.empty((len(h), _WIDTH), np.uint8)
+        for i, (k, e) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+            text[e - k : e] = np.frombuffer(z.decompress(zipped[i].as_py(), max_output_size=k * _WIDTH), np.uint8).reshape(-1, _WIDTH)
         out = np.empty(len(h), "<u4")
         for part in range(_PARTS):  # anchors of a part at a time, for memory
             at = np.flatnonzero(h % tk.U(_PARTS) == tk.U(part))
             if len(at):
                 out[at] = _masks(h[at], doc[at], left[at], right[at], text[at])
-        ends = np.cumsum(sizes)
         yield pa.RecordBatch.from_arrays([t.column("batch").combine_chunks(), t.column("bucket").combine_chunks(), pa.array([out[e - k : e].tobytes() for k, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["batch", "bucket", "data"])
 
     sent = staging.over(staged, [shared], emit, "batch long, bucket int, hash binary, doc binary, left binary, right binary, text binary")
@@ -275,8 +280,8 @@ def _judged(staged: DataFrame, shared: DataFrame, nb: int) -> DataFrame:
 def deduplicated(docs: DataFrame, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run, in bytes) and, if asked
     for, kept (the remaining bytes)."""
-    nb = ex.buckets_of(docs.sparkSession, 1)
     staged = staging.stage(docs)
+    nb = staging.buckets(staged, BUCKET_BYTES)
     shared = materialise(_shared(staged, nb), "anchors")
     judged = _judged(staged, shared, nb)
 
