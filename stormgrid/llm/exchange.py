@@ -1,7 +1,7 @@
 """Packed exchange: many small numeric entries travel as one row of arrays per task and bucket.
 
-An entry costs its bytes and no row; a reducer sees a bucket's arrays as numpy columns. The number of buckets follows
-spark.sql.shuffle.partitions, which grows with the data.
+An entry costs its bytes and no row; a reducer sees a bucket's arrays as numpy columns. Operators choose the number of
+buckets by the size of what is sent, so that a bucket keeps its size when the input grows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormgrid.llm.shared import materialise
@@ -19,10 +19,6 @@ from stormgrid.llm.shared import materialise
 FLUSH = 1_500_000
 
 
-def buckets_of(spark: SparkSession, times: int = 2) -> int:
-    return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def bucket(h: np.ndarray, n: int) -> np.ndarray:
     """Buckets by the upper 32 bits of a hash."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
@@ -85,21 +81,22 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root): root is the smallest node reachable by edges; nodes without an edge are not listed.
 
     Alternating large and small stars: each round joins neighbours to their smallest member, until nothing changes;
-    rounds grow with the logarithm of a component's size. Nothing but a count and a checksum reaches the driver.
+    rounds grow with the logarithm of a component's size. A star's centre may have very many edges: its smallest member is
+    written first, so that the join with it is a plain one, which Spark splits where a key is hot. Nothing but a count and
+    a checksum reaches the driver.
     """
     e = edges.select(F.col(u).cast("long").alias("a"), F.col(v).cast("long").alias("b")).where("a <> b").distinct()
     e = materialise(e, "cc")
     last = None
-    for _ in range(100):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        out = large.join(small, "a")
-        out = out.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(out, "cc")
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")), "cc-least")
+        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc-large")
+        small = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
+        out = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialise(out.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "cc")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == last:
             break
         last = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).distinct()
+    return materialise(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "cc-roots")

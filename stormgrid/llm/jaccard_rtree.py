@@ -3,8 +3,9 @@
 1. Each document's n-grams are hashed; a document's point is its number of n-grams in each of GROUPS hash groups. Equal
    sets become one node, so copies, however many, are no load.
 2. Two sets alike enough share one of the first n-grams of each in any common order. The order here puts those first
-   whose rarest word is rarest, as a word's count bounds that of the n-grams it is in; counts come from a sketch of fixed
-   size, summed over all documents. Nodes that share such an n-gram and have sizes in reach of each other are put into
+   that are rarest as far as two sketches of fixed size, summed over all documents, tell: the count of an n-gram's rarest
+   word and the count of its own counter both bound the n-gram's count, and the lesser one ranks it. So passages that many
+   documents share come last and hardly ever bring them together. Nodes that share such an n-gram and have sizes in reach of each other are put into
    one cluster. This loses no link; a cluster may hold more than one component.
 3. Within a cluster, nodes are leaves of an R-tree over their points. The overlap of two sets is at most the sum of the
    coordinates' minima, in the tree's groups and then in FINE ones; what these bounds leave is verified on the sets. Nodes already in one component are not compared
@@ -14,11 +15,13 @@
 
 Edge cases: null text, empty text or no word: an empty set, linked with nothing. Fewer words than n: the whole sequence
 is the set. Equal sets link whatever their texts. Repeated rows have a row each; null doc_ids link with nothing. Empty
-table: empty result. Whole texts are read. Other columns are not looked at.
+table: empty result. Whole texts are read. Other columns are not looked at. Sets are compared by 48 bits of each n-gram's
+hash and told apart by 64 bits of all of them, so a chance collision in 2**48 may add a shared n-gram.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +37,12 @@ from stormgrid.llm.shared import materialise, project
 NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 64, 2048
 #: Groups of the second bound: sets of thousands of n-grams fill the tree's few groups alike, whatever is in them.
 FINE = 4096
-#: Counters of the sketch of word counts; one byte each is broadcast.
-SKETCH_BITS, SLICES = 22, 16
+#: Counters of the sketches of word and n-gram counts; one byte each is broadcast. Tasks' sketches are added in SLICES,
+#: first over one in SALTS of the tasks.
+SKETCH_BITS, SLICES, SALTS = 22, 32, 32
 SKETCH = 1 << SKETCH_BITS
+#: Bytes of prefix n-grams that meet in one bucket.
+BUCKET_BYTES = 16 << 20
 
 
 _POINT = pa.list_(pa.int32())
@@ -54,16 +60,17 @@ def _counter(h: np.ndarray) -> np.ndarray:
 
 
 def sets_of(c: tk.Chunk, n: int = NGRAM, level: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator:
-    """Of each document, the sorted hashes of its distinct word n-grams; with levels of word counts, these and for each
-    n-gram the level of its rarest word. Words are counted into the sketch, if there is one."""
+    """Of each document, the sorted hashes of its distinct word n-grams; with levels of counts (of words, then of n-grams),
+    these and for each n-gram its level. Words and n-grams are counted into the sketch, if there is one."""
     ws, we, first = c.words(tk.SPACED)
     h = tk.span_hash(tk.prefix_hash(c.buf), ws, we)
+    g, at = tk.grams(h, first, n)
     if sketch is not None:
         np.add.at(sketch, _counter(h), 1)
-    g, at = tk.grams(h, first, n)
+        np.add.at(sketch, SKETCH + _counter(g), 1)
     rank = None
     if level is not None and len(g):
-        rank = tk.sliding(level[_counter(h)], n)[at]
+        rank = np.minimum(tk.sliding(level[_counter(h)], n)[at], level[SKETCH + _counter(g)])
     each = np.searchsorted(at, first)
     for i in range(len(first) - 1):
         if first[i + 1] - first[i] >= n:
@@ -177,7 +184,7 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
     """Rows of documents (doc_id, n, key, point) and, with a null doc_id, slices of the tasks' sketches (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(2 * SKETCH, np.uint32)
         for b in batches:
             n, key, pts = [], [], []
             for c in tk.chunks(b.column(1), lower=True):
@@ -185,7 +192,7 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
                     n.append(len(s)), key.append(key_of(s)), pts.append(point(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), _lists(pts), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
         z = zstandard.ZstdCompressor(1)
-        parts = [z.compress(x.astype("<u4").tobytes()) for x in sketch.reshape(SLICES, -1)]
+        parts = [z.compress(x.astype("<u8").tobytes()) for x in sketch.reshape(SLICES, -1)]
         k = SLICES if sketch.any() else 0
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, _POINT), pa.array(range(k), pa.int32()), pa.array(parts[:k], pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
 
@@ -195,26 +202,33 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
 def _rarity(nodes: DataFrame) -> np.ndarray:
     """Of each counter, the whole part of its count's logarithm: one byte a counter, whatever the corpus."""
 
-    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(tables: Iterator[pa.RecordBatch]) -> np.ndarray:
         z = zstandard.ZstdDecompressor()
-        total = np.zeros(SKETCH // SLICES, np.int64)
+        total = np.zeros(2 * SKETCH // SLICES, np.uint64)
         for t in tables:
             for x in t.column("counts").to_pylist():
-                total += np.frombuffer(z.decompress(x), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())], names=["part", "level"])
+                total += np.frombuffer(z.decompress(x), "<u8")
+        return total
+
+    def some(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = zstandard.ZstdCompressor(1).compress(added(tables).astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["part", "counts"])
+
+    def every(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.log2(added(tables).astype(float) + 1).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level], pa.binary())], names=["part", "level"])
 
-    rows = nodes.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, level binary").collect()
-    out = np.zeros((SLICES, SKETCH // SLICES), np.uint8)
+    parts = nodes.where("part IS NOT NULL").select("part", "counts", (F.spark_partition_id() % SALTS).alias("salt"))
+    rows = parts.groupBy("part", "salt").applyInArrow(some, "part int, counts binary").groupBy("part").applyInArrow(every, "part int, level binary").collect()
+    out = np.zeros((SLICES, 2 * SKETCH // SLICES), np.uint8)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["level"], np.uint8)
     return out.ravel()
 
 
-def _candidates(docs: DataFrame, rarity: np.ndarray, ngram: int, percent: int) -> DataFrame:
+def _candidates(docs: DataFrame, rarity: np.ndarray, nb: int, ngram: int, percent: int) -> DataFrame:
     """(a, b): edges by which nodes that share a prefix n-gram hang together, one forest a bucket."""
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(rarity)
-    nb = ex.buckets_of(spark)
+    order = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = ex.Packer(["gram", "key", "n"])
@@ -225,7 +239,7 @@ def _candidates(docs: DataFrame, rarity: np.ndarray, ngram: int, percent: int) -
                     if len(s) and (key := key_of(s)) not in seen:
                         seen.add(key)
                         g = prefix(s, rank, percent)
-                        yield from pack.add(ex.bucket(g, nb), g.astype(np.uint32), np.full(len(g), key, np.int64), np.full(len(g), min(len(s), 2**32 - 1), np.uint32))
+                        yield from pack.add(ex.bucket(tk.mix(g), nb), g.astype(np.uint32), np.full(len(g), key, np.int64), np.full(len(g), min(len(s), 2**32 - 1), np.uint32))
         yield from pack.flush()
 
     def join(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,13 +371,15 @@ def _visits(homes: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
     return homes.groupBy("leaf").cogroup(guests.groupBy("leaf")).applyInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+def _labelled(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """doc_id, key (of its set), n_shingles, component_id."""
     docs = project(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = materialise(_nodes(docs, ngram), "jaccard-nodes")
     rarity = _rarity(nodes)
     rows = nodes.where("part IS NULL").select("doc_id", "n", "key", "point")
-    clusters = materialise(ex.components(_candidates(docs, rarity, ngram, percent), "a", "b").select(F.col("node").alias("key"), F.col("root").alias("cluster")), "jaccard-clusters")
+    grams = rows.agg(F.sum("n")).first()[0] or 0
+    nb = max(8, math.ceil(16 * grams * (101 - percent) / 100 / BUCKET_BYTES))
+    clusters = ex.components(_candidates(docs, rarity, nb, ngram, percent), "a", "b").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     one = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
     members = materialise(one.join(clusters, "key"), "jaccard-members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -409,22 +425,40 @@ def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf
             links = links.unionByName(materialise(_visits(_sets(docs, few(homes, False), ngram), _sets(docs, few(visiting, True), ngram), percent), "jaccard-visits"))
     roots = ex.components(links, "a", "b").withColumnsRenamed({"node": "key"})
     labelled = rows.join(roots, "key", "left").withColumn("class", F.coalesce("root", "key"))
-    least = labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    labelled = materialise(labelled.select("doc_id", "n", "key", "class"), "jaccard-classes")
+    # written, so that the join is a plain one, which Spark splits where a class is hot
+    least = materialise(labelled.where("n > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "jaccard-least")
     out = labelled.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    return _labelled(docs, ngram, percent, leaf).drop("key")
+
+
+def _keyed(docs: DataFrame, ngram: int) -> DataFrame:
+    """docs, all columns, and _jaccard_key: that of a row's set."""
+    at = docs.columns.index("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in tk.chunks(b.column(at), lower=True):
+                yield b.slice(c.rows.start, len(c.rows)).append_column("_jaccard_key", pa.array([key_of(s) for s in sets_of(c, ngram)], pa.int64()))
 
+    return docs.mapInArrow(run, f"{kinds}, _jaccard_key long")
 
 
-def representatives(docs: DataFrame, **how) -> DataFrame:
+def representatives(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """docs, all columns, with the document of smallest id of each component; of rows equal in id and text, one. Rows
-    without an id stay."""
-    found = materialise(components(docs, **how), "jaccard-found")
-    out = found.where("component_id <> doc_id").select("doc_id").distinct()
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    out, again = materialise(out, "jaccard-out"), materialise(again, "jaccard-again")
+    without an id stay. Where an id has several texts, each is judged for itself."""
+    found = materialise(_labelled(docs, ngram, percent, leaf), "jaccard-found")
+    again = materialise(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "jaccard-again")
+    out = materialise(found.where("component_id <> doc_id").select("doc_id", F.col("key").alias("_jaccard_key")).distinct(), "jaccard-out")
     small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_IDS else d
-    kept = docs.join(small(out), "doc_id", "left_anti")
     if not again.limit(1).count():
-        return kept.select(*docs.columns)
-    once = kept.join(small(again), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+        return docs.join(small(out.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(small(out.select("doc_id").unionByName(again).distinct()), "doc_id", "left_anti").select(*docs.columns)
+    several = _keyed(docs.join(small(again), "doc_id", "left_semi").select(*docs.columns), ngram).join(out, ["doc_id", "_jaccard_key"], "left_anti")
+    return once.unionByName(several.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
