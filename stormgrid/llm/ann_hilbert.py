@@ -1,19 +1,27 @@
-"""Operator 1: nearest neighbours over blocks along a space-filling curve.
+"""Operator 1: nearest neighbours in windows along shifted space-filling curves.
 
-Unit vectors are projected onto random orthonormal directions, shifted, and put in the order of a Hilbert curve through
-those AXES directions. Keys are cut into buckets at quantiles taken over all rows. Every query goes to every bucket, so
-results are exact whatever the data; a bucket ranks by single precision, 2 WINDOW vectors at once, and its best again by
-the exact cosine. Buckets grow with the root of the rows, and queries of a bucket are dealt into groups of QUERIES, for
-which the bucket's rows are repeated: work grows with queries times rows.
+1. Unit vectors are projected onto random orthonormal directions, shifted, and put in the order of a Hilbert curve through
+   those AXES directions; ORDERS such orderings are made. Each is cut into buckets of keys at quantiles, which are fitted
+   on a sample of about SAMPLE_ROWS rows; every row is indexed.
+2. How many orderings to use, and how many buckets on either side of a query's own, is measured: SAMPLE_QUERIES queries
+   of each length of vectors get their true neighbours by comparison with all rows, and the cheapest choice is taken
+   whose windows hold RECALL of those. All buckets of one ordering, an exact search, is taken unless windows save SAVING of
+   its work: vectors without directions have no better choice, and work then grows with queries times rows.
+3. Rows go to their bucket of each ordering used, queries to the buckets of their window. A bucket ranks by single
+   precision, keeps all that rounding could have put behind the best, and reranks those by the exact cosine. What windows
+   of all orderings found is merged by query.
+
+Queries of a bucket are dealt into groups of QUERIES, for which the bucket's rows are repeated; beyond MOST_BUCKETS, a
+bucket's rows are dealt into parts, all of which its queries visit. So no task's share grows with the input.
 
 Copies: equal vectors are one point that carries its smallest ids (as many as a result can show), so a group of copies,
 however large, is no load; a limit of that kind is applied before the shuffle by Spark's group limit. Keys that tie are
 spread by a digest of the vector.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
-candidate; so do rows without vec_id. A row's own id is never its neighbour; rows repeating an id and vector are one.
-Vectors of different lengths never meet. Fewer candidates than k: all found. Empty table: empty result. Other columns are
-not looked at.
+candidate; so do rows without vec_id. Components may be of any size: vectors are scaled by powers of two. A row's own id is
+never its neighbour; rows repeating an id and vector are one. Vectors of different lengths never meet. Ties go to smaller
+ids. Fewer candidates than k: all found. Empty table: empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,10 +35,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormgrid.llm.shared import materialise, project
+from stormgrid.llm.textkit import mix as tk_mix
 
-ORDERS, AXES, BITS, WINDOW, BUCKET, QUERIES = 1, 8, 7, 2048, 8192, 32_768
-#: Buckets of an order at most; beyond, buckets grow. Their bounds go to every task.
+ORDERS, AXES, BITS, WINDOW, BUCKET, QUERIES = 8, 8, 7, 2048, 2048, 32_768
+#: Buckets of an order at most; their bounds go to every task.
 MOST_BUCKETS = 10_000
+#: Rows that quantiles are fitted on; queries whose true neighbours are looked up to choose windows; their part that
+#: windows must hold.
+SAMPLE_ROWS, SAMPLE_QUERIES, RECALL = 200_000, 200, 0.97
+#: Costs of a row in a bucket and of a comparison, by which choices are compared; windows must save so much to be
+#: preferred to an exact search.
+_ROW, _COMPARE, SAVING = 5e-6, 2e-8, 0.5
 SEED = 3
 
 
@@ -81,56 +96,118 @@ def usable(vec: str, id_: str) -> Column:
     return F.col(id_).isNotNull() & F.col(vec).isNotNull() & F.coalesce(ok & some, F.lit(False))
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    v = v / np.abs(v).max(1, keepdims=True)
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes; cosines stay the same to the last bit."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = _scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], bounds: dict | None, groups: int = 1) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Rows of one length of vectors at a time, and those vectors."""
     for b in batches:
-        dims = np.array(b.column("dim").to_pylist())
-        for dim in np.unique(dims):
+        dims = np.array(b.column("dim").to_pylist(), np.int64)
+        for dim in np.unique(dims).tolist():
             s = b.filter(pa.array(dims == dim))
             for at in range(0, s.num_rows, 2000):
                 t = s.slice(at, 2000)
-                flat = t.column("embedding").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
-                unit = _unit(flat)
-                for order in range(ORDERS):
-                    key = keys_of(unit, order)
-                    if bounds is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int32)), t.column("dim"), pa.array(key)], names=["ord", "dim", "key"])
-                        continue
-                    cut = bounds.get((order, int(dim)), np.empty(0, np.int64))
-                    bucket = np.searchsorted(cut, key, "right").astype(np.int32)
-                    vec = pa.array([x.tobytes() for x in flat.astype("<f8")], pa.binary())
-                    query = np.array(t.column("asks").to_pylist(), bool)
-                    group = np.array(t.column("rep").to_pylist(), np.int64) % groups
-                    for to in range((len(cut) + 1) * groups):  # rows go to all groups of their bucket, queries to all buckets
-                        home, ask = bucket == to // groups, query & (group == to % groups)
-                        take = np.flatnonzero(home | ask)
-                        if len(take):
-                            i = pa.array(take)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), order, np.int32)), t.column("dim").take(i), pa.array(np.full(len(take), to, np.int32)), pa.array(key[take]), t.column("rep").take(i), t.column("ids").take(i), vec.take(i), pa.array(ask[take]), pa.array(home[take])], names=["ord", "dim", "bucket", "key", "rep", "ids", "vec", "asks", "home"])
+                yield dim, t, t.column("embedding").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _bucket_of(cuts: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.searchsorted(cuts, key, "right").astype(np.int64)
+
+
+def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, t, flat in _parts(batches):
+        unit = _unit(flat)
+        for order in range(ORDERS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), order, np.int32)), t.column("dim"), pa.array(keys_of(unit, order))], names=["ord", "dim", "key"])
+
+
+def _true_neighbours(batches: Iterator[pa.RecordBatch], some: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """(dim, query, rep, score, keys): a task's k nearest rows of each sampled query; some: by dim, their reps and unit vectors."""
+    best: dict[int, list] = {}
+    for dim, t, flat in _parts(batches):
+        if dim not in some:
+            continue
+        reps, asks = some[dim]
+        rep, unit = np.array(t.column("rep").to_pylist(), np.int64), _unit(flat)
+        s = asks @ unit.T
+        s[reps[:, None] == rep[None]] = -9
+        most = min(k, len(rep))
+        near = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        keys = np.stack([keys_of(unit[near.ravel()], o) for o in range(ORDERS)], 1).reshape(*near.shape, ORDERS)
+        one = (np.take_along_axis(s, near, 1), rep[near], keys)
+        if dim in best:
+            one = tuple(np.concatenate((x, y), 1) for x, y in zip(best[dim], one, strict=True))
+            top = np.argsort(-one[0], axis=1)[:, :k]
+            one = (np.take_along_axis(one[0], top, 1), np.take_along_axis(one[1], top, 1), np.take_along_axis(one[2], top[..., None], 1))
+        best[dim] = one
+    for dim, (s, rep, keys) in best.items():
+        n = s.size
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.repeat(some[dim][0], s.shape[1])), pa.array(rep.ravel()), pa.array(s.ravel()), pa.array(keys.reshape(n, ORDERS).tolist(), pa.list_(pa.int64()))], names=["dim", "query", "rep", "score", "keys"])
+
+
+class Plan:
+    """Of one length of vectors: cuts between the buckets of each ordering used, buckets on either side of a query's own,
+    parts of a bucket's rows, groups of its queries."""
+
+    def __init__(self, cuts: list[np.ndarray], reach: int, parts: int, groups: int):
+        self.cuts, self.reach, self.parts, self.groups = cuts, reach, parts, groups
+
+
+def choose(cuts: list[np.ndarray], near: list[tuple[np.ndarray, np.ndarray]], rows: int, asks: int, dim: int) -> tuple[int, int]:
+    """Orderings and reach that cost least and hold RECALL of the sampled neighbours; near: keys of query and neighbour in
+    each ordering. Without a sample, or where nothing else is cheaper: one ordering, all of it."""
+    buckets = len(cuts[0]) + 1
+    per = _COMPARE * dim / 64 * asks * rows
+    best = ((1 - SAVING) * (_ROW * rows + per), 1, buckets)
+    if near:
+        apart = np.array([np.abs(_bucket_of(c, q) - _bucket_of(c, x)) for c, (q, x) in zip(cuts, near, strict=True)])
+        for m in range(1, len(cuts) + 1):
+            reach = int(np.quantile(apart[:m].min(0), RECALL, method="higher"))
+            best = min(best, (m * (_ROW * rows + per * min(1.0, (2 * reach + 1) / buckets)), m, reach))
+    return best[1], best[2]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], plans: dict[int, Plan]) -> Iterator[pa.RecordBatch]:
+    for dim, t, flat in _parts(batches):
+        plan, unit = plans[dim], _unit(flat)
+        vec = pa.array([x.tobytes() for x in flat.astype("<f8")], pa.binary())
+        query = np.flatnonzero(np.array(t.column("asks").to_pylist(), bool))
+        rep = np.array(t.column("rep").to_pylist(), np.int64)
+        spread = tk_mix(rep.astype(np.uint64))
+        part, group = (spread % np.uint64(plan.parts)).astype(np.int64), ((spread >> np.uint64(32)) % np.uint64(plan.groups)).astype(np.int64)
+        for order, cuts in enumerate(plan.cuts):
+            key = keys_of(unit, order)
+            own = _bucket_of(cuts, key)
+            lo, hi = np.maximum(own[query] - plan.reach, 0), np.minimum(own[query] + plan.reach, len(cuts))
+            n = (hi - lo + 1) * plan.parts
+            far = np.repeat(lo * plan.parts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # bucket and part
+            row = np.concatenate((np.repeat(np.arange(len(rep)), plan.groups), np.repeat(query, n)))
+            to = np.concatenate((np.repeat(own * plan.parts + part, plan.groups) * plan.groups + np.tile(np.arange(plan.groups), len(rep)), far * plan.groups + np.repeat(group[query], n)))
+            home = np.arange(len(row)) < len(rep) * plan.groups
+            for at in range(0, len(row), 4000):
+                i = pa.array(row[at : at + 4000])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), order, np.int32)), t.column("dim").take(i), pa.array(to[at : at + 4000]), pa.array(key).take(i), t.column("rep").take(i), t.column("ids").take(i), vec.take(i), pa.array(home[at : at + 4000])], names=["ord", "dim", "bucket", "key", "rep", "ids", "vec", "home"])
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:
     """Of one bucket: for each query, the k + 1 nearest points."""
     home = np.array(table.column("home").to_pylist(), bool)
-    asks = np.array(table.column("asks").to_pylist(), bool)
-    key = table.column("key").to_numpy()
-    rep = table.column("rep").to_numpy()
-    dim = table.column("dim")[0].as_py()
-    raw = _matrix(table.column("vec"), dim)
+    key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
+    raw = _scaled(np.frombuffer(b"".join(table.column("vec").to_pylist()), "<f8").reshape(-1, table.column("dim")[0].as_py()))
     norm = np.sqrt((raw * raw).sum(1))
     unit = (raw / norm[:, None]).astype(np.float32)
     base = np.flatnonzero(home)
     base = base[np.lexsort((rep[base], key[base]))]
-    ask = np.flatnonzero(asks)
+    ask = np.flatnonzero(~home)
     ask = ask[np.argsort(key[ask], kind="stable")]
+    close = np.float32(1e-6 * (8 + raw.shape[1] ** 0.5))  # what single precision may be wrong by, and more
     out_q, out_c, out_s = [], [], []
 
     def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -138,26 +215,67 @@ def _search(table: pa.Table, k: int) -> pa.Table:
 
     for at in range(0, len(ask), 64):
         q = ask[at : at + 64]
-        near = []
+        near: list[list[np.ndarray]] = [[] for _ in q]
         for lo in range(0, len(base), 2 * WINDOW):
             c = base[lo : lo + 2 * WINDOW]
             s = unit[q] @ unit[c].T
             s[rep[q][:, None] == rep[c][None]] = -9
-            most = min(k + 8, len(c))
-            near.append(c[np.argpartition(-s, most - 1, axis=1)[:, :most]])
-        if near:
-            for row, cand in zip(q, np.concatenate(near, axis=1), strict=True):
-                cand = cand[rep[cand] != rep[row]]
-                score = exact(np.full(len(cand), row), cand)
-                top = np.lexsort((rep[cand], -score))[: k + 1]
-                out_q.append(np.full(len(top), row)), out_c.append(cand[top]), out_s.append(score[top])
-        own = q[home[q]]
-        out_q.append(own), out_c.append(own), out_s.append(exact(own, own))
+            least = -np.partition(-s, min(k, len(c) - 1), axis=1)[:, min(k, len(c) - 1)]
+            for i, j in zip(*np.nonzero(s >= least[:, None] - close), strict=True):
+                near[i].append(c[j])
+        for row, found in zip(q, near, strict=True):
+            cand = np.array(found, np.int64)
+            cand = cand[rep[cand] != rep[row]]
+            score = exact(np.full(len(cand), row), cand)
+            top = np.lexsort((rep[cand], -score))[: k + 1]
+            out_q.append(np.full(len(top), row)), out_c.append(cand[top]), out_s.append(score[top])
     cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
     q, c, s = cat(out_q, np.int64), cat(out_c, np.int64), cat(out_s, float)
     return pa.table({"rep_q": pa.array(rep[q], pa.int64()), "rep_c": pa.array(rep[c], pa.int64()), "ids": table.column("ids").combine_chunks().take(pa.array(c, pa.int64())), "score": pa.array(s, pa.float64())})
 
 
+def _plans(points: DataFrame, k: int) -> dict[int, Plan]:
+    """By length of vectors; what reaches the driver are counts, quantiles and the sampled queries' neighbours."""
+    out: dict[int, Plan] = {}
+    counts = {r["dim"]: (r["n"], r["asks"]) for r in points.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks")).collect()}
+    buckets = {d: max(1, min(MOST_BUCKETS, math.ceil(n / BUCKET))) for d, (n, _) in counts.items()}
+    cuts: dict = {}
+    most = max(buckets.values(), default=1)
+    if most > 1:
+        every = max(1, math.ceil(sum(n for n, _ in counts.values()) / SAMPLE_ROWS))
+        keyed = points.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).mapInArrow(_sample_keys, "ord int, dim int, key long")
+        at = F.array(*[F.lit(i / most) for i in range(1, most)])
+        for r in keyed.groupBy("ord", "dim").agg(F.percentile_approx("key", at, F.lit(max(10_000, 20 * most))).alias("cuts")).collect():
+            x = np.array(r["cuts"], np.int64)
+            cuts[r["ord"], r["dim"]] = np.unique(x[np.linspace(0, len(x) - 1, buckets[r["dim"]] - 1).astype(int)] if buckets[r["dim"]] > 1 else x[:0])
+    near: dict = {}
+    if most > 1:
+        first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("rep"), "rep"))
+        asks = points.where("asks").select("dim", "rep", "embedding", first.alias("n")).where(F.col("n") <= SAMPLE_QUERIES)
+        some: dict = {}
+        for r in asks.collect():
+            some.setdefault(r["dim"], []).append((r["rep"], r["embedding"]))
+        some = {d: (np.array([i for i, _ in x], np.int64), _unit(np.array([v for _, v in x], float))) for d, x in some.items() if buckets[d] > 1}
+        shared = points.sparkSession.sparkContext.broadcast(some)
+        true = points.mapInArrow(lambda b: _true_neighbours(b, shared.value, k), "dim int, query long, rep long, score double, keys array<long>")
+        best = F.row_number().over(Window.partitionBy("dim", "query").orderBy(F.col("score").desc(), "rep"))
+        for r in true.withColumn("n", best).where(F.col("n") <= k).collect():
+            near.setdefault(r["dim"], []).append((r["query"], r["keys"]))
+        for d, pairs in near.items():
+            reps, unit = some[d]
+            at_ = np.searchsorted(np.sort(reps), [q for q, _ in pairs])
+            row = np.argsort(reps)[at_]
+            there = np.array([x for _, x in pairs], np.int64)
+            near[d] = [(keys_of(unit, o)[row], there[:, o]) for o in range(ORDERS)]
+    for d, (n, asks) in counts.items():
+        own = [cuts.get((o, d), np.empty(0, np.int64)) for o in range(ORDERS)]
+        m, reach = choose(own, near.get(d, []), n, asks, d)
+        per = max(1, n // (len(own[0]) + 1))
+        here = math.ceil(asks * min(1.0, (2 * reach + 1) / (len(own[0]) + 1)))
+        out[d] = Plan(own[:m], reach, max(1, round(per / (4 * BUCKET))), max(1, math.ceil(here / QUERIES)))
+    return out
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: of each row for which `queries` (over vec_id) holds, its k nearest other rows."""
     rows = project(vectors, "vec_id", "embedding").where(usable("embedding", "vec_id")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", queries.alias("asks"))
@@ -167,22 +285,16 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     # a point asks if any of its rows does
     points = points.join(asks.groupBy("embedding").agg(F.lit(True).alias("asks")), "embedding", "left").select("rep", "ids", "embedding", F.size("embedding").alias("dim"), F.coalesce("asks", F.lit(False)).alias("asks"))
     points = materialise(points, "ann-points")
-    n = points.count()
-    groups = max(1, math.ceil(points.where("asks").count() / QUERIES))
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(n / max(BUCKET, 16 * math.isqrt(n)))))
-    bounds: dict = {}
-    if buckets > 1:
-        at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        keyed = points.mapInArrow(lambda b: _keyed(b, None), "ord int, dim int, key long")
-        for r in keyed.groupBy("ord", "dim").agg(F.percentile_approx("key", at, F.lit(max(10_000, 20 * buckets))).alias("cuts")).collect():
-            bounds[r["ord"], r["dim"]] = np.unique(np.array(r["cuts"], np.int64))
-    shared = points.sparkSession.sparkContext.broadcast(bounds)
-    placed = points.mapInArrow(lambda b: _keyed(b, shared.value, groups), "ord int, dim int, bucket int, key long, rep long, ids array<long>, vec binary, asks boolean, home boolean")
+    shared = points.sparkSession.sparkContext.broadcast(_plans(points, k))
+    placed = points.mapInArrow(lambda b: _placed(b, shared.value), "ord int, dim int, bucket long, key long, rep long, ids array<long>, vec binary, home boolean")
     found = placed.groupBy("ord", "dim", "bucket").applyInArrow(lambda t: _search(t, k), "rep_q long, rep_c long, ids array<long>, score double")
-    merged = found.groupBy("rep_q", "rep_c").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    own = points.where("asks").select(F.col("rep").alias("rep_q"), F.col("rep").alias("rep_c"), F.lit(2.0).alias("score"), "ids")  # copies of a query
+    merged = found.unionByName(own).groupBy("rep_q", "rep_c").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = merged.withColumn("n", F.row_number().over(Window.partitionBy("rep_q").orderBy(F.col("score").desc(), "rep_c"))).where(F.col("n") <= k + 2)
-    of = asks.join(points.where("asks").select("embedding", F.col("rep").alias("rep_q")), "embedding").select("query_id", "rep_q")
-    each = of.join(best, "rep_q").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    of = asks.join(points.where("asks").select("embedding", F.col("rep").alias("rep_q")), "embedding").select("query_id", "rep_q", "embedding")
+    # a copy's cosine as any other's: the sum of products by the product of norms
+    same = F.aggregate(F.transform("embedding", lambda x: x.cast("double") / F.array_max(F.transform("embedding", F.abs))), F.lit(0.0), lambda a, x: a + x * x)
+    each = of.withColumn("own", same / (F.sqrt(same) * F.sqrt(same))).drop("embedding").join(best, "rep_q").select("query_id", F.when(F.col("score") > 1.5, F.col("own")).otherwise(F.col("score")).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return each.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
