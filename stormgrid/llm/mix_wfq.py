@@ -8,7 +8,8 @@ Running sums are two-level: sums of (source, slice of the digest) first, then wi
 large, meets in one task. The same holds for the global order, whose slices are slices of virtual time.
 
 Edge cases: null text or no words: size 0, never adds words. Null source: a source of its own, after all others.
-Repeated ids are rows of their own. Empty table: empty result. Only doc_id, source and text are read from the input.
+Repeated ids are rows of their own. Empty table: empty result. Only doc_id, source and text are read from the input;
+names that begin with _wfq_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -23,9 +24,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 10_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return project(docs, "doc_id", "source", "text").select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def digests(docs: DataFrame) -> list[Column]:
+    """128 bits that rows share only if they are equal in doc_id, source and text."""
+    fields = [x for c in ("doc_id", "source", "text") for x in (docs[c].isNull(), docs[c])]
+    return [F.xxhash64(F.lit(i), *fields).alias(f"_wfq_k{i}") for i in (0, 1)]
+
+
+def sizes(docs: DataFrame, digest: bool = False) -> DataFrame:
+    docs = project(docs, "doc_id", "source", "text")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    return docs.select("doc_id", "source", size, *(digests(docs) if digest else [F.lit(0).cast("long").alias("_wfq_k0"), F.lit(0).cast("long").alias("_wfq_k1")]))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -53,20 +61,21 @@ def running(df: DataFrame, keys: list[str], slice_of: Column, order: list[Column
     d = df.withColumn("_slice", slice_of)
     per = d.groupBy(*keys, "_slice").agg(F.sum(value).alias("_in"))
     up_to = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
+    base = per.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"),
                       F.coalesce(F.sum("_in").over(up_to), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_own", F.sum(value).over(inside))
     on = F.col("_slice") == F.col("_s")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return d.join(base, on).withColumn(out, F.col("_base") + F.col("_own")).drop("_slice", "_own", "_base", "_s", *[f"_k{i}" for i in range(len(keys))])
+        on = on & F.col(k).eqNullSafe(F.col(f"_by{i}"))
+    return d.join(base, on).withColumn(out, F.col("_base") + F.col("_own")).drop("_slice", "_own", "_base", "_s", *[f"_by{i}" for i in range(len(keys))])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slice_rows: int = 50_000, seed: str = "wfq") -> DataFrame:
-    """One row for each document and lap that the mix takes or leaves: doc_id, source, size, source_size, target, lap,
-    finish (virtual time), upto (words of the mix up to it), taken_now (whether it is in)."""
-    sized = materialise(sizes(docs), "wfq-sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, slice_rows: int = 50_000, seed: str = "wfq", digest: bool = False) -> DataFrame:
+    """One row for each document and lap that the mix takes or leaves (a document of size 0 has one): doc_id, source, size,
+    _wfq_k0 and _wfq_k1 (digests, if asked for), source_size, target, lap, finish (virtual time), upto (words of the mix up to it;
+    null where the budget is spent before its slice begins), taken_now (whether it is in)."""
+    sized = materialise(sizes(docs, digest), "wfq-sizes")
     goal = targets(sized, weights, share, most)
     goal = materialise(goal.coalesce(1), "wfq-targets")
     small = F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal
@@ -77,36 +86,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     rows = rows.withColumn("lap", F.explode(F.array(*[F.lit(i) for i in range(laps)])))
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("lap").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
     digest = F.conv(F.substring("key", 1, 4), 16, 10).cast("int")
-    tie = [F.col("key"), F.col("doc_id"), F.col("size")]
-    nothing = rows.where("size = 0").withColumns({"finish": F.lit(0.0), "upto": F.lit(0).cast("long"), "taken_now": F.lit(True)})
+    tie = [F.col("key"), F.col("doc_id"), F.col("size"), F.col("_wfq_k0"), F.col("_wfq_k1")]
+    nothing = rows.where("size = 0 AND lap = 0").withColumns({"finish": F.lit(0.0), "upto": F.lit(0).cast("long"), "taken_now": F.lit(True)})
     rows = rows.where("size > 0")
     rows = running(rows, ["source", "lap"], F.floor(digest * slices / 65536).cast("int"), tie, "size", "cum")
     rows = rows.withColumn("cum", F.col("cum") + F.col("lap") * F.col("source_size"))
     rows = rows.withColumn("finish", F.col("cum") / F.col("target"))
     by_time = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("lap"), *tie]
-    rows = running(rows, [], F.least(F.floor(F.col("finish") * slices), F.lit(16 * slices)).cast("int"), by_time, "size", "upto")
-    rows = rows.withColumn("taken_now", F.col("upto") <= F.col("budget")).drop("cum")
-    return rows.unionByName(nothing).drop("budget")
+    rows = rows.drop("cum").withColumn("_slice", F.least(F.floor(F.col("finish") * slices), F.lit(16 * slices)).cast("int"))
+    per = rows.groupBy("_slice").agg(F.sum("size").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(per.select(F.col("_slice").alias("_s"), before.alias("_base")), F.col("_slice") == F.col("_s")).drop("_s")
+    # slices that begin beyond the budget, with all rows of late times, aren't sorted
+    inside = Window.partitionBy("_slice").orderBy(*by_time).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.where("_base < budget").withColumn("upto", F.col("_base") + F.sum("size").over(inside))
+    far = rows.where("_base >= budget").withColumn("upto", F.lit(None).cast("long"))
+    rows = near.unionByName(far).withColumn("taken_now", F.coalesce(F.col("upto") <= F.col("budget"), F.lit(False)))
+    return rows.drop("_slice", "_base").unionByName(nothing).drop("budget")
 
 
 def drawn(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it: not at all, once, or once a lap. All columns of docs stay."""
-    m = mix(docs, **how).where("taken_now").groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_copies"))
-    # rows that share id, source and size share their draws evenly
-    same = Window.partitionBy("doc_id", "source", "_size")
-    d = docs.withColumn("_size", F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long"))
-    m = m.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies")
-    j = d.join(m, d["doc_id"].eqNullSafe(m["_d"]) & d["source"].eqNullSafe(m["_s"]) & (d["_size"] == m["_z"]))
-    j = j.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_i", F.row_number().over(same.orderBy("text")) - 1)
-    times = F.floor((F.col("_copies") + F.col("_n") - 1 - F.col("_i")) / F.col("_n")).cast("int")
-    return j.withColumn("_t", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    """docs with each row as often as the mix takes it: not at all, once, or once a lap. All columns of docs stay. Rows
+    equal in doc_id, source and text share their draws evenly. Texts are shuffled once, by their digest."""
+    m = mix(docs, digest=True, **how).groupBy("_wfq_k0", "_wfq_k1").agg(F.count_if("taken_now").alias("_wfq_copies"), F.count_if(F.col("lap") == 0).alias("_wfq_n"))
+    j = docs.select("*", *digests(docs)).join(m.where("_wfq_copies > 0"), ["_wfq_k0", "_wfq_k1"])
+    nth = F.row_number().over(Window.partitionBy("_wfq_k0", "_wfq_k1").orderBy("_wfq_k0")) - 1
+    times = F.floor((F.col("_wfq_copies") + F.col("_wfq_n") - 1 - nth) / F.col("_wfq_n")).cast("int")
+    return j.withColumn("_wfq_t", times).withColumn("_wfq_t", F.explode(F.array_repeat(F.lit(0), F.col("_wfq_t")))).select(*docs.columns)
 
 
 def op10(docs: DataFrame) -> DataFrame:
     """Contract rows; repeated (doc_id, source, size) rows stay apart."""
     m = mix(docs)
     who = ["doc_id", "source", "size", "source_size", "target"]
-    nth = F.row_number().over(Window.partitionBy(*who, "lap").orderBy("upto"))
+    nth = F.row_number().over(Window.partitionBy(*who, "lap").orderBy(F.col("upto").asc_nulls_last()))
     m = m.withColumn("nth", nth)
     return m.groupBy(*who, "nth").agg(F.sum(F.when(F.col("taken_now"), F.col("size")).otherwise(0)).alias("taken")).select(
         "doc_id", "size", "source_size", "target", "taken")
