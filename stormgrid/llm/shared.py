@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-_tables: list[str] = []
+#: Paths written and not yet deleted, with the table that has its files there, if any, and who owns them.
+_written: dict[str, tuple[str | None, str | None]] = {}
+_owner: list[str | None] = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,26 +25,59 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for at in paths:
+        table, _ = _written.pop(at)
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def _clean(spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _tables:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        for at in _written:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(spark, list(_written))
     except Exception:  # noqa: BLE001  the session may be gone when the process ends
         pass
 
 
+def _new(spark: SparkSession, at: str, table: str | None = None) -> None:
+    if not _written:
+        atexit.register(_clean, spark)
+    _written[at] = (table, _owner[0])
+
+
+def _roots(df: DataFrame) -> str:
+    """Folders that df reads, as one text."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        try:
+            out.append(leaves.apply(i).relation().location().rootPaths().mkString(" "))
+        except Py4JError:  # no file table
+            continue
+    return " ".join(out)
+
+
+@contextlib.contextmanager
+def owned(docs: DataFrame, owner: str) -> Iterator[None]:
+    """What is written inside belongs to owner. First, what belongs to it from before goes, unless docs reads it: results
+    of its earlier steps must have been written by then."""
+    roots = _roots(docs)
+    _delete(docs.sparkSession, [at for at, (_, who) in _written.items() if who == owner and at.split("/")[-1] not in roots])
+    _owner.append(_owner[0])
+    _owner[0] = owner
+    try:
+        yield
+    finally:
+        _owner[0] = _owner.pop()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _written:
-        atexit.register(_clean, spark)
-    _written.append(at)
+    _new(spark, at)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
@@ -50,10 +87,7 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     at = f"{shared_dir(spark)}/{table}"
-    if not _written:
-        atexit.register(_clean, spark)
-    _written.append(at)
-    _tables.append(table)
+    _new(spark, at, table)
     df.write.option("compression", "zstd").option("path", at).bucketBy(buckets, by).saveAsTable(table)
     return spark.table(table)
 
