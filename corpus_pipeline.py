@@ -1,35 +1,49 @@
-"""A corpus from documents to tokens: quality rules, near copies, repeated passages, source weights, encoding."""
+"""A corpus from documents to tokens: quality rules, near copies, repeated passages, source weights, encoding.
+
+Every stage takes whole documents, null and empty texts, repeated rows, empty tables and further columns; a null text has
+no words. A stage's result must be written before the next stage is called: that deletes what the stage left half-way.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stormgrid.llm import bpe, chain_dedup, jaccard_rtree, mix_wfq, quality_sa
-from stormgrid.llm.shared import materialise
+from stormgrid.llm.shared import materialise, owned
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality_sa.filtered(docs)
+    """Documents that the rules reject go, those without words among them. Repeated rows are judged each for itself."""
+    with owned(docs, "pipeline"):
+        return quality_sa.filtered(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (word 5-grams, Jaccard 0.8)."""
-    return jaccard_rtree.representatives(docs, ngram=5, percent=80)
+    """One document of each group of near copies stays (word 5-grams, Jaccard 0.8), of rows equal in id and text one.
+    Texts without words, and rows without an id, stay."""
+    with owned(docs, "pipeline"):
+        return jaccard_rtree.representatives(docs, ngram=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the text."""
-    return chain_dedup.cleaned(docs)
+    """Passages that a document with a smaller id has are cut out of the text; a document of which no word is left goes.
+    Null and empty texts stay as they are."""
+    with owned(docs, "pipeline"):
+        return chain_dedup.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is repeated, or left out, as its source's weight asks for."""
-    return mix_wfq.drawn(docs)
+    """A document is repeated, or left out, as its source's weight asks for. A null source is one of its own; a document
+    without words stays once."""
+    with owned(docs, "pipeline"):
+        return mix_wfq.drawn(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encoded(docs, ids=True)
+    """doc_id, digests, number of tokens and the tokens of each document; a null text has none. Repeated rows have a
+    result each."""
+    with owned(docs, "pipeline"):
+        return bpe.encoded(docs, ids=True)
 
 
 STAGES = [
