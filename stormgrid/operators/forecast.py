@@ -113,15 +113,14 @@ def smoothed_weights(df: DataFrame, lead: str = "lead", weight: str = "weight")
 
 
 def pooled(values: list[float]) -> list[float]:
-    """Non-increasing by pairwise averages, left to right and back; for the dozen weights of a forecast."""
-    out, i = list(values), 0
-    while i + 1 < len(out):
-        if out[i + 1] - out[i] <= 1e-12:
-            i += 1
-            continue
-        k = i
-        while k >= 0 and out[k + 1] - out[k] > 1e-12:
-            out[k] = out[k + 1] = (out[k] + out[k + 1]) / 2
-            k -= 1
-        i = max(k, 0)
-    return out
+    """The non-increasing sequence nearest to values in squares: pool adjacent violators. Each block of the result is the
+    mean of the values it stands for, so the total stays; pairwise averages, which weigh a block's last value most, would
+    differ where more than two values meet."""
+    blocks: list[tuple[float, int]] = []  # sum and number of values
+    for v in values:
+        total, n = float(v), 1
+        while blocks and blocks[-1][0] * n < total * blocks[-1][1]:
+            before, k = blocks.pop()
+            total, n = total + before, n + k
+        blocks.append((total, n))
+    return [total / n for total, n in blocks for _ in range(n)]

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # Sources, the channels each gives, and keys of which a payload needs one.
 SOURCES = [
-    ("radar", ["refl_sfc", "refl_m10", "echo_top", "vil"], ["reflectivity", "sweeps", "data"]),
-    ("insat", ["ir_tb"], ["brightness_temperature", "tir1", "data"]),
-    ("lightning", ["light_dens"], ["strikes", "flashes", "data"]),
-    ("aws", [], ["stations", "observations", "data"]),
-    ("nwp", [], ["hourly", "cape", "data"]),
-    ("mosdac_dwr", ["refl_sfc", "refl_m10"], ["volume", "sweeps", "data"]),
-    ("imd_dwr", ["refl_sfc"], ["image", "volume", "data"]),
+    ("radar", ["refl_sfc", "refl_m10", "echo_top", "vil"], ["data", "refl_sfc", "raw_size_bytes"]),
+    ("insat", ["ir_tb"], ["ir_tb", "tir1", "raw_size_bytes"]),
+    ("lightning", ["light_dens"], ["strikes", "light_dens", "raw_size_bytes"]),
+    ("aws", [], ["stations", "observations", "raw_size_bytes"]),
+    ("nwp", [], ["hourly", "cape", "raw_size_bytes"]),
+    ("mosdac_dwr", ["refl_sfc", "refl_m10"], ["data", "quantities", "refl_sfc", "raw_size_bytes"]),
+    ("imd_dwr", ["refl_sfc"], ["data", "variables", "refl_sfc", "raw_size_bytes"]),
 ]
 
 
@@ -29,7 +29,10 @@ def state(reported: Column, age_s: Column, stale_s: float = 1800.0) -> Column:
 def fetched(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     """payloads (source, payload, configured, error) judged by each source's needs."""
     d = sources.join(payloads, "source", "left")
-    ok = F.arrays_overlap(F.json_object_keys("payload"), F.col("needs"))
+    keys = F.json_object_keys("payload")
+    # values kept from before serve the numerical forecast too
+    kept = (F.col("source") == "nwp") & F.get_json_object("payload", "$.status").isin("LIVE", "STALE") & F.array_contains(keys, "values")
+    ok = F.arrays_overlap(keys, F.col("needs")) | F.coalesce(kept, F.lit(False))
     return d.withColumn("state", F.when(~F.coalesce("configured", F.lit(False)), "NOT_CONFIGURED").when(F.col("error").isNotNull() | F.col("payload").isNull(), "UNAVAILABLE").when(F.coalesce(ok, F.lit(False)), "LIVE").otherwise("DEGRADED"))
 
 

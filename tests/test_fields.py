@@ -64,7 +64,14 @@ def test_initiation_mask_does_not_wrap(spark):
 
 def test_pooled():
     assert forecast.pooled([1.0, 3.0, 2.0]) == sorted(forecast.pooled([1.0, 3.0, 2.0]), reverse=True)
-    assert forecast.pooled([3.0, 2.0, 1.0]) == [3.0, 2.0, 1.0]
+    assert forecast.pooled([3.0, 2.0, 1.0]) == [3.0, 2.0, 1.0] and forecast.pooled([]) == []
+    rng = np.random.Generator(np.random.PCG64(2))
+    for _ in range(50):
+        v = rng.random(rng.integers(1, 13))
+        got = np.array(forecast.pooled(v.tolist()))
+        # from its definition: at each place the largest mean to the right of the smallest such choice to the left
+        want = [min(max(v[a:b].mean() for b in range(i + 1, len(v) + 1)) for a in range(i + 1)) for i in range(len(v))]
+        assert np.allclose(got, want) and np.isclose(got.sum(), v.sum()) and (np.diff(got) <= 1e-12).all()
 
 
 def test_features_do_not_see_the_future(spark):

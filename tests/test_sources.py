@@ -47,9 +47,12 @@ def test_parse_time(spark):
 
 
 def test_health(spark):
-    p = spark.createDataFrame([("radar", '{"sweeps": []}', True, None), ("aws", '{"x": 1}', True, None), ("nwp", None, True, "timeout")], "source string, payload string, configured boolean, error string")
+    p = spark.createDataFrame([("radar", '{"refl_sfc": []}', True, None), ("mosdac_dwr", '{"sweeps": []}', True, None), ("imd_dwr", '{"variables": []}', True, None), ("aws", '{"x": 1}', True, None), ("nwp", None, True, "timeout")], "source string, payload string, configured boolean, error string")
     got = {r["source"]: r["state"] for r in health.fetched(p, health.registry(spark)).collect()}
     assert got["radar"] == "LIVE" and got["aws"] == "DEGRADED" and got["nwp"] == "UNAVAILABLE" and got["insat"] == "NOT_CONFIGURED"
+    assert got["mosdac_dwr"] == "DEGRADED" and got["imd_dwr"] == "LIVE"
+    kept = spark.createDataFrame([("nwp", '{"status": "STALE", "values": {}}', True, None)], p.schema)
+    assert health.fetched(kept, health.registry(spark)).where("source = 'nwp'").first()["state"] == "LIVE"
     assert spark.range(1).select(health.state(F.lit("LIVE"), F.lit(2000.0))).first()[0] == "STALE"
 
 
