@@ -422,3 +422,16 @@ def test_pipeline(spark, docs, rows, tmp_path):
     want = bpe.load(bpe.default_path())
     last = corpus_pipeline.STAGES[-1][1](spark, out, "").collect()
     assert counted(tuple(r["ids"]) for r in last) == counted(tuple(want.encode(r["text"] or "")) for r in out.collect())
+
+
+def test_nearest_of_any_magnitude(spark):
+    data = [(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 1e-200]), (3, [1.0, 0.0]), (4, [5e-324, 0.0]), (5, [float("inf"), 1.0]), (6, [-1e300, -1e300])]
+    got = ann_hilbert.op1(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in got] == [(0, 1, 1.0), (0, 2, 1.0), (0, 3, 0.707106781), (0, 4, 0.707106781), (0, 6, -1.0)]
+
+
+def test_representatives_of_an_id_with_two_texts(spark):
+    w = ["w%d" % i for i in range(60)]
+    data = [(1, " ".join(w)), (2, " ".join(w[:-1])), (2, "a text of its own that nothing else has"), (3, "x")]
+    kept = jaccard_rtree.representatives(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([data[0], data[2], data[3]])
