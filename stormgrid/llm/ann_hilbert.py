@@ -19,8 +19,9 @@ however large, is no load; a limit of that kind is applied before the shuffle by
 spread by a digest of the vector.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
-candidate; so do rows without vec_id. Components may be of any size: vectors are scaled by powers of two. A row's own id is
-never its neighbour; rows repeating an id and vector are one. Vectors of different lengths never meet. Ties go to smaller
+candidate; so do rows without vec_id. Components may be of any size: vectors are scaled by powers of two. A score is
+computed in extended precision and rounded once, so that vectors of one direction tie at 1. A row's own id is never its
+neighbour; rows repeating an id and vector are one. Vectors of different lengths never meet. Ties go to smaller
 ids. Fewer candidates than k: all found. Empty table: empty result. Other columns are not looked at.
 """
 
@@ -211,7 +212,8 @@ def _search(table: pa.Table, k: int) -> pa.Table:
     out_q, out_c, out_s = [], [], []
 
     def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return (raw[q] * raw[c]).sum(1) / (norm[q] * norm[c])
+        x, y = raw[q].astype(np.longdouble), raw[c].astype(np.longdouble)  # so that parallel vectors tie at 1
+        return ((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))).astype(float)
 
     for at in range(0, len(ask), 64):
         q = ask[at : at + 64]
@@ -291,10 +293,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     own = points.where("asks").select(F.col("rep").alias("rep_q"), F.col("rep").alias("rep_c"), F.lit(2.0).alias("score"), "ids")  # copies of a query
     merged = found.unionByName(own).groupBy("rep_q", "rep_c").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = merged.withColumn("n", F.row_number().over(Window.partitionBy("rep_q").orderBy(F.col("score").desc(), "rep_c"))).where(F.col("n") <= k + 2)
-    of = asks.join(points.where("asks").select("embedding", F.col("rep").alias("rep_q")), "embedding").select("query_id", "rep_q", "embedding")
-    # a copy's cosine as any other's: the sum of products by the product of norms
-    same = F.aggregate(F.transform("embedding", lambda x: x.cast("double") / F.array_max(F.transform("embedding", F.abs))), F.lit(0.0), lambda a, x: a + x * x)
-    each = of.withColumn("own", same / (F.sqrt(same) * F.sqrt(same))).drop("embedding").join(best, "rep_q").select("query_id", F.when(F.col("score") > 1.5, F.col("own")).otherwise(F.col("score")).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    of = asks.join(points.where("asks").select("embedding", F.col("rep").alias("rep_q")), "embedding").select("query_id", "rep_q")
+    each = of.join(best, "rep_q").select("query_id", F.least("score", F.lit(1.0)).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return each.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
