@@ -7,13 +7,15 @@ likelihood on TRAINING_PAGES labelled pages of many layouts, which this module l
 known there); that number is the bound of what the driver holds.
 
 Edge cases: null or empty html, or no article: empty text, 0 characters. Unclosed tags, comments and quotes end where
-the page ends. Whole pages are read, however long. Repeated rows each have a result. Other columns are not looked at.
+the page ends. Whole pages are read, however long. Repeated rows each have a result, an empty table an
+empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -61,10 +63,13 @@ WORDS = {
 
 
 class Block:
-    __slots__ = ("text", "tags", "hints", "linked", "raw")
+    """Text of a leaf block, the TAGS and hints of its ancestors, its innermost tag, and how many of its raw characters
+    stand in links."""
 
-    def __init__(self, text: str, tags: tuple, hints: frozenset, linked: int, raw: int):
-        self.text, self.tags, self.hints, self.linked, self.raw = text, tags, hints, linked, raw
+    __slots__ = ("text", "tags", "hints", "inner", "linked", "raw")
+
+    def __init__(self, text: str, tags: frozenset, hints: frozenset, inner: str, linked: int, raw: int):
+        self.text, self.tags, self.hints, self.inner, self.linked, self.raw = text, tags, hints, inner, linked, raw
 
 
 @cache
@@ -74,24 +79,31 @@ def _hints_of(names: str) -> frozenset:
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    # open elements: name, and the tags, hints and innermost tag of it and all above; where each name and any block stands
+    stack: list[tuple[str, frozenset, frozenset, str]] = [("", frozenset(), frozenset(), "other")]
+    where: dict[str, list[int]] = defaultdict(list)
+    block_at = [0]
     text: list[str] = []
-    linked, links, at, end = 0, 0, 0, len(page)
+    linked, at, end = 0, 0, len(page)
 
     def close() -> None:
         nonlocal linked
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, tuple(t for t, _ in stack), frozenset().union(*(h for _, h in stack)) if stack else frozenset(), linked, sum(map(len, text))))
+                out.append(Block(joined, *stack[-1][1:], linked, sum(map(len, text))))
             text.clear()
         linked = 0
 
     def pop_to(i: int) -> None:
-        nonlocal links
-        for t, _ in stack[i:]:
-            links -= t == "a"
-        del stack[i:]
+        while len(stack) > i:
+            where[stack.pop()[0]].pop()
+        while block_at[-1] >= i:
+            block_at.pop()
+
+    def last(*names: str) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max(where[x][-1] if where[x] else 0 for x in names)
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -99,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         if stop > at:
             run = page[at:stop]
             text.append(run)
-            if links:
+            if where["a"]:
                 linked += len(run)
         if not m:
             break
@@ -111,12 +123,9 @@ def blocks_of(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name in BLOCK:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            i = last(name)
+            if i and (name in BLOCK or i > block_at[-1]):
+                pop_to(i)
             continue
         if name in RAW:
             if name in BLOCK:
@@ -129,25 +138,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
-            if name in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if name in SAME:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or (name in ("dt", "dd") and stack[i][0] in ("dt", "dd")):
-                        pop_to(i)
-                        break
-                    if stack[i][0] in SAME[name]:
-                        break
+            if name in CLOSES_P and (i := last("p")) and i == block_at[-1]:
+                pop_to(i)
+            if name in SAME and (i := last(*(("dt", "dd") if name in ("dt", "dd") else (name,)))) > last(*SAME[name]):
+                pop_to(i)
         if name in VOID or (m[3] or m[6] or "").endswith("/"):
             continue
         attrs = m[3] or m[6] or ""
-        stack.append((name, _hints_of(" ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower()) if "=" in attrs else frozenset()))
-        links += name == "a"
+        _, tags, hints, inner = stack[-1]
+        if "=" in attrs:
+            hints = hints | _hints_of(" ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower())
+        where[name].append(len(stack))
+        if name in BLOCK:
+            block_at.append(len(stack))
+        stack.append((name, tags | {name} if name in _TAGS and name not in tags else tags, hints, name if name in _INNER else inner))
     close()
     return out
 
@@ -158,9 +162,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         size = len(b.text)
         density = b.linked / max(b.raw, 1)
-        f = [f"t:{t}" for t in set(b.tags) if t in _TAGS]
+        f = [f"t:{t}" for t in b.tags]
         f += [f"h:{h}" for h in b.hints]
-        inner = next((t for t in reversed(b.tags) if t in _INNER), "other")
+        inner = b.inner
         f += [f"in:{inner}", f"size:{min(size.bit_length(), 10)}", f"link:{int(density * 4)}", f"at:{(4 * i) // n}", "bias"]
         if "t:article" in f or "t:main" in f or "content" in b.hints:
             f.append(f"core:{'link' if density > 0.6 else inner}")
