@@ -6,7 +6,8 @@ what the merges make of the two entries' bytes together; that test is memoised.
 exactly the merges' result, and a position that failed once is never entered again, so the time is linear in the piece.
 
 Edge cases: null or empty text has no tokens (digests of nothing). Whole texts are encoded, however long. The vocabulary
-must hold all 256 single bytes. A piece that is an entry itself is that entry, whether or not merges reach it.
+must hold all 256 single bytes. An empty table has an empty result, repeated rows a result each; other columns are not
+looked at. A piece that is an entry itself is that entry, whether or not merges reach it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -83,21 +85,35 @@ class Bpe(dict):
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        here: list[list[tuple[int, int]]] = [[] for _ in data]  # entries at each byte, shortest first
+        # entries at each byte, shortest first: those of byte i stand from first[i] on
+        found = array("q")
         for end, (n, t) in self.auto.iter(data.decode("latin-1")):
             if self.reachable(t):
-                here[end - n + 1].append((n, t))
+                found.append((end - n + 1) << 32 | t)
+        if len(data) < 64:
+            flat = sorted(found, key=lambda x: (x >> 32, len(self.entry[x & 0xFFFFFFFF])))
+            first = [0] * (len(data) + 1)
+            for x in flat:
+                first[(x >> 32) + 1] += 1
+            for i in range(len(data)):
+                first[i + 1] += first[i]
+        else:
+            f = np.frombuffer(found, np.int64)
+            f = f[np.argsort(f >> 32, kind="stable")]  # the automaton gives a byte's entries by their ends
+            first = array("q", np.searchsorted(f >> 32, np.arange(len(data) + 1)).tobytes())
+            flat = array("q", f.tobytes())
         out: list[int] = []
         at, open_ = 0, bytearray(b"\1") * (len(data) + 1)
-        upto = [len(here[0]) - 1]  # the entry to try next, for the byte behind each token taken
+        upto = array("q", [first[1] - 1])  # the entry to try next, for the byte behind each token taken
         while at < len(data):
-            options, k = here[at], upto[-1]
-            while k >= 0:
-                n, t = options[k]
+            low, k = first[at], upto[-1]
+            while k >= low:
+                t = flat[k] & 0xFFFFFFFF
+                n = len(self.entry[t])
                 if open_[at + n] and (not out or self.follows(out[-1], t)):
                     break
                 k -= 1
-            if k < 0:  # no way on from here
+            if k < low:  # no way on from here
                 open_[at] = 0
                 upto.pop()
                 at -= len(self.entry[out.pop()])
@@ -106,7 +122,7 @@ class Bpe(dict):
             upto[-1] = k
             out.append(t)
             at += n
-            upto.append(len(here[at]) - 1 if at < len(data) else -1)
+            upto.append(first[at + 1] - 1 if at < len(data) else -1)
         return out
 
     def __missing__(self, piece: str) -> str:
