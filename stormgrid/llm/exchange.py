@@ -77,26 +77,57 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+#: Edges that a task contracts together.
+CONTRACT = 400_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, fewer: each task puts stars of smallest members in place of what it holds."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        names, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+        forest = Forest(len(names))
+        for x, y in zip(number[: len(a)].tolist(), number[len(a) :].tolist(), strict=True):
+            forest.join(x, y)
+        roots = np.fromiter(map(forest.find, range(len(names))), np.int64, len(names))
+        off = np.flatnonzero(roots != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[roots[off]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) >= CONTRACT:
+                yield stars(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield stars(*map(np.concatenate, zip(*held, strict=True)))
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def _stars_only(e: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has that one alone, and it has none itself."""
+    ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+    both = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 OR ups = 1 AND least = 0")
+    return not both.limit(1).count()
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root): root is the smallest node reachable by edges; nodes without an edge are not listed.
 
-    Alternating large and small stars: each round joins neighbours to their smallest member, until nothing changes;
-    rounds grow with the logarithm of a component's size. A star's centre may have very many edges: its smallest member is
-    written first, so that the join with it is a plain one, which Spark splits where a key is hot. Nothing but a count and
-    a checksum reaches the driver.
+    Tasks first contract the edges that they hold. Alternating large and small stars then join neighbours to their
+    smallest member, and contract again, until nothing but stars is left; rounds grow with the logarithm of a component's
+    size. A star's centre may have very many edges: its smallest member is written first, so that the join with it is a
+    plain one, which Spark splits where a key is hot. Nothing but a yes or no reaches the driver.
     """
-    e = edges.select(F.col(u).cast("long").alias("a"), F.col(v).cast("long").alias("b")).where("a <> b").distinct()
-    e = materialise(e, "cc")
-    last = None
-    while True:
+    e = edges.select(F.col(u).cast("long").alias("a"), F.col(v).cast("long").alias("b")).where("a <> b")
+    e = materialise(contracted(materialise(contracted(e), "cc-first")).distinct(), "cc")
+    while not _stars_only(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m")), "cc-least")
         large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc-large")
         small = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "cc-small")
         out = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(out.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
-    return materialise(e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), "cc-roots")
+        e = materialise(contracted(out.unionByName(small.select("a", F.col("m").alias("b")))).distinct(), "cc")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 from types import SimpleNamespace
 
@@ -14,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormgrid.llm import ann_hilbert, bpe, chain_dedup, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, staging, suffix_dedup
+from stormgrid.llm import ann_hilbert, bpe, chain_dedup, exchange, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, staging, suffix_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -435,3 +436,45 @@ def test_representatives_of_an_id_with_two_texts(spark):
     data = [(1, " ".join(w)), (2, " ".join(w[:-1])), (2, "a text of its own that nothing else has"), (3, "x")]
     kept = jaccard_rtree.representatives(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([data[0], data[2], data[3]])
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "CONTRACT", 40)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(150)] + [(7_000, 7_001 + i) for i in range(120)] + [(rng.randrange(200, 900), rng.randrange(200, 900)) for _ in range(400)] + [(5, 5), (151, 151)]
+    rng.shuffle(edges)
+    up = {x: x for e in edges for x in e}
+    for _ in range(160):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = exchange.components(spark.createDataFrame(edges, "a long, b long").repartition(5), "a", "b").collect()
+    assert {r["node"]: r["root"] for r in got} == {x: r for x, r in up.items() if x != 151}
+    assert len(got) == len({r["node"] for r in got})
+    assert exchange.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_html_of_many_unclosed_tags():
+    began = time.monotonic()
+    for piece in ("<font color=red><p>text ", "<font>text<br>", "<div><b>t</i></p>"):
+        assert len(html_crf.blocks_of(piece * 20_000)) in (1, 20_000)
+    assert time.monotonic() - began < 20
+
+
+def test_bpe_of_a_long_piece():
+    enc = bpe.load(bpe.default_path())
+    with open(bpe.default_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    import public_tokenizers as P
+
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in ("ab" * 30_000, "x" * 40_000, "".join(random.Random(4).choices("aeinrst", k=60_000)), "é" * 10_000):
+        assert enc.encode(text) == ref.encode_ordinary(text)
+
+
+def test_language_of_repeated_and_clashing_rows(spark):
+    text = {"aa": "kala mana tala " * 8, "bb": "strong thrusts struck " * 8}
+    rows = [(i, text[x], x, "nl", 1.0) for i in range(40) for x in ("aa", "bb")] * 2 + [(900, text["aa"] * 5_000, None, "nl", 0.0), (900, text["aa"] * 5_000, None, "nl", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid_ecoc.predicted(df, langid_ecoc.train(df)).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == "aa" for r in got if r["doc_id"] == 900)
+    assert counted(r["lang_pred"] for r in got) == {"aa": 82, "bb": 80}
