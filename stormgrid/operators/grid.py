@@ -27,6 +27,12 @@ def rasterise(points: DataFrame, row: Column, col: Column, keys: list[str], weig
     return p.where(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)).groupBy(*keys, "row", "col").agg(F.sum("_w").alias(out))
 
 
+def scattered_max(points: DataFrame, row: Column, col: Column, keys: list[str], value: str, n: int = S.GRID) -> DataFrame:
+    """The largest valid value of the points in each pixel; pixels without one are not listed."""
+    p = points.select(*keys, F.rint(row).cast("int").alias("row"), F.rint(col).cast("int").alias("col"), S.valid(value).alias(value)).where(F.col(value).isNotNull())
+    return p.where(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
+
+
 def _along(keys: list[str], fixed: str, moving: str, r: int | None = None):
     w = Window.partitionBy(*keys, fixed).orderBy(moving)
     return w.rangeBetween(-r, r) if r is not None else w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -88,9 +88,9 @@ def brier(df: DataFrame, keys: list[str], prob: str, obs: Column, bins: int = 10
     return out.select(*keys, r(F.col("_b")).alias("brier"), r(F.col("_r")).alias("reliability"), r(F.col("_s")).alias("resolution"), r(u).alias("uncertainty"), r(1.0 - F.try_divide(F.col("_b"), u)).alias("bss"))
 
 
-def fss(df: DataFrame, keys: list[str], prob: str, obs: str, r: int, valid: str | None = None) -> DataFrame:
+def fss(df: DataFrame, keys: list[str], prob: str, obs: str, r: int, valid: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Fractions skill score over dense grids. Masked pixels count as 0 in boxes, and only pixels whose box holds an
-    unmasked one are scored."""
+    unmasked one are scored. keys tell grids apart; scores are pooled over `by`, the keys themselves if not given."""
     if valid:
         on = F.col(valid).cast("double")
         df = df.withColumns({prob: F.col(prob) * on, obs: F.col(obs) * on, "_on": on})
@@ -98,7 +98,7 @@ def fss(df: DataFrame, keys: list[str], prob: str, obs: str, r: int, valid: str
     if valid:
         d = grid.box_max(d, keys, "_on", r, "_any").where("_any > 0")
     f, o = F.col("_f"), F.col("_o")
-    return d.groupBy(*keys).agg(F.round(1.0 - F.try_divide(F.avg((f - o) * (f - o)), F.avg(f * f) + F.avg(o * o)), 6).alias("fss"))
+    return d.groupBy(*(keys if by is None else by)).agg(F.round(1.0 - F.try_divide(F.avg((f - o) * (f - o)), F.avg(f * f) + F.avg(o * o)), 6).alias("fss"))
 
 
 def neighbourhood(df: DataFrame, keys: list[str], pred: Column, obs: Column, r: int) -> DataFrame:

@@ -46,6 +46,22 @@ def cap(starts: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return starts.orderBy(F.xxhash64(*starts.columns, F.lit(seed))).limit(most)
 
 
+def split_windows(assigned: DataFrame, frames: DataFrame, key: str, stride: int = 1, eval_stride: int | None = None, guard: int = 0, most: dict[str, int] | None = None, seed: int = 0) -> DataFrame:
+    """(split, key, t0): windows of each split's events, with a stride of their own for val and test, and at most so many
+    of a split where `most` names it. An event in more than one split is refused."""
+    if overlapping(assigned, key).limit(1).count():
+        raise ValueError("an event is in more than one split")
+    out = None
+    for name in ("train", "val", "test"):
+        step = stride if name == "train" or eval_stride is None else eval_stride
+        w = windows(frames.join(assigned.where(F.col("split") == name).select(key), key), key, step, guard)
+        if most and name in most:
+            w = cap(w, most[name], seed)
+        w = w.select(F.lit(name).alias("split"), key, "t0")
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
 def overlapping(assigned: DataFrame, key: str) -> DataFrame:
     """Events in more than one split: empty, if splits are right."""
     return assigned.groupBy(key).agg(F.countDistinct("split").alias("splits")).where("splits > 1")

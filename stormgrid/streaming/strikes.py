@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormgrid.functions import geo, scalar
-from stormgrid.operators import grid
+from stormgrid.operators import grid, spatial
 
 KEEP_S = 1800
 
@@ -45,6 +45,26 @@ def newest(strikes: DataFrame, keys: list[str], most: int, time: str = "ts") ->
     return strikes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
+def ingested(strikes: DataFrame, time: str = "ts", number: str = "event_id") -> DataFrame:
+    """Incoming strikes as they are stored: an id of source and milliseconds, places to 5 digits, currents to 1, and what
+    the source is worth (accuracy in metres, confidence). `number` tells strikes of one source and millisecond apart."""
+    own = F.col("source") == "IITM_LLN"
+    ms = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / 1000) % 1_000_000
+    return strikes.select(
+        number, F.concat_ws("-", F.substring("source", 1, 4), ms.cast("string")).alias("id"), "source", F.bround("lat", 5).alias("lat"), F.bround("lon", 5).alias("lon"),
+        (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("timestamp"), "stroke_type", F.bround("peak_current_ka", 1).alias("peak_current_ka"),
+        F.when(own, 300.0).otherwise(450.0).alias("location_accuracy_m"), F.when(own, 0.95).otherwise(0.92).alias("confidence"))
+
+
+def location_risk(strikes: DataFrame, now: Column, lat: float, lon: float, most_age_s: float = 1800.0) -> DataFrame:
+    """One row: strikes within 15 and 50 km of a place, the nearest of all ages up to most_age_s, and the alert level."""
+    km = geo.planar_km(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
+    age = (F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    d = strikes.where(age.between(0, most_age_s)).withColumn("km", km)
+    d = d.agg(F.count_if(F.col("km") <= spatial.NEAR_KM).alias("near"), F.count_if(F.col("km") <= spatial.FAR_KM).alias("far"), F.bround(F.min("km"), 1).alias("nearest_km"), F.min_by("event_id", F.struct("km", "event_id")).alias("nearest"))
+    return d.select(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), "near", "far", "nearest_km", "nearest", spatial.alert(F.col("near"), F.col("far")).alias("level"))
+
+
 def cap_alert(df: DataFrame, name: str, hazard: str, severity: str, sent: str, hours: float = 0.75) -> DataFrame:
     """An alert message of the Common Alerting Protocol for each row."""
     t = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
