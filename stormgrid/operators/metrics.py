@@ -3,6 +3,8 @@ value before any ordered window, so that a window sees distinct scores only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +52,28 @@ def select_threshold(sweep: DataFrame, default: float = 0.15) -> DataFrame:
     return sweep.where("csi IS NOT NULL").agg(F.coalesce(F.min_by("threshold", F.struct(-F.col("csi"), "threshold")), F.lit(default)).alias("threshold"))
 
 
+def _slice(p: Column) -> Column:
+    """A whole number that grows with a score: 1,024 slices a unit, below the first of them 64 slices a halving, so that
+    scores of rare events are cut finely too. What is not above 0 is one slice, as is NaN, the largest."""
+    fine = F.ceil(64.0 * F.log2(p))
+    return F.when(F.isnan(p), F.lit(2**62)).when(p <= 0, F.lit(-1_000_000)).when(p < 1 / 1024, fine).otherwise(F.floor(p * 1024.0)).cast("long")
+
+
 def _by_score(df: DataFrame, keys: list[str], prob: str, obs: Column) -> DataFrame:
-    d = df.groupBy(*keys, F.col(prob).alias("p")).agg(F.count_if(obs).alias("pos"), F.count(F.lit(1)).alias("n"))
-    desc = Window.partitionBy(*keys).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumns({"tp": F.sum("pos").over(desc), "seen": F.sum("n").over(desc), "below": F.coalesce(F.sum("n").over(up), F.lit(0))})
+    """Distinct scores with the positives and all rows at or above, and the rows below. Ordered windows see one slice of
+    scores of a key, or the slices' sums of a key; neither grows with the rows, as all scores of a key would."""
+    d = df.groupBy(*keys, F.col(prob).cast("double").alias("p")).agg(F.count_if(obs).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("slice", _slice(F.col("p")))
+    desc = Window.partitionBy(*keys, "slice").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys, "slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"tp": F.sum("pos").over(desc), "seen": F.sum("n").over(desc), "below": F.coalesce(F.sum("n").over(up), F.lit(0))})
+    sums = d.groupBy(*keys, "slice").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
+    higher = Window.partitionBy(*keys).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    at = [*keys, "slice"]
+    carried = sums.select(*[F.col(k).alias(f"_at{i}") for i, k in enumerate(at)], *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for c, w, o in (("_pos", higher, "_tp"), ("_n", higher, "_seen"), ("_n", lower, "_below"))])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(at)])
+    d = d.join(carried, same)
+    return d.select(*keys, "p", "pos", "n", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("tp", "seen", "below")])
 
 
 def ranking(df: DataFrame, keys: list[str], prob: str, obs: Column) -> DataFrame:

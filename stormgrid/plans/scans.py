@@ -8,7 +8,7 @@ from stormgrid.functions import geo
 from stormgrid.operators import grid, splits
 from stormgrid.plans import base as B
 from stormgrid.plans import live
-from stormgrid.sources import satellite
+from stormgrid.sources import health, satellite, weather
 from stormgrid.streaming import strikes as K
 
 QUERIES, ORACLES = {}, {}
@@ -69,12 +69,13 @@ add("linear_axis_regrid", _sector, f"WITH {B.GRID}, {_AXES} SELECT g.day, t.row,
 
 
 def _incoming(s, d):
-    k = B.strikes(s, d).join(B.cells(s, d).select("event_id", (F.col("v") / 3.0).alias("peak_current_ka")), "event_id")
+    # seven digits, so that no current lies half-way between two tenths, where engines differ over a double's last bit
+    k = B.strikes(s, d).join(B.cells(s, d).select("event_id", (F.col("v") * 0.377 + 0.0123456).alias("peak_current_ka")), "event_id")
     return K.ingested(k)
 
 
 add("strike_ingest", _incoming, f"""WITH {B.STATIONS} SELECT event_id, left(source, 4) || '-' || CAST(epoch_us(ts) // 1000 % 1000000 AS VARCHAR) AS id, source,
- round_even(lat, 5) AS lat, round_even(lon, 5) AS lon, epoch_us(ts) / 1e6 AS "timestamp", stroke_type, round_even(v / 3.0e0, 1) AS peak_current_ka,
+ round_even(lat, 5) AS lat, round_even(lon, 5) AS lon, epoch_us(ts) / 1e6 AS "timestamp", stroke_type, round_even(v * 0.377e0 + 0.0123456e0, 1) AS peak_current_ka,
  CASE WHEN source = 'IITM_LLN' THEN 300.0e0 ELSE 450.0e0 END AS location_accuracy_m, CASE WHEN source = 'IITM_LLN' THEN 0.95e0 ELSE 0.92e0 END AS confidence
  FROM k JOIN (SELECT event_id, v FROM c) USING (event_id)""")
 
@@ -92,3 +93,39 @@ def _split_windows(s, d):
 
 add("split_windows", _split_windows, f"""WITH {B.CELLS}, {live._SPLIT}, d AS (SELECT day, min(frame) + 1 AS a, max(frame) - 1 - 17 AS b FROM c GROUP BY day)
 SELECT split, day, unnest(generate_series(a, b, CASE WHEN split = 'train' THEN 2 ELSE 6 END)) AS t0 FROM d JOIN sp USING (day) WHERE b >= a""")
+
+
+def _daily(s, d):
+    o = B.table(s, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c"))
+    x = B.table(s, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    name = F.when(F.col("c") % 17 == 0, None).otherwise(F.concat(F.lit("city"), (F.col("c") % 5).cast("string")))
+    num = lambda c: F.col(c).cast("double")
+    return weather.daily(x.select(
+        name.alias("city"), F.lit("state").alias("state"), (F.col("c") % 5 + 10.0).alias("latitude"), F.lit(75.0).alias("longitude"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.when(F.col("c") % 3 != 0, num("l_quantity")).alias("rain"), num("l_linenumber").alias("precipitation"), num("l_extendedprice").alias("wind_speed_10m"), num("l_tax").alias("wind_gusts_10m"),
+        num("l_discount").alias("cape"), (F.col("l_linenumber") % 2).cast("int").alias("is_thunderstorm"), num("l_quantity").alias("lightning_proxy")))
+
+
+add("weather_daily", _daily, """WITH x AS (SELECT *, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 17 <> 0)
+SELECT 'city' || CAST(c % 5 AS VARCHAR) AS city, 'state' AS state, c % 5 + 10.0e0 AS latitude, 75.0e0 AS longitude, CAST(l_shipdate AS DATE) AS date,
+ coalesce(sum(CASE WHEN c % 3 <> 0 THEN CAST(l_quantity AS DOUBLE) END), 0.0e0) AS rain, sum(CAST(l_linenumber AS DOUBLE)) AS precipitation, max(CAST(l_extendedprice AS DOUBLE)) AS max_wind,
+ max(CAST(l_tax AS DOUBLE)) AS max_gust, max(CAST(l_discount AS DOUBLE)) AS max_cape, CAST(sum(l_linenumber % 2) AS BIGINT) AS thunder_hours, max(CAST(l_quantity AS DOUBLE)) AS max_proxy FROM x GROUP BY ALL""")
+
+# What each source sent in the example, whether it is configured, and its error.
+PAYLOADS = [
+    ("radar", '{"refl_sfc": 1}', True, None),
+    ("insat", '{"other": 1}', True, None),
+    ("lightning", '{"strikes": []}', True, "timeout"),
+    ("aws", None, True, None),
+    ("nwp", '{"status": "STALE", "values": {}}', True, None),
+    ("mosdac_dwr", '{"data": 1}', False, None),
+]
+
+
+def _health(s, d):
+    p = s.createDataFrame(PAYLOADS, "source string, payload string, configured boolean, error string")
+    return health.fetched(p, health.registry(s)).select("source", "state", F.size("channels").alias("channels"))
+
+
+add("source_health", _health, """SELECT * FROM (VALUES ('radar', 'LIVE', 4), ('insat', 'DEGRADED', 1), ('lightning', 'UNAVAILABLE', 1), ('aws', 'UNAVAILABLE', 0), ('nwp', 'LIVE', 0),
+ ('mosdac_dwr', 'NOT_CONFIGURED', 2), ('imd_dwr', 'NOT_CONFIGURED', 1)) t(source, state, channels)""")
