@@ -43,6 +43,11 @@ _PLAIN_SPLIT = re.compile(_split(LETTER, NUMBER))
 _ANY_SPLIT = regex.compile(_split(r"\p{L}", r"\p{N}"))
 
 
+def plain_pieces(text: str) -> Iterator[str]:
+    """Of a text that PLAIN matches, one after another."""
+    return (m.group() for m in _PLAIN_SPLIT.finditer(text))
+
+
 def pieces(text: str) -> list[str]:
     return (_PLAIN_SPLIT if PLAIN.fullmatch(text) else _ANY_SPLIT).findall(text)
 

@@ -6,7 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.llm import ann_hilbert, bpe, chain_dedup, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, suffix_dedup
+from stormgrid.llm import (
+    ann_hilbert,
+    bpe,
+    chain_dedup,
+    conversation_repair,
+    filter_audit,
+    html_crf,
+    jaccard_rtree,
+    langid_ecoc,
+    license_sam,
+    mix_wfq,
+    quality_sa,
+    suffix_dedup,
+    token_cache,
+)
+from stormgrid.llm.shared import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +69,39 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_wfq.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op11(_table(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, empty at first, so that what it costs is what encoding costs."""
+    return token_cache.counted(_table(spark, sf_dir, "documents"), scratch(spark, "token-cache"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_html_extraction, op3_license_scan, op4_suffix_dedup, op5_jaccard_join, op6_byte_bpe, op7_quality_rules, op8_language_id, op9_fuzzy_passages, op10_mix_sources)
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours,
+        op2_html_extraction,
+        op3_license_scan,
+        op4_suffix_dedup,
+        op5_jaccard_join,
+        op6_byte_bpe,
+        op7_quality_rules,
+        op8_language_id,
+        op9_fuzzy_passages,
+        op10_mix_sources,
+        op11_conversation_repair,
+        op12_token_counts,
+        op13_filter_audit,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op10_mix_sources": mix_wfq.ORACLE,
+    "op11_conversation_repair": conversation_repair.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
-ORACLES: dict[str, str] = {"op10_mix_sources": mix_wfq.ORACLE}

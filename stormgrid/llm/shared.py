@@ -95,3 +95,10 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
 def project(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that columns a caller added cannot clash with an operator's own."""
     return df.select(*[df[n] for n in names])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; deleted when the process ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _new(spark, at)
+    return at
