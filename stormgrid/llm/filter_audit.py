@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from itertools import permutations
+from itertools import count, permutations
 
 import numpy as np
 import zstandard
@@ -108,11 +108,11 @@ def _copies(doc_id: int, rows: dict) -> Iterator[tuple[int, str, int, int]]:
 
 def _sent(rows: Iterable, held: int = HELD) -> Iterator[tuple[int, tuple]]:
     """In an input partition: (fingerprint, entry of a chain), and what is decided already under a key that spreads it."""
-    chains, z = Chains(), zstandard.ZstdCompressor(1)
-    spread = lambda r: ((r[0] or 0) * 0x9E3779B97F4A7C15 >> 17 & 0x7FFFFFFF, r)
+    chains, z, nameless = Chains(), zstandard.ZstdCompressor(1), count()
+    spread = lambda r: (r[0] * 0x9E3779B97F4A7C15 >> 17 & 0x7FFFFFFF, r)
     for doc_id, part, mask, fp, text in rows:
         if doc_id is None:
-            yield spread((None, part, mask, 1))
+            yield next(nameless), (None, part, mask, 1)
             continue
         yield from map(spread, chains.put(fp, z.compress(text.encode("utf-8", "surrogatepass")), doc_id, {(part, mask): 1}))
         if chains.size > held:
