@@ -11,7 +11,7 @@ rows hold, a partition gets one row from each task. Chains are let go when a tas
 sent are then more, the result is the same.
 
 Edge cases: a null text is an empty one, and empty texts are copies of each other. A missing id is not compared: such a
-row is no copy and makes none. Rows of one id and text are not copies of each other. A null part is the empty one.
+row is no copy, makes none and has no label. Rows of one id and text are not copies of each other. A null part is the empty one.
 Labels: a document is good, or toxic, if any of its label rows says so. An empty table has an empty result. Other columns
 are not looked at.
 """
