@@ -68,7 +68,7 @@ class _Pieces(dict):
         while part := list(islice(left, PIECES)):
             if len(self) > REMEMBERED:
                 self.clear()
-            missing = list(set(part).difference(self))
+            missing = [p for p in set(part) if p not in self]
             self.update(zip(missing, self.whole(missing), strict=True))
             total += sum(map(self.__getitem__, part))
         return total
