@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormgrid.plans import evaluation, fields, live, scans, verification
+from stormgrid.plans import evaluation, fields, live, scans, stateful, verification
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (verification, fields, live, evaluation, scans):
+for _m in (verification, fields, live, evaluation, scans, stateful):
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
