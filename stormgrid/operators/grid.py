@@ -130,3 +130,23 @@ def mean_regrid(points: DataFrame, row: Column, col: Column, keys: list[str], va
 def spread_radius(step: int) -> int:
     """Pixels by which a forecast widens after so many steps: the root, rounded half to even."""
     return round(math.sqrt(step))
+
+
+def box_sums(df: DataFrame, keys: list[str], fields: list[str], radii: list[int], n: int = S.GRID) -> DataFrame:
+    """{field}_r{r} for every field and radius: the sum over the box of side 2r + 1 of a dense grid whose edge pixels go on
+    outside. Prefix sums along rows, then along columns: a box is a difference of two of them, whatever its radius. A
+    grid's rows come together once, and both passes sort in place."""
+
+    def along(d: DataFrame, names: dict[str, tuple[str, int]], fixed: str, moving: str) -> DataFrame:
+        # SQL text: as many Column objects would take longer to make than the job to run
+        w = f"PARTITION BY {', '.join(keys)}, {fixed} ORDER BY {moving}"
+        whole = f"OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        sources = sorted({s for s, _ in names.values()})
+        d = d.selectExpr("*", *(f"{f} AS _{k}_{s}" for s in sources for k, f in (("sum", f"sum({s}) OVER ({w} ROWS UNBOUNDED PRECEDING)"), ("first", f"first({s}) {whole}"), ("last", f"last({s}) {whole}"), ("all", f"sum({s}) {whole}"))))
+        box = lambda s, r: f"coalesce(lead(_sum_{s}, {r}) OVER ({w}), _all_{s}) - coalesce(lag(_sum_{s}, {r + 1}) OVER ({w}), 0) + greatest(0, {r} - {moving}) * _first_{s} + greatest(0, {moving} + {r - n + 1}) * _last_{s}"
+        kept = [c for c in d.columns if not c.startswith(("_sum_", "_first_", "_last_", "_all_")) and c not in sources or c in fields]
+        return d.selectExpr(*kept, *(f"{box(*at)} AS {name}" for name, at in names.items()))
+
+    half = {f"_x_{f}_r{r}": (f, r) for f in fields for r in radii}
+    d = along(df.repartition(*keys), half, "row", "col")
+    return along(d, {name.removeprefix("_x_"): (name, r) for name, (_, r) in half.items()}, "col", "row")

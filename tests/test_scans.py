@@ -43,10 +43,36 @@ def test_ranking_over_slices(spark):
         assert got[k]["auprc"] == pytest.approx(sum(sum(b >= a for b in pos) / sum(b >= a for b in pos + neg) for a in pos) / len(pos), abs=1e-6)
 
 
+ROWS = "model string, kind string, auprc double, csi double, ni_auprc double, ni_csi double"
+
+
+def _said(spark, rows, problems=()):
+    return evaluation.verdict(spark.createDataFrame(rows, ROWS), list(problems)).first()
+
+
 def test_comparison_with_missing_values(spark):
-    s = spark.createDataFrame([("l", 0.5, None), ("r", 0.4, 0.2)], "model string, auprc double, csi double")
-    c = evaluation.compared(s, "l", ["r"], ["auprc", "csi"])
-    got = {r["metric"]: r for r in c.collect()}
+    s = spark.createDataFrame([("l", "learned", 0.5, None, 0.1, 0.2), ("advection", "baseline", 0.4, 0.2, 0.2, 0.2), ("persistence", "baseline", 0.9, 0.9, 0.9, 0.9)], ROWS)
+    got = {r["metric"]: r for r in evaluation.compared(s).collect()}
+    assert set(got) == {"auprc", "csi", "ni_auprc", "ni_csi"} and {r["reference"] for r in got.values()} == {"advection"}
     assert got["auprc"]["learned_wins"] and got["auprc"]["relative"] == 0.25
     assert not got["csi"]["comparable"] and not got["csi"]["learned_wins"] and got["csi"]["margin"] is None
-    assert [evaluation.verdict(c, n).first()["verdict"] for n in (0, 1)] == ["better", "withheld"]
+    assert got["ni_auprc"]["margin"] == pytest.approx(-0.1) and not got["ni_csi"]["learned_wins"]
+
+
+def test_verdict_by_hand(spark):
+    """The aggregate AUPRC decides, whatever the other scores say; only problems of the test split withhold it."""
+    adv, rule = ("advection", "baseline", 0.4, 0.9, 0.3, 0.9), ("charging_rule", "baseline", 0.3, 0.9, 0.05, 0.9)
+    r = _said(spark, [("a", "learned", 0.45, 0.1, 0.1, 0.1), ("blend_a", "blend", 0.41, 0.1, None, 0.1), adv, rule], ["val: fewer than 500 positives"])
+    assert (r["verdict"], r["best_learned"], r["best_overall"], r["best_new_initiation"]) == ("beats both", "a", "a", "advection")
+    assert (r["ni_beats_advection"], r["ni_beats_charging_rule"], r["test_split_usable"]) == (False, True, True)
+    assert _said(spark, [("a", "learned", 0.35, 1.0, 1.0, 1.0), adv, rule])["verdict"] == "beats charging_rule only"
+    assert _said(spark, [("a", "learned", 0.4, 1.0, 1.0, 1.0), adv, ("charging_rule", "baseline", 0.5, 0.0, 0.0, 0.0)])["verdict"] == "beats neither"
+    assert _said(spark, [("a", "learned", 0.45, 1.0, 1.0, 1.0), adv, ("charging_rule", "baseline", None, 0.0, 0.0, 0.0)])["verdict"] == "beats advection only"
+    assert _said(spark, [("a", "learned", 0.9, 1.0, 1.0, 1.0), adv, rule], ["test: all from one event"])["verdict"] == "withheld"
+    assert _said(spark, [("a", "learned", None, 1.0, 1.0, 1.0), adv, rule])["verdict"] == "nothing to claim"
+
+
+def test_threshold_without_anything_to_score(spark):
+    d = spark.createDataFrame([("m", 0.001, 0.0), ("m", 0.002, 0.0)], "model string, p double, lit double")
+    assert tuple(evaluation.choose_thresholds(d, ["model"], "p", "lit").first()) == ("m", 0.15, None, None)
+    assert len(evaluation.CHOICES) == 14
