@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormgrid.plans import base as B
+from stormgrid.sources import adapters, health
 from stormgrid.streaming import state
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +94,51 @@ a AS (SELECT zone, k, min(t) AS first_t, max(t) + 2700000000 AS end_t FROM n GRO
 c AS (SELECT a.zone, a.k, min(e.t) AS ack_us FROM a JOIN e ON e.zone = a.zone AND e.event_type = 'click' AND e.t BETWEEN first_t AND end_t GROUP BY a.zone, a.k),
 r AS (SELECT zone, first_t AS changed_us, 'RAISED' AS state FROM a UNION ALL SELECT zone, ack_us, 'ACKNOWLEDGED' FROM c UNION ALL SELECT zone, end_t, 'EXPIRED' FROM a)
 SELECT zone, changed_us, state FROM r, {PASSED.format(src='e')} WHERE changed_us <= passed""")
+
+
+# adapters: three payloads a source, made of its latest events; one source has none, one an empty file, one broken text
+NAMES = ["radar", "insat", "lightning", "aws", "nwp", "mosdac_dwr", "imd_dwr"]
+
+
+def source_adapters(s: SparkSession, d: str) -> DataFrame:
+    at = folder(s, "payloads")
+    at = at if ":" in at.split("/")[0] else f"file://{at}"
+    e = B.table(s, d, "events")
+    k = (F.col("user_id") % 7).cast("int")
+    nth = F.row_number().over(Window.partitionBy(k).orderBy(F.col("ts").desc(), F.col("event_id").desc()))
+    e = e.select(k.alias("k"), "event_type", F.col("event_id"), nth.alias("n")).where("n <= 3 AND k <> 3")
+    needs = F.element_at(F.array(*[F.lit(dict((n, x) for n, _, x in health.SOURCES)[n][0]) for n in NAMES]), F.col("k") + 1)
+    key = F.when(F.col("event_type").isin("view", "click"), F.lit("other")).otherwise(needs)
+    text = F.when(F.col("k") == 4, F.when(F.col("n") == 1, "").otherwise(F.format_string('{"%s":%d}', needs, "event_id"))).when(F.col("k") == 5, F.format_string("no json %07d", "event_id")).otherwise(F.format_string('{"%s":%d}', key, "event_id"))
+    source = F.element_at(F.array(*map(F.lit, NAMES)), F.col("k") + 1)
+    for n in (3, 2, 1):  # one file each, the newest last by name
+        part = e.where(F.col("n") == n).select(source.alias("source"), text.alias("value"))
+        part.coalesce(1).write.partitionBy("source").option("lineSep", "\r").text(f"{at}/run{3 - n}")
+    _gather(s, at)
+    a = adapters.read(s, f"{at}/all")
+    return a.select("source", "state", F.size("channels").cast("long").alias("channels"), F.regexp_extract("payload", r":(\d+)", 1).alias("value"), F.col("error").isNotNull().alias("failed"))
+
+
+def _gather(s: SparkSession, at: str) -> None:
+    """Files of the three runs side by side, named by run: as three fetches would leave them."""
+    jvm = s.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(at)
+    fs = base.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for run in range(3):
+        for folder_ in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{at}/run{run}")):
+            name = folder_.getPath().getName()
+            if not name.startswith("source="):
+                continue
+            to = jvm.org.apache.hadoop.fs.Path(f"{at}/all/{name}")
+            fs.mkdirs(to)
+            for f in fs.listStatus(folder_.getPath()):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{at}/all/{name}/fetch{run}.txt"))
+
+
+_ADAPTERS = ", ".join(f"({k}, '{n}', {len(dict((a, c) for a, c, _ in health.SOURCES)[n])}, '{dict((a, x) for a, _, x in health.SOURCES)[n][0]}')" for k, n in enumerate(NAMES))
+add("source_adapters", source_adapters, f"""WITH a AS (SELECT * FROM (VALUES {_ADAPTERS}) v(k, source, channels, need)),
+e AS (SELECT CAST(user_id % 7 AS INTEGER) AS k, event_type, event_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) AS n FROM events),
+f AS (SELECT a.*, e.n, event_id, CASE WHEN a.k = 4 THEN n > 1 WHEN a.k = 5 THEN true ELSE event_type NOT IN ('view', 'click') END AS ok FROM e JOIN a USING (k) WHERE n <= 3 AND k <> 3),
+b AS (SELECT k, source, channels, arg_min(n, n) FILTER (WHERE ok) AS n, arg_min(event_id, n) FILTER (WHERE ok) AS id, bool_and(k = 4 AND n = 1) AS empty FROM f GROUP BY ALL)
+SELECT a.source, CASE WHEN b.k IS NULL THEN 'NOT_CONFIGURED' WHEN b.n = 1 THEN 'LIVE' WHEN b.n > 1 THEN 'STALE' ELSE 'DEGRADED' END AS state, CAST(a.channels AS BIGINT) AS channels,
+ CASE WHEN a.k = 5 THEN '16' ELSE CAST(id AS VARCHAR) END AS value, b.k IS NULL OR coalesce(b.n, 9) > 1 AS failed FROM a LEFT JOIN b USING (k)""")
