@@ -58,3 +58,13 @@ def range_of_altitude_km(altitude: float, elevation: float, factor: float = EART
     r, s = EARTH_KM * factor, math.sin(math.radians(elevation))
     d = -r * s + math.sqrt((r * s) ** 2 + altitude * altitude + 2 * r * altitude)
     return min(max(d, 0.0), most)
+
+
+def radar_geometry(low_elevation: float = 0.5, high_elevation: float = 20.0, beam_degrees: float = 1.0, low_km: float = S.CHARGING_LOW_KM, high_km: float = S.CHARGING_HIGH_KM, freezing_km: float = S.FREEZING_KM) -> dict[str, float]:
+    """Ranges in km that bound what a radar can tell of the charging layer: within the cone no beam reaches it; beyond the
+    overshoot the lowest beam is above it; from where the beam is thicker than it, and from where it takes in melting ice."""
+    width = math.radians(beam_degrees)
+    return {
+        "cone_of_silence_km": low_km / math.tan(math.radians(high_elevation)), "overshoot_range_km": range_of_altitude_km(low_km, low_elevation), "overshoot_range_upper_km": range_of_altitude_km(high_km, low_elevation),
+        "beam_thicker_than_layer_km": max(high_km - low_km, 1e-6) / width, "bright_band_contamination_km": 2.0 * max(low_km - freezing_km, 1e-6) / width,
+    }

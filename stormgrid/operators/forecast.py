@@ -24,13 +24,22 @@ def climatology(df: DataFrame, keys: list[str], base_rate: float, leads: range =
 
 
 def moved(df: DataFrame, keys: list[str], field: str, dy: Column, dx: Column, decay: float, leads: range = LEADS) -> DataFrame:
-    """A dense field carried on by (dy, dx) a step, widened by the root of the steps, fading by `decay` a step."""
-    parts = []
-    for step in leads:
-        d = grid.shift(df, keys, field, dy * step, dx * step, "_f")
-        d = grid.box_mean(d, keys, "_f", grid.spread_radius(step), "_g")
-        parts.append(d.select(*keys, F.lit(step).alias("lead"), "row", "col", F.least(F.greatest(F.col("_g") * decay**step, F.lit(0.0)), F.lit(1.0)).alias("prob")))
-    return reduce(DataFrame.unionByName, parts)
+    """A dense field carried on by (dy, dx) a step, widened by the root of the steps, fading by `decay` a step. All leads go
+    through one pass: a pixel gives its value to at most four others at each lead, and boxes of all sizes are taken together."""
+    each = F.explode(F.array(*map(F.lit, leads))).alias("lead")
+    empty = df.select(*keys, each, "row", "col", F.lit(0.0).alias("_f"))
+    d = df.where(F.col(field) != 0).select(*keys, "row", "col", F.col(field).alias("_v"), dy.alias("_dy"), dx.alias("_dx")).select("*", each)
+    d = d.withColumns({"_my": F.col("_dy") * F.col("lead"), "_mx": F.col("_dx") * F.col("lead")})
+    d = d.withColumns({"_fy": F.floor("_my").cast("int"), "_fx": F.floor("_mx").cast("int"), "_ay": F.col("_my") - F.floor("_my"), "_ax": F.col("_mx") - F.floor("_mx")})
+    part = lambda i, j: f"struct(row + _fy + {i} AS row, col + _fx + {j} AS col, _v * {'_ay' if i else '(1 - _ay)'} * {'_ax' if j else '(1 - _ax)'} AS _f)"
+    d = d.selectExpr(*keys, "lead", f"explode(array({', '.join(part(i, j) for i in (0, 1) for j in (0, 1))})) AS p").selectExpr(*keys, "lead", "p.*")
+    d = d.where(f"_f <> 0 AND row BETWEEN 0 AND {S.GRID - 1} AND col BETWEEN 0 AND {S.GRID - 1}")
+    d = empty.unionByName(d).groupBy(*keys, "lead", "row", "col").agg(F.sum("_f").alias("_f"))
+    radius = {step: grid.spread_radius(step) for step in leads}
+    d = grid.box_sums(d, [*keys, "lead"], ["_f"], sorted({r for r in radius.values() if r}))
+    mean = lambda r: F.col(f"_f_r{r}") / float((2 * r + 1) ** 2) if r else F.col("_f")
+    wide = F.coalesce(*(F.when(F.col("lead") == step, mean(r) * decay**step) for step, r in radius.items()))
+    return d.select(*keys, "lead", "row", "col", F.least(F.greatest(wide, F.lit(0.0)), F.lit(1.0)).alias("prob"))
 
 
 def advection(df: DataFrame, keys: list[str], lit: str, dy: Column, dx: Column, leads: range = LEADS) -> DataFrame:
@@ -59,6 +68,17 @@ def motion(df: DataFrame, keys: list[str], frame: str, value: str, most: int = 6
     return df.select(*keys).distinct().join(per, keys, "left").select(*keys, F.coalesce("dy", F.lit(0.0)).alias("dy"), F.coalesce("dx", F.lit(0.0)).alias("dx"))
 
 
+def base_rate(train: DataFrame, lit: Column) -> DataFrame:
+    """One row: the share of struck pixels of training data."""
+    return train.agg(F.coalesce(F.avg(lit.cast("double")), F.lit(0.0)).alias("base_rate"))
+
+
+def run_all(df: DataFrame, keys: list[str], lit: str, m10: str, dy: Column, dx: Column, base: float, leads: range = LEADS) -> DataFrame:
+    """(model, keys, lead, row, col, prob) of every baseline. base: the training data's base rate."""
+    named = {"persistence": persistence(df, keys, lit, leads), "climatology": climatology(df, keys, base, leads), "advection": advection(df, keys, lit, dy, dx, leads), "charging_rule": charging_rule(df, keys, m10, dy, dx, leads)}
+    return reduce(DataFrame.unionByName, [d.select(F.lit(m).alias("model"), *keys, "lead", "row", "col", "prob") for m, d in named.items()])
+
+
 def capped(dy: Column, dx: Column, most: float = 4.0) -> tuple[Column, Column]:
     size = F.hypot(dy, dx)
     scale = F.when(size > most, most / size).otherwise(1.0)

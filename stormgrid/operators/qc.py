@@ -50,6 +50,45 @@ def quality_control(df: DataFrame, centre: tuple[float, float] | None = None, ne
     return d.drop("std")
 
 
+def kill_counts(df: DataFrame, centre: tuple[float, float] | None = None, elevations: tuple[float, float] = (0.5, 20.0), far_km: float | None = None, mask_bright_band: bool = False) -> DataFrame:
+    """(step, rule, channel, masked): what each rule newly masks of each channel, in the order in which they run; of the bright
+    band what is flagged, where it isn't masked. The radar's rules follow from its lowest and highest elevation: beyond the
+    overshoot (or far_km), and within the cone of silence. One aggregation, whatever the number of rules."""
+    steps: list[tuple[str, str, Column]] = []
+    d = temporal_std(out_of_range(non_finite(df.withColumns({f"_raw_{c}": F.col(c) for c in S.CHANNELS}))), "refl_sfc")
+    d = d.withColumns({f"_ok_{c}": F.col(c) for c in S.CHANNELS})
+    finite = lambda c: ~F.isnan(f"_raw_{c}") & (F.abs(F.col(f"_raw_{c}")) < float("inf"))
+    for c in S.CHANNELS:
+        steps.append(("non_finite", c, F.col(f"_raw_{c}").isNotNull() & ~finite(c)))
+        steps.append(("range", c, F.col(f"_raw_{c}").isNotNull() & finite(c) & F.col(f"_ok_{c}").isNull()))
+    steps.sort(key=lambda x: x[0] != "non_finite")
+    d = d.withColumns({"_clutter": clutter(F.col("std"))})
+    ground = ("refl_sfc", "refl_m10", "echo_top", "vil")
+    steps += [("clutter", c, F.col("_clutter") & F.col(f"_ok_{c}").isNotNull()) for c in ground]
+    d = d.withColumns({c: F.when(~F.col("_clutter"), F.col(c)) for c in ground})
+    d = d.withColumn("_band", bright_band(F.col("std")))
+    steps.append(("bright_band", "refl_sfc", F.col("_band")))
+    if mask_bright_band:
+        d = d.withColumn("refl_sfc", F.when(~F.col("_band"), F.col("refl_sfc")))
+    if centre:
+        geometry = geo.radar_geometry(*elevations)
+        rng, _ = geo.range_azimuth(F.col("row"), F.col("col"), *centre)
+        far = rng > (geometry["overshoot_range_km"] if far_km is None else far_km)
+        near = ~far & (rng < geometry["cone_of_silence_km"])
+        for rule, hit in (("far", far), ("cone_of_silence", near)):
+            steps += [(rule, c, hit & F.col(c).isNotNull()) for c in ("refl_m10", "echo_top")]
+    d = d.agg(*(F.count_if(F.coalesce(hit, F.lit(False))).alias(f"_{i}") for i, (_, _, hit) in enumerate(steps)))
+    rows = F.array(*(F.struct(F.lit(i + 1).alias("step"), F.lit(rule).alias("rule"), F.lit(c).alias("channel"), F.col(f"_{i}").alias("masked")) for i, (rule, c, _) in enumerate(steps)))
+    return d.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def channel_statistics(df: DataFrame, channels: list[str] = S.CHANNELS) -> DataFrame:
+    """(channel, n, valid, share, least, largest, mean) over valid readings: the figures of a contract check."""
+    aggs = [F.count(F.lit(1)).alias("_n"), *(x.alias(f"_{k}_{c}") for c in channels for k, x in (("v", F.count(c)), ("lo", F.min(c)), ("hi", F.max(c)), ("m", F.avg(c))))]
+    rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col("_n").alias("n"), F.col(f"_v_{c}").alias("valid"), F.round(F.try_divide(F.col(f"_v_{c}").cast("double"), F.col("_n")), 6).alias("share"), F.col(f"_lo_{c}").cast("double").alias("least"), F.col(f"_hi_{c}").cast("double").alias("largest"), F.round(f"_m_{c}", 6).alias("mean")) for c in channels))
+    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
+
+
 def report(before: DataFrame, after: DataFrame, channels: list[str] = S.CHANNELS) -> DataFrame:
     """(channel, valid_before, valid_after, masked): parts of all values."""
     share = lambda d, tag: d.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in channels]).unpivot(["n"], channels, "channel", tag)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stormgrid import schema as S
 from stormgrid.functions import geo
-from stormgrid.operators import asof, blend, lagrangian, splits
+from stormgrid.operators import asof, blend, cells, flow, forecast, lagrangian, qc, splits
 from stormgrid.plans import base as B
 from stormgrid.plans import evaluation as PE
 from stormgrid.plans import live
@@ -171,3 +172,91 @@ z AS (SELECT lit, mix, ln(least(greatest(mix, 1e-6), 1.0e0 - 1e-6) / (1.0e0 - le
 ca AS (SELECT unnest([{', '.join(f'{a}e0' for a in blend.SLOPES)}]) AS a), cb AS (SELECT unnest([{', '.join(f'{b}e0' for b in blend.OFFSETS)}]) AS b),
 k AS (SELECT a, b, 0 AS i, round(avg(pow(1.0e0 / (1.0e0 + exp(-(a * z + b))) - lit, 2)), 9) AS br FROM z, ca, cb GROUP BY a, b UNION ALL SELECT 1.0e0, 0.0e0, -1, round(avg(pow(mix - lit, 2)), 9) FROM z)
 SELECT arg_min(a, (br, i, a, b)) AS cal_a, arg_min(b, (br, i, a, b)) AS cal_b, max(br) FILTER (WHERE i = -1) AS brier_uncalibrated, min(br) AS brier_calibrated FROM k""")
+
+# cells by tiles, and motion of each day's reflectivity from the day before, by quarter of the grid
+
+add("cells_tiled", lambda s, d: cells.detect(B.day_grid(s, d), ["day"], "z", "strikes", 5.0), f"""WITH RECURSIVE {B.GRID},
+p AS (SELECT day, row, col, z, strikes, row * 64 + col AS id FROM g WHERE z >= 5.0),
+e AS (SELECT a.day, a.id AS a, b.id AS b FROM p a JOIN p b ON a.day = b.day AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+r(day, id, low) AS (SELECT day, id, id FROM p UNION SELECT e.day, e.b, r.low FROM r JOIN e ON e.day = r.day AND e.a = r.id WHERE r.low < e.b),
+l AS (SELECT day, id, min(low) AS label FROM r GROUP BY ALL),
+c1 AS (SELECT day, label, count(*) AS n, min(row) AS row_min, max(row) + 1 AS row_max, min(col) AS col_min, max(col) + 1 AS col_max, round_even(avg(row), 1) AS centroid_row, round_even(avg(col), 1) AS centroid_col,
+ CAST(4 * count(*) AS INTEGER) AS area_km2, round_even(max(z), 1) AS max_dbz, round_even(avg(z), 1) AS mean_dbz, count(*) FILTER (WHERE strikes >= 1) AS strikes, max(z) AS top FROM p JOIN l USING (day, id) GROUP BY ALL)
+SELECT day, CAST(row_number() OVER (PARTITION BY day ORDER BY label) AS INTEGER) AS cell, CAST(row_number() OVER (PARTITION BY day ORDER BY max_dbz DESC, label) AS INTEGER) AS rank, row_min, row_max, col_min, col_max,
+ centroid_row, centroid_col, area_km2, max_dbz, mean_dbz, strikes, CASE WHEN top >= 45 THEN 'CRITICAL' WHEN top >= 35 THEN 'SEVERE' ELSE 'CONVECTIVE' END AS severity FROM c1 WHERE n >= 4""")
+
+
+def _days(s, d):
+    g = B.day_grid(s, d)
+    return g.select((F.unix_date("day") % 2).alias("parity"), F.floor(F.unix_date("day") / 2).cast("int").alias("frame"), "row", "col", "z")
+
+
+_T = "sum({x}) OVER (PARTITION BY parity, frame, {f} ORDER BY {m} RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) + greatest(0, 7 - {m}) * first_value({x}) OVER ({w}) + greatest(0, {m} - 56) * last_value({x}) OVER ({w})"
+_tt = lambda x, f, m: _T.format(x=x, f=f, m=m, w=f"PARTITION BY parity, frame, {f} ORDER BY {m} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+_K = ("tyy", "txx", "txy", "tyt", "txt")
+add("flow_regions", lambda s, d: flow.motion(_days(s, d), ["parity"], "frame", "z", region=16).select("parity", "region_row", "region_col", F.round("dy", 5).alias("dy"), F.round("dx", 5).alias("dx")), f"""WITH {B.GRID},
+s0 AS (SELECT CAST((day - DATE '1970-01-01') % 2 AS INTEGER) AS parity, CAST((day - DATE '1970-01-01') // 2 AS INTEGER) AS frame, row, col, z AS b FROM g),
+s1 AS (SELECT *, lag(b) OVER w AS a, lag(frame) OVER w AS was FROM s0 WINDOW w AS (PARTITION BY parity, row, col ORDER BY frame)),
+s2 AS (SELECT parity, frame, row, col, b, (a + b) / 2.0e0 AS m, b - a AS dt FROM s1 WHERE was = frame - 1),
+s3 AS (SELECT *, (coalesce(lead(m) OVER v, m) - coalesce(lag(m) OVER v, m)) / 2.0e0 AS y, (coalesce(lead(m) OVER h, m) - coalesce(lag(m) OVER h, m)) / 2.0e0 AS x FROM s2 WINDOW v AS (PARTITION BY parity, frame, col ORDER BY row), h AS (PARTITION BY parity, frame, row ORDER BY col)),
+s4 AS (SELECT parity, frame, row, col, b, y * y AS tyy, x * x AS txx, x * y AS txy, y * dt AS tyt, x * dt AS txt FROM s3),
+s5 AS (SELECT parity, frame, row, col, b, {', '.join(f'{_tt(k, "row", "col")} AS {k}' for k in _K)} FROM s4),
+s6 AS (SELECT parity, frame, row, col, greatest(b - 15.0e0, 0.0e0) AS w, {', '.join(f'round({_tt(k, "col", "row")}, 9) AS {k}' for k in _K)} FROM s5),
+s7 AS (SELECT *, tyy * txx - txy * txy AS det FROM s6), s8 AS (SELECT parity, frame, row // 16 AS region_row, col // 16 AS region_col, w, (txy * txt - txx * tyt) / det AS dy, (txy * tyt - tyy * txt) / det AS dx FROM s7 WHERE w > 0 AND det > 1e-3 * (tyy + txx) * (tyy + txx)),
+s9 AS (SELECT parity, region_row, region_col, sum(w * dy) / sum(w) AS dy, sum(w * dx) / sum(w) AS dx FROM s8 GROUP BY parity, region_row, region_col, frame)
+SELECT parity, CAST(region_row AS INTEGER) AS region_row, CAST(region_col AS INTEGER) AS region_col, round(quantile_cont(dy, 0.5), 5) AS dy, round(quantile_cont(dx, 0.5), 5) AS dx FROM s9 GROUP BY ALL""")
+
+# all baselines by one call: scores of each over the days after the training days
+
+MOVE = (0.6, -0.45)
+
+
+def all_baselines(s, d):
+    g = B.day_grid(s, d).join(splits.split_events(B.cells(s, d), "day", "chronological"), "day")
+    base = forecast.base_rate(g.where("split = 'train'"), F.col("lit")).first()["base_rate"]  # one number
+    test = g.where("split = 'test'").select("day", "row", "col", "lit", (F.col("z") * 2.0).alias("m10"))
+    p = forecast.run_all(test, ["day"], "lit", "m10", F.lit(MOVE[0]), F.lit(MOVE[1]), base)
+    return p.groupBy("model", "lead").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob"), F.round(F.max("prob"), 6).alias("max_prob"), F.count_if(F.round("prob", 9) >= 0.15).alias("over"))
+
+
+def _moved_sql(src: str, field: str, decay: float, name: str) -> str:
+    """Of src (day, row, col, field): all leads, by corners and framed windows."""
+    corner = lambda i, j: f"SELECT day, lead, row + fy + {i} AS row, col + fx + {j} AS col, {field} * {'ay' if i else '(1 - ay)'} * {'ax' if j else '(1 - ax)'} AS w FROM {name}0"
+    win = lambda x, f, m: f"(sum({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} RANGE BETWEEN rad PRECEDING AND rad FOLLOWING) + greatest(0, rad - {m}) * first_value({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + greatest(0, {m} + rad - 63) * last_value({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / (2 * rad + 1)"
+    return f"""{name}0 AS (SELECT s.*, ld.lead, ld.rad, CAST(floor({MOVE[0]}e0 * lead) AS INTEGER) AS fy, CAST(floor({MOVE[1]}e0 * lead) AS INTEGER) AS fx, {MOVE[0]}e0 * lead - floor({MOVE[0]}e0 * lead) AS ay, {MOVE[1]}e0 * lead - floor({MOVE[1]}e0 * lead) AS ax FROM {src} s, ld),
+{name}1 AS (SELECT x.day, x.lead, x.rad, x.row, x.col, coalesce(w, 0.0e0) AS w FROM {name}0 x LEFT JOIN (SELECT day, lead, row, col, sum(w) AS w FROM ({' UNION ALL '.join(corner(i, j) for i in (0, 1) for j in (0, 1))}) GROUP BY ALL) y USING (day, lead, row, col)),
+{name}2 AS (SELECT day, lead, rad, row, col, {win('w', 'row', 'col')} AS w FROM {name}1), {name} AS (SELECT day, lead, row, col, least(greatest({win('w', 'col', 'row')} * pow({decay}e0, lead), 0.0e0), 1.0e0) AS prob FROM {name}2)"""
+
+
+add("all_baselines", all_baselines, f"""WITH {B.GRID}, {PE._SPLIT}, te AS (SELECT g.day, row, col, lit, z * 2.0e0 AS m10 FROM g JOIN sp USING (day) WHERE split = 'test'), ba AS (SELECT coalesce(avg(lit), 0.0e0) AS base FROM g JOIN sp USING (day) WHERE split = 'train'),
+ld AS (SELECT CAST(i AS INTEGER) AS lead, CAST(round_even(sqrt(i), 0) AS INTEGER) AS rad FROM range(1, 13) x(i)),
+{B.sql_box_mean('te', 'lit', 1, 'pe', 'q1')}, t0 AS (SELECT *, CASE WHEN m10 >= 40 THEN 1.0e0 ELSE 0.0e0 END AS dd FROM q1), {B.sql_box_max('t0', 'dd', 2, 'wd', 'q2')}, {B.sql_box_mean('q2', 'wd', 1, 'ru', 'q3')},
+{_moved_sql('q3', 'pe', 0.97, 'ad')}, {_moved_sql('q3', 'ru', 0.95, 'cr')},
+u AS (SELECT 'persistence' AS model, lead, pe AS prob FROM q3, ld UNION ALL SELECT 'climatology', lead, base FROM q3, ld, ba UNION ALL SELECT 'advection', lead, prob FROM ad UNION ALL SELECT 'charging_rule', lead, prob FROM cr)
+SELECT model, lead, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(max(prob), 6) AS max_prob, count(*) FILTER (WHERE round(prob, 9) >= 0.15) AS over FROM u GROUP BY ALL""")
+
+# quality control and features of a cell table: an event a week, a frame an hour
+
+
+def _cell_table(s, d):
+    c = B.cells(s, d)
+    days = F.date_diff("day", F.lit("2024-01-01").cast("date"))
+    c = c.groupBy(F.floor(days / 7).cast("int").alias("event_id"), (days * 24 + F.hour("ts")).cast("int").alias("frame"), (F.col("row") % 16).alias("row"), (F.col("col") % 16).alias("col")).agg(F.max("v").alias("v"), F.count_if(F.col("strike")).alias("n"))
+    v = F.col("v")
+    return c.select("event_id", "frame", "row", "col", (v / 5.0 - 5.0).alias("refl_sfc"), F.when(F.col("col") % 5 != 0, v / 8.0).alias("refl_m10"), (v / 25.0).alias("echo_top"), F.when(F.col("row") == 3, F.lit(float("nan"))).otherwise(v / 6.0).alias("vil"), (320.0 - v / 3.0).alias("ir_tb"), F.col("n").cast("double").alias("light_dens"))
+
+
+_CELL = B.CELLS + """, ct0 AS (SELECT CAST((day - DATE '2024-01-01') // 7 AS INTEGER) AS event_id, CAST((day - DATE '2024-01-01') * 24 + hour(ts) AS INTEGER) AS frame, row % 16 AS row, col % 16 AS col, max(v) AS v, count(*) FILTER (WHERE strike) AS n FROM c GROUP BY ALL),
+ct AS (SELECT event_id, frame, row, col, v / 5.0e0 - 5.0e0 AS refl_sfc, CASE WHEN col % 5 <> 0 THEN v / 8.0e0 END AS refl_m10, v / 25.0e0 AS echo_top, CASE WHEN row = 3 THEN 'nan'::DOUBLE ELSE v / 6.0e0 END AS vil, 320.0e0 - v / 3.0e0 AS ir_tb, CAST(n AS DOUBLE) AS light_dens FROM ct0)"""
+_OK = {c: f"CASE WHEN NOT isnan({c}) AND {c} BETWEEN {lo}e0 AND {hi}e0 THEN {c} END" for c, (lo, hi) in S.RANGES.items()}
+_GEO = geo.radar_geometry(0.5, 20.0)
+add("qc_kill_counts", lambda s, d: qc.kill_counts(_cell_table(s, d), (7.5, 7.5), (0.5, 20.0), 12.0), f"""WITH {_CELL},
+a AS (SELECT event_id, frame, row, col, {', '.join(f'{c} AS raw_{c}, {x} AS {c}' for c, x in _OK.items())} FROM ct),
+b AS (SELECT *, CASE WHEN count(refl_sfc) OVER (PARTITION BY event_id, row, col) >= 3 THEN stddev_pop(refl_sfc) OVER (PARTITION BY event_id, row, col) END AS sd, sqrt(pow((col - 7.5e0) * 2, 2) + pow((7.5e0 - row) * 2, 2)) AS rng FROM a),
+k AS (SELECT *, coalesce(refl_sfc >= 35 AND echo_top <= 1.5 AND sd <= 1.5, false) AS cl FROM b),
+e AS (SELECT *, NOT cl AND coalesce(refl_sfc BETWEEN 28 AND 47 AND echo_top BETWEEN 4.0 AND 7.5 AND refl_m10 < 30 AND sd <= 3, false) AS bb, rng > 12 AS far, rng <= 12 AND rng < {_GEO['cone_of_silence_km']!r}e0 AS near FROM k),
+s AS (SELECT unnest([{', '.join(f"{{'rule': 'non_finite', 'channel': '{c}', 'masked': count(*) FILTER (WHERE isnan(raw_{c}))}}" for c in S.CHANNELS)}, {', '.join(f"{{'rule': 'range', 'channel': '{c}', 'masked': count(*) FILTER (WHERE NOT isnan(raw_{c}) AND {c} IS NULL)}}" for c in S.CHANNELS)},
+ {', '.join(f"{{'rule': 'clutter', 'channel': '{c}', 'masked': count(*) FILTER (WHERE cl AND {c} IS NOT NULL)}}" for c in ('refl_sfc', 'refl_m10', 'echo_top', 'vil'))}, {{'rule': 'bright_band', 'channel': 'refl_sfc', 'masked': count(*) FILTER (WHERE bb)}},
+ {', '.join(f"{{'rule': '{r}', 'channel': '{c}', 'masked': count(*) FILTER (WHERE {x} AND NOT cl AND {c} IS NOT NULL)}}" for r, x in (('far', 'far'), ('cone_of_silence', 'near')) for c in ('refl_m10', 'echo_top'))}], recursive := true), generate_subscripts([1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19,20,21], 1) AS step FROM e)
+SELECT CAST(step AS INTEGER) AS step, rule, channel, masked FROM s""")
+add("channel_statistics", lambda s, d: qc.channel_statistics(qc.out_of_range(qc.non_finite(_cell_table(s, d)))), f"WITH {_CELL}, a AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _OK.items())} FROM ct) " + " UNION ALL ".join(f"SELECT '{c}' AS channel, count(*) AS n, count({c}) AS valid, round(CAST(count({c}) AS DOUBLE) / count(*), 6) AS share, min({c}) AS least, max({c}) AS largest, round(avg({c}), 6) AS mean FROM a" for c in S.CHANNELS))

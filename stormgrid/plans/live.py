@@ -138,8 +138,18 @@ def _stream(s, d):
 
 add("stream_tumbling_5min", _stream)
 add("json_props", lambda s, d: B.table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), weather.any_key(F.col("props"), ["k"]).alias("has_k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS has_k FROM events")
-add("cap_alerts", lambda s, d: K.cap_alert(B.strikes(s, d).select("event_id", "source", "stroke_type", F.lit("Severe").alias("severity"), "ts"), "source", "stroke_type", "severity", "ts").select("event_id", "cap"),
-    f"""WITH {B.STATIONS} SELECT event_id, '<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><sent>' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00</sent><status>Actual</status><msgType>Alert</msgType><scope>Public</scope><info><category>Met</category><event>' || stroke_type || '</event><severity>Severe</severity><expires>' || strftime(ts + INTERVAL 45 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+00:00</expires><area><areaDesc>' || source || '</areaDesc></area></info></alert>' AS cap FROM k""")
+def _caps(s, d):
+    k = B.strikes(s, d).select("event_id", "source", "stroke_type", F.lit("Severe").alias("severity"), "ts", (F.col("event_id") % 60).alias("r0"), (F.col("event_id") % 60 + 4).alias("r1"), (F.col("event_id") % 50).alias("c0"), (F.col("event_id") % 50 + 8).alias("c1"))
+    return K.cap_alert(k, "source", "stroke_type", "severity", "ts", ("r0", "r1", "c0", "c1"), "event_id").select("event_id", "cap")
+
+
+_CORNERS = [("r0", "c0"), ("r0", "c1"), ("r1", "c1"), ("r1", "c0"), ("r0", "c0")]
+_TEXTS = {k: v.replace("{hazard}", "' || stroke_type || '").replace("{AREA}", "' || upper(source) || '").replace("{area}", "' || source || '").replace("{population}", "850,000") for k, v in (("headline", K.HEADLINE), ("description", K.DESCRIPTION), ("instruction", K.INSTRUCTION))}
+add("cap_alerts", _caps, f"""WITH {B.STATIONS}, q AS (SELECT *, printf('%.4f', 18 + (event_id % 60) / 64.0e0) AS r0, printf('%.4f', 18 + (event_id % 60 + 4) / 64.0e0) AS r1, printf('%.4f', 73 + (event_id % 50) / 64.0e0) AS c0, printf('%.4f', 73 + (event_id % 50 + 8) / 64.0e0) AS c1 FROM k)
+SELECT event_id, '<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>' || event_id || '</identifier><sender>alerts@stormgrid.example</sender><sent>' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+ || '-00:00</sent><status>Actual</status><msgType>Alert</msgType><scope>Public</scope><info><category>Met</category><event>' || stroke_type || '</event><urgency>Immediate</urgency><severity>Severe</severity><certainty>Observed</certainty><expires>'
+ || strftime(ts + INTERVAL 45 MINUTE, '%Y-%m-%dT%H:%M:%S') || '-00:00</expires><headline>{_TEXTS['headline']}</headline><description>{_TEXTS['description']}</description><instruction>{_TEXTS['instruction']}</instruction><area><areaDesc>'
+ || source || ' sector perimeter</areaDesc><polygon>' || {" || ' ' || ".join(f"{a} || ',' || {b}" for a, b in _CORNERS)} || '</polygon></area></info></alert>' AS cap FROM q""")
 add("sigmoid_logit", lambda s, d: B.cells(s, d).select("event_id", F.round(scalar.sigmoid((F.col("v") - 100.0) / 30.0), 6).alias("p"), F.round(scalar.logit(F.col("prob")), 5).alias("z")), f"WITH {B.CELLS} SELECT event_id, round(1.0e0 / (1.0e0 + exp(-((v - 100.0e0) / 30.0e0))), 6) AS p, round(ln(least(greatest(prob, 1e-6), 1 - 1e-6) / (1.0e0 - least(greatest(prob, 1e-6), 1 - 1e-6))), 5) AS z FROM c")
 add("feels_like", lambda s, d: B.cells(s, d).select("event_id", F.round(scalar.feels_like(F.col("v") / 12.0, F.lit(60.0), F.col("row") * 1.0), 6).alias("t"), scalar.compass(F.col("row") * 5.625).alias("wind")),
     f"WITH {B.CELLS}, a AS (SELECT event_id, v / 12.0e0 AS t, row FROM c) SELECT event_id, round(greatest(t - 1.0e0, least(t + 5.5e0, round_even(t + (0.33e0 * (60.0e0 / 100.0e0 * 6.105e0 * exp(17.27e0 * t / (237.7e0 + t))) - 0.7e0 * (row / 3.6e0) - 4.0e0), 1))), 6) AS t, (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[CAST(round_even(row * 5.625e0 / 22.5e0, 0) AS INTEGER) % 16 + 1] AS wind FROM a")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormgrid import schema as S
 from stormgrid.functions import geo, scalar
 from stormgrid.operators import grid, spatial
 
@@ -65,11 +66,47 @@ def location_risk(strikes: DataFrame, now: Column, lat: float, lon: float, most_
     return d.select(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), "near", "far", "nearest_km", "nearest", spatial.alert(F.col("near"), F.col("far")).alias("level"))
 
 
-def cap_alert(df: DataFrame, name: str, hazard: str, severity: str, sent: str, hours: float = 0.75) -> DataFrame:
-    """An alert message of the Common Alerting Protocol for each row."""
-    t = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+#: What an alert says where its caller doesn't say it otherwise; {hazard}, {area} and {population} are filled in.
+HEADLINE = "URGENT WEATHER DISPATCH: {hazard} IN {AREA}"
+DESCRIPTION = "Echo tops in the charging layer with active cloud-to-ground lightning over {area}. Estimated population concerned: {population} civilians."
+INSTRUCTION = "Take shelter indoors at once. Disconnect high-voltage transformers and suspend work outdoors."
+# The corner of the alert grid, in degrees; a grid is one degree wide.
+CAP_LAT, CAP_LON = 18.0, 73.0
+
+
+def _xml(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _filled(template: str, **values: Column) -> Column:
+    c = F.lit(template)
+    for k, v in values.items():
+        c = F.replace(c, F.lit("{" + k + "}"), v)
+    return _xml(c)
+
+
+def cap_polygon(r0: Column, r1: Column, c0: Column, c1: Column, n: int = S.GRID) -> Column:
+    """Corners of a box of pixels as latitude,longitude pairs, closed."""
+    at = lambda base, x: F.format_string("%.4f", F.bround(base + x / float(n), 4))
+    a, b, c, d = at(CAP_LAT, r0), at(CAP_LAT, r1), at(CAP_LON, c0), at(CAP_LON, c1)
+    return F.concat_ws(" ", *(F.concat_ws(",", p, q) for p, q in ((a, c), (a, d), (b, d), (b, c), (a, c))))
+
+
+def cap_alert(df: DataFrame, area: str, hazard: str, severity: str, sent: str, bounds: tuple[str, str, str, str] | None = None, identifier: str | None = None, population: int = 850_000, sender: str = "alerts@stormgrid.example", minutes: int = 45,
+              headline: str = HEADLINE, description: str = DESCRIPTION, instruction: str = INSTRUCTION) -> DataFrame:
+    """df with `cap`, an alert message of the Common Alerting Protocol 1.2 for each row. area, hazard, severity, sent and
+    bounds (first and last row, first and last column) name columns; identifier names one, else it is STORM and the second."""
+    t = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'-00:00'")
     start = F.col(sent).cast("timestamp")
-    end = F.timestamp_micros(F.unix_micros(start) + int(hours * 3.6e9))
-    esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    xml = F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><sent>'), t(start), F.lit("</sent><status>Actual</status><msgType>Alert</msgType><scope>Public</scope><info><category>Met</category><event>"), esc(hazard), F.lit("</event><severity>"), esc(severity), F.lit("</severity><expires>"), t(end), F.lit("</expires><area><areaDesc>"), esc(name), F.lit("</areaDesc></area></info></alert>"))
-    return df.withColumn("cap", xml)
+    end = F.timestamp_micros(F.unix_micros(start) + minutes * 60_000_000)
+    number = F.col(identifier).cast("string") if identifier else F.concat(F.lit("STORM-"), F.unix_seconds(start).cast("string"))
+    values = {"hazard": F.col(hazard), "area": F.col(area), "AREA": F.upper(area), "population": F.format_number(F.lit(population), 0)}
+    box = [F.col(b).cast("double") for b in bounds] if bounds else [F.lit(float(x)) for x in (0, S.GRID, 0, S.GRID)]
+    tag = lambda name, c: [F.lit(f"<{name}>"), c, F.lit(f"</{name}>")]
+    head = [*tag("identifier", _xml(number)), *tag("sender", F.lit(sender)), *tag("sent", t(start)), F.lit("<status>Actual</status><msgType>Alert</msgType><scope>Public</scope><info><category>Met</category>")]
+    info = [*tag("event", _xml(F.col(hazard))), F.lit("<urgency>Immediate</urgency>"), *tag("severity", _xml(F.col(severity))), F.lit("<certainty>Observed</certainty>"), *tag("expires", t(end)), *tag("headline", _filled(headline, **values)),
+            *tag("description", _filled(description, **values)), *tag("instruction", _filled(instruction, **values))]
+    place = [F.lit("<area>"), *tag("areaDesc", F.concat(_xml(F.col(area)), F.lit(" sector perimeter"))), *tag("polygon", cap_polygon(*box)), F.lit("</area></info></alert>")]
+    return df.withColumn("cap", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), *head, *info, *place))
