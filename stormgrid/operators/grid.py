@@ -150,3 +150,37 @@ def box_sums(df: DataFrame, keys: list[str], fields: list[str], radii: list[int]
     half = {f"_x_{f}_r{r}": (f, r) for f in fields for r in radii}
     d = along(df.repartition(*keys), half, "row", "col")
     return along(d, {name.removeprefix("_x_"): (name, r) for name, (_, r) in half.items()}, "col", "row")
+
+
+def crop_or_pad(df: DataFrame, keys: list[str], value: str, n: int, m: int) -> DataFrame:
+    """The middle m x m of an n x n grid, or that grid in the middle of a wider one, whose new pixels are there with NULL.
+    Half a pixel too many goes to, or comes from, the upper left when cropping, the lower right when padding."""
+    if m <= n:
+        return crop_centre(df.select(*keys, "row", "col", value), n, m)
+    low = -((n - m) // 2)
+    d = df.select(*keys, (F.col("row") + low).alias("row"), (F.col("col") + low).alias("col"), value)
+    return dense(d, keys, m).select(*keys, "row", "col", value)
+
+
+def to_config_grid(df: DataFrame, keys: list[str], value: str, n: int, native_km: float, side: int = S.GRID, pixel: float = S.PIXEL_KM) -> DataFrame:
+    """A field of n x n pixels of native_km, cut or padded to the domain about its centre, on the domain's grid by overlap of
+    areas. Pixels that are not listed count as missing."""
+    need = round(side * pixel / native_km)
+    d = crop_or_pad(df, keys, value, n, need)
+    # what is missing has to be there: it counts against a pixel's valid share
+    d = dense(d, keys, need).select(*keys, "row", "col", value)
+    return resample_area(d, keys, value, need, side, value)
+
+
+def nearest_regrid(points: DataFrame, keys: list[str], value: str, lat0: float, lon0: float, n: int = S.GRID, pixel: float = S.PIXEL_KM) -> DataFrame:
+    """A dense grid about (lat0, lon0): the mean of the points in each pixel, NULL where none is. Points far off are left out
+    by plain bounds on latitude and longitude, which reach a scan's statistics, before any is projected."""
+    from stormgrid.functions import geo
+
+    half_lat = n * pixel / 2.0 / geo.KM_GRID * 1.6
+    half_lon = n * pixel / 2.0 / (geo.KM_GRID * max(math.cos(math.radians(lat0)), 0.1)) * 1.6
+    near = points.where(F.col("lat").between(lat0 - half_lat, lat0 + half_lat) & F.col("lon").between(lon0 - half_lon, lon0 + half_lon))
+    row, col = geo.to_rowcol(F.col("lat"), F.col("lon"), lat0, lon0, n, pixel)
+    side = F.sequence(F.lit(0), F.lit(n - 1))
+    every = points.select(*keys).distinct().withColumn("row", F.explode(side)).withColumn("col", F.explode(side))
+    return every.join(mean_regrid(near, row, col, keys, value, value, n), [*keys, "row", "col"], "left")

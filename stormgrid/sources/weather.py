@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormgrid.functions import scalar
+
 NWP = "hourly struct<time:array<string>, cape:array<double>, convective_inhibition:array<double>, freezing_level_height:array<double>>"
 CURRENT = "name string, main struct<temp:double, feels_like:double, humidity:double, pressure:double>, wind struct<speed:double, deg:double>, rain struct<`1h`:double>, weather array<struct<main:string, description:string>>"
 FORECAST = "list array<struct<dt:long, main:struct<temp:double>, rain:struct<`3h`:double>, wind:struct<speed:double>>>"
@@ -79,3 +81,37 @@ def parse_time(c: str | Column) -> Column:
 def any_key(json: str | Column, keys: list[str]) -> Column:
     """Whether a payload has one of the keys that a source needs."""
     return F.coalesce(F.arrays_overlap(F.json_object_keys(json), F.array(*map(F.lit, keys))), F.lit(False))
+
+
+# Hourly names as they are fetched, with their names in the table, and the table's columns.
+CITY_NAMES = {"weathercode": "weather_code", "windspeed_10m": "wind_speed_10m", "windgusts_10m": "wind_gusts_10m", "relativehumidity_2m": "humidity_2m"}
+CITY_COLUMNS = ["timestamp", "city", "state", "latitude", "longitude", "precipitation", "rain", "weather_code", "is_thunderstorm", "wind_speed_10m", "wind_gusts_10m", "temperature_2m", "humidity_2m", "cape", "lifted_index", "convective_inhibition", "lightning_proxy"]
+_FETCHED = ["precipitation", "rain", "weathercode", "windspeed_10m", "windgusts_10m", "temperature_2m", "relativehumidity_2m", "cape", "lifted_index", "convective_inhibition"]
+
+
+def city_hourly(payloads: DataFrame, json: str) -> DataFrame:
+    """payloads (city, state, latitude, longitude, json) to the hourly table: one row an hour, in the table's columns. A payload
+    without hours, or that is no JSON, has no rows; a missing reading is NULL, and counts as 0 in the proxy."""
+    d = hourly(payloads.select("city", "state", "latitude", "longitude", json), json, _FETCHED).withColumnsRenamed(CITY_NAMES)
+    d = d.withColumn("weather_code", F.col("weather_code").cast("int"))
+    d = d.withColumns({"is_thunderstorm": scalar.thunderstorm(F.col("weather_code")), "lightning_proxy": scalar.lightning_proxy(F.col("cape"), F.col("precipitation"), F.col("weather_code"))})
+    return d.select(*CITY_COLUMNS)
+
+
+def cities(df: DataFrame) -> DataFrame:
+    """A list of places without those that lack a coordinate."""
+    return df.na.drop(subset=["latitude", "longitude"])
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Tables of several fetches as one, by names; a column that some lack is NULL there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def background_density(lat: Column, lon: Column, least: float = 0.05) -> Column:
+    """Strokes a square km and day of the background climatology: a broad maximum about 20 N 82 E, without noise."""
+    base = 0.5 + 2.5 * F.exp(-((lat - 20.0) * (lat - 20.0) + (lon - 82.0) * (lon - 82.0)) / 50.0)
+    return F.greatest(F.bround(base, 3), F.lit(least))

@@ -7,7 +7,7 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-@pytest.mark.parametrize("name", ["lead_bands", "threshold_sweep", "ranking_by_day", "asof_hold", "naive_leakage", "station_risk", "motion_xcorr", "tumbling_5min", "ranking_overall", "full_evaluation", "model_comparison", "model_verdict", "lead_evaluation", "flash_frames", "scattered_max", "imager_kelvin", "linear_axis_regrid", "strike_ingest", "location_risk", "split_windows", "weather_daily", "source_health", "evaluation_sweep", "evaluation_neighbourhood", "comparison_table", "strike_buffer", "strike_buffer_capped", "source_freshness", "alert_states", "asof_sliced", "asof_sliced_linear", "imager_hold", "flash_edges", "flash_counts", "polar_nearest", "polar_idw", "lagrangian_coverage", "blend_fit", "blend_calibration", "source_adapters", "cells_tiled", "flow_regions", "qc_kill_counts", "channel_statistics", "all_baselines", "cap_alerts"])
+@pytest.mark.parametrize("name", ["lead_bands", "threshold_sweep", "ranking_by_day", "asof_hold", "naive_leakage", "station_risk", "motion_xcorr", "tumbling_5min", "ranking_overall", "full_evaluation", "model_comparison", "model_verdict", "lead_evaluation", "flash_frames", "scattered_max", "imager_kelvin", "linear_axis_regrid", "strike_ingest", "location_risk", "split_windows", "weather_daily", "source_health", "evaluation_sweep", "evaluation_neighbourhood", "comparison_table", "strike_buffer", "strike_buffer_capped", "source_freshness", "alert_states", "asof_sliced", "asof_sliced_linear", "imager_hold", "flash_edges", "flash_counts", "polar_nearest", "polar_idw", "lagrangian_coverage", "blend_fit", "blend_calibration", "source_adapters", "cells_tiled", "flow_regions", "qc_kill_counts", "channel_statistics", "all_baselines", "cap_alerts", "archive_cells", "config_grid", "nearest_regrid", "city_hours", "background_density"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
