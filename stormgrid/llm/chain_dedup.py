@@ -746,7 +746,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         mine: dict[int, list] = {}
         for s in spans:
             mine.setdefault(s["doc"], []).append((s["first"], s["end"]))
-        null = t.column("_null").to_pylist()
+        null = t.column(t.num_columns - 1).to_pylist()  # stands last; its name may be one of the columns too
         texts, keep = [], []
         for d in range(len(ids)):
             a, b = int(c.start[d]), int(c.end[d])
@@ -764,7 +764,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 at = a + int(ws[y]) if y < len(ws) else b
             parts.append(c.buf[at:b].tobytes())
             texts.append(b"".join(parts).decode()), keep.append(not gone.all())
-        t = t.drop_columns(["_null"])
+        t = t.remove_column(t.num_columns - 1)
         t = t.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
         if "n_chars" in names:
             t = t.set_column(names.index("n_chars"), "n_chars", pa.array([len(x or "") for x in texts], pa.int64()).cast(t.schema.field("n_chars").type))
