@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from stormgrid.operators import grid
 
 FRAME_US = 300_000_000
+#: Added before scores are rounded that often lie in the middle between two rounded values, where engines may go to either.
+OFF_TIES = 1.234567e-8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +71,23 @@ def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATIONS = CELLS + """, st AS (SELECT s_suppkey, 8.0e0 + (s_suppkey % 29) * 1.0e0 AS lat, 68.0e0 + (s_suppkey * 7 % 28) * 1.0e0 AS lon FROM supplier),
 k AS (SELECT event_id, ts, 8.0e0 + row * 0.4375e0 + (event_id % 100) * 0.004e0 AS lat, 68.0e0 + col * 0.4375e0 + (event_id % 97) * 0.004e0 AS lon,
  CASE WHEN event_id % 3 = 0 THEN 'IC' ELSE 'CG' END AS stroke_type, CASE WHEN event_id % 2 = 0 THEN 'IITM_LLN' ELSE 'WWLLN' END AS source FROM c WHERE strike)"""
+
+
+def sql_moved(src: str, field: str, decay: float, name: str, dy: str, dx: str) -> str:
+    """Of src (day, row, col, field, what dy and dx name), a grid a day: carried on, widened and faded, as table `name` (day,
+    lead, row, col, prob). Needs a table ld (lead, rad)."""
+    corner = lambda i, j: f"SELECT day, lead, row + fy + {i} AS row, col + fx + {j} AS col, {field} * {'ay' if i else '(1 - ay)'} * {'ax' if j else '(1 - ax)'} AS w FROM {name}0 WHERE {field} <> 0"
+
+    def mean(x: str, f: str, m: str) -> str:
+        part = f"PARTITION BY day, lead, {f} ORDER BY {m}"
+        whole = f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        return f"(sum({x}) OVER ({part} RANGE BETWEEN rad PRECEDING AND rad FOLLOWING) + greatest(0, rad - {m}) * first_value({x}) {whole} + greatest(0, {m} + rad - 63) * last_value({x}) {whole}) / (2 * rad + 1)"
+
+    return f"""{name}0 AS (SELECT s.day, s.row, s.col, s.{field}, ld.lead, ld.rad, CAST(floor({dy} * lead) AS INTEGER) AS fy, CAST(floor({dx} * lead) AS INTEGER) AS fx,
+ {dy} * lead - floor({dy} * lead) AS ay, {dx} * lead - floor({dx} * lead) AS ax FROM {src} s, ld),
+{name}1 AS (SELECT x.day, x.lead, x.rad, x.row, x.col, coalesce(w, 0.0e0) AS w FROM {name}0 x LEFT JOIN (SELECT day, lead, row, col, sum(w) AS w FROM ({' UNION ALL '.join(corner(i, j) for i in (0, 1) for j in (0, 1))}) GROUP BY ALL) y USING (day, lead, row, col)),
+{name}2 AS (SELECT day, lead, rad, row, col, {mean('w', 'row', 'col')} AS w FROM {name}1),
+{name} AS (SELECT day, lead, row, col, least(greatest({mean('w', 'col', 'row')} * pow({decay}e0, lead), 0.0e0), 1.0e0) AS prob FROM {name}2)"""
+
+
+LEADS = "ld AS (SELECT CAST(i AS INTEGER) AS lead, CAST(round_even(sqrt(i), 0) AS INTEGER) AS rad FROM range(1, 13) x(i))"

@@ -12,8 +12,6 @@ from stormgrid.plans import base as B
 QUERIES, ORACLES = {}, {}
 SIDE, LEADS = 16, 12
 THRESHOLD = 0.3
-#: Keeps scores off the middle between two values of four digits, where engines may round to either.
-OFF_TIES = 1.234567e-8
 
 
 def add(name, f, sql=None):
@@ -36,7 +34,7 @@ def forecasts(s, d):
     p, hot = F.least(F.col("v") / 100.0, F.lit(1.0)), F.col("v") >= 60.0
     models = {"hybrid": 0.6 * p * F.pow(F.lit(0.98), step) + F.when(hot, 0.2).otherwise(0.0), "advection": p * F.pow(F.lit(0.97), step),
               "charging_rule": F.when(hot, 0.6).otherwise(0.5 * p) * F.pow(F.lit(0.95), step), "persistence": F.when(F.col("struck") >= 1, 1.0).otherwise(0.0)}
-    m = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.round(x + OFF_TIES, 4).alias("p")) for k, x in models.items()]))
+    m = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.round(x + B.OFF_TIES, 4).alias("p")) for k, x in models.items()]))
     mid = (SIDE - 1) / 2
     on = (F.col("row") - mid) * (F.col("row") - mid) + (F.col("col") - mid) * (F.col("col") - mid) <= 60.0
     return c.select(m.alias("m"), "day", ((F.col("k") + 1) * S.STEP_MIN).cast("int").alias("lead"), "row", "col", (F.col("n") >= 1).cast("double").alias("lit"), (F.col("struck") == 0).alias("fresh"), on.alias("on")).select("m.*", "day", "lead", "row", "col", "lit", "fresh", "on")
@@ -56,7 +54,7 @@ f1 AS (SELECT *, least(v / 100.0e0, 1.0e0) AS q FROM f0),
 f2 AS (SELECT day, row, col, k, struck, n, unnest([{{'model': 'hybrid', 'p': 0.6e0 * q * pow(0.98e0, k) + CASE WHEN v >= 60 THEN 0.2e0 ELSE 0.0e0 END}},
  {{'model': 'advection', 'p': q * pow(0.97e0, k)}}, {{'model': 'charging_rule', 'p': CASE WHEN v >= 60 THEN 0.6e0 ELSE 0.5e0 * q END * pow(0.95e0, k)}},
  {{'model': 'persistence', 'p': CASE WHEN struck >= 1 THEN 1.0e0 ELSE 0.0e0 END}}], recursive := true) FROM f1),
-fc AS (SELECT model, day, CAST(k * 5 AS INTEGER) AS lead, row, col, round(p + {OFF_TIES}, 4) AS p, n >= 1 AS o, struck = 0 AS fresh, pow(row - 7.5e0, 2) + pow(col - 7.5e0, 2) <= 60 AS on_ FROM f2)"""
+fc AS (SELECT model, day, CAST(k * 5 AS INTEGER) AS lead, row, col, round(p + {B.OFF_TIES}, 4) AS p, n >= 1 AS o, struck = 0 AS fresh, pow(row - 7.5e0, 2) + pow(col - 7.5e0, 2) <= 60 AS on_ FROM f2)"""
 
 
 def _boxes_sql(src: str) -> str:

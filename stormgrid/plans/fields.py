@@ -128,10 +128,16 @@ def _frames(s, d):
     return B.cells(s, d).withColumn("hour", F.hour("ts")).groupBy("day", "hour", "row", "col").agg((F.max("v") / 8.0).alias("z"))
 
 
-add("motion_xcorr", lambda s, d: P.motion(_frames(s, d), ["day"], "hour", "z", 2), f"""WITH {B.CELLS}, f AS (SELECT day, CAST(hour(ts) AS INTEGER) AS hour, row, col, max(v) / 8.0e0 AS z FROM c GROUP BY ALL),
-s AS (SELECT a.day, b.hour, b.row - a.row AS dy, b.col - a.col AS dx, round(sum(a.z * b.z), 6) AS s FROM f a JOIN f b ON a.day = b.day AND b.hour = a.hour + 1 AND abs(b.row - a.row) <= 2 AND abs(b.col - a.col) <= 2 GROUP BY ALL),
-m AS (SELECT *, row_number() OVER (PARTITION BY day, hour ORDER BY s DESC, dy, dx) AS n FROM s)
-SELECT k.day, coalesce(x.dy, 0.0e0) AS dy, coalesce(x.dx, 0.0e0) AS dx FROM (SELECT DISTINCT day FROM f) k LEFT JOIN (SELECT day, CAST(quantile_cont(dy, 0.5) AS DOUBLE) AS dy, CAST(quantile_cont(dx, 0.5) AS DOUBLE) AS dx FROM m WHERE n = 1 GROUP BY day) x ON k.day = x.day""")
+def _motion_sql(most: int) -> str:
+    """mo (day, dy, dx): medians over hours of the shift of largest cross-correlation."""
+    return f"""mf AS (SELECT day, CAST(hour(ts) AS INTEGER) AS hour, row, col, max(v) / 8.0e0 AS z FROM c GROUP BY ALL),
+ms AS (SELECT a.day, b.hour, b.row - a.row AS dy, b.col - a.col AS dx, round(sum(a.z * b.z), 6) AS s FROM mf a JOIN mf b ON a.day = b.day AND b.hour = a.hour + 1 AND abs(b.row - a.row) <= {most} AND abs(b.col - a.col) <= {most} GROUP BY ALL),
+mm AS (SELECT *, row_number() OVER (PARTITION BY day, hour ORDER BY s DESC, dy, dx) AS n FROM ms),
+mo AS (SELECT k.day, coalesce(x.dy, 0.0e0) AS dy, coalesce(x.dx, 0.0e0) AS dx FROM (SELECT DISTINCT day FROM mf) k
+ LEFT JOIN (SELECT day, CAST(quantile_cont(dy, 0.5) AS DOUBLE) AS dy, CAST(quantile_cont(dx, 0.5) AS DOUBLE) AS dx FROM mm WHERE n = 1 GROUP BY day) x ON k.day = x.day)"""
+
+
+add("motion_xcorr", lambda s, d: P.motion(_frames(s, d), ["day"], "hour", "z", 2), f"WITH {B.CELLS}, {_motion_sql(2)} SELECT * FROM mo")
 add("new_initiation_mask", lambda s, d: P.initiation_mask(B.day_grid(s, d), ["day"], "lit"), f"WITH {B.GRID}, {B.sql_box_max('g', 'lit', 4, 'n', 'a')} SELECT day, row, col, n = 0 AS eligible FROM a")
 
 
@@ -155,13 +161,20 @@ def _with_motion(s, d):
     return B.day_grid(s, d).join(m.select("day", dy.alias("dy"), dx.alias("dx")), "day")
 
 
-# The whole jobs: shifts of 6 pixels, all leads, and the estimated motion. The queries above are narrower and have SQL;
-# tests hold these against numpy.
+# The whole jobs: shifts of 6 pixels, all leads, and the estimated motion. The queries above are narrower.
 _MOVED = ["day", "dy", "dx"]
-add("motion_xcorr_whole", lambda s, d: P.motion(_frames(s, d), ["day"], "hour", "z"))
-add("advection_whole", lambda s, d: P.advection(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", *r6("prob")))
-add("charging_rule_whole", lambda s, d: P.charging_rule(_with_motion(s, d), _MOVED, "z", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", *r6("prob")))
-add("swept_corridor_whole", lambda s, d: P.swept_mask(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "row", "col", "first_lead"))
+_CAPPED = f"{_motion_sql(6)}, cap AS (SELECT day, dy * least(1.0e0, 4.0e0 / nullif(sqrt(dy * dy + dx * dx), 0)) AS ky, dx * least(1.0e0, 4.0e0 / nullif(sqrt(dy * dy + dx * dx), 0)) AS kx FROM mo), cm AS (SELECT day, coalesce(ky, 0.0e0) AS dy, coalesce(kx, 0.0e0) AS dx FROM cap)"
+_ALL_LEADS = f"SELECT day, lead, row, col, round(prob + {B.OFF_TIES}, 6) AS prob FROM ad"
+add("motion_xcorr_whole", lambda s, d: P.motion(_frames(s, d), ["day"], "hour", "z"), f"WITH {B.CELLS}, {_motion_sql(6)} SELECT * FROM mo")
+add("advection_whole", lambda s, d: P.advection(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", F.round(F.col("prob") + B.OFF_TIES, 6).alias("prob")),
+    f"WITH {B.GRID}, {_CAPPED}, {B.LEADS}, {B.sql_box_mean('g', 'lit', 1, 'u', 'a')}, am AS (SELECT a.*, dy, dx FROM a JOIN cm USING (day)), {B.sql_moved('am', 'u', 0.97, 'ad', 'dy', 'dx')} {_ALL_LEADS}")
+add("charging_rule_whole", lambda s, d: P.charging_rule(_with_motion(s, d), _MOVED, "z", F.col("dy"), F.col("dx")).select("day", "lead", "row", "col", F.round(F.col("prob") + B.OFF_TIES, 6).alias("prob")),
+    f"WITH {B.GRID}, {_CAPPED}, {B.LEADS}, d AS (SELECT *, CASE WHEN z >= 40.0e0 THEN 1.0e0 ELSE 0.0e0 END AS dd FROM g), {B.sql_box_max('d', 'dd', 2, 'mx', 'a')}, {B.sql_box_mean('a', 'mx', 1, 'u', 'b')}, am AS (SELECT b.*, dy, dx FROM b JOIN cm USING (day)), {B.sql_moved('am', 'u', 0.95, 'ad', 'dy', 'dx')} {_ALL_LEADS}")
+add("swept_corridor_whole", lambda s, d: P.swept_mask(_with_motion(s, d), _MOVED, "lit", F.col("dy"), F.col("dx")).select("day", "row", "col", "first_lead"),
+    f"""WITH {B.GRID}, {_CAPPED}, st AS (SELECT i AS step, 4 + CASE WHEN i > 0 THEN round_even(sqrt(i), 0) ELSE 0 END AS rr FROM range(13) x(i)),
+h AS (SELECT g.day, step, rr, row + CAST(round_even(dy * step, 0) AS INTEGER) AS r, col + CAST(round_even(dx * step, 0) AS INTEGER) AS q FROM g JOIN cm USING (day), st WHERE lit > 0)
+SELECT day, CAST(r + a.i AS INTEGER) AS row, CAST(q + b.i AS INTEGER) AS col, CAST(min(greatest(step, 1)) AS INTEGER) AS first_lead FROM h, range(-7, 8) a(i), range(-7, 8) b(i)
+WHERE r BETWEEN 0 AND 63 AND q BETWEEN 0 AND 63 AND abs(a.i) <= rr AND abs(b.i) <= rr AND r + a.i BETWEEN 0 AND 63 AND q + b.i BETWEEN 0 AND 63 GROUP BY ALL""")
 add("ensemble_mean_var", lambda s, d: P.ensemble(B.cells(s, d).withColumns({"a": F.col("prob"), "b": F.col("prob") / 2.3, "p": F.when(F.col("strike"), 1.0).otherwise(0.0), "k": F.lit(0.015)}), "a", "b", "p", "k").select("event_id", *r6("ens_mean", "ens_var")),
     f"WITH {B.CELLS}, a AS (SELECT event_id, prob AS a, prob / 2.3e0 AS b, CASE WHEN strike THEN 1.0e0 ELSE 0.0e0 END AS p FROM c), m AS (SELECT *, (a + b + p) / 3.0e0 AS m FROM a) SELECT event_id, round(0.5e0 * a + 0.25e0 * b + 0.15e0 * p + 0.10e0 * 0.015e0, 6) AS ens_mean, round(((a - m) * (a - m) + (b - m) * (b - m) + (p - m) * (p - m)) / 3.0e0, 6) AS ens_var FROM m")
 

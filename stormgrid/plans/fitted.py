@@ -209,6 +209,7 @@ SELECT parity, CAST(region_row AS INTEGER) AS region_row, CAST(region_col AS INT
 # all baselines by one call: scores of each over the days after the training days
 
 MOVE = (0.6, -0.45)
+_MOVE = [f"({x}e0)" for x in MOVE]
 
 
 def all_baselines(s, d):
@@ -219,19 +220,10 @@ def all_baselines(s, d):
     return p.groupBy("model", "lead").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prob"), 6).alias("mean_prob"), F.round(F.max("prob"), 6).alias("max_prob"), F.count_if(F.round("prob", 9) >= 0.15).alias("over"))
 
 
-def _moved_sql(src: str, field: str, decay: float, name: str) -> str:
-    """Of src (day, row, col, field): all leads, by corners and framed windows."""
-    corner = lambda i, j: f"SELECT day, lead, row + fy + {i} AS row, col + fx + {j} AS col, {field} * {'ay' if i else '(1 - ay)'} * {'ax' if j else '(1 - ax)'} AS w FROM {name}0"
-    win = lambda x, f, m: f"(sum({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} RANGE BETWEEN rad PRECEDING AND rad FOLLOWING) + greatest(0, rad - {m}) * first_value({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + greatest(0, {m} + rad - 63) * last_value({x}) OVER (PARTITION BY day, lead, {f} ORDER BY {m} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) / (2 * rad + 1)"
-    return f"""{name}0 AS (SELECT s.*, ld.lead, ld.rad, CAST(floor({MOVE[0]}e0 * lead) AS INTEGER) AS fy, CAST(floor({MOVE[1]}e0 * lead) AS INTEGER) AS fx, {MOVE[0]}e0 * lead - floor({MOVE[0]}e0 * lead) AS ay, {MOVE[1]}e0 * lead - floor({MOVE[1]}e0 * lead) AS ax FROM {src} s, ld),
-{name}1 AS (SELECT x.day, x.lead, x.rad, x.row, x.col, coalesce(w, 0.0e0) AS w FROM {name}0 x LEFT JOIN (SELECT day, lead, row, col, sum(w) AS w FROM ({' UNION ALL '.join(corner(i, j) for i in (0, 1) for j in (0, 1))}) GROUP BY ALL) y USING (day, lead, row, col)),
-{name}2 AS (SELECT day, lead, rad, row, col, {win('w', 'row', 'col')} AS w FROM {name}1), {name} AS (SELECT day, lead, row, col, least(greatest({win('w', 'col', 'row')} * pow({decay}e0, lead), 0.0e0), 1.0e0) AS prob FROM {name}2)"""
-
-
 add("all_baselines", all_baselines, f"""WITH {B.GRID}, {PE._SPLIT}, te AS (SELECT g.day, row, col, lit, z * 2.0e0 AS m10 FROM g JOIN sp USING (day) WHERE split = 'test'), ba AS (SELECT coalesce(avg(lit), 0.0e0) AS base FROM g JOIN sp USING (day) WHERE split = 'train'),
-ld AS (SELECT CAST(i AS INTEGER) AS lead, CAST(round_even(sqrt(i), 0) AS INTEGER) AS rad FROM range(1, 13) x(i)),
+{B.LEADS},
 {B.sql_box_mean('te', 'lit', 1, 'pe', 'q1')}, t0 AS (SELECT *, CASE WHEN m10 >= 40 THEN 1.0e0 ELSE 0.0e0 END AS dd FROM q1), {B.sql_box_max('t0', 'dd', 2, 'wd', 'q2')}, {B.sql_box_mean('q2', 'wd', 1, 'ru', 'q3')},
-{_moved_sql('q3', 'pe', 0.97, 'ad')}, {_moved_sql('q3', 'ru', 0.95, 'cr')},
+{B.sql_moved('q3', 'pe', 0.97, 'ad', *_MOVE)}, {B.sql_moved('q3', 'ru', 0.95, 'cr', *_MOVE)},
 u AS (SELECT 'persistence' AS model, lead, pe AS prob FROM q3, ld UNION ALL SELECT 'climatology', lead, base FROM q3, ld, ba UNION ALL SELECT 'advection', lead, prob FROM ad UNION ALL SELECT 'charging_rule', lead, prob FROM cr)
 SELECT model, lead, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(max(prob), 6) AS max_prob, count(*) FILTER (WHERE round(prob, 9) >= 0.15) AS over FROM u GROUP BY ALL""")
 
