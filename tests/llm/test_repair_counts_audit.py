@@ -259,3 +259,14 @@ def test_copies_and_sql(spark, audit_rows):
     con.execute("create table labels as select * from _l")
     want = counted(con.execute(filter_audit.ORACLE).fetchall())
     assert counted(map(tuple, filter_audit.audited(df.where("doc_id IS NOT NULL"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect())) == want
+
+
+def test_cleaned_with_a_column_named_like_its_flag(spark):
+    from stormgrid.llm import chain_dedup
+
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(words[:60])
+    rows = [(1, passage + " " + " ".join(words[100:140]), True, 7), (2, " ".join(words[200:240]) + " " + passage, None, 8), (3, None, False, 9), (4, "", True, 1)]
+    got = {r["doc_id"]: r for r in chain_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, _null boolean, n_chars long")).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"].strip() == " ".join(words[200:240]) and got[3]["text"] is None and got[4]["text"] == ""
+    assert [got[i]["_null"] for i in (1, 2, 3, 4)] == [True, None, False, True] and got[2]["n_chars"] == len(got[2]["text"])
