@@ -119,7 +119,7 @@ def choose_thresholds(df: DataFrame, keys: list[str], prob: str, obs: str, choic
     default where no choice can be scored."""
     seen = F.col(obs) >= 0.5
     best = M.best_csi(M.threshold_sweep(df, keys, prob, seen, choices), keys).select(*keys, F.col("threshold").alias("_t"), F.col("csi").alias("val_csi"))
-    ranked = M.ranking(df, keys, prob, seen).select(*keys, F.col("auprc").alias("val_auprc"))
+    ranked = M.ranking(df, keys, prob, seen, sliced=True).select(*keys, F.col("auprc").alias("val_auprc"))
     return ranked.join(best, keys, "left").select(*keys, F.coalesce("_t", F.lit(DEFAULT_THRESHOLD)).alias("thr_val"), "val_csi", "val_auprc")
 
 

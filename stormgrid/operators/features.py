@@ -47,4 +47,4 @@ def rank_features(features: DataFrame, labels: DataFrame, names: list[str] = NAM
     from stormgrid.operators import metrics
 
     long = features.join(labels, ["event_id", "frame", "row", "col"]).unpivot(["event_id", "frame", "row", "col", "label"], names, "feature", "value")
-    return metrics.ranking(long, ["feature"], "value", F.col("label")).orderBy(F.col("auprc").desc_nulls_last(), "feature")
+    return metrics.ranking(long, ["feature"], "value", F.col("label"), sliced=True).orderBy(F.col("auprc").desc_nulls_last(), "feature")

@@ -59,10 +59,16 @@ def _slice(p: Column) -> Column:
     return F.when(F.isnan(p), F.lit(2**62)).when(p <= 0, F.lit(-1_000_000)).when(p < 1 / 1024, fine).otherwise(F.floor(p * 1024.0)).cast("long")
 
 
-def _by_score(df: DataFrame, keys: list[str], prob: str, obs: Column) -> DataFrame:
-    """Distinct scores with the positives and all rows at or above, and the rows below. Ordered windows see one slice of
-    scores of a key, or the slices' sums of a key; neither grows with the rows, as all scores of a key would."""
-    d = df.groupBy(*keys, F.col(prob).cast("double").alias("p")).agg(F.count_if(obs).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("slice", _slice(F.col("p")))
+def _by_score(df: DataFrame, keys: list[str], prob: str, obs: Column, sliced: bool) -> DataFrame:
+    """Distinct scores with the positives and all rows at or above, and the rows below. If sliced, ordered windows see one
+    slice of scores of a key, or the slices' sums of a key; neither grows with the rows, as all scores of a key would."""
+    d = df.groupBy(*keys, F.col(prob).cast("double").alias("p")).agg(F.count_if(obs).alias("pos"), F.count(F.lit(1)).alias("n"))
+    if not sliced:
+        w = Window.partitionBy(*keys)
+        desc, up = w.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = d.withColumns({"tp": F.sum("pos").over(desc), "seen": F.sum("n").over(desc), "below": F.sum("n").over(up)})
+        return d.withColumn("below", F.col("below") - F.col("seen"))
+    d = d.withColumn("slice", _slice(F.col("p")))
     desc = Window.partitionBy(*keys, "slice").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy(*keys, "slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumns({"tp": F.sum("pos").over(desc), "seen": F.sum("n").over(desc), "below": F.coalesce(F.sum("n").over(up), F.lit(0))})
@@ -76,9 +82,10 @@ def _by_score(df: DataFrame, keys: list[str], prob: str, obs: Column) -> DataFra
     return d.select(*keys, "p", "pos", "n", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("tp", "seen", "below")])
 
 
-def ranking(df: DataFrame, keys: list[str], prob: str, obs: Column) -> DataFrame:
-    """auprc (stepwise average precision, ties as one step) and auroc (average ranks); NULL without both classes."""
-    d = _by_score(df.where(F.col(prob).isNotNull()), keys, prob, obs)
+def ranking(df: DataFrame, keys: list[str], prob: str, obs: Column, sliced: bool | None = None) -> DataFrame:
+    """auprc (stepwise average precision, ties as one step) and auroc (average ranks); NULL without both classes. sliced: for
+    keys with more distinct scores than one task should order; if not said, where there are no keys."""
+    d = _by_score(df.where(F.col(prob).isNotNull()), keys, prob, obs, not keys if sliced is None else sliced)
     pos, n = F.sum("pos"), F.sum("n")
     ap = F.try_divide(F.sum(F.col("pos") * F.col("tp").cast("double") / F.col("seen")), pos.cast("double"))
     ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0))

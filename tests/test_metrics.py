@@ -67,3 +67,13 @@ def test_best_threshold_is_lowest_on_ties(spark):
     s = spark.createDataFrame([(0.1, 0.5), (0.2, 0.5), (0.3, None)], "threshold double, csi double")
     assert M.best_csi(s, []).first()["threshold"] == 0.1 and M.select_threshold(s).first()["threshold"] == 0.1
     assert M.select_threshold(s.where("false")).first()["threshold"] == 0.15
+
+
+def test_ranking_is_the_same_in_slices(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([0.0, -1.0, 1e-9, 0.25, 0.5, float("inf"), rng.random()]), rng.random() < 0.3) for _ in range(400)] + [("b", None, True), ("c", 0.5, True)]
+    df = spark.createDataFrame(rows, "k string, p double, o boolean")
+    both = [sorted(map(str, M.ranking(df, keys, "p", F.col("o"), sliced=x).collect())) for keys in (["k"], []) for x in (False, True)]
+    assert both[0] == both[1] and both[2] == both[3]
