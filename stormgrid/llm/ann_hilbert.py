@@ -4,9 +4,10 @@
    those AXES directions; ORDERS such orderings are made. Each is cut into buckets of keys at quantiles, which are fitted
    on a sample of about SAMPLE_ROWS rows; every row is indexed.
 2. How many orderings to use, and how many buckets on either side of a query's own, is measured: SAMPLE_QUERIES queries
-   of each length of vectors get their true neighbours by comparison with all rows, and the cheapest choice is taken
-   whose windows hold RECALL of those. All buckets of one ordering, an exact search, is taken unless windows save SAVING of
-   its work: vectors without directions have no better choice, and work then grows with queries times rows.
+   of each length of vectors get their true neighbours by comparison with all rows, and the cheapest choice of two
+   orderings or more is taken whose windows hold RECALL of those. All buckets of one ordering, an exact search, is taken
+   only where such windows would compare more than MOST_COMPARED of all pairs: vectors without directions have no better
+   choice, and work then grows with queries times rows.
 3. Rows go to their bucket of each ordering used, queries to the buckets of their window. A bucket ranks by single
    precision, keeps all that rounding could have put behind the best, and reranks those by the exact cosine. What windows
    of all orderings found is merged by query.
@@ -15,13 +16,14 @@ Queries of a bucket are dealt into groups of QUERIES, for which the bucket's row
 bucket's rows are dealt into parts, all of which its queries visit. So no task's share grows with the input.
 
 Copies: equal vectors are one point that carries its smallest ids (as many as a result can show), so a group of copies,
-however large, is no load; a limit of that kind is applied before the shuffle by Spark's group limit. Keys that tie are
-spread by a digest of the vector.
+however large, is no load; a limit of that kind is applied before the shuffle by Spark's group limit. Points have numbers
+of their own, since an id may stand at several vectors. Keys that tie are spread by a digest of the vector.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
 candidate; so do rows without vec_id. Components may be of any size: vectors are scaled by powers of two. A score is
-computed in extended precision and rounded once, so that vectors of one direction tie at 1. A row's own id is never its
-neighbour; rows repeating an id and vector are one. Vectors of different lengths never meet. Ties go to smaller
+computed in extended precision and rounded once, so that vectors of one direction tie at 1. A row is never its own
+neighbour; rows repeating an id and vector are one. Rows of one id with different vectors are rows of their own: each
+asks for itself, query_point tells their results apart, and each may be a neighbour, of the other too. Vectors of different lengths never meet. Ties go to smaller
 ids. Fewer candidates than k: all found. Empty table: empty result. Other columns are not looked at.
 """
 
@@ -32,21 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormgrid.llm.shared import materialise, project
 from stormgrid.llm.textkit import mix as tk_mix
 
-ORDERS, AXES, BITS, WINDOW, BUCKET, QUERIES = 8, 8, 7, 2048, 2048, 32_768
+ORDERS, AXES, BITS, WINDOW, BUCKET, QUERIES = 8, 8, 7, 2048, 256, 32_768
 #: Buckets of an order at most; their bounds go to every task.
 MOST_BUCKETS = 10_000
 #: Rows that quantiles are fitted on; queries whose true neighbours are looked up to choose windows; their part that
 #: windows must hold.
-SAMPLE_ROWS, SAMPLE_QUERIES, RECALL = 200_000, 200, 0.97
-#: Costs of a row in a bucket and of a comparison, by which choices are compared; windows must save so much to be
-#: preferred to an exact search.
-_ROW, _COMPARE, SAVING = 5e-6, 2e-8, 0.5
+SAMPLE_ROWS, SAMPLE_QUERIES, RECALL = 200_000, 200, 0.95
+#: Costs of a row in a bucket and of a comparison, by which choices are compared; part of all pairs beyond which an exact
+#: search is as good, and rows in its buckets, which are wider, since each query visits all of them.
+_ROW, _COMPARE, MOST_COMPARED, EXACT_BUCKET = 5e-6, 2e-8, 1.0, 8192
+#: Buckets are joined so far that windows reach about so many on either side.
+_REACH = 3
 SEED = 3
 
 
@@ -130,27 +135,27 @@ def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _true_neighbours(batches: Iterator[pa.RecordBatch], some: dict, k: int) -> Iterator[pa.RecordBatch]:
-    """(dim, query, rep, score, keys): a task's k nearest rows of each sampled query; some: by dim, their reps and unit vectors."""
+    """(dim, query, point, score, keys): a task's k nearest rows of each sampled query; some: by dim, their points and unit vectors."""
     best: dict[int, list] = {}
     for dim, t, flat in _parts(batches):
         if dim not in some:
             continue
-        reps, asks = some[dim]
-        rep, unit = np.array(t.column("rep").to_pylist(), np.int64), _unit(flat)
+        asking, asks = some[dim]
+        point, unit = np.array(t.column("point").to_pylist(), np.int64), _unit(flat)
         s = asks @ unit.T
-        s[reps[:, None] == rep[None]] = -9
-        most = min(k, len(rep))
+        s[asking[:, None] == point[None]] = -9
+        most = min(k, len(point))
         near = np.argpartition(-s, most - 1, axis=1)[:, :most]
         keys = np.stack([keys_of(unit[near.ravel()], o) for o in range(ORDERS)], 1).reshape(*near.shape, ORDERS)
-        one = (np.take_along_axis(s, near, 1), rep[near], keys)
+        one = (np.take_along_axis(s, near, 1), point[near], keys)
         if dim in best:
             one = tuple(np.concatenate((x, y), 1) for x, y in zip(best[dim], one, strict=True))
             top = np.argsort(-one[0], axis=1)[:, :k]
             one = (np.take_along_axis(one[0], top, 1), np.take_along_axis(one[1], top, 1), np.take_along_axis(one[2], top[..., None], 1))
         best[dim] = one
-    for dim, (s, rep, keys) in best.items():
+    for dim, (s, point, keys) in best.items():
         n = s.size
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.repeat(some[dim][0], s.shape[1])), pa.array(rep.ravel()), pa.array(s.ravel()), pa.array(keys.reshape(n, ORDERS).tolist(), pa.list_(pa.int64()))], names=["dim", "query", "rep", "score", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim, np.int32)), pa.array(np.repeat(some[dim][0], s.shape[1])), pa.array(point.ravel()), pa.array(s.ravel()), pa.array(keys.reshape(n, ORDERS).tolist(), pa.list_(pa.int64()))], names=["dim", "query", "point", "score", "keys"])
 
 
 class Plan:
@@ -163,15 +168,18 @@ class Plan:
 
 def choose(cuts: list[np.ndarray], near: list[tuple[np.ndarray, np.ndarray]], rows: int, asks: int, dim: int) -> tuple[int, int]:
     """Orderings and reach that cost least and hold RECALL of the sampled neighbours; near: keys of query and neighbour in
-    each ordering. Without a sample, or where nothing else is cheaper: one ordering, all of it."""
+    each ordering. Without a sample, or where all would
+    compare too much: one ordering, all of it."""
     buckets = len(cuts[0]) + 1
     per = _COMPARE * dim / 64 * asks * rows
-    best = ((1 - SAVING) * (_ROW * rows + per), 1, buckets)
+    best = (math.inf, 1, buckets)
     if near:
         apart = np.array([np.abs(_bucket_of(c, q) - _bucket_of(c, x)) for c, (q, x) in zip(cuts, near, strict=True)])
-        for m in range(1, len(cuts) + 1):
+        for m in range(2, len(cuts) + 1):
             reach = int(np.quantile(apart[:m].min(0), RECALL, method="higher"))
-            best = min(best, (m * (_ROW * rows + per * min(1.0, (2 * reach + 1) / buckets)), m, reach))
+            compared = m * min(1.0, (2 * reach + 1) / buckets)
+            if compared <= MOST_COMPARED:
+                best = min(best, (m * _ROW * rows + per * compared, m, reach))
     return best[1], best[2]
 
 
@@ -180,8 +188,8 @@ def _placed(batches: Iterator[pa.RecordBatch], plans: dict[int, Plan]) -> Iterat
         plan, unit = plans[dim], _unit(flat)
         vec = pa.array([x.tobytes() for x in flat.astype("<f8")], pa.binary())
         query = np.flatnonzero(np.array(t.column("asks").to_pylist(), bool))
-        rep = np.array(t.column("rep").to_pylist(), np.int64)
-        spread = tk_mix(rep.astype(np.uint64))
+        point = np.array(t.column("point").to_pylist(), np.int64)
+        spread = tk_mix(point.astype(np.uint64))
         part, group = (spread % np.uint64(plan.parts)).astype(np.int64), ((spread >> np.uint64(32)) % np.uint64(plan.groups)).astype(np.int64)
         for order, cuts in enumerate(plan.cuts):
             key = keys_of(unit, order)
@@ -189,23 +197,25 @@ def _placed(batches: Iterator[pa.RecordBatch], plans: dict[int, Plan]) -> Iterat
             lo, hi = np.maximum(own[query] - plan.reach, 0), np.minimum(own[query] + plan.reach, len(cuts))
             n = (hi - lo + 1) * plan.parts
             far = np.repeat(lo * plan.parts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))  # bucket and part
-            row = np.concatenate((np.repeat(np.arange(len(rep)), plan.groups), np.repeat(query, n)))
-            to = np.concatenate((np.repeat(own * plan.parts + part, plan.groups) * plan.groups + np.tile(np.arange(plan.groups), len(rep)), far * plan.groups + np.repeat(group[query], n)))
-            home = np.arange(len(row)) < len(rep) * plan.groups
+            row = np.concatenate((np.repeat(np.arange(len(point)), plan.groups), np.repeat(query, n)))
+            to = np.concatenate((np.repeat(own * plan.parts + part, plan.groups) * plan.groups + np.tile(np.arange(plan.groups), len(point)), far * plan.groups + np.repeat(group[query], n)))
+            home = np.arange(len(row)) < len(point) * plan.groups
             for at in range(0, len(row), 4000):
                 i = pa.array(row[at : at + 4000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), order, np.int32)), t.column("dim").take(i), pa.array(to[at : at + 4000]), pa.array(key).take(i), t.column("rep").take(i), t.column("ids").take(i), vec.take(i), pa.array(home[at : at + 4000])], names=["ord", "dim", "bucket", "key", "rep", "ids", "vec", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), order, np.int32)), t.column("dim").take(i), pa.array(to[at : at + 4000]), pa.array(key).take(i), t.column("point").take(i), t.column("ids").take(i), vec.take(i), pa.array(home[at : at + 4000])], names=["ord", "dim", "bucket", "key", "point", "ids", "vec", "home"])
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:
     """Of one bucket: for each query, the k + 1 nearest points."""
     home = np.array(table.column("home").to_pylist(), bool)
-    key, rep = table.column("key").to_numpy(), table.column("rep").to_numpy()
+    key, point = table.column("key").to_numpy(), table.column("point").to_numpy()
+    ids = table.column("ids").combine_chunks()
+    first = pc.list_element(ids, 0).to_numpy()  # smallest id, by which ties are broken
     raw = _scaled(np.frombuffer(b"".join(table.column("vec").to_pylist()), "<f8").reshape(-1, table.column("dim")[0].as_py()))
     norm = np.sqrt((raw * raw).sum(1))
     unit = (raw / norm[:, None]).astype(np.float32)
     base = np.flatnonzero(home)
-    base = base[np.lexsort((rep[base], key[base]))]
+    base = base[np.lexsort((point[base], key[base]))]
     ask = np.flatnonzero(~home)
     ask = ask[np.argsort(key[ask], kind="stable")]
     close = np.float32(1e-6 * (8 + raw.shape[1] ** 0.5))  # what single precision may be wrong by, and more
@@ -221,19 +231,19 @@ def _search(table: pa.Table, k: int) -> pa.Table:
         for lo in range(0, len(base), 2 * WINDOW):
             c = base[lo : lo + 2 * WINDOW]
             s = unit[q] @ unit[c].T
-            s[rep[q][:, None] == rep[c][None]] = -9
+            s[point[q][:, None] == point[c][None]] = -9
             least = -np.partition(-s, min(k, len(c) - 1), axis=1)[:, min(k, len(c) - 1)]
             for i, j in zip(*np.nonzero(s >= least[:, None] - close), strict=True):
                 near[i].append(c[j])
         for row, found in zip(q, near, strict=True):
             cand = np.array(found, np.int64)
-            cand = cand[rep[cand] != rep[row]]
+            cand = cand[point[cand] != point[row]]
             score = exact(np.full(len(cand), row), cand)
-            top = np.lexsort((rep[cand], -score))[: k + 1]
+            top = np.lexsort((first[cand], -score))[: k + 1]
             out_q.append(np.full(len(top), row)), out_c.append(cand[top]), out_s.append(score[top])
     cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
     q, c, s = cat(out_q, np.int64), cat(out_c, np.int64), cat(out_s, float)
-    return pa.table({"rep_q": pa.array(rep[q], pa.int64()), "rep_c": pa.array(rep[c], pa.int64()), "ids": table.column("ids").combine_chunks().take(pa.array(c, pa.int64())), "score": pa.array(s, pa.float64())})
+    return pa.table({"query_point": pa.array(point[q], pa.int64()), "point": pa.array(point[c], pa.int64()), "ids": ids.take(pa.array(c, pa.int64())), "score": pa.array(s, pa.float64())})
 
 
 def _plans(points: DataFrame, k: int) -> dict[int, Plan]:
@@ -245,58 +255,65 @@ def _plans(points: DataFrame, k: int) -> dict[int, Plan]:
     most = max(buckets.values(), default=1)
     if most > 1:
         every = max(1, math.ceil(sum(n for n, _ in counts.values()) / SAMPLE_ROWS))
-        keyed = points.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).mapInArrow(_sample_keys, "ord int, dim int, key long")
+        keyed = points.where(F.pmod(F.xxhash64("point"), F.lit(every)) == 0).mapInArrow(_sample_keys, "ord int, dim int, key long")
         at = F.array(*[F.lit(i / most) for i in range(1, most)])
         for r in keyed.groupBy("ord", "dim").agg(F.percentile_approx("key", at, F.lit(max(10_000, 20 * most))).alias("cuts")).collect():
             x = np.array(r["cuts"], np.int64)
             cuts[r["ord"], r["dim"]] = np.unique(x[np.linspace(0, len(x) - 1, buckets[r["dim"]] - 1).astype(int)] if buckets[r["dim"]] > 1 else x[:0])
     near: dict = {}
     if most > 1:
-        first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("rep"), "rep"))
-        asks = points.where("asks").select("dim", "rep", "embedding", first.alias("n")).where(F.col("n") <= SAMPLE_QUERIES)
+        first = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("point"), "point"))
+        asks = points.where("asks").select("dim", "point", "embedding", first.alias("n")).where(F.col("n") <= SAMPLE_QUERIES)
         some: dict = {}
         for r in asks.collect():
-            some.setdefault(r["dim"], []).append((r["rep"], r["embedding"]))
+            some.setdefault(r["dim"], []).append((r["point"], r["embedding"]))
         some = {d: (np.array([i for i, _ in x], np.int64), _unit(np.array([v for _, v in x], float))) for d, x in some.items() if buckets[d] > 1}
         shared = points.sparkSession.sparkContext.broadcast(some)
-        true = points.mapInArrow(lambda b: _true_neighbours(b, shared.value, k), "dim int, query long, rep long, score double, keys array<long>")
-        best = F.row_number().over(Window.partitionBy("dim", "query").orderBy(F.col("score").desc(), "rep"))
+        true = points.mapInArrow(lambda b: _true_neighbours(b, shared.value, k), "dim int, query long, point long, score double, keys array<long>")
+        best = F.row_number().over(Window.partitionBy("dim", "query").orderBy(F.col("score").desc(), "point"))
         for r in true.withColumn("n", best).where(F.col("n") <= k).collect():
             near.setdefault(r["dim"], []).append((r["query"], r["keys"]))
         for d, pairs in near.items():
-            reps, unit = some[d]
-            at_ = np.searchsorted(np.sort(reps), [q for q, _ in pairs])
-            row = np.argsort(reps)[at_]
+            asking, unit = some[d]
+            at_ = np.searchsorted(np.sort(asking), [q for q, _ in pairs])
+            row = np.argsort(asking)[at_]
             there = np.array([x for _, x in pairs], np.int64)
             near[d] = [(keys_of(unit, o)[row], there[:, o]) for o in range(ORDERS)]
     for d, (n, asks) in counts.items():
         own = [cuts.get((o, d), np.empty(0, np.int64)) for o in range(ORDERS)]
         m, reach = choose(own, near.get(d, []), n, asks, d)
+        exact = reach > len(own[0])
+        step = max(1, EXACT_BUCKET // max(1, n // (len(own[0]) + 1)) if exact else reach // _REACH)
+        own = [c[step - 1 :: step] for c in own]
+        reach = len(own[0]) + 1 if exact else math.ceil(reach / step)
         per = max(1, n // (len(own[0]) + 1))
         here = math.ceil(asks * min(1.0, (2 * reach + 1) / (len(own[0]) + 1)))
-        out[d] = Plan(own[:m], reach, max(1, round(per / (4 * BUCKET))), max(1, math.ceil(here / QUERIES)))
+        out[d] = Plan(own[:m], reach, max(1, round(per / (2 * EXACT_BUCKET))), max(1, math.ceil(here / QUERIES)))
     return out
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: of each row for which `queries` (over vec_id) holds, its k nearest other rows."""
+    """query_id, rank, vec_id, score, query_point: of each row for which `queries` (over vec_id) holds, its k nearest other
+    rows. query_point numbers the queries' vectors."""
     rows = project(vectors, "vec_id", "embedding").where(usable("embedding", "vec_id")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", queries.alias("asks"))
     asks = rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     few = rows.select("vec_id", "embedding").distinct().withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    points = few.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    points = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     # a point asks if any of its rows does
-    points = points.join(asks.groupBy("embedding").agg(F.lit(True).alias("asks")), "embedding", "left").select("rep", "ids", "embedding", F.size("embedding").alias("dim"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    points = points.join(asks.groupBy("embedding").agg(F.lit(True).alias("asks")), "embedding", "left")
+    points = points.select(F.monotonically_increasing_id().alias("point"), "ids", "embedding", F.size("embedding").alias("dim"), F.coalesce("asks", F.lit(False)).alias("asks"))
     points = materialise(points, "ann-points")
     shared = points.sparkSession.sparkContext.broadcast(_plans(points, k))
-    placed = points.mapInArrow(lambda b: _placed(b, shared.value), "ord int, dim int, bucket long, key long, rep long, ids array<long>, vec binary, home boolean")
-    found = placed.groupBy("ord", "dim", "bucket").applyInArrow(lambda t: _search(t, k), "rep_q long, rep_c long, ids array<long>, score double")
-    own = points.where("asks").select(F.col("rep").alias("rep_q"), F.col("rep").alias("rep_c"), F.lit(2.0).alias("score"), "ids")  # copies of a query
-    merged = found.unionByName(own).groupBy("rep_q", "rep_c").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    best = merged.withColumn("n", F.row_number().over(Window.partitionBy("rep_q").orderBy(F.col("score").desc(), "rep_c"))).where(F.col("n") <= k + 2)
-    of = asks.join(points.where("asks").select("embedding", F.col("rep").alias("rep_q")), "embedding").select("query_id", "rep_q")
-    each = of.join(best, "rep_q").select("query_id", F.least("score", F.lit(1.0)).alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
-    return each.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    placed = points.mapInArrow(lambda b: _placed(b, shared.value), "ord int, dim int, bucket long, key long, point long, ids array<long>, vec binary, home boolean")
+    found = placed.groupBy("ord", "dim", "bucket").applyInArrow(lambda t: _search(t, k), "query_point long, point long, ids array<long>, score double")
+    own = points.where("asks").select(F.col("point").alias("query_point"), "point", "ids", F.lit(2.0).alias("score"))  # copies of a query
+    merged = found.unionByName(own).groupBy("query_point", "point").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+    best = merged.withColumn("n", F.row_number().over(Window.partitionBy("query_point").orderBy(F.col("score").desc(), F.col("ids")[0]))).where(F.col("n") <= k + 2)
+    of = asks.join(points.where("asks").select("embedding", F.col("point").alias("query_point")), "embedding").select("query_id", "query_point")
+    each = of.join(best, "query_point").select("query_id", "query_point", (F.col("point") == F.col("query_point")).alias("copy"), F.least("score", F.lit(1.0)).alias("score"), F.explode("ids").alias("vec_id"))
+    each = each.where("vec_id <> query_id OR NOT copy")
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_point").orderBy(F.col("score").desc(), "vec_id")))
+    return each.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_point")
 
 
 def op1(vectors: DataFrame) -> DataFrame:
