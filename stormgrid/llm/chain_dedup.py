@@ -12,10 +12,10 @@
 4. Alignment: the earlier document's words around a chain are fetched in blocks of BLOCK words, distinct ones only, and
    the chain is aligned: words on segments compared, gaps by edit distance, ends extended while they pay. What is long
    and alike enough is a passage; the later document loses it.
-5. What is left open: a stretch of LEAST_WORDS words that begins and ends in shared seeds, with LEAST_SHARED of its words
-   in shared seeds but in no passage (a seed counts where it first stands in its document). All holders of the rarest of
-   those seeds are asked for, so many seeds that an earlier document with LEAST_SHARED of the words must hold LEAST_ASKED
-   words of the asked ones; holders of so many are aligned as above.
+5. What is left open: a stretch of LEAST_WORDS words with LEAST_SHARED of them in shared seeds but in no passage (a seed
+   counts where it first stands in its document). All holders of the rarest of those seeds are asked for, so many seeds
+   that an earlier document with LEAST_SHARED of the words must hold LEAST_ASKED words of the asked ones; holders of so
+   many are aligned as above.
 
 Nothing here depends on how rows are dealt over batches: references go by id.
 
@@ -53,6 +53,7 @@ WORTH, COST, SKIP = 4.0, 0.1, 40
 #: Seeds on one diagonal, so near each other, are one segment.
 NEAR = 16
 BLOCK = 128
+_LONGER = 4  # words by which a passage that was too short may become longer than it must
 _MORE = 64  # words fetched beyond a chain's ends
 #: Documents up to which a seed refers to all of them; what tells the holders of other seeds apart.
 FEW, LEVELS, STROBES = 8, (9, 17, 33, 45), ((6, 26), (16, 56))
@@ -387,15 +388,35 @@ def _extend(eq: np.ndarray) -> int:
     return int(s.argmax()) + 1 if len(s) and s.max() > 0 else 0
 
 
+def _ends(before: np.ndarray, after: np.ndarray, core: int, alike: int) -> tuple[int, int]:
+    """Words to extend by on either side of `core` words, so many of them alike. What is too short then for a passage is
+    made LEAST_WORDS long or a few more, where that many words with enough of them alike stand there and end alike on
+    either side, and goes on from there."""
+    back, on = _extend(before), _extend(after)
+    missing = LEAST_WORDS - core
+    if back + on >= missing:
+        return back, on
+    most = missing + _LONGER
+    sides = []
+    for eq in (before[:most], after[:most]):
+        ends = np.concatenate(([True], eq))
+        ends[3:] &= eq[1:-1] | eq[:-2]  # two of three alike, so that a common word alone doesn't end a passage
+        sides.append((np.flatnonzero(ends), np.concatenate(([0], np.cumsum(eq)))[ends]))
+    (i, x), (j, y) = sides
+    length, same = core + i[:, None] + j[None], alike + x[:, None] + y[None]
+    part = np.where((length >= LEAST_WORDS) & (length <= LEAST_WORDS + _LONGER), same / length, 0)
+    k, m = np.unravel_index(int(part.argmax()), part.shape)
+    if part[k, m] < ALIKE:
+        return back, on
+    back, on = int(i[k]), int(j[m])
+    return back + _extend(before[back:]), on + _extend(after[on:])
+
+
 def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], lo: int, hi: int) -> tuple[int, int, int, int, float]:
     """Start and end here and there, and the part alike, of a chain of (place here, place there, words). x: all words
     here; y: words there, of which places from lo to hi are known."""
-    a, b, n = chain[0]
-    room = min(a, b - lo)
-    back = _extend((x[a - room : a] == y[b - room : b])[::-1])
-    start, other = a - back, b - back
-    alike = int((x[start:a] == y[other:b]).sum())
-    xe, ye = a, b
+    start, other, _ = chain[0]
+    alike, xe, ye = 0, start, other
     for a, b, n in chain:
         if a > xe or b > ye:
             alike += _edit(x[xe:a], y[ye:b]) if a > xe and b > ye else 0
@@ -406,10 +427,12 @@ def align(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], lo: i
             # a diagonal may leave and come back between two seeds
             alike += _edit(x[a : a + n], y[b : b + n]) if same < 0.85 * n and n <= 4 * NEAR else same
             xe, ye = a + n, b + n
-    room = min(len(x) - xe, hi - ye)
-    on = _extend(x[xe : xe + room] == y[ye : ye + room])
-    alike += int((x[xe : xe + on] == y[ye : ye + on]).sum())
-    return start, xe + on, other, ye + on, alike / max(xe + on - start, ye + on - other, 1)
+    room, more = min(start, other - lo), min(len(x) - xe, hi - ye)
+    before, after = (x[start - room : start] == y[other - room : other])[::-1], x[xe : xe + more] == y[ye : ye + more]
+    back, on = _ends(before, after, max(xe - start, ye - other), alike)
+    alike += int(before[:back].sum()) + int(after[:on].sum())
+    start, xe, other, ye = start - back, xe + on, other - back, ye + on
+    return start, xe, other, ye, alike / max(xe - start, ye - other, 1)
 
 
 Chain = tuple[int, int, int, list[tuple[int, int, int]]]  # document here, batch and document there, (here, there, words)
@@ -457,11 +480,11 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rich(words: np.ndarray) -> np.ndarray:
-    """Starts of stretches of LEAST_WORDS words that begin and end with one of these and hold LEAST_SHARED of them."""
+    """Starts of stretches of LEAST_WORDS words that hold LEAST_SHARED of these."""
     if len(words) < LEAST_WORDS:
         return np.empty(0, np.int64)
     c = np.concatenate(([0], np.cumsum(words)))
-    return np.flatnonzero((c[LEAST_WORDS:] - c[:-LEAST_WORDS] >= LEAST_SHARED) & words[: len(words) - LEAST_WORDS + 1] & words[LEAST_WORDS - 1 :])
+    return np.flatnonzero(c[LEAST_WORDS:] - c[:-LEAST_WORDS] >= LEAST_SHARED)
 
 
 def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:

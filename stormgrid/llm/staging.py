@@ -19,6 +19,8 @@ from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import bucketed, project
 
 BATCH = 1 << 20
+#: Bytes of text in a bucket of the table, which is what a task goes over and an executor lost repeats.
+TASK = 24 << 20
 #: Stands for a missing doc_id; after every other.
 NO_ID = 2**63 - 1
 
@@ -66,8 +68,8 @@ def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
             yield out()
 
     packed = d.mapInArrow(run, "size long, ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
-    n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return bucketed(packed.withColumn("batch", F.monotonically_increasing_id()), "staged", "batch", n)
+    text = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return bucketed(packed.withColumn("batch", F.monotonically_increasing_id()), "staged", "batch", max(8, math.ceil(text / TASK)))
 
 
 def buckets(staged: DataFrame, size: int) -> int:
