@@ -12,8 +12,8 @@
 4. Alignment: the earlier document's words around a chain are fetched in blocks of BLOCK words, distinct ones only, and
    the chain is aligned: words on segments compared, gaps by edit distance, ends extended while they pay. What is long
    and alike enough is a passage; the later document loses it.
-5. What is left open: a stretch of LEAST_WORDS words with LEAST_SHARED of them in shared seeds but in no passage (a seed
-   counts where it first stands in its document). All holders of the rarest of those seeds are asked for, so many seeds
+5. What is left open: a stretch of LEAST_WORDS words with LEAST_SHARED of them in shared seeds but in no passage, the
+   first and last of those less than a seed from its ends (a seed counts where it first stands in its document). All holders of the rarest of those seeds are asked for, so many seeds
    that an earlier document with LEAST_SHARED of the words must hold LEAST_ASKED words of the asked ones; holders of so
    many are aligned as above.
 
@@ -480,11 +480,13 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _rich(words: np.ndarray) -> np.ndarray:
-    """Starts of stretches of LEAST_WORDS words that hold LEAST_SHARED of these."""
+    """Starts of stretches of LEAST_WORDS words that hold LEAST_SHARED of these, one of them less than a seed from either end."""
     if len(words) < LEAST_WORDS:
         return np.empty(0, np.int64)
     c = np.concatenate(([0], np.cumsum(words)))
-    return np.flatnonzero(c[LEAST_WORDS:] - c[:-LEAST_WORDS] >= LEAST_SHARED)
+    near = c[SEED_WORDS:] > c[:-SEED_WORDS]  # whether one of SEED_WORDS words from here on is
+    n = len(words) - LEAST_WORDS + 1
+    return np.flatnonzero((c[LEAST_WORDS:] - c[:-LEAST_WORDS] >= LEAST_SHARED) & near[:n] & near[LEAST_WORDS - SEED_WORDS :])
 
 
 def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:
