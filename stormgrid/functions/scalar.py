@@ -77,8 +77,14 @@ def charging_from_vil(vil: Column, ir: Column, top: Column, charging_km: float =
     return clip(F.when(top <= charging_km, S.RANGES["refl_m10"][0]).otherwise(z), *S.RANGES["refl_m10"])
 
 
+def dbz_curve(density: Column) -> Column:
+    """Reflectivity that stands for a density of strikes: 18 dBZ where there is none."""
+    return clip(18.0 + 22.0 * F.log10(1.0 + 3.0 * density), 0, 65)
+
+
 def proxy_dbz(density: Column) -> Column:
-    return F.when(density > 0, clip(18.0 + 22.0 * F.log10(1.0 + 3.0 * density), 0, 65)).otherwise(0.0)
+    """The same of a raster, whose pixels without a strike have no echo."""
+    return F.when(density > 0, dbz_curve(density)).otherwise(0.0)
 
 
 def sigmoid(z: Column) -> Column:

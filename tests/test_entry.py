@@ -40,3 +40,17 @@ def test_stream_leaves_its_rows_in_files(spark, tmp_path, files):
     assert got.inputFiles()
     rows = lambda df, first: sorted(tuple(r) for r in df.selectExpr(first, "row", "col", "strikes").collect())
     assert rows(got, "unix_micros(start) div 300000000") == rows(q["tumbling_5min"](spark, str(tmp_path)), "frame")
+
+
+def test_surrogates_without_density_equal_sql(spark, tmp_path):
+    """A value of 0: the SQL has the curve's 18 dBZ there, and a raster's pixel without a strike has no echo."""
+    from stormgrid.functions import scalar
+
+    rows = [(i, f"2024-01-01 00:0{i}:00", i, "view", v, '{"k": 3}') for i, v in enumerate([0.0, 0.01, 4.0, 250.0])]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("* except (ts)", "cast(ts as timestamp_ntz) ts").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["surrogates"])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in entry.queries()["surrogates"](spark, str(tmp_path)).collect()) == sorted(want.fetchall())
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (1.0,)], "d double").select(scalar.proxy_dbz(scalar.F.col("d"))).collect()] == [0.0, pytest.approx(31.245, abs=1e-3)]
