@@ -11,14 +11,15 @@ def asof(targets: DataFrame, sources: DataFrame, keys: list[str], time: str, val
     counts as earlier. With linear, values in between are interpolated to the next source reading, where there is one."""
     t = targets.select(*keys, time, F.lit(1).alias("_is"), F.lit(None).cast("double").alias("_v"), F.struct(*targets.columns).alias("_row"))
     s = sources.select(*keys, time, F.lit(0).alias("_is"), F.col(value).cast("double").alias("_v"), F.lit(None).cast(t.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy(time, "_is")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(time, "_is").rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("_is") == 0, F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
     d = t.unionByName(s).withColumns({"_v0": F.last("_v", True).over(back), "_t0": F.last(at, True).over(back)})
     now = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     v = F.col("_v0")
     if linear:
-        d = d.withColumns({"_v1": F.first("_v", True).over(ahead), "_t1": F.first(at, True).over(ahead)})
+        # what follows, as what precedes in falling order: a frame that ends with the key is read anew for every row
+        ahead = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc("_is")).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.withColumns({"_v1": F.last("_v", True).over(ahead), "_t1": F.last(at, True).over(ahead)})
         v = F.when(F.col("_v1").isNull() | (F.col("_t1") <= F.col("_t0")), v).otherwise(v + (F.col("_v1") - v) * (now - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
     d = d.withColumns({"_value": v, "age_s": now - F.col("_t0")}).where("_is = 1")
     if limit_s is not None:
@@ -40,11 +41,12 @@ def sliced(targets: DataFrame, sources: DataFrame, keys: list[str], time: str, v
     w = Window.partitionBy(*keys, "_slice").orderBy("_t", "_is")
     d = d.withColumn("_now", F.last(read, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if linear:
-        d = d.withColumn("_next", F.first(read, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+        back = Window.partitionBy(*keys, "_slice").orderBy(F.desc("_t"), F.desc("_is"))
+        d = d.withColumn("_next", F.last(read, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     # one row for each key's slice, slices of targets alone among them
     per = d.groupBy(*keys, "_slice").agg(F.max_by(read, F.when(F.col("_is") == 0, F.col("_t"))).alias("_last"), F.min_by(read, F.when(F.col("_is") == 0, F.col("_t"))).alias("_first"))
-    over = Window.partitionBy(*keys).orderBy("_slice")
-    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_at"), F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    before, after = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_slice"), F.desc("_slice")))
+    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_at"), F.last("_last", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
     on = F.col("_slice") == F.col("_at")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))

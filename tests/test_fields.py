@@ -219,3 +219,15 @@ def test_whole_forecasts_against_numpy(spark, tmp_path):
     for r in q("swept_corridor_whole"):
         got[r["row"], r["col"]] = r["first_lead"]
     assert np.array_equal(got, want) and got[got < 99].max() > 3
+
+
+def test_asof_reads_no_frame_anew_for_each_row(spark):
+    """Interpolated readings by hand, equal times and nulls among them, from frames that grow with the rows only."""
+    t = spark.createDataFrame([(k, k % 2, s) for k, s in enumerate([5, 10, 10, 15, 40, 5])], "id long, row int, s long").select("id", "row", F.timestamp_seconds("s").alias("ts"))
+    v = spark.createDataFrame([(0, 4, 1.0), (0, 10, 7.0), (0, 20, None), (0, 30, 27.0), (1, 8, 3.0)], "row int, s long, v double").select("row", F.timestamp_seconds("s").alias("ts"), "v")
+    want = {0: (2.0, 1.0), 1: (3.0, 2.0), 2: (7.0, 0.0), 3: (3.0, 7.0), 4: (27.0, 10.0), 5: (None, None)}
+    for join in (asof.asof, asof.sliced):
+        d = join(t, v, ["row"], "ts", "v", linear=True)
+        assert {r["id"]: (r["v"], r["age_s"]) for r in d.collect()} == want
+        frames = d._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "unboundedpreceding" in frames and "unboundedfollowing" not in frames
