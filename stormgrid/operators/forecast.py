@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,16 +56,40 @@ def charging_rule(df: DataFrame, keys: list[str], m10: str, dy: Column, dx: Colu
     return moved(d, keys, "_p", dy, dx, 0.95, leads)
 
 
+def _shifts(names: list[str], most: int) -> Callable[[pa.Table], pa.Table]:
+    """(names, dy, dx, s) of one frame's pixels and those of the frame before it: sums of products at each shift that has one."""
+    dy, dx = (x.ravel() for x in np.mgrid[-most : most + 1, -most : most + 1].astype(np.int32))
+
+    def run(pixels: pa.Table) -> pa.Table:
+        old = pixels["_old"].to_numpy()
+        row, col, v = (pixels[c].to_numpy() for c in ("row", "col", "_v"))
+        row, col = (x.astype(np.int64) - x.min() + most for x in (row, col))
+        now, there = np.zeros((row.max() + most + 1, col.max() + most + 1)), np.zeros((row.max() + most + 1, col.max() + most + 1), bool)
+        np.add.at(now, (row[~old], col[~old]), v[~old])
+        there[row[~old], col[~old]] = True
+        at = row[old, None] + dy, col[old, None] + dx
+        met = there[at]
+        s = np.where(met, v[old, None] * now[at], 0.0).sum(0)
+        some = np.flatnonzero(met.any(0))
+        out = pixels.select(names).take(pa.array(np.zeros(len(some), np.int64)))
+        for name, x in (("dy", dy), ("dx", dx), ("s", s)):
+            out = out.append_column(name, pa.array(x[some]))
+        return out
+
+    return run
+
+
 def motion(df: DataFrame, keys: list[str], frame: str, value: str, most: int = 6) -> DataFrame:
     """(keys, dy, dx): the median over successive frames of the whole-pixel shift of largest cross-correlation, of equal
     ones the first in scan order. Pairs of frames without any product give no vector; a key without one rests.
 
-    Only pixels with an echo take part. A pixel meets the (2 most + 1)^2 pixels around it by exploded offsets, so the work
-    is linear in pixels."""
-    d = df.where(F.coalesce(F.col(value), F.lit(0.0)) > 0).select(*keys, frame, "row", "col", F.col(value).alias("_v"))
-    off = F.sequence(F.lit(-most), F.lit(most))
-    a = d.withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off)).select(*keys, (F.col(frame) + 1).alias(frame), (F.col("row") + F.col("dy")).alias("row"), (F.col("col") + F.col("dx")).alias("col"), "dy", "dx", F.col("_v").alias("_a"))
-    s = a.join(d, [*keys, frame, "row", "col"]).groupBy(*keys, frame, "dy", "dx").agg(F.round(F.sum(F.col("_a") * F.col("_v")), 6).alias("s"))
+    Only pixels with an echo take part. A frame's pixels meet those of the frame before in one task, each its
+    (2 most + 1)^2 neighbours, so the work is linear in pixels and a pixel is shuffled twice, however far it may shift."""
+    d = df.where((F.coalesce(F.col(value), F.lit(0.0)) > 0) & F.col(frame).isNotNull() & F.col("row").isNotNull() & F.col("col").isNotNull())
+    d = d.select(*keys, F.col(frame).cast("long").alias(frame), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("_v"), F.explode(F.array(F.lit(True), F.lit(False))).alias("_old"))
+    d = d.withColumn(frame, F.col(frame) + F.col("_old").cast("int"))
+    kinds = "".join(f"`{k}` {d.schema[k].dataType.simpleString()}, " for k in [*keys, frame])
+    s = d.groupBy(*keys, frame).applyInArrow(_shifts([*keys, frame], most), f"{kinds}dy int, dx int, s double").withColumn("s", F.round("s", 6))
     best = s.groupBy(*keys, frame).agg(F.min_by(F.struct("dy", "dx"), F.struct(-F.col("s"), F.col("dy"), F.col("dx"))).alias("m"))
     per = best.groupBy(*keys).agg(F.percentile("m.dy", F.lit(0.5)).alias("dy"), F.percentile("m.dx", F.lit(0.5)).alias("dx"))
     return df.select(*keys).distinct().join(per, keys, "left").select(*keys, F.coalesce("dy", F.lit(0.0)).alias("dy"), F.coalesce("dx", F.lit(0.0)).alias("dx"))

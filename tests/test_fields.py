@@ -231,3 +231,12 @@ def test_asof_reads_no_frame_anew_for_each_row(spark):
         assert {r["id"]: (r["v"], r["age_s"]) for r in d.collect()} == want
         frames = d._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "unboundedpreceding" in frames and "unboundedfollowing" not in frames
+
+
+def test_motion_shuffles_a_pixel_twice_whatever_the_shift(spark):
+    """A planted shift, with nulls, a pixel of no echo and a frame missing, from a plan that repeats pixels once and not for each shift."""
+    rows = [(1, f, 20 + 2 * f + i, 30 - 3 * f + 2 * i, 5.0 + i) for f in range(3) for i in range(3)] + [(1, 1, 0, 0, None), (1, 1, 1, 1, 0.0), (1, None, 5, 5, 9.0), (2, 0, 4, 4, 1.0), (2, 2, 4, 5, 1.0)]
+    d = forecast.motion(spark.createDataFrame(rows, "day int, hour int, row int, col int, z double"), ["day"], "hour", "z")
+    assert sorted(tuple(r) for r in d.collect()) == [(1, 2.0, -3.0), (2, 0.0, 0.0)]
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "explode([true,false])" in plan.replace(" ", "")
