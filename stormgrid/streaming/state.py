@@ -5,7 +5,7 @@ order of time once the watermark has passed them, and deadlines fall due by even
 the batch form beside it, up to the watermark, and goes on where it was after a restart from its checkpoint.
 
 A key's state is what the watermark has not passed yet and, for the buffer, at most its newest rows; a key's rows are
-taken as arrays, never one by one. Names of the state's columns are the operators' own.
+taken as arrays, some pieces at a time, never one by one. Names of the state's columns are the operators' own.
 """
 
 from __future__ import annotations
@@ -25,29 +25,34 @@ PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sq
 NEWEST, KEEP_S, STALE_S, FORGET_S, ALERT_S = 10_000, 1800, 300, 600, 2700
 LATE = "30 minutes"
 _NEVER = np.iinfo(np.int64).max
-_HELD = ["t", "number", "what"]
+_ROW = np.dtype([("t", "<i8"), ("number", "<i8"), ("what", "i1")])
+_RAISE, _ACK = 1, 2
+#: Rows of a piece of what a key holds, and rows that are sorted together before they are cut into pieces.
+PIECE, RUN = 10_000, 1 << 20
 
 
 class _Settling(StatefulProcessor):
-    """Holds a key's rows until the watermark passes them."""
+    """Holds a key's rows until the watermark passes them, in sorted pieces that are named by their first time. They are
+    settled in order of time, with as many pieces in memory as overlap, however many rows a key has."""
 
     def __init__(self, names: list[str]) -> None:
         self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "t long, number long, what string")
-        self.carried = handle.getValueState("carried", "first long, last long, mark long")
-
-    def rows(self) -> pd.DataFrame:
-        d = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=_HELD)
-        return d.astype({"t": "int64", "number": "int64"}).sort_values(["t", "number"], ignore_index=True)
-
-    def keep(self, d: pd.DataFrame) -> None:
-        if len(d):
-            self.held.put(list(d[_HELD].itertuples(index=False, name=None)))
-        else:
-            self.held.clear()
+        self.held = handle.getMapState("held", "first long, piece long", "rows binary")
+        self.made = handle.getValueState("made", "pieces long")
+        self.carried = handle.getValueState("carried", self.CARRIED)
+
+    def hold(self, rows: np.ndarray) -> None:
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["number"], rows["t"]))]
+        made = self.made.get()[0] if self.made.exists() else 0
+        for at in range(0, len(rows), PIECE):
+            made += 1
+            self.held.updateValue((int(rows["t"][at]), made), (rows[at : at + PIECE].tobytes(),))
+        self.made.update((made,))
 
     def due(self, at_us: int) -> None:
         """Whole milliseconds, rounded up: the watermark has passed at_us when the timer comes."""
@@ -55,20 +60,62 @@ class _Settling(StatefulProcessor):
             self.handle.registerTimer(-(-int(at_us) // 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        part, n, first = [], 0, _NEVER
         for d in rows:
-            self.held.appendList(list(d[_HELD].itertuples(index=False, name=None)))
-        self.due(self.first_due(self.rows()))
+            a = np.empty(len(d), _ROW)
+            a["t"], a["number"] = d["t"].astype("int64"), d["number"].astype("int64")
+            a["what"] = np.select([d["what"] == "raise", d["what"] == "ack"], [_RAISE, _ACK], 0)
+            part.append(a)
+            n, first = n + len(a), min(first, int(a["t"].min()))
+            if n >= RUN:
+                self.hold(np.concatenate(part))
+                part, n = [], 0
+        if part:
+            self.hold(np.concatenate(part))
+        self.due(first)  # nothing that these rows bring about falls due before the first of them
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self.settle(timerValues.getCurrentWatermarkInMs() * 1000)
-        if len(out):
-            yield pd.DataFrame({**dict(zip(self.names, key, strict=True)), **out})[[*self.names, *out.columns]]
+        for out in self.settled(timerValues.getCurrentWatermarkInMs() * 1000):
+            if len(out):
+                yield pd.DataFrame({**dict(zip(self.names, key, strict=True)), **out})[[*self.names, *out.columns]]
+
+    def settled(self, passed: int) -> Iterator[pd.DataFrame]:
+        order = sorted((int(first), int(piece)) for first, piece in self.held.keys())
+        now = [k for k in order if k[0] <= passed]
+        after = order[len(now)][0] if len(now) < len(order) else _NEVER
+        self.load(self.carried.get() if self.carried.exists() else None)
+        rows = np.empty(0, _ROW)
+        for k, nxt in zip(now, [first for first, _ in now[1:]] + [_NEVER], strict=False):
+            rows = np.concatenate((rows, np.frombuffer(self.held.getValue(k)[0], _ROW)))
+            rows = rows[np.lexsort((rows["number"], rows["t"]))]
+            self.held.removeKey(k)
+            upto = min(passed, nxt - 1)
+            n = int(np.searchsorted(rows["t"], upto, "right"))
+            if n:
+                yield self.step(rows[:n], upto)
+                rows = rows[n:]
+        yield self.step(rows[:0], passed)
+        self.hold(rows)
+        kept = self.kept()
+        if kept is None:
+            self.carried.clear()
+        else:
+            self.carried.update(kept)
+        self.due(min(after, int(rows["t"][0]) if len(rows) else _NEVER, self.deadline(passed)))
+
+    def load(self, carried: tuple | None) -> None:
+        self.carry = carried
 
-    def first_due(self, held: pd.DataFrame) -> int:
-        return int(held["t"].iloc[0])
+    def kept(self) -> tuple | None:
+        return self.carry
 
-    def settle(self, passed: int) -> pd.DataFrame:
+    def step(self, rows: np.ndarray, passed: int) -> pd.DataFrame:
+        """What the rows after those of the last step, up to a moment, bring about up to it."""
+        raise NotImplementedError
+
+    def deadline(self, passed: int) -> int:
+        """When something falls due even without further rows."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -76,52 +123,50 @@ class _Settling(StatefulProcessor):
 
 
 class _Buffer(_Settling):
-    """Rows leave by age, or when `newest` later ones have come. Both times grow with a row's own, so they leave in order."""
+    """Rows leave by age, or when `newest` later ones have come. Both times grow with a row's own, so they leave in order.
+    What is carried are the rows in the buffer, `newest` at most."""
+
+    CARRIED = "rows binary"
 
     def __init__(self, names: list[str], newest: int, keep_us: int) -> None:
         super().__init__(names)
         self.newest, self.keep_us = newest, keep_us
 
-    def ends(self, d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = d["t"].to_numpy()
-        pushed = np.full(len(t), _NEVER)
-        if len(t) > self.newest:
-            pushed[: len(t) - self.newest] = t[self.newest :]
-        return t + self.keep_us, pushed
+    def load(self, carried: tuple | None) -> None:
+        self.inside = np.frombuffer(carried[0], _ROW) if carried else np.empty(0, _ROW)
 
-    def first_due(self, held: pd.DataFrame) -> int:
-        return int(np.minimum(*self.ends(held))[0]) if len(held) else _NEVER
+    def kept(self) -> tuple | None:
+        return (self.inside.tobytes(),) if len(self.inside) else None
 
-    def settle(self, passed: int) -> pd.DataFrame:
-        d = self.rows()
-        aged, pushed = self.ends(d)
+    def step(self, rows: np.ndarray, passed: int) -> pd.DataFrame:
+        d = np.concatenate((self.inside, rows))
+        t = d["t"]
+        aged, pushed = t + self.keep_us, np.full(len(t), _NEVER)
+        if len(t) > self.newest:
+            pushed[: len(t) - self.newest] = t[self.newest :]
         out = np.minimum(aged, pushed)
         n = int(np.searchsorted(out, passed, "right"))
-        rest = d.iloc[n:]
-        self.keep(rest)
-        if len(rest):
-            self.due(out[n])
-        return pd.DataFrame({"number": d["number"][:n], "entered_us": d["t"][:n], "left_us": out[:n], "reason": np.where(pushed[:n] < aged[:n], "cap", "age")})
+        self.inside = d[n:]
+        return pd.DataFrame({"number": d["number"][:n], "entered_us": t[:n], "left_us": out[:n], "reason": np.where(pushed[:n] < aged[:n], "cap", "age")})
+
+    def deadline(self, passed: int) -> int:
+        return int(self.inside["t"][0]) + self.keep_us if len(self.inside) else _NEVER
 
 
 class _Fresh(_Settling):
     """Refreshes in order: LIVE from each that finds the source otherwise, STALE and EXPIRED as long after the last. What is
     carried is the last refresh, and up to when it was judged."""
 
+    CARRIED = "first long, last long, mark long"
+
     def __init__(self, names: list[str], stale_us: int, forget_us: int) -> None:
         super().__init__(names)
         self.limits = {"STALE": stale_us, "EXPIRED": forget_us}
 
-    def settle(self, passed: int) -> pd.DataFrame:
-        d = self.rows()
-        n = int(np.searchsorted(d["t"].to_numpy(), passed, "right"))
-        t, rest = d["t"].to_numpy()[:n], d.iloc[n:]
-        known = self.carried.exists()
-        _, last, told = self.carried.get() if known else (0, 0, -1)
+    def step(self, rows: np.ndarray, passed: int) -> pd.DataFrame:
+        t, known = rows["t"], self.carry is not None
+        _, last, told = self.carry if known else (0, 0, -1)
         t = np.concatenate(([last], t)) if known else t
-        self.keep(rest)
-        if len(rest):
-            self.due(rest["t"].iloc[0])
         if not len(t):
             return _changes({})
         gap = np.append(np.diff(t), _NEVER)
@@ -129,32 +174,29 @@ class _Fresh(_Settling):
         for state, limit in self.limits.items():
             at = t + limit
             out[state] = at[(gap > limit) & (at <= passed) & (at > told)]
-            if at[-1] > passed:
-                self.due(at[-1])
-        self.carried.update((int(t[0]), int(t[-1]), int(passed)))
+        self.carry = (int(t[0]), int(t[-1]), int(passed))
         return _changes(out)
 
+    def deadline(self, passed: int) -> int:
+        return min((self.carry[1] + limit for limit in self.limits.values() if self.carry[1] + limit > passed), default=_NEVER) if self.carry else _NEVER
+
 
 class _Alerts(_Settling):
     """An alert is raised, acknowledged once, and expires hold_us after what raised it last. Of equal times raises come first.
     What is carried is an open alert's first and last raise, and when it was acknowledged."""
 
+    CARRIED = "first long, last long, mark long"
+
     def __init__(self, names: list[str], hold_us: int) -> None:
         super().__init__(names)
         self.hold_us = hold_us
 
-    def settle(self, passed: int) -> pd.DataFrame:
-        d = self.rows()
-        n = int(np.searchsorted(d["t"].to_numpy(), passed, "right"))
-        now, rest = d.iloc[:n], d.iloc[n:]
-        raises, acks = (now["t"][now["what"] == w].to_numpy() for w in ("raise", "ack"))
-        known = self.carried.exists()
-        begun, last, marked = self.carried.get() if known else (None, None, None)
+    def step(self, rows: np.ndarray, passed: int) -> pd.DataFrame:
+        raises, acks = (rows["t"][rows["what"] == w] for w in (_RAISE, _ACK))
+        known = self.carry is not None
+        begun, last, marked = self.carry if known else (None, None, None)
         t = np.concatenate(([last], raises)) if known else raises
-        self.carried.clear()
-        self.keep(rest)
-        if len(rest):
-            self.due(rest["t"].iloc[0])
+        self.carry = None
         if not len(t):
             return _changes({})
         starts = np.flatnonzero(np.append(True, np.diff(t) > self.hold_us))
@@ -170,10 +212,12 @@ class _Alerts(_Settling):
                 ack[0], told[0] = marked, False
         out = {"RAISED": first[raised], "ACKNOWLEDGED": ack[told], "EXPIRED": end[end <= passed]}
         if end[-1] > passed:
-            self.carried.update((int(first[-1]), int(end[-1] - self.hold_us), None if ack[-1] == _NEVER else int(ack[-1])))
-            self.due(end[-1])
+            self.carry = (int(first[-1]), int(end[-1] - self.hold_us), None if ack[-1] == _NEVER else int(ack[-1]))
         return _changes(out)
 
+    def deadline(self, passed: int) -> int:
+        return self.carry[1] + self.hold_us if self.carry else _NEVER
+
 
 def _changes(by_state: dict[str, np.ndarray]) -> pd.DataFrame:
     d = pd.concat([pd.DataFrame({"changed_us": t, "state": s}) for s, t in by_state.items()]) if by_state else pd.DataFrame({"changed_us": [], "state": []})

@@ -96,3 +96,79 @@ def test_alerts_equal_plain_python(spark, files, rows, tmp_path):
             want += [(zone, s * 1_000_000, w) for s, w in ((first, "RAISED"), (ack, "ACKNOWLEDGED"), (end, "EXPIRED")) if s is not None]
     assert got == sorted(x for x in want if x[1] <= passed([r for r in rows if r[2] != "view"]))
     assert {r[2] for r in got} == {"RAISED", "ACKNOWLEDGED", "EXPIRED"}
+
+
+class _Map(dict):
+    """State as a dictionary, which notes the most rows that were given out and not yet stepped over."""
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def removeKey(self, k):
+        del self[k]
+
+
+class _Value:
+    now = None
+
+    def exists(self):
+        return self.now is not None
+
+    def get(self):
+        return self.now
+
+    def update(self, v):
+        self.now = v
+
+    def clear(self):
+        self.now = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.map = [], _Map()
+
+    def getMapState(self, *_):
+        return self.map
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+@pytest.mark.parametrize("kind", ["buffer", "fresh", "alerts"])
+def test_a_key_is_settled_with_a_few_pieces_in_memory(monkeypatch, kind):
+    """Far more rows than pieces, out of order, with equal times: the same log as in one piece, from steps of some pieces."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n = 6000
+    d = pd.DataFrame({"t": rng.integers(0, 900_000, n) * 1_000_000, "number": np.arange(n), "what": rng.choice(["raise", "ack"], n)})
+    make = {"buffer": lambda: state._Buffer(["zone"], 5, 900_000_000), "fresh": lambda: state._Fresh(["zone"], 300_000_000, 600_000_000), "alerts": lambda: state._Alerts(["zone"], 700_000_000)}[kind]
+    timer = lambda us: type("T", (), {"getCurrentWatermarkInMs": lambda self: us // 1000})()
+
+    def log(piece, run, marks):
+        monkeypatch.setattr(state, "PIECE", piece)
+        monkeypatch.setattr(state, "RUN", run)
+        p, most, out = make(), [0], []
+        p.init(_Handle())
+        list(p.handleInputRows(("z",), (d[i : i + 100] for i in range(0, n, 100)), None))
+        step = p.step
+        p.step = lambda rows, passed: (most.append(len(rows)), step(rows, passed))[1]
+        for mark in marks:
+            out += list(p.handleExpiredTimer(("z",), timer(mark), None))
+        assert all(ms * 1000 > marks[-1] for ms in p.handle.timers[-1:])
+        key = lambda r: tuple(map(str, r))
+        return sorted((tuple(r) for x in out for r in x.itertuples(index=False)), key=key), max(most)
+
+    end = 800_000_000_000
+    whole, at_once = log(10_000, 1 << 20, [end])
+    parts, in_pieces = log(50, 1000, [200_000_000_000, 200_000_000_000, end])
+    assert parts == whole and len(whole) > 100
+    assert at_once > 5000 and in_pieces <= 6 * 50
