@@ -68,12 +68,16 @@ class Bpe(dict):
 
     def merged(self, data: bytes) -> list[int]:
         """The merges themselves, lowest rank first; only for the pairs and entries that are tested."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 40:
-                break
+        parts, get, none = [data[i : i + 1] for i in range(len(data))], self.ranks.get, 1 << 40
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (rank := min(ranks)) != none:
+            i = ranks.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def follows(self, a: int, b: int) -> bool:
@@ -90,21 +94,25 @@ class Bpe(dict):
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        # entries at each byte, shortest first: those of byte i stand from first[i] on
-        found = array("q")
-        for end, (n, t) in self.auto.iter(data.decode("latin-1")):
-            if self.reachable(t):
-                found.append((end - n + 1) << 32 | t)
+        # entries at each byte, shortest first, as the automaton gives a byte's entries by their ends: those of byte i stand
+        # from first[i] on
+        reached = self.reached
         if len(data) < 64:
-            flat = sorted(found, key=lambda x: (x >> 32, len(self.entry[x & 0xFFFFFFFF])))
-            first = [0] * (len(data) + 1)
-            for x in flat:
-                first[(x >> 32) + 1] += 1
-            for i in range(len(data)):
-                first[i + 1] += first[i]
+            by_byte: list[list[int]] = [[] for _ in data]
+            for end, (n, t) in self.auto.iter(data.decode("latin-1")):
+                if (ok := reached.get(t)) or ok is None and self.reachable(t):
+                    by_byte[end - n + 1].append(t)
+            flat, first = [], [0]
+            for ts in by_byte:
+                flat += ts
+                first.append(len(flat))
         else:
+            found = array("q")
+            for end, (n, t) in self.auto.iter(data.decode("latin-1")):
+                if (ok := reached.get(t)) or ok is None and self.reachable(t):
+                    found.append((end - n + 1) << 32 | t)
             f = np.frombuffer(found, np.int64)
-            f = f[np.argsort(f >> 32, kind="stable")]  # the automaton gives a byte's entries by their ends
+            f = f[np.argsort(f >> 32, kind="stable")]
             first = array("q", np.searchsorted(f >> 32, np.arange(len(data) + 1)).tobytes())
             flat = array("q", f.tobytes())
         out: list[int] = []

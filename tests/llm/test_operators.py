@@ -534,3 +534,29 @@ def test_language_of_repeated_and_clashing_rows(spark):
     got = langid_ecoc.predicted(df, langid_ecoc.train(df)).collect()
     assert len(got) == len(rows) and all(r["lang_pred"] == "aa" for r in got if r["doc_id"] == 900)
     assert counted(r["lang_pred"] for r in got) == {"aa": 82, "bb": 80}
+
+
+def test_bpe_asks_once_for_each_entry_and_equals_plain_merges(monkeypatch):
+    """Made-up words cost a look into a dictionary for each entry in them, and have the ids of merges taken one by one."""
+    import random
+
+    from stormgrid.llm import bpe
+
+    b = bpe.Bpe(bpe.load(bpe.default_path()).ranks)
+    asked, reachable = [], b.reachable
+    monkeypatch.setattr(b, "reachable", lambda t: (asked.append(t), reachable(t))[1], raising=False)
+    r = random.Random(5)
+    words = ["".join(r.choice(["a", "e", "in", "st", "qu", "zx", "ß", "日"]) for _ in range(r.randrange(1, 12))) for _ in range(800)]
+
+    def plain(data):
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            rank, i = min((b.ranks.get(x + y, 1 << 40), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [b.ranks[p] for p in parts]
+
+    for w in words:
+        assert b.encode_piece(w.encode()) == ([b.ranks[w.encode()]] if w.encode() in b.ranks else plain(w.encode()))
+    assert len(asked) == len(set(asked))
