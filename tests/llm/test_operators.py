@@ -560,3 +560,15 @@ def test_bpe_asks_once_for_each_entry_and_equals_plain_merges(monkeypatch):
     for w in words:
         assert b.encode_piece(w.encode()) == ([b.ranks[w.encode()]] if w.encode() in b.ranks else plain(w.encode()))
     assert len(asked) == len(set(asked))
+
+
+def test_quality_verdict_sees_what_the_base_rule_cannot(spark):
+    """Runs of one word, too short for its window, and a passage that stands twice in a long text; kept are the base rule's others."""
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    runs = " ".join(f"r{i} " * 7 for i in range(12))
+    texts = {1: runs, 2: f"{word('p', 70)} {word('a', 400)} {word('p', 70)}", 3: word("c", 300), 4: f"{word('q', 40)} {word('b', 400)} {word('q', 40)}", 5: "too short"}
+    got = {r["doc_id"]: r for r in quality_sa.judged(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: (r["base_failed"], r["kept"]) for i, r in got.items()} == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True), 5: (True, False)}
+    assert got[1]["n_repeat_words"] == 0 and got[2]["longest_repeat"] == 70
+    kept = quality_sa.filtered(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
