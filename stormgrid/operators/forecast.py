@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,34 +27,82 @@ def climatology(df: DataFrame, keys: list[str], base_rate: float, leads: range =
     return df.select(*keys, F.explode(F.array(*map(F.lit, leads))).alias("lead"), "row", "col", F.lit(base_rate).alias("prob"))
 
 
+def _mean(a: np.ndarray, r: int) -> np.ndarray:
+    """Mean of a box of side 2r + 1; edge pixels go on outside."""
+    for axis in (0, 1):
+        p = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        a = sum(np.take(p, range(i, i + a.shape[axis]), axis) for i in range(2 * r + 1)) / (2 * r + 1)
+    return a
+
+
+def _most(a: np.ndarray, r: int) -> np.ndarray:
+    """Largest value of a box of side 2r + 1, cut at the edge. Values are 0 at least."""
+    for axis in (0, 1):
+        p = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)])
+        a = np.maximum.reduce([np.take(p, range(i, i + a.shape[axis]), axis) for i in range(2 * r + 1)])
+    return a
+
+
+def _rasters(df: DataFrame, keys: list[str], columns: dict[str, Column], kind: str, run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
+    """Each key's pixels, row and col with `columns`, in one task: what `run` makes of them as arrays, keys before it."""
+    inside = F.col("row").between(0, S.GRID - 1) & F.col("col").between(0, S.GRID - 1)
+    d = df.select(*keys, F.when(inside, F.col("row").cast("int")).alias("row"), F.when(inside, F.col("col").cast("int")).alias("col"), *(c.cast("double").alias(k) for k, c in columns.items()))
+    names = ["row", "col", *columns]
+
+    def one(pixels: pa.Table) -> pa.Table:
+        here = pixels.filter(pc.and_(pc.is_valid(pixels["row"]), pc.is_valid(pixels["col"])))
+        got = run({c: here[c].to_numpy() for c in names})
+        out = pixels.select(keys).take(pa.array(np.zeros(len(got["row"]), np.int64)))
+        for name, x in got.items():
+            out = out.append_column(name, pa.array(x))
+        return out
+
+    return d.groupBy(*keys).applyInArrow(one, "".join(f"`{k}` {d.schema[k].dataType.simpleString()}, " for k in keys) + kind)
+
+
+def _carried(df: DataFrame, keys: list[str], value: Column, start: Callable[[np.ndarray], np.ndarray], dy: Column, dx: Column, decay: float, leads: range) -> DataFrame:
+    """What `start` makes of a grid of `value` (0 where no pixel is), carried on by (dy, dx) a step, widened by the root of
+    the steps, fading by `decay` a step. A grid's leads are made in its task, so a pixel is shuffled once for all of them."""
+    n = S.GRID
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = c["row"].astype(np.int64) * n + c["col"]
+        v = start(np.bincount(at, c["_v"], n * n).reshape(n, n)).ravel()
+        ys, xs = np.full(n * n, np.nan), np.full(n * n, np.nan)
+        if len(at):  # a pixel that is not listed moves as its grid's first
+            ys[:], xs[:] = c["_dy"][0], c["_dx"][0]
+        ys[at], xs[at] = c["_dy"], c["_dx"]
+        moves = np.flatnonzero((v != 0) & np.isfinite(ys) & np.isfinite(xs))
+        v, ys, xs, row, col = v[moves], ys[moves], xs[moves], moves // n, moves % n
+        probs = []
+        for step in leads:
+            my, mx = ys * step, xs * step
+            fy, fx = np.floor(my), np.floor(mx)
+            f = np.zeros(n * n)
+            for i, wy in ((0, 1 - (my - fy)), (1, my - fy)):
+                for j, wx in ((0, 1 - (mx - fx)), (1, mx - fx)):
+                    p, q = row + fy + i, col + fx + j
+                    on = (p >= 0) & (p < n) & (q >= 0) & (q < n)
+                    f += np.bincount((p[on] * n + q[on]).astype(np.int64), (v * wy * wx)[on], n * n)
+            probs.append(np.clip(_mean(f.reshape(n, n), grid.spread_radius(step)) * decay**step, 0.0, 1.0).ravel())
+        every = np.arange(n * n, dtype=np.int32)
+        return {"lead": np.repeat(np.array(leads, np.int32), n * n), "row": np.tile(every // n, len(leads)), "col": np.tile(every % n, len(leads)), "prob": np.concatenate(probs)}
+
+    columns = {"_v": F.coalesce(value.cast("double"), F.lit(0.0)), "_dy": dy, "_dx": dx}
+    return _rasters(df, keys, columns, "lead int, row int, col int, prob double", run)
+
+
 def moved(df: DataFrame, keys: list[str], field: str, dy: Column, dx: Column, decay: float, leads: range = LEADS) -> DataFrame:
-    """A dense field carried on by (dy, dx) a step, widened by the root of the steps, fading by `decay` a step. All leads go
-    through one pass: a pixel gives its value to at most four others at each lead, and boxes of all sizes are taken together."""
-    each = F.explode(F.array(*map(F.lit, leads))).alias("lead")
-    empty = df.select(*keys, each, "row", "col", F.lit(0.0).alias("_f"))
-    d = df.where(F.col(field) != 0).select(*keys, "row", "col", F.col(field).alias("_v"), dy.alias("_dy"), dx.alias("_dx")).select("*", each)
-    d = d.withColumns({"_my": F.col("_dy") * F.col("lead"), "_mx": F.col("_dx") * F.col("lead")})
-    d = d.withColumns({"_fy": F.floor("_my").cast("int"), "_fx": F.floor("_mx").cast("int"), "_ay": F.col("_my") - F.floor("_my"), "_ax": F.col("_mx") - F.floor("_mx")})
-    part = lambda i, j: f"struct(row + _fy + {i} AS row, col + _fx + {j} AS col, _v * {'_ay' if i else '(1 - _ay)'} * {'_ax' if j else '(1 - _ax)'} AS _f)"
-    d = d.selectExpr(*keys, "lead", f"explode(array({', '.join(part(i, j) for i in (0, 1) for j in (0, 1))})) AS p").selectExpr(*keys, "lead", "p.*")
-    d = d.where(f"_f <> 0 AND row BETWEEN 0 AND {S.GRID - 1} AND col BETWEEN 0 AND {S.GRID - 1}")
-    d = empty.unionByName(d).groupBy(*keys, "lead", "row", "col").agg(F.sum("_f").alias("_f"))
-    radius = {step: grid.spread_radius(step) for step in leads}
-    d = grid.box_sums(d, [*keys, "lead"], ["_f"], sorted({r for r in radius.values() if r}))
-    mean = lambda r: F.col(f"_f_r{r}") / float((2 * r + 1) ** 2) if r else F.col("_f")
-    wide = F.coalesce(*(F.when(F.col("lead") == step, mean(r) * decay**step) for step, r in radius.items()))
-    return d.select(*keys, "lead", "row", "col", F.least(F.greatest(wide, F.lit(0.0)), F.lit(1.0)).alias("prob"))
+    """A field carried on as it is; pixels that are not listed are 0."""
+    return _carried(df, keys, F.col(field), lambda a: a, dy, dx, decay, leads)
 
 
 def advection(df: DataFrame, keys: list[str], lit: str, dy: Column, dx: Column, leads: range = LEADS) -> DataFrame:
-    d = grid.box_mean(df.withColumn("_l", F.col(lit).cast("double")), keys, "_l", 1, "_p")
-    return moved(d, keys, "_p", dy, dx, 0.97, leads)
+    return _carried(df, keys, F.col(lit), lambda a: _mean(a, 1), dy, dx, 0.97, leads)
 
 
 def charging_rule(df: DataFrame, keys: list[str], m10: str, dy: Column, dx: Column, leads: range = LEADS, dbz: float = S.CHARGING_DBZ, dilate: int = 2) -> DataFrame:
-    d = df.withColumn("_d", F.coalesce((F.col(m10) >= dbz).cast("double"), F.lit(0.0)))
-    d = grid.box_mean(grid.box_max(d, keys, "_d", dilate, "_w"), keys, "_w", 1, "_p")
-    return moved(d, keys, "_p", dy, dx, 0.95, leads)
+    return _carried(df, keys, F.col(m10) >= dbz, lambda a: _mean(_most(a, dilate), 1), dy, dx, 0.95, leads)
 
 
 def _shifts(names: list[str], most: int) -> Callable[[pa.Table], pa.Table]:
@@ -121,17 +170,25 @@ def initiation_mask(df: DataFrame, keys: list[str], lit: str, r: int = 4) -> Dat
 def swept_mask(df: DataFrame, keys: list[str], lit: str, dy: float | Column, dx: float | Column, leads: range = LEADS, r: int = 4) -> DataFrame:
     """Pixels that advected lightning reaches, with the first lead at which it does: those leads and later are excluded.
 
-    Each struck pixel lists, step by step, the box it has moved and widened to; a box over an edge is cut, never wrapped.
-    A box joins the sweep through its rows only, and columns by a window, so a step costs a box's side, not its area."""
-    had = df.groupBy(*keys, "row", "col").agg(F.max(F.col(lit).cast("int")).alias("_h"))
-    near = lambda d, step: F.rint(d * step).cast("int") if isinstance(d, Column) else round(d * step)
-    parts = []
-    for step in [0, *leads]:
-        my, mx, rr = near(dy, step), near(dx, step), r + (grid.spread_radius(step) if step else 0)
-        at = had.withColumns({"row": F.col("row") + my, "col": F.col("col") + mx}).where((F.col("_h") == 1) & F.col("row").between(0, S.GRID - 1) & F.col("col").between(0, S.GRID - 1)).select(*keys, "row", "col", F.lit(1).alias("_hit"))
-        d = had.select(*keys, "row", "col").join(at, [*keys, "row", "col"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(0)))
-        parts.append(grid.box_max(d, keys, "_hit", rr, "_n").where("_n = 1").select(*keys, "row", "col", F.lit(max(step, 1)).alias("lead")))
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "row", "col").agg(F.min("lead").alias("first_lead"))
+    At each step a struck pixel sweeps the box it has moved and widened to; a box over an edge is cut, never wrapped. Only
+    struck pixels are shuffled, once for all steps: a grid's steps are made in its task."""
+    n = S.GRID
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        first = np.zeros((n, n), np.int32)
+        for step in sorted({0, *leads}):
+            p, q = c["row"] + np.rint(c["_dy"] * step), c["col"] + np.rint(c["_dx"] * step)
+            on = (p >= 0) & (p < n) & (q >= 0) & (q < n)
+            hit = np.zeros((n, n), bool)
+            hit[p[on].astype(np.int64), q[on].astype(np.int64)] = True
+            first[_most(hit, r + (grid.spread_radius(step) if step else 0)) & (first == 0)] = max(step, 1)
+        row, col = np.nonzero(first)
+        return {"row": row.astype(np.int32), "col": col.astype(np.int32), "first_lead": first[row, col]}
+
+    dy, dx = (x if isinstance(x, Column) else F.lit(float(x)) for x in (dy, dx))
+    struck = df.where((F.col(lit).cast("int") >= 1) & dy.isNotNull() & dx.isNotNull())
+    struck = struck.select(*keys, "row", "col", dy.alias("_dy"), dx.alias("_dx")).distinct()
+    return _rasters(struck, keys, {"_dy": F.col("_dy"), "_dx": F.col("_dx")}, "row int, col int, first_lead int", run)
 
 
 def ensemble(df: DataFrame, advect: str, rule: str, persist: str, clim: str) -> DataFrame:

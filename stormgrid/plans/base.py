@@ -30,10 +30,21 @@ CELLS = """c AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, CAST(epoch_us(ts)
  least(value / 100.0e0, 1.0e0) AS prob FROM events)"""
 
 
+def day_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of `day_grid`, the pixels that have an event."""
+    return _graded(_day_cells(spark, sf_dir))
+
+
 def day_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dense 64 x 64 grid a day: z (dBZ-like, largest value over 7.3), strikes, p (least of largest value over 100 and 1)."""
-    d = cells(spark, sf_dir).groupBy("day", "row", "col").agg((F.max("v") / 7.3).alias("z"), F.count_if(F.col("strike")).alias("strikes"), F.max("prob").alias("p"))
-    d = grid.dense(d, ["day"])
+    return _graded(grid.dense(_day_cells(spark, sf_dir), ["day"]))
+
+
+def _day_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).groupBy("day", "row", "col").agg((F.max("v") / 7.3).alias("z"), F.count_if(F.col("strike")).alias("strikes"), F.max("prob").alias("p"))
+
+
+def _graded(d: DataFrame) -> DataFrame:
     return d.select("day", "row", "col", F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("strikes", F.lit(0)).alias("strikes"), F.coalesce("p", F.lit(0.0)).alias("p"), (F.coalesce("strikes", F.lit(0)) >= 1).cast("double").alias("lit"))
 
 

@@ -240,3 +240,26 @@ def test_motion_shuffles_a_pixel_twice_whatever_the_shift(spark):
     assert sorted(tuple(r) for r in d.collect()) == [(1, 2.0, -3.0), (2, 0.0, 0.0)]
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "explode([true,false])" in plan.replace(" ", "")
+
+
+def _sparse(spark):
+    """Grids of a few pixels: one with nulls and a pixel outside, one that moves by fractions, one whose pixels have no row."""
+    rows = [(1, 0, 0, 1.0), (1, 63, 63, 1.0), (1, 5, 6, None), (1, 64, 3, 1.0), (1, None, 2, 1.0), (2, 30, 31, 1.0), (2, 32, 31, 0.0), (3, None, None, 0.0)]
+    return spark.createDataFrame(rows, "day int, row int, col int, lit double")
+
+
+def _exchanges(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_sweep_shuffles_struck_pixels_and_not_each_step(spark):
+    d = forecast.swept_mask(_sparse(spark), ["day"], "lit", F.lit(1.25), F.lit(-0.5), range(1, 13))
+    assert _exchanges(d) <= 2
+    got, want = {(r["day"], r["row"], r["col"]): r["first_lead"] for r in d.collect()}, {}
+    for day, r, c in ((1, 0, 0), (1, 63, 63), (2, 30, 31)):
+        for step in range(12, -1, -1):
+            p, q, rr = r + round(1.25 * step), c + round(-0.5 * step), 4 + round(step**0.5)
+            if 0 <= p < N and 0 <= q < N:
+                for at in ((day, i, j) for i in range(max(p - rr, 0), min(p + rr, N - 1) + 1) for j in range(max(q - rr, 0), min(q + rr, N - 1) + 1)):
+                    want[at] = min(want.get(at, 99), max(step, 1))
+    assert got == want
