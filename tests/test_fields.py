@@ -263,3 +263,29 @@ def test_sweep_shuffles_struck_pixels_and_not_each_step(spark):
                 for at in ((day, i, j) for i in range(max(p - rr, 0), min(p + rr, N - 1) + 1) for j in range(max(q - rr, 0), min(q + rr, N - 1) + 1)):
                     want[at] = min(want.get(at, 99), max(step, 1))
     assert got == want
+
+
+def _carried_by_hand(starts, decay):
+    return {(day, step): np.clip(_box(_moved(a, 1.25 * step, -0.5 * step), round(np.sqrt(step)), True) * decay**step, 0, 1) for day, a in starts.items() for step in range(1, 13)}
+
+
+def _grids(d):
+    got, n = {}, 0
+    for r in d.collect():
+        got.setdefault((r["day"], r["lead"]), np.zeros((N, N)))[r["row"], r["col"]] = r["prob"]
+        n += 1
+    assert n == len(got) * N * N
+    return got
+
+
+def _lit():
+    lit = {1: np.zeros((N, N)), 2: np.zeros((N, N)), 3: np.zeros((N, N))}
+    lit[1][0, 0] = lit[1][63, 63] = lit[2][30, 31] = 1
+    return lit
+
+
+def test_charging_rule_shuffles_a_pixel_once_for_all_leads(spark):
+    d = forecast.charging_rule(_sparse(spark).withColumn("z", F.col("lit") * 40.0), ["day"], "z", F.lit(1.25), F.lit(-0.5))
+    assert _exchanges(d) == 1
+    got, want = _grids(d), _carried_by_hand({k: _box(_box(a, 2, False), 1, True) for k, a in _lit().items()}, 0.95)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
