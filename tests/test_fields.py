@@ -289,3 +289,10 @@ def test_charging_rule_shuffles_a_pixel_once_for_all_leads(spark):
     assert _exchanges(d) == 1
     got, want = _grids(d), _carried_by_hand({k: _box(_box(a, 2, False), 1, True) for k, a in _lit().items()}, 0.95)
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_advection_shuffles_a_pixel_once_for_all_leads(spark):
+    d = forecast.advection(_sparse(spark), ["day"], "lit", F.lit(1.25), F.lit(-0.5))
+    assert _exchanges(d) == 1
+    got, want = _grids(d), _carried_by_hand({k: _box(a, 1, True) for k, a in _lit().items()}, 0.97)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
