@@ -58,6 +58,9 @@ class Bpe(dict):
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.entry = {v: k for k, v in ranks.items()}
+        self.length = array("i", bytes(4 * (max(ranks.values()) + 1)))
+        for k, v in ranks.items():
+            self.length[v] = len(k)
         self.by_text = {str(v): k for k, v in ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.reached: dict[int, bool] = {}
@@ -83,9 +86,28 @@ class Bpe(dict):
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges leave entries a and b, side by side, as they are."""
         if (ok := self.pairs.get(a << 32 | b)) is None:
-            ok = self.pairs[a << 32 | b] = self.merged(self.entry[a] + self.entry[b]) == [a, b]
+            ok = self.pairs[a << 32 | b] = self._apart(self.entry[a], self.entry[b])
         return ok
 
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether no merge of a + b goes over their border. Both are reachable, so the rest then makes a and b of them."""
+        data, get, none = a + b, self.ranks.get, 1 << 40
+        parts = [data[i : i + 1] for i in range(len(data))]
+        ranks = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        border = len(a) - 1  # the rank of the pair that the border parts
+        while (rank := min(ranks)) != none:
+            i = ranks.index(rank)
+            if i == border:
+                return False
+            border -= i < border
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], none)
+        return True
+
     def reachable(self, a: int) -> bool:
         if (ok := self.reached.get(a)) is None:
             ok = self.reached[a] = self.merged(self.entry[a]) == [a]
@@ -94,27 +116,18 @@ class Bpe(dict):
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
+        if len(data) < 64:
+            return self._encode_short(data)
         # entries at each byte, shortest first, as the automaton gives a byte's entries by their ends: those of byte i stand
         # from first[i] on
-        reached = self.reached
-        if len(data) < 64:
-            by_byte: list[list[int]] = [[] for _ in data]
-            for end, (n, t) in self.auto.iter(data.decode("latin-1")):
-                if (ok := reached.get(t)) or ok is None and self.reachable(t):
-                    by_byte[end - n + 1].append(t)
-            flat, first = [], [0]
-            for ts in by_byte:
-                flat += ts
-                first.append(len(flat))
-        else:
-            found = array("q")
-            for end, (n, t) in self.auto.iter(data.decode("latin-1")):
-                if (ok := reached.get(t)) or ok is None and self.reachable(t):
-                    found.append((end - n + 1) << 32 | t)
-            f = np.frombuffer(found, np.int64)
-            f = f[np.argsort(f >> 32, kind="stable")]
-            first = array("q", np.searchsorted(f >> 32, np.arange(len(data) + 1)).tobytes())
-            flat = array("q", f.tobytes())
+        reached, found = self.reached, array("q")
+        for end, (n, t) in self.auto.iter(data.decode("latin-1")):
+            if (ok := reached.get(t)) or ok is None and self.reachable(t):
+                found.append((end - n + 1) << 32 | t)
+        f = np.frombuffer(found, np.int64)
+        f = f[np.argsort(f >> 32, kind="stable")]
+        first = array("q", np.searchsorted(f >> 32, np.arange(len(data) + 1)).tobytes())
+        flat = array("q", f.tobytes())
         out: list[int] = []
         at, open_ = 0, bytearray(b"\1") * (len(data) + 1)
         upto = array("q", [first[1] - 1])  # the entry to try next, for the byte behind each token taken
@@ -138,6 +151,33 @@ class Bpe(dict):
             upto.append(first[at + 1] - 1 if at < len(data) else -1)
         return out
 
+    def _encode_short(self, data: bytes) -> list[int]:
+        """The same walk with a list a byte, from which what was tried is taken: a byte is entered once, or closed."""
+        size, length, reached, pairs = len(data), self.length, self.reached, self.pairs
+        by_byte: list[list[int]] = [[] for _ in data]
+        for end, (n, t) in self.auto.iter(data.decode("latin-1")):
+            if (ok := reached.get(t)) or ok is None and self.reachable(t):
+                by_byte[end - n + 1].append(t)
+        by_byte.append([])
+        closed: set[int] = set()
+        out: list[int] = []
+        at, last = 0, -1
+        while at < size:
+            here = by_byte[at]
+            while here:
+                t = here.pop()
+                to = at + length[t]
+                if to not in closed:
+                    if last < 0 or (ok := pairs.get(last << 32 | t)) or ok is None and self.follows(last, t):
+                        out.append(t)
+                        at, last = to, t
+                        break
+            else:  # no way on from here
+                closed.add(at)
+                at -= length[out.pop()]
+                last = out[-1] if out else -1
+        return out
+
     def __missing__(self, piece: str) -> str:
         if len(self) >= REMEMBERED:
             self.clear()

@@ -572,3 +572,16 @@ def test_quality_verdict_sees_what_the_base_rule_cannot(spark):
     assert got[1]["n_repeat_words"] == 0 and got[2]["longest_repeat"] == 70
     kept = quality_sa.filtered(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+
+
+def test_bpe_pairs_are_told_apart_by_their_border(monkeypatch):
+    """A pair of entries is left at its first merge over the border; whole merges are for entries alone."""
+    b = bpe.Bpe(bpe.load(bpe.default_path()).ranks)
+    whole, merged = [], b.merged
+    monkeypatch.setattr(b, "merged", lambda data: (whole.append(data), merged(data))[1], raising=False)
+    r = random.Random(6)
+    words = ["".join(r.choice(["a", "e", "in", "st", "qu", "zx", "ß", "日", " ", "ent"]) for _ in range(r.randrange(1, n))) for n in (4, 12, 30, 70) for _ in range(300)]
+    for w in (w.encode() for w in words):
+        assert b.encode_piece(w) == ([b.ranks[w]] if w in b.ranks else merged(w))
+    assert len(b.pairs) > 500 and {True, False} == set(b.pairs.values())
+    assert len(whole) == len(set(whole)) == len(b.reached) and set(whole) <= b.ranks.keys()
