@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, digests, number of tokens and the tokens of each document; a null text has none. Repeated rows have a
     result each."""
     with owned(docs, "pipeline"):
-        return bpe.encoded(docs, ids=True)
+        return bpe.encoded(docs, ids=True, keep=False)
 
 
 STAGES = [

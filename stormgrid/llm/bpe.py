@@ -219,8 +219,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as array<int>. No shuffle."""
+def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids as array<int>. No shuffle. keep: whether a
+    Python worker holds its tables after a task, for the next one; where other work follows, they are in its way."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +248,12 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _loaded.pop(path, None)
+
     docs = project(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return docs.mapInArrow(run if keep else released, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -585,3 +585,24 @@ def test_bpe_pairs_are_told_apart_by_their_border(monkeypatch):
         assert b.encode_piece(w) == ([b.ranks[w]] if w in b.ranks else merged(w))
     assert len(b.pairs) > 500 and {True, False} == set(b.pairs.values())
     assert len(whole) == len(set(whole)) == len(b.reached) and set(whole) <= b.ranks.keys()
+
+
+def test_encoding_stage_leaves_no_tables_in_python_workers(spark, docs, monkeypatch):
+    """Workers live on after the pipeline's last stage, and its tables would count against the stages of a next run."""
+    import contextlib
+
+    import pyarrow as pa
+
+    class Seen:
+        schema = docs.schema
+        __getitem__ = lambda self, name: name
+        select = lambda self, *names: self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    monkeypatch.setattr(corpus_pipeline, "owned", lambda docs, who: contextlib.nullcontext())
+    got = list(bpe.encoded(Seen(), ids=True)(iter([batch])))
+    assert bpe.default_path() in bpe._loaded
+    assert list(corpus_pipeline.encode(spark, Seen(), "")(iter([batch]))) == got and not bpe._loaded
