@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from stormgrid.llm import exchange as ex
 from stormgrid.llm import staging
 from stormgrid.llm import textkit as tk
-from stormgrid.llm.shared import materialise
+from stormgrid.llm.shared import materialise, settled
 
 SEED_WORDS = 5
 #: A passage has so many words at least, and so large a part of them alike.
@@ -740,13 +740,19 @@ def _found(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     staged = staging.stage(docs, whole=whole)
     slim = staged.drop("rest")
     nb = staging.buckets(staged, BUCKET_BYTES)
+    spark = docs.sparkSession
     marks = materialise(_marked(slim, nb), "marks")
+    settled(spark)
     refs = materialise(_referred(_sent(slim, marks, nb)), "references")
+    settled(spark)
     wanting = materialise(_chains(slim, marks, refs.where(F.col("batch") != NO_BATCH)), "chains")
+    settled(spark, marks)
     found = materialise(_aligned(slim, wanting), "passages")
+    settled(spark)
     asks = materialise(_asks(wanting, found, nb), "asks")
     if not asks.isEmpty():
         more = materialise(_holders(asks, refs.where(F.col("batch") == NO_BATCH), wanting.where("open IS NOT NULL").select("batch", "open")), "holders")
+        settled(spark, asks)
         found = found.unionByName(materialise(_aligned(slim, more), "more-passages"))
     return staged, found
 

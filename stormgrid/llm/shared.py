@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,16 @@ def owned(docs: DataFrame, owner: str) -> Iterator[None]:
         _owner[0] = _owner.pop()
 
 
+def settled(spark: SparkSession, *done: DataFrame) -> None:
+    """The tables of `done` are read no more and go. So do shuffle files of finished steps, which Spark deletes once the
+    driver's JVM has collected their plans; with a large heap that may be long after."""
+    for df in done:
+        roots = _roots(df)
+        _delete(spark, [at for at in _written if at.split("/")[-1] in roots])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession

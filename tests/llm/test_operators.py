@@ -606,3 +606,19 @@ def test_encoding_stage_leaves_no_tables_in_python_workers(spark, docs, monkeypa
     got = list(bpe.encoded(Seen(), ids=True)(iter([batch])))
     assert bpe.default_path() in bpe._loaded
     assert list(corpus_pipeline.encode(spark, Seen(), "")(iter([batch]))) == got and not bpe._loaded
+
+
+def test_passages_leave_no_marks_and_no_finished_shuffles(spark, docs):
+    """Marks and asks are gone when their last reader has run; shuffles of finished steps are collected on the way."""
+    from stormgrid.llm import shared
+
+    before, freed = set(shared._written), []
+    real = shared.gc.collect
+    shared.gc.collect = lambda: (freed.append(1), real())[1]
+    try:
+        staged, found = chain_dedup._found(docs)
+    finally:
+        shared.gc.collect = real
+    left = {at.split("/")[-1].split("-")[0] for at in set(shared._written) - before}
+    assert "references" in left and not left & {"marks"} and len(freed) >= 4
+    assert found.count() > 0 and staged.count() > 0
