@@ -1,7 +1,7 @@
 """Operator 6: byte-level BPE encoding and decoding with the ranks of a tokenizer file.
 
-Encoding finds, with an Aho-Corasick automaton over bytes written as Latin-1 characters, every vocabulary entry at every
-byte of a piece, and goes from left to right by longest entries first. An entry may follow another only if the pair is
+Encoding goes from left to right by longest entries first. The longest one at a byte is found by slices from there on,
+until one begins no entry; each entry knows the next shorter one that it begins with. An entry may follow another only if the pair is
 what the merges make of the two entries' bytes together; that test is memoised. A sequence whose neighbours all pass is
 exactly the merges' result, and a position that failed once is never entered again, so the time is linear in the piece.
 
@@ -18,7 +18,6 @@ import re
 from array import array
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -64,10 +63,15 @@ class Bpe(dict):
         self.by_text = {str(v): k for k, v in ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.reached: dict[int, bool] = {}
-        self.auto = ahocorasick.Automaton()
-        for k, v in ranks.items():
-            self.auto.add_word(k.decode("latin-1"), (len(k), v))
-        self.auto.make_automaton()
+        #: Of each entry's prefixes, the longest entry that it begins with; of each entry, the next shorter one (-1: none).
+        self.prefixes: dict[bytes, int] = {}
+        self.shorter = array("i", [-1]) * len(self.length)
+        for k in sorted(ranks, key=len):
+            before = -1
+            for n in range(1, len(k)):
+                before = self.prefixes.setdefault(k[:n], before)
+            self.shorter[ranks[k]] = before
+            self.prefixes[k] = ranks[k]
 
     def merged(self, data: bytes) -> list[int]:
         """The merges themselves, lowest rank first; only for the pairs and entries that are tested."""
@@ -116,66 +120,35 @@ class Bpe(dict):
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        if len(data) < 64:
-            return self._encode_short(data)
-        # entries at each byte, shortest first, as the automaton gives a byte's entries by their ends: those of byte i stand
-        # from first[i] on
-        reached, found = self.reached, array("q")
-        for end, (n, t) in self.auto.iter(data.decode("latin-1")):
-            if (ok := reached.get(t)) or ok is None and self.reachable(t):
-                found.append((end - n + 1) << 32 | t)
-        f = np.frombuffer(found, np.int64)
-        f = f[np.argsort(f >> 32, kind="stable")]
-        first = array("q", np.searchsorted(f >> 32, np.arange(len(data) + 1)).tobytes())
-        flat = array("q", f.tobytes())
-        out: list[int] = []
-        at, open_ = 0, bytearray(b"\1") * (len(data) + 1)
-        upto = array("q", [first[1] - 1])  # the entry to try next, for the byte behind each token taken
-        while at < len(data):
-            low, k = first[at], upto[-1]
-            while k >= low:
-                t = flat[k] & 0xFFFFFFFF
-                n = len(self.entry[t])
-                if open_[at + n] and (not out or self.follows(out[-1], t)):
-                    break
-                k -= 1
-            if k < low:  # no way on from here
-                open_[at] = 0
-                upto.pop()
-                at -= len(self.entry[out.pop()])
-                upto[-1] -= 1
-                continue
-            upto[-1] = k
-            out.append(t)
-            at += n
-            upto.append(first[at + 1] - 1 if at < len(data) else -1)
-        return out
-
-    def _encode_short(self, data: bytes) -> list[int]:
-        """The same walk with a list a byte, from which what was tried is taken: a byte is entered once, or closed."""
-        size, length, reached, pairs = len(data), self.length, self.reached, self.pairs
-        by_byte: list[list[int]] = [[] for _ in data]
-        for end, (n, t) in self.auto.iter(data.decode("latin-1")):
-            if (ok := reached.get(t)) or ok is None and self.reachable(t):
-                by_byte[end - n + 1].append(t)
-        by_byte.append([])
-        closed: set[int] = set()
+        size, prefixes, length, shorter, reached, pairs = len(data), self.prefixes, self.length, self.shorter, self.reached, self.pairs
+        closed = bytearray(size + 1)
         out: list[int] = []
-        at, last = 0, -1
+        at, last, t = 0, -1, -1
         while at < size:
-            here = by_byte[at]
-            while here:
-                t = here.pop()
+            if t < 0:  # come to anew: the longest entry here
+                t, to = prefixes[data[at : at + 1]], at + 2
+                while to <= size and (x := prefixes.get(data[at:to])) is not None:
+                    t = x
+                    to += 1
+            while t >= 0:
                 to = at + length[t]
-                if to not in closed:
+                if not closed[to] and ((ok := reached.get(t)) or ok is None and self.reachable(t)):
                     if last < 0 or (ok := pairs.get(last << 32 | t)) or ok is None and self.follows(last, t):
-                        out.append(t)
-                        at, last = to, t
                         break
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                at, last, t = to, t, -1
             else:  # no way on from here
-                closed.add(at)
-                at -= length[out.pop()]
+                closed[at] = 1
+                at -= length[last]
+                t = shorter[out.pop()]
                 last = out[-1] if out else -1
+                while t < 0:  # nor from the byte before
+                    closed[at] = 1
+                    at -= length[last]
+                    t = shorter[out.pop()]
+                    last = out[-1] if out else -1
         return out
 
     def __missing__(self, piece: str) -> str:

@@ -622,3 +622,22 @@ def test_passages_leave_no_marks_and_no_finished_shuffles(spark, docs):
     left = {at.split("/")[-1].split("-")[0] for at in set(shared._written) - before}
     assert "references" in left and not left & {"marks"} and len(freed) >= 4
     assert found.count() > 0 and staged.count() > 0
+
+
+def test_bpe_finds_the_longest_entry_at_a_byte_and_the_next_shorter_ones():
+    """Without every entry at every byte of a piece; long pieces and those that must be gone back in equal plain merges."""
+    b = bpe.Bpe(bpe.load(bpe.default_path()).ranks)
+    assert not hasattr(b, "auto")
+    r = random.Random(7)
+    entries = list(b.ranks)
+    for k in r.sample(entries, 500):
+        begins = [k[:n] for n in range(len(k), 0, -1) if k[:n] in b.ranks]
+        t, chain = b.prefixes[k], []
+        while t >= 0:
+            chain.append(b.entry[t])
+            t = b.shorter[t]
+        assert chain == begins
+    for _ in range(1_500):
+        n = r.choice((3, 9, 60))
+        w = r.choice((lambda: r.randbytes(n), lambda: b"".join(r.choices(entries, k=n // 3)), lambda: bytes(r.choices(b"aeinrst ", k=n))))()
+        assert b.encode_piece(w) == ([b.ranks[w]] if w in b.ranks else b.merged(w))
