@@ -55,6 +55,7 @@ NEAR = 16
 BLOCK = 128
 _LONGER = 4  # words by which a passage that was too short may become longer than it must
 _MORE = 64  # words fetched beyond a chain's ends
+_BEYOND = 2 * _MORE + BLOCK  # words kept of the document itself beyond its chains' ends
 #: Documents up to which a seed refers to all of them; what tells the holders of other seeds apart.
 FEW, LEVELS, STROBES = 8, (9, 17, 33, 45), ((6, 26), (16, 56))
 #: Words in shared seeds, of LEAST_WORDS in a row, from which a stretch without a passage is looked at again; of them, in
@@ -76,6 +77,23 @@ def _load(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Flat arrays, byte by byte of their values: small numbers have runs of zeros then."""
+    kinds = [(x.dtype.str, len(x)) for x in arrays]
+    flat = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(1).compress(pickle.dumps((kinds, b"".join(flat)), 5))
+
+
+def _unpack(x: bytes) -> list[np.ndarray]:
+    (kinds, flat), out, at = _load(x), [], 0
+    for kind, n in kinds:
+        kind = np.dtype(kind)
+        part = np.frombuffer(flat, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
 def _words(c: tk.Chunk):
     """Word starts, ends, documents' first words, and 64-bit hashes, ASCII case aside."""
     low = tk.Chunk(c.rows, tk.LOWER[c.buf], c.start, c.end)
@@ -89,7 +107,7 @@ def _seeds(c: tk.Chunk):
     ws, we, first, h = _words(c)
     g, at = tk.grams(h, first, SEED_WORDS)
     doc = np.searchsorted(first, at, "right") - 1
-    order = np.argsort(g, kind="stable")  # places ascend within a hash, and so do documents
+    order = tk.order(g)  # places ascend within a hash, and so do documents
     gs, ds = g[order], doc[order]
     new = np.ones(len(gs), bool)
     new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1])
@@ -151,7 +169,7 @@ def _marked(staged: DataFrame, nb: int) -> DataFrame:
         lows = [_unplaned(x) for x in t.column("low").to_pylist()]
         low = np.concatenate(lows)
         n = np.frombuffer(b"".join(map(unz.decompress, t.column("n").to_pylist())), np.uint8)
-        order = np.argsort(low, kind="stable")
+        order = tk.order(low.astype(np.uint64) << tk.U(32))
         a, b = ex.runs(low[order])
         total = np.add.reduceat(n[order].astype(np.int64), a)
         mark = np.empty(len(low), np.uint8)
@@ -180,7 +198,8 @@ def _shared(c: tk.Chunk, marks: list[bytes]):
 
 
 def _contexts(words, seeds, hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """For each pair, and each level and strobe, 32 bits of what stands around its first seed; 0 where a document ends."""
+    """For each pair, and each level and strobe, 32 bits of what stands around its first seed; 0 where a document ends, or
+    where the next words hold a seed of this document alone, so that no other has them."""
     _, _, first, h = words
     at, doc, which = seeds
     p = at[head]
@@ -188,8 +207,12 @@ def _contexts(words, seeds, hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
     out = np.zeros((len(LEVELS) + len(STROBES), len(p)), "<u4")
     up, _ = tk._power(len(h) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
+    alone = np.zeros(len(h) + 1, np.int64)
+    alone[at[which < 0] + 1] = 1
+    np.cumsum(alone, out=alone)
     for k, n in enumerate(LEVELS):
         ok = p + n <= end
+        ok[ok] = alone[p[ok] + n - SEED_WORDS + 1] == alone[p[ok]]
         out[k, ok] = (tk.span_hash(sums, p[ok], p[ok] + n) >> tk.U(32)) | tk.U(1)
     most = np.uint64(2**64 - 1)
     least = np.full(len(h), most)
@@ -212,6 +235,18 @@ NO_BATCH = -1
 _COLUMNS = len(LEVELS) + len(STROBES)
 
 
+def _sparse(x: np.ndarray) -> bytes:
+    """Numbers that look random, and zeros, of which only the places are kept."""
+    return zstandard.ZstdCompressor(1).compress(np.packbits(x > 0).tobytes() + x[x > 0].tobytes())
+
+
+def _unsparse(x: bytes, shape: tuple[int, int]) -> np.ndarray:
+    x, n = zstandard.ZstdDecompressor().decompress(x), shape[0] * shape[1]
+    out = np.zeros(n, "<u4")
+    out[np.unpackbits(np.frombuffer(x, np.uint8, -(-n // 8)), count=n) > 0] = np.frombuffer(x, "<u4", offset=-(-n // 8))
+    return out.reshape(shape)
+
+
 def _sent(staged: DataFrame, marks: DataFrame, nb: int) -> DataFrame:
     """(batch, bucket, low, more, around, data): the batch's pairs of a shared seed and a document."""
 
@@ -221,7 +256,6 @@ def _sent(staged: DataFrame, marks: DataFrame, nb: int) -> DataFrame:
             return
         at, doc, _ = seeds
         where, cut = _slices(hashes, nb)
-        z = zstandard.ZstdCompressor(1)
         d = doc[head]
         low, more = (hashes & tk.U(0xFFFFFFFF)).astype("<u4"), ((hashes >> tk.U(32)) & tk.U(0xFF)).astype(np.uint8)
         place = (at[head] - words[2][d]).astype("<u4")
@@ -229,29 +263,37 @@ def _sent(staged: DataFrame, marks: DataFrame, nb: int) -> DataFrame:
         around = _contexts(words, seeds, hashes, head)
         data = []
         for i, j in cut:
-            data.append(_dump((ids[d[i:j]], d[i:j].astype("<u4"), place[i:j], np.packbits(many[i:j]))))
-        yield _packed(batch, where, low=[low[i:j].tobytes() for i, j in cut], more=[more[i:j].tobytes() for i, j in cut], around=[z.compress(around[:, i:j][:, many[i:j]].tobytes()) for i, j in cut], data=data)
+            held, code = np.unique(d[i:j], return_inverse=True)
+            data.append(_pack(held.astype("<u4"), np.diff(ids[held], prepend=0), code.astype("<u4"), place[i:j], np.packbits(many[i:j])))
+        yield _packed(batch, where, low=[low[i:j].tobytes() for i, j in cut], more=[more[i:j].tobytes() for i, j in cut], around=[_sparse(around[:, i:j][:, many[i:j]]) for i, j in cut], data=data)
 
     return staging.over(staged, [marks], emit, "batch long, bucket int, low binary, more binary, around binary, data binary")
 
 
-def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """A bucket's pairs as _ENTRY, what stands around each, and how many pairs each row has."""
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A bucket's pairs as _ENTRY, the rank of each one's document by id, batch and place in it, what stands around each,
+    and how many pairs each row has."""
     low, more = ex.column(t, "low", "<u4"), ex.column(t, "more", np.uint8)
     sizes = [len(x) for x in t.column("more").to_pylist()]
     out = np.empty(len(low), _ENTRY)
     out["h"] = low.astype(np.uint64) | (more.astype(np.uint64) << tk.U(32))
     out["batch"] = np.repeat(t.column("batch").to_numpy(), sizes)
     around = np.zeros((_COLUMNS, len(low)), "<u4")
-    unz, at = zstandard.ZstdDecompressor(), 0
-    for n, x, y in zip(sizes, t.column("data").to_pylist(), t.column("around").to_pylist(), strict=True):
-        ids, doc, place, many = _load(x)
+    at, docs, known, rank = 0, [], 0, np.empty(len(low), np.int64)
+    for n, b, x, y in zip(sizes, t.column("batch").to_pylist(), t.column("data").to_pylist(), t.column("around").to_pylist(), strict=True):
+        held, ids, code, place, many = _unpack(x)
+        ids = np.cumsum(ids)
         part = out[at : at + n]
-        part["id"], part["doc"], part["at"] = ids, doc, place
+        part["id"], part["doc"], part["at"] = ids[code], held[code], place
+        rank[at : at + n] = known + code.astype(np.int64)
         some = at + np.flatnonzero(np.unpackbits(many, count=n))
-        around[:, some] = np.frombuffer(unz.decompress(y), "<u4").reshape(_COLUMNS, -1)
+        around[:, some] = _unsparse(y, (_COLUMNS, len(some)))
+        docs.append((held, np.full(len(ids), b), ids))
+        known += len(ids)
         at += n
-    return out, around, sizes
+    by = np.empty(known, np.int64)
+    by[np.lexsort([np.concatenate(x) for x in zip(*docs, strict=True)])] = np.arange(known)
+    return out, by[rank], around, sizes
 
 
 def _ranked(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,15 +306,15 @@ def _ranked(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, same - start, end
 
 
-def references(e: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def references(e: np.ndarray, rank: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (entry, entry it refers to), in order of the first, and of each entry how many documents hold its seed."""
-    order = np.lexsort((e["doc"], e["batch"], e["id"], e["h"]))
+    order = tk.order((e["h"] << tk.U(24)) | rank.astype(np.uint64)) if rank.max(initial=0) < 1 << 24 else np.lexsort((rank, e["h"]))
     s = e[order]
-    start, rank, end = _ranked(s["h"], s["id"])
+    start, before, end = _ranked(s["h"], s["id"])
     held = np.empty(len(e), np.int64)
     held[order] = end - start
     few = end - start <= FEW
-    n = np.where(few, rank, np.minimum(rank, 1))
+    n = np.where(few, before, np.minimum(before, 1))
     of, to = [np.repeat(order, n)], [order[_ragged(start, n)]]
     many = np.flatnonzero(~few)
     for level in around:
@@ -280,12 +322,13 @@ def references(e: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if not len(x):
             continue
         key = tk.mix(s["h"][x] + (level[order[x]].astype(np.uint64) << tk.U(40) | level[order[x]].astype(np.uint64) >> tk.U(24)))
-        o = x[np.argsort(key, kind="stable")]  # ids ascend within a key
-        key = np.sort(key, kind="stable")
-        start, rank, _ = _ranked(key, s["id"][o])
-        got = rank > 0
+        by = tk.order(key)
+        o = x[by]  # ids ascend within a key
+        start, n, _ = _ranked(key[by], s["id"][o])
+        got = n > 0
         of.append(order[o[got]]), to.append(order[o[start[got]]])
-    both = np.unique(np.concatenate(of) * len(e) + np.concatenate(to)) if len(e) else np.empty(0, np.int64)
+    both = np.sort(np.concatenate(of) * len(e) + np.concatenate(to))
+    both = both[ex.runs(both)[0]]
     return both // max(len(e), 1), both % max(len(e), 1), held
 
 
@@ -295,8 +338,8 @@ def _referred(sent: DataFrame) -> DataFrame:
 
     def judge(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(tables)
-        e, around, sizes = _entries(t)
-        of, to, held = references(e, around)
+        e, rank, around, sizes = _entries(t)
+        of, to, held = references(e, rank, around)
         ref = e[["batch", "doc", "at"]]
         rare = np.minimum(np.ceil(np.log2(held) * 8), 255).astype(np.uint8)
         data, at = [], 0
@@ -304,13 +347,13 @@ def _referred(sent: DataFrame) -> DataFrame:
             lo, hi = np.searchsorted(of, (at, at + n))
             got = ref[to[lo:hi]]
             count = np.bincount(of[lo:hi] - at, minlength=n).astype(np.uint8)
-            data.append(_dump((count, rare[at : at + n], got["batch"].copy(), got["doc"].copy(), got["at"].copy())))
+            data.append(_pack(count, rare[at : at + n], got["batch"], got["doc"], got["at"]))
             at += n
         batches, buckets = t.column("batch").to_pylist(), t.column("bucket").to_pylist()
         many = np.flatnonzero(held > FEW)
         if len(many):
-            many = e[many[np.lexsort((e["doc"][many], e["batch"][many], e["id"][many], e["h"][many]))]]
-            batches.append(NO_BATCH), buckets.append(key[0].as_py()), data.append(_dump([many[f].copy() for f in _ENTRY.names]))
+            many = e[many[np.lexsort((rank[many], e["h"][many]))]]
+            batches.append(NO_BATCH), buckets.append(key[0].as_py()), data.append(_pack(*(many[f] for f in _ENTRY.names)))
         yield pa.RecordBatch.from_arrays([pa.array(batches, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
 
     return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
@@ -491,14 +534,15 @@ def _rich(words: np.ndarray) -> np.ndarray:
 
 def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:
     """(batch, want, data, open): chains to align, with their documents' words around them and the blocks that they want;
-    documents with rich stretches: (id, words, places, hashes, rarity and known holders of shared seeds)."""
+    documents with rich stretches: (id, number of words, first word kept, words kept, places, hashes, rarity and known holders
+    of shared seeds there)."""
 
     def run(batch, ids, c, marks, refs):
         words, (at, doc, which), hashes, head, _ = _shared(c, marks)
         if not len(hashes):
             return
         first, h = words[2], words[3].astype("<u4")
-        got = [np.concatenate(x) for x in zip(*map(_load, refs), strict=True)]
+        got = [np.concatenate(x) for x in zip(*map(_unpack, refs), strict=True)]
         count, rare, (rb, rd, ry) = got[0].astype(np.int64), got[1], (x.astype(np.int64) for x in got[2:])
         some = np.flatnonzero(which >= 0)
         some = some[count[which[some]] > 0]
@@ -518,7 +562,7 @@ def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:
             span[d] = min(lo, chain[0][0]), max(hi, chain[-1][0] + chain[-1][2])
         here = {}
         for d, (lo, hi) in span.items():
-            lo, hi = max(0, lo - 2 * _MORE - BLOCK), min(int(first[d + 1] - first[d]), hi + 2 * _MORE + BLOCK)
+            lo, hi = max(0, lo - _BEYOND), min(int(first[d + 1] - first[d]), hi + _BEYOND)
             here[d] = lo, h[first[d] + lo : first[d] + hi]
         some = some[at[some] == at[head[which[some]]]]
         whole = _spread(at[some], len(h))
@@ -526,12 +570,20 @@ def _chains(staged: DataFrame, marks: DataFrame, refs: DataFrame) -> DataFrame:
         of = np.searchsorted(first, rich, "right") - 1
         left = {}
         cut = np.searchsorted(doc[some], np.arange(len(ids) + 1))
-        for d in np.unique(of[rich + LEAST_WORDS <= first[of + 1]]).tolist():
+        fits = rich + LEAST_WORDS <= first[of + 1]
+        rich, of = rich[fits], of[fits]
+        ends, before = np.searchsorted(of, np.arange(len(ids) + 1)), np.cumsum(count) - count
+        for d in np.unique(of).tolist():
             s = some[cut[d] : cut[d + 1]]
+            mine = rich[ends[d] : ends[d + 1]]
+            # seeds with a word in one of these stretches, and the words that their chains are aligned with
+            s = s[np.searchsorted(mine, at[s] + SEED_WORDS) > np.searchsorted(mine, at[s] - LEAST_WORDS, "right")]
             q = which[s]
             n = np.where(rare[q] <= _RARE, count[q], 0)
-            src = _ragged((np.cumsum(count) - count)[q], n)
-            left[d] = int(ids[d]), h[first[d] : first[d + 1]], place[s], hashes[q], rare[q], (n, rb[src], rd[src], ry[src])
+            src = _ragged(before[q], n)
+            lo, hi = max(0, int(place[s[0]]) - _BEYOND), min(int(first[d + 1] - first[d]), int(place[s[-1]]) + SEED_WORDS + _BEYOND)
+            hash_ = np.where(rare[q] <= _RARE, tk.U(0), hashes[q])  # seeds of few documents are not asked for by it
+            left[d] = int(ids[d]), int(first[d + 1] - first[d]), lo, _pack(h[first[d] + lo : first[d] + hi], place[s], hash_, rare[q], n, rb[src], rd[src], ry[src])
         want = sorted({(rb, rd, k) for _, rb, rd, chain in chains for k in _blocks_of(chain)})
         if want or left:
             yield _wanting(batch, want, (chains, here, ids), left)
@@ -623,10 +675,9 @@ def _aligned(staged: DataFrame, wanting: DataFrame) -> DataFrame:
     return wanting.where(F.size("want") > 0).select("batch", "data").join(back, F.col("batch") == F.col("asker")).select("batch", "data", "back").mapInArrow(run, _FOUND)
 
 
-def _still_open(words: np.ndarray, x: np.ndarray, rare: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """Seeds (numbers in x) to ask for: in each rich stretch the rarest, until a document with LEAST_SHARED of the stretch's
+def _still_open(n: int, x: np.ndarray, rare: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Seeds (numbers in x) of n words to ask for: in each rich stretch the rarest, until a document with LEAST_SHARED of the stretch's
     words must hold LEAST_ASKED of the asked ones."""
-    n = len(words)
     keep = np.flatnonzero(~np.logical_or.reduce([gone[np.minimum(x + k, n - 1)] for k in range(SEED_WORDS)])) if len(x) else np.empty(0, np.int64)
     keep = keep[np.argsort(x[keep], kind="stable")]
     xs = x[keep]
@@ -655,11 +706,12 @@ def _asks(wanting: DataFrame, found: DataFrame, nb: int) -> DataFrame:
                 for s in r["spans"] or []:
                     spans.setdefault(s["doc"], []).append((s["first"], s["end"]))
                 rows, known = [], []
-                for d, (id_, words, x, h, rare, (n, rb, rd, ry)) in _load(r["open"]).items():
-                    gone = np.zeros(len(words), bool)
+                for d, (id_, length, _, packed) in _load(r["open"]).items():
+                    _, x, h, rare, n, rb, rd, ry = _unpack(packed)
+                    gone = np.zeros(length, bool)
                     for p, q in spans.get(d, []):
                         gone[p:q] = True
-                    k = _still_open(words, x, rare, gone)
+                    k = _still_open(length, x, rare, gone)
                     some = k[n[k] > 0]
                     if len(some):
                         src = _ragged((np.cumsum(n) - n)[some], n[some])
@@ -686,7 +738,7 @@ def _holders(asks: DataFrame, index: DataFrame, open_: DataFrame) -> DataFrame:
     def judge(asked: pa.Table, index: pa.Table) -> pa.Table:
         batch, data = [], []
         if asked.num_rows and index.num_rows:
-            cols = _load(index.column("data")[0].as_py())
+            cols = _unpack(index.column("data")[0].as_py())
             e = np.empty(len(cols[0]), _ENTRY)
             for f, x in zip(_ENTRY.names, cols, strict=True):
                 e[f] = x
@@ -724,7 +776,7 @@ def _holders(asks: DataFrame, index: DataFrame, open_: DataFrame) -> DataFrame:
                 enough = np.repeat(np.add.reduceat(fresh, np.flatnonzero(new)) >= LEAST_ASKED, np.diff(np.append(np.flatnonzero(new), len(d))))
                 chains = chained(*(v[enough] for v in (d, x, rb, rd, y)), seeds=1, reach=SEED_WORDS)
                 left = _load(r["open"])
-                here = {d: (0, left[d][1]) for d, *_ in chains}
+                here = {d: (left[d][2], _unpack(left[d][3])[0]) for d in {d for d, *_ in chains}}
                 ids = {d: left[d][0] for d in here}
                 want = sorted({(rb, rd, k) for _, rb, rd, chain in chains for k in _blocks_of(chain)})
                 yield _wanting(r["batch"], want, (chains, here, ids), None)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Paths written and not yet deleted, with the table that has its files there, if any, and who owns them.
 _written: dict[str, tuple[str | None, str | None]] = {}
 _owner: list[str | None] = [None]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,8 +76,8 @@ def owned(docs: DataFrame, owner: str) -> Iterator[None]:
 
 
 def settled(spark: SparkSession, *done: DataFrame) -> None:
-    """The tables of `done` are read no more and go. So do shuffle files of finished steps, which Spark deletes once the
-    driver's JVM has collected their plans; with a large heap that may be long after."""
+    """The tables of `done` are read no more and go. So do shuffle files of finished queries that were not written by
+    `materialise` or `bucketed`: Spark deletes them once the driver's JVM has collected their plans."""
     for df in done:
         roots = _roots(df)
         _delete(spark, [at for at in _written if at.split("/")[-1] in roots])
@@ -84,12 +85,27 @@ def settled(spark: SparkSession, *done: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that ends inside are deleted as it ends: its result is in files, which nothing computes anew."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _new(spark, at)
-    df.write.option("compression", "zstd").parquet(at)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -99,7 +115,8 @@ def bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex[:12]}"
     at = f"{shared_dir(spark)}/{table}"
     _new(spark, at, table)
-    df.write.option("compression", "zstd").option("path", at).bucketBy(buckets, by).saveAsTable(table)
+    with _shuffles_go(spark):
+        df.write.option("compression", "zstd").option("path", at).bucketBy(buckets, by).saveAsTable(table)
     return spark.table(table)
 
 

@@ -64,6 +64,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def order(x: np.ndarray) -> np.ndarray:
+    """Stable order of unsigned 64-bit values. Their upper bits are sorted together with their places, as plain numbers,
+    which is much faster; where that is not enough to tell hashes apart, which is rare, the whole values are sorted."""
+    low = U((1 << max(len(x) - 1, 1).bit_length()) - 1)
+    out = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    y = x[out]
+    return np.argsort(x, kind="stable") if (y[1:] < y[:-1]).any() else out
+
+
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """Running polynomial sums of buf, one longer than it; see span_hash."""
     up, _ = _power(len(buf) + 1)

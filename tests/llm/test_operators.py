@@ -641,3 +641,49 @@ def test_bpe_finds_the_longest_entry_at_a_byte_and_the_next_shorter_ones():
         n = r.choice((3, 9, 60))
         w = r.choice((lambda: r.randbytes(n), lambda: b"".join(r.choices(entries, k=n // 3)), lambda: bytes(r.choices(b"aeinrst ", k=n))))()
         assert b.encode_piece(w) == ([b.ranks[w]] if w in b.ranks else b.merged(w))
+
+
+def test_shuffle_files_go_as_a_table_is_written(spark):
+    """Not when the driver's heap is collected, which may be many steps later."""
+    from pyspark.sql import functions as F
+
+    from stormgrid.llm import shared
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    for write in (lambda df: shared.materialise(df, "grouped"), lambda df: shared.bucketed(df, "grouped", "k", 2)):
+        before, kept = shuffled(), spark.conf.get(shared._CLEANUP, None)
+        out = write(spark.range(5_000).select((F.col("id") % 7).alias("k"), "id").groupBy("k").agg(F.sum("id").alias("n")))
+        assert not shuffled() - before and out.count() == 7
+        assert spark.conf.get(shared._CLEANUP, None) == kept
+
+
+def test_passages_steps_send_small_numbers_and_no_context_of_one_document():
+    from stormgrid.llm import textkit as tk
+
+    r = np.random.default_rng(8)
+    arrays = [r.integers(0, 200, 3_000).astype(t) for t in ("<u4", np.int64, np.uint8)] + [np.empty(0, np.int64), r.integers(-(2**63), 2**63 - 1, 50)]
+    packed = chain_dedup._pack(*arrays)
+    back = chain_dedup._unpack(packed)
+    assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(arrays, back, strict=True)) and len(packed) < 11_000
+    near = np.repeat(r.integers(0, 2**64, 300, dtype=np.uint64), 5) ^ r.integers(0, 4, 1_500, dtype=np.uint64)  # alike in upper bits
+    for x in (r.integers(0, 2**64, 1_000, dtype=np.uint64), near, near[:1], near[:0]):
+        assert (tk.order(x) == np.argsort(x, kind="stable")).all()
+
+    words = [f"w{i}" for i in range(60)]
+    other = words[:30] + ["other"] + words[31:]
+    texts = [" ".join(x).encode() for x in (words, other)]
+    ends = np.cumsum([len(x) + 1 for x in texts]) - 1
+    c = tk.Chunk(range(2), np.frombuffer(b"\n".join(texts), np.uint8), ends - [len(x) for x in texts], ends)
+    _, _, hashes, _ = chain_dedup._seeds(c)
+    a, b = chain_dedup.ex.runs(hashes)
+    import zstandard
+
+    marks = [zstandard.ZstdCompressor(1).compress(np.where(b - a > 1, 2, 0).astype(np.uint8).tobytes())]
+    all_words, seeds, hashes, head, _ = chain_dedup._shared(c, marks)
+    around = chain_dedup._contexts(all_words, seeds, hashes, head)
+    at = seeds[0][head] % 60
+    for level, n in zip(around, chain_dedup.LEVELS, strict=False):  # the 31st word stands in one document
+        assert ((level > 0) == ((at + n <= 30) | (at > 30) & (at + n <= 60))).all()
