@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from stormgrid.llm import textkit as tk
 from stormgrid.llm.shared import project
 
 #: White space as the merges' pattern takes it (Unicode White_Space), spelt out since libraries differ over it.
@@ -221,7 +222,7 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, keep: b
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forgotten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
@@ -229,4 +230,4 @@ def encoded(docs: DataFrame, path: str | None = None, ids: bool = False, keep: b
 
     docs = project(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run if keep else released, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return docs.mapInArrow(tk.released(run if keep else forgotten), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

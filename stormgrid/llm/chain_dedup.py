@@ -180,7 +180,7 @@ def _marked(staged: DataFrame, nb: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([t.column("batch").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
 
     sent = staging.over(staged, [], emit, "batch long, bucket int, low binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
+    return sent.groupBy("bucket").applyInArrow(tk.released(judge), "batch long, bucket int, data binary")
 
 
 def _shared(c: tk.Chunk, marks: list[bytes]):
@@ -356,7 +356,7 @@ def _referred(sent: DataFrame) -> DataFrame:
             batches.append(NO_BATCH), buckets.append(key[0].as_py()), data.append(_pack(*(many[f] for f in _ENTRY.names)))
         yield pa.RecordBatch.from_arrays([pa.array(batches, pa.int64()), pa.array(buckets, pa.int32()), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
 
-    return sent.groupBy("bucket").applyInArrow(judge, "batch long, bucket int, data binary")
+    return sent.groupBy("bucket").applyInArrow(tk.released(judge), "batch long, bucket int, data binary")
 
 
 def best_chains(segments: list[tuple[int, int, int, float]]) -> list[list[int]]:
@@ -672,7 +672,7 @@ def _aligned(staged: DataFrame, wanting: DataFrame) -> DataFrame:
     asked = each.select("ref", "doc", "block").distinct().select(F.col("ref").alias("batch"), F.lit(0).alias("bucket"), F.struct("doc", "block").alias("data"))
     told = staging.over(staged, [asked], tell, "ref long, doc long, block long, id long, words binary")
     back = each.join(told, ["ref", "doc", "block"]).groupBy("asker").agg(F.collect_list(F.struct("ref", "doc", "block", "id", "words")).alias("back"))
-    return wanting.where(F.size("want") > 0).select("batch", "data").join(back, F.col("batch") == F.col("asker")).select("batch", "data", "back").mapInArrow(run, _FOUND)
+    return wanting.where(F.size("want") > 0).select("batch", "data").join(back, F.col("batch") == F.col("asker")).select("batch", "data", "back").mapInArrow(tk.released(run), _FOUND)
 
 
 def _still_open(n: int, x: np.ndarray, rare: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -728,7 +728,7 @@ def _asks(wanting: DataFrame, found: DataFrame, nb: int) -> DataFrame:
                     yield _packed(r["batch"], where, data=[_dump((d[o[i:j]], id_[o[i:j]], x[o[i:j]], h[o[i:j]] & tk.U(0xFFFFFFFFFF))) for i, j in cut])
 
     spans = found.groupBy("batch").agg(F.collect_list(F.struct("doc", "first", "end")).alias("spans")).withColumnRenamed("batch", "of")
-    return wanting.where("open IS NOT NULL").select("batch", "open").join(spans, F.col("batch") == F.col("of"), "left").select("batch", "open", "spans").mapInArrow(run, "batch long, bucket int, data binary")
+    return wanting.where("open IS NOT NULL").select("batch", "open").join(spans, F.col("batch") == F.col("of"), "left").select("batch", "open", "spans").mapInArrow(tk.released(run), "batch long, bucket int, data binary")
 
 
 def _holders(asks: DataFrame, index: DataFrame, open_: DataFrame) -> DataFrame:
@@ -784,7 +784,7 @@ def _holders(asks: DataFrame, index: DataFrame, open_: DataFrame) -> DataFrame:
     some = index.join(asks.select("bucket").distinct(), "bucket", "left_semi")
     got = asks.where("bucket >= 0").groupBy("bucket").cogroup(some.groupBy("bucket")).applyInArrow(judge, "batch long, data binary")
     got = got.unionByName(asks.where("bucket < 0").select("batch", "data")).groupBy("batch").agg(F.collect_list("data").alias("got")).withColumnRenamed("batch", "of")
-    return open_.join(got, F.col("batch") == F.col("of")).select("batch", "open", "got").mapInArrow(run, _WANTING)
+    return open_.join(got, F.col("batch") == F.col("of")).select("batch", "open", "got").mapInArrow(tk.released(run), _WANTING)
 
 
 def _found(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -196,7 +196,7 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
         k = SLICES if sketch.any() else 0
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, _POINT), pa.array(range(k), pa.int32()), pa.array(parts[:k], pa.binary())], names=["doc_id", "n", "key", "point", "part", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key long, point array<int>, part int, counts binary")
+    return docs.mapInArrow(tk.released(run), "doc_id long, n long, key long, point array<int>, part int, counts binary")
 
 
 def _rarity(nodes: DataFrame) -> np.ndarray:
@@ -265,8 +265,8 @@ def _candidates(docs: DataFrame, rarity: np.ndarray, nb: int, ngram: int, percen
         off = np.flatnonzero(roots != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[roots[off]])], names=["a", "b"])
 
-    packed = docs.select("text").mapInArrow(emit, "bucket int, gram binary, key binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(join, "a long, b long")
+    packed = docs.select("text").mapInArrow(tk.released(emit), "bucket int, gram binary, key binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(tk.released(join), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
@@ -287,7 +287,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     ids = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
         docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return docs.join(wanted, "doc_id").select("text", *cols).mapInArrow(run, f"{kinds}, grams binary")
+    return docs.join(wanted, "doc_id").select("text", *cols).mapInArrow(tk.released(run), f"{kinds}, grams binary")
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -379,7 +379,9 @@ def _labelled(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf:
     rows = nodes.where("part IS NULL").select("doc_id", "n", "key", "point")
     grams = rows.agg(F.sum("n")).first()[0] or 0
     nb = max(8, math.ceil(16 * grams * (101 - percent) / 100 / BUCKET_BYTES))
-    clusters = ex.components(_candidates(docs, rarity, nb, ngram, percent), "a", "b").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    # written first: contracted in the tasks that find them, they would take a second Python worker for each
+    edges = materialise(_candidates(docs, rarity, nb, ngram, percent), "jaccard-edges")
+    clusters = ex.components(edges, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     one = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
     members = materialise(one.join(clusters, "key"), "jaccard-members")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
@@ -447,7 +449,7 @@ def _keyed(docs: DataFrame, ngram: int) -> DataFrame:
             for c in tk.chunks(b.column(at), lower=True):
                 yield b.slice(c.rows.start, len(c.rows)).append_column("_jaccard_key", pa.array([key_of(s) for s in sets_of(c, ngram)], pa.int64()))
 
-    return docs.mapInArrow(run, f"{kinds}, _jaccard_key long")
+    return docs.mapInArrow(tk.released(run), f"{kinds}, _jaccard_key long")
 
 
 def representatives(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:

@@ -155,7 +155,7 @@ def judged(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.rows.start, len(c.rows)), *map(pa.array, m.values())], names=["doc_id", *m])
 
     docs = project(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIELDS}")
+    return docs.mapInArrow(tk.released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FIELDS}")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
@@ -168,4 +168,4 @@ def filtered(docs: DataFrame) -> DataFrame:
             for c in tk.chunks(b.column(at)):
                 yield b.slice(c.rows.start, len(c.rows)).filter(pa.array(measure(c)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.released(run), docs.schema)

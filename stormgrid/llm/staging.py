@@ -67,7 +67,7 @@ def stage(docs: DataFrame, size: int = BATCH, whole: bool = False) -> DataFrame:
         if held:
             yield out()
 
-    packed = d.mapInArrow(run, "size long, ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
+    packed = d.mapInArrow(tk.released(run), "size long, ids array<long>, lens array<long>, blob binary" + ", rest binary" * whole)
     text = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return bucketed(packed.withColumn("batch", F.monotonically_increasing_id()), "staged", "batch", max(8, math.ceil(text / TASK)))
 
@@ -101,4 +101,4 @@ def over(staged: DataFrame, answers: list[DataFrame], f: Callable, schema: str)
                 more = [row["rest"]] if "rest" in row else []
                 yield from f(row["batch"], ids, chunk, *[row[f"answer{k}"] or [] for k in range(n)], *more)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tk.released(run), schema)

@@ -687,3 +687,76 @@ def test_passages_steps_send_small_numbers_and_no_context_of_one_document():
     at = seeds[0][head] % 60
     for level, n in zip(around, chain_dedup.LEVELS, strict=False):  # the 31st word stands in one document
         assert ((level > 0) == ((at + n <= 30) | (at > 30) & (at + n <= 60))).all()
+
+
+def test_python_workers_keep_little_between_tasks():
+    """What they keep is taken from the tasks at work on the executor (pipeline: four workers of 200 MB each). Next to
+    nothing can still be given back once a task has ended."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, random, re
+import pyarrow as pa
+from stormgrid.llm import quality_sa
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", f.read()))) >> 10
+
+class Docs:
+    columns, schema = ["doc_id", "text"], None
+    mapInArrow = lambda self, f, schema: f
+
+rng = random.Random(3)
+texts = [" ".join("w%d" % rng.randrange(2000) for _ in range(330)) for _ in range(8000)]
+sink = pa.BufferOutputStream()
+with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) as w:
+    w.write_batch(pa.RecordBatch.from_pydict({"doc_id": list(range(8000)), "text": texts}))
+open(path, "wb").write(sink.getvalue())
+del texts, sink, w
+run, kept = quality_sa.filtered(Docs()), 0
+for _ in range(3):
+    with pa.ipc.open_stream(open(path, "rb")) as r:
+        for b in run(iter(r)):
+            kept += b.num_rows
+        b = None
+r = None
+left = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL("libc.so.6").malloc_trim(0)
+print(kept, left - held())
+"""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile() as f:
+        env = os.environ | {"PYTHONPATH": os.path.dirname(corpus_pipeline.__file__)}
+        out = subprocess.run([sys.executable, "-c", f"path = {f.name!r}\n{code}"], env=env, capture_output=True, text=True, check=True, timeout=120).stdout
+    kept, more = map(int, out.split())
+    assert kept == 24000 and more < 8, more
+
+
+def test_stages_take_one_python_worker_a_task(spark, docs, monkeypatch):
+    """A stage with two Python functions one upon the other holds two workers a task, which stay for all later stages."""
+    from stormgrid.llm import shared
+
+    def count(node):
+        """Python functions in the stage of this node, and the most of any stage below."""
+        here, most = int("InArrow" in node.nodeName()), 0
+        for i in range(node.children().size()):
+            a, b = count(node.children().apply(i))
+            here, most = here + a, max(most, b)
+        return (0, max(here, most)) if "Exchange" in node.nodeName() else (here, most)
+
+    seen, write = {}, shared.materialise
+
+    def watched(df, name):
+        plan = df._jdf.queryExecution().executedPlan()
+        seen[name] = max(*count(plan.initialPlan() if plan.nodeName().startswith("Adaptive") else plan), seen.get(name, 0))
+        return write(df, name)
+
+    for module in (exchange, jaccard_rtree, chain_dedup):
+        monkeypatch.setattr(module, "materialise", watched)
+    chain_dedup.cleaned(write(jaccard_rtree.representatives(docs, ngram=5, percent=80), "apart")).collect()
+    assert max(seen.values()) == 1 and {"cc-first", "jaccard-nodes", "chains", "passages"} <= seen.keys(), seen
