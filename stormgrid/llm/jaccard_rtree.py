@@ -2,11 +2,13 @@
 
 1. Each document's n-grams are hashed; a document's point is its number of n-grams in each of GROUPS hash groups. Equal
    sets become one node, so copies, however many, are no load.
-2. Two sets alike enough share one of the first n-grams of each in any common order. The order here puts those first
-   that are rarest as far as two sketches of fixed size, summed over all documents, tell: the count of an n-gram's rarest
-   word and the count of its own counter both bound the n-gram's count, and the lesser one ranks it. So passages that many
-   documents share come last and hardly ever bring them together. Nodes that share such an n-gram and have sizes in reach of each other are put into
-   one cluster. This loses no link; a cluster may hold more than one component.
+2. Two sets alike enough differ in few n-grams. So their n-grams are dealt over more parts than that by hash: of the
+   parts of one set, whichever they are, some are the same n-grams in the other. The number of parts hangs on a class of
+   sizes; sets near the end of a class are dealt for the next one too. Nodes with a part in common are put into one
+   cluster. This loses no link; a cluster may hold more than one component. A part holds several n-grams, so unrelated
+   documents, however many and however long, hardly ever have one in common. Passages that many documents share could
+   fill parts alone: parts of nothing but frequent n-grams (by a sketch of fixed size, summed over all documents) count
+   only for sets that have too few others.
 3. Within a cluster, nodes are leaves of an R-tree over their points. The overlap of two sets is at most the sum of the
    coordinates' minima, in the tree's groups and then in FINE ones; what these bounds leave is verified on the sets. Nodes already in one component are not compared
    again. Clusters of more than LEAF nodes are cut into leaves that are joined each for itself; the components' smallest
@@ -22,7 +24,9 @@ hash and told apart by 64 bits of all of them, so a chance collision in 2**48 ma
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +41,16 @@ from stormgrid.llm.shared import materialise, project
 NGRAM, PERCENT, GROUPS, LEAF = 4, 85, 64, 2048
 #: Groups of the second bound: sets of thousands of n-grams fill the tree's few groups alike, whatever is in them.
 FINE = 4096
-#: Counters of the sketches of word and n-gram counts; one byte each is broadcast. Tasks' sketches are added in SLICES,
-#: first over one in SALTS of the tasks.
+#: Counters of the sketch of n-gram counts; one byte each is broadcast. Tasks' sketches are added in SLICES, first over
+#: one in SALTS of the tasks.
 SKETCH_BITS, SLICES, SALTS = 22, 32, 32
 SKETCH = 1 << SKETCH_BITS
-#: Bytes of prefix n-grams that meet in one bucket.
-BUCKET_BYTES = 16 << 20
+#: An n-gram is frequent if its counter is above both this and so many times the median one.
+FREQUENT, TIMES = 64, 4
+#: Bytes of parts' hashes that meet in one bucket, and those of a part.
+BUCKET_BYTES, PART_BYTES = 16 << 20, 13
+#: Ways to deal a set that have too few filled parts before all such sets of a class are held together.
+WAYS = 6
 
 
 _POINT = pa.list_(pa.int32())
@@ -59,28 +67,22 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> tk.U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sets_of(c: tk.Chunk, n: int = NGRAM, level: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator:
-    """Of each document, the sorted hashes of its distinct word n-grams; with levels of counts (of words, then of n-grams),
-    these and for each n-gram its level. Words and n-grams are counted into the sketch, if there is one."""
+def sets_of(c: tk.Chunk, n: int = NGRAM, frequent: np.ndarray | None = None, sketch: np.ndarray | None = None) -> Iterator:
+    """Of each document, the sorted hashes of its distinct word n-grams; with the frequent counters, these and for each
+    n-gram whether it is rare. N-grams are counted into the sketch, if there is one."""
     ws, we, first = c.words(tk.SPACED)
     h = tk.span_hash(tk.prefix_hash(c.buf), ws, we)
     g, at = tk.grams(h, first, n)
     if sketch is not None:
-        np.add.at(sketch, _counter(h), 1)
-        np.add.at(sketch, SKETCH + _counter(g), 1)
-    rank = None
-    if level is not None and len(g):
-        rank = np.minimum(tk.sliding(level[_counter(h)], n)[at], level[SKETCH + _counter(g)])
+        np.add.at(sketch, _counter(g), 1)
     each = np.searchsorted(at, first)
     for i in range(len(first) - 1):
         if first[i + 1] - first[i] >= n:
-            s, where = np.unique(g[each[i] : each[i + 1]], return_index=True)
-            r = None if rank is None else rank[each[i] + where]
+            s = np.unique(g[each[i] : each[i + 1]])
         else:
             short = h[first[i] : first[i + 1]]
             s = tk.mix(tk.grams(short, np.array([0, len(short)]), len(short))[0] + tk.U(len(short))) if len(short) else np.empty(0, np.uint64)
-            r = np.zeros(len(s), np.uint8)
-        yield s if level is None else (s, r)
+        yield s if frequent is None else (s, ~frequent[_counter(s)])
 
 
 def key_of(s: np.ndarray) -> int:
@@ -97,11 +99,51 @@ def need(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def prefix(s: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first n-grams in the common order, so many that alike sets share one."""
-    n = len(s)
-    k = n - (percent * n + 99) // 100 + 1
-    return s if k >= n else s[np.argsort(rank, kind="stable")[:k]]  # s is sorted: the hash breaks ties
+@cache
+def _classes(percent: int) -> list[int]:
+    """Largest sizes of the classes. The sizes of two alike sets are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] < 1 << 34:
+        out.append(max(out[-1] + 1, out[-1] * 10_000 // percent**2))
+    return out
+
+
+def parts(s: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of parts of s (sorted, not empty); two sets that are alike, but not equal, have one in common.
+
+    Sets of a class differ in `d` n-grams at most, and this one from any other in `most`. As each of those spoils one part of
+    either set, a set is done once it has more than `most` parts listed; the other one lists the same ways of dealing, or
+    is done before."""
+    if percent >= 100:
+        return np.empty(0, np.uint64)
+    upto, out = _classes(percent), []
+    far = 100 * len(s) // percent
+    own = bisect_left(upto, len(s))
+    mixed, rare = tk.mix(s), None if rare.all() else rare
+    for k in (own, own + 1):
+        if k > own and far <= upto[own]:
+            break
+        d = 2 * upto[k] * (100 - percent) // (100 + percent)
+        most = (len(s) + min(far, upto[k])) * (100 - percent) // (100 + percent)
+        if not d:
+            continue
+        for way in range(WAYS):
+            h = s if not way else np.sort(tk.mix(s + tk.U(way)))
+            part = ex.bucket(h, d + 2 + d // 32).astype(np.uint64)  # sorted, as h is
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            g = tk.mix(np.add.reduceat(tk.mix(h) if way else mixed, cut) ^ tk.mix(part[cut] + tk.U((k * WAYS + way) << 40)))
+            if rare is not None and not way:
+                some = np.logical_or.reduceat(rare, cut)
+                out.append(g[some])
+                if some.sum() > most:
+                    break
+                g = g[~some]
+            out.append(g)
+            if len(cut) > most:
+                break
+        else:
+            out.append(tk.mix(np.array([k], np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 class CountTree:
@@ -184,7 +226,7 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
     """Rows of documents (doc_id, n, key, point) and, with a null doc_id, slices of the tasks' sketches (part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(2 * SKETCH, np.uint32)
+        sketch = np.zeros(SKETCH, np.uint32)
         for b in batches:
             n, key, pts = [], [], []
             for c in tk.chunks(b.column(1), lower=True):
@@ -199,12 +241,12 @@ def _nodes(docs: DataFrame, ngram: int) -> DataFrame:
     return docs.mapInArrow(tk.released(run), "doc_id long, n long, key long, point array<int>, part int, counts binary")
 
 
-def _rarity(nodes: DataFrame) -> np.ndarray:
-    """Of each counter, the whole part of its count's logarithm: one byte a counter, whatever the corpus."""
+def _frequent(nodes: DataFrame) -> np.ndarray:
+    """Of each counter, whether its n-grams count as frequent: one byte a counter, whatever the corpus."""
 
     def added(tables: Iterator[pa.RecordBatch]) -> np.ndarray:
         z = zstandard.ZstdDecompressor()
-        total = np.zeros(2 * SKETCH // SLICES, np.uint64)
+        total = np.zeros(SKETCH // SLICES, np.uint64)
         for t in tables:
             for x in t.column("counts").to_pylist():
                 total += np.frombuffer(z.decompress(x), "<u8")
@@ -215,49 +257,50 @@ def _rarity(nodes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], names=["part", "counts"])
 
     def every(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.log2(added(tables).astype(float) + 1).astype(np.uint8).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level], pa.binary())], names=["part", "level"])
+        total = added(tables)
+        above = np.packbits(total > max(FREQUENT, TIMES * np.median(total))).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([above], pa.binary())], names=["part", "above"])
 
     parts = nodes.where("part IS NOT NULL").select("part", "counts", (F.spark_partition_id() % SALTS).alias("salt"))
-    rows = parts.groupBy("part", "salt").applyInArrow(some, "part int, counts binary").groupBy("part").applyInArrow(every, "part int, level binary").collect()
-    out = np.zeros((SLICES, 2 * SKETCH // SLICES), np.uint8)
+    rows = parts.groupBy("part", "salt").applyInArrow(some, "part int, counts binary").groupBy("part").applyInArrow(every, "part int, above binary").collect()
+    out = np.zeros((SLICES, SKETCH // SLICES), bool)
     for r in rows:
-        out[r["part"]] = np.frombuffer(r["level"], np.uint8)
+        out[r["part"]] = np.unpackbits(np.frombuffer(r["above"], np.uint8)).astype(bool)
     return out.ravel()
 
 
-def _candidates(docs: DataFrame, rarity: np.ndarray, nb: int, ngram: int, percent: int) -> DataFrame:
-    """(a, b): edges by which nodes that share a prefix n-gram hang together, one forest a bucket."""
-    order = docs.sparkSession.sparkContext.broadcast(rarity)
+def _candidates(docs: DataFrame, frequent: np.ndarray, nb: int, ngram: int, percent: int) -> DataFrame:
+    """(a, b): edges by which nodes that have a part in common hang together, one forest a bucket."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = ex.Packer(["gram", "key", "n"])
+        pack = ex.Packer(["low", "high", "key"])
         seen: set[int] = set()
         for b in batches:
             for c in tk.chunks(b.column(0), lower=True):
-                for s, rank in sets_of(c, ngram, order.value):
+                for s, rare in sets_of(c, ngram, known.value):
                     if len(s) and (key := key_of(s)) not in seen:
                         seen.add(key)
-                        g = prefix(s, rank, percent)
-                        yield from pack.add(ex.bucket(tk.mix(g), nb), g.astype(np.uint32), np.full(len(g), key, np.int64), np.full(len(g), min(len(s), 2**32 - 1), np.uint32))
+                        g = parts(s, rare, percent)
+                        # of the bits that choose the bucket, the last eight are free
+                        yield from pack.add(ex.bucket(g, nb), g.astype(np.uint32), (g >> tk.U(32)).astype(np.uint8), np.full(len(g), key, np.int64))
         yield from pack.flush()
 
     def join(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(tables)
-        gram, key_, n = ex.column(t, "gram", "<u4"), ex.column(t, "key", "<i8"), ex.column(t, "n", "<u4").astype(np.int64)
-        order = np.argsort(gram, kind="stable")
-        gram = gram[order]
-        again = np.zeros(len(gram), bool)
-        again[1:] = gram[1:] == gram[:-1]
-        keep = again.copy()
-        keep[:-1] |= again[1:]
-        order = order[keep]
-        gram, key_, n = gram[keep], key_[order], n[order]
-        o = np.lexsort((key_, n, gram))
-        gram, key_, n = gram[o], key_[o], n[o]
-        names, number = np.unique(key_, return_inverse=True)
+        g = ex.column(t, "low", "<u4") | ex.column(t, "high", "u1").astype(np.uint64) << tk.U(32)
+        node = ex.column(t, "key", "<i8")
+        order = np.argsort(g)
+        g = g[order]
+        keep = np.zeros(len(g), bool)
+        keep[1:] = g[1:] == g[:-1]
+        keep[:-1] |= keep[1:]
+        g, node = g[keep], node[order[keep]]
+        names, number = np.unique(node, return_inverse=True)
+        order = np.lexsort((number, g))
+        g, number = g[order], number[order]
         forest = ex.Forest(len(names))
-        near = np.flatnonzero((gram[1:] == gram[:-1]) & (number[1:] != number[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+        near = np.flatnonzero((g[1:] == g[:-1]) & (number[1:] != number[:-1]))
         pairs = np.unique(np.stack((number[near], number[near + 1]), 1), axis=0) if len(near) else np.empty((0, 2), int)
         for x, y in pairs.tolist():
             forest.join(x, y)
@@ -265,7 +308,7 @@ def _candidates(docs: DataFrame, rarity: np.ndarray, nb: int, ngram: int, percen
         off = np.flatnonzero(roots != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[roots[off]])], names=["a", "b"])
 
-    packed = docs.select("text").mapInArrow(tk.released(emit), "bucket int, gram binary, key binary, n binary")
+    packed = docs.select("text").mapInArrow(tk.released(emit), "bucket int, low binary, high binary, key binary")
     return packed.groupBy("bucket").applyInArrow(tk.released(join), "a long, b long")
 
 
@@ -375,12 +418,12 @@ def _labelled(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, leaf:
     """doc_id, key (of its set), n_shingles, component_id."""
     docs = project(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = materialise(_nodes(docs, ngram), "jaccard-nodes")
-    rarity = _rarity(nodes)
+    frequent = _frequent(nodes)
     rows = nodes.where("part IS NULL").select("doc_id", "n", "key", "point")
     grams = rows.agg(F.sum("n")).first()[0] or 0
-    nb = max(8, math.ceil(16 * grams * (101 - percent) / 100 / BUCKET_BYTES))
+    nb = max(8, math.ceil(PART_BYTES * grams * 4 * (101 - percent) / (100 + percent) / BUCKET_BYTES))
     # written first: contracted in the tasks that find them, they would take a second Python worker for each
-    edges = materialise(_candidates(docs, rarity, nb, ngram, percent), "jaccard-edges")
+    edges = materialise(_candidates(docs, frequent, nb, ngram, percent), "jaccard-edges")
     clusters = ex.components(edges, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("cluster"))
     one = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
     members = materialise(one.join(clusters, "key"), "jaccard-members")

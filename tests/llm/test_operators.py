@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stormgrid.llm import ann_hilbert, bpe, chain_dedup, exchange, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, staging, suffix_dedup
+from stormgrid.llm import ann_hilbert, bpe, chain_dedup, exchange, html_crf, jaccard_rtree, langid_ecoc, license_sam, mix_wfq, quality_sa, staging, suffix_dedup, textkit
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = re.compile("[^\x20\x09-\x0d]+")
@@ -161,6 +161,44 @@ def _jaccard(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_jaccard_parts_lose_no_pair(percent):
+    """Sets at the bound, of all sizes, with any n-grams frequent, have a part in common."""
+    rng = np.random.default_rng(percent)
+    draw = lambda n: textkit.mix(rng.integers(0, 2**63, n).astype(np.uint64))
+    seen = 0
+    for k in range(1200):
+        s = np.sort(draw(int(np.exp(rng.uniform(0, 7)))))
+        left = s[np.sort(rng.permutation(len(s))[: rng.integers(-(-percent * len(s) // 100), len(s) + 1)])]
+        other = np.sort(np.concatenate((left, draw(100 * len(left) // percent - len(s)))))
+        rare = lambda x: x % np.uint64(4) >= np.uint64(k % 5)  # noqa: B023, E731
+        if len(s) != len(left) or len(other) != len(left):
+            seen += 1
+            assert len(np.intersect1d(*(jaccard_rtree.parts(x, rare(x), percent) for x in (s, other))))
+    assert seen > 600
+
+
+def test_jaccard_chance_keeps_documents_apart(spark, monkeypatch):
+    """Documents that only share a rare passage of a few words with the next one don't come into one cluster, of which
+    all would be compared, the more the larger the corpus."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    shared = [words(8) for _ in range(201)]
+    texts = [f"{shared[i]} {words(200)} {shared[i + 1]}" for i in range(200)]
+    texts.append(texts[0].replace(" w", " v", 1))
+    sizes, write = {}, jaccard_rtree.materialise
+
+    def watched(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_rtree, "materialise", watched)
+    got = jaccard_rtree.components(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {**{i: i for i in range(200)}, 200: 0}
+    assert sizes["jaccard-members"] == 2
+
+
 @pytest.mark.parametrize("leaf,ngram,percent", [(1024, 4, 85), (3, 4, 85), (1024, 5, 80)])
 def test_jaccard(docs, rows, empty, leaf, ngram, percent):
     want = _jaccard(rows, ngram, percent)
