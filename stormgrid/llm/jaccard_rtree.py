@@ -5,10 +5,10 @@
 2. Two sets alike enough differ in few n-grams. So their n-grams are dealt over more parts than that by hash: of the
    parts of one set, whichever they are, some are the same n-grams in the other. The number of parts hangs on a class of
    sizes; sets near the end of a class are dealt for the next one too. Nodes with a part in common are put into one
-   cluster. This loses no link; a cluster may hold more than one component. A part holds several n-grams, so unrelated
-   documents, however many and however long, hardly ever have one in common. Passages that many documents share could
-   fill parts alone: parts of nothing but frequent n-grams (by a sketch of fixed size, summed over all documents) count
-   only for sets that have too few others.
+   cluster. This loses no link; a cluster may hold more than one component. Only as many parts are sent as are needed,
+   those first that hold most n-grams not frequent (by a sketch of fixed size, summed over all documents). Such a part
+   holds several n-grams, so that unrelated documents, however many and however long, and those that share a passage with
+   many others, hardly ever have one in common.
 3. Within a cluster, nodes are leaves of an R-tree over their points. The overlap of two sets is at most the sum of the
    coordinates' minima, in the tree's groups and then in FINE ones; what these bounds leave is verified on the sets. Nodes already in one component are not compared
    again. Clusters of more than LEAF nodes are cut into leaves that are joined each for itself; the components' smallest
@@ -111,9 +111,10 @@ def _classes(percent: int) -> list[int]:
 def parts(s: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of parts of s (sorted, not empty); two sets that are alike, but not equal, have one in common.
 
-    Sets of a class differ in `d` n-grams at most, and this one from any other in `most`. As each of those spoils one part of
-    either set, a set is done once it has more than `most` parts listed; the other one lists the same ways of dealing, or
-    is done before."""
+    Sets of a class differ in `d` n-grams at most, and this one from any other in `most`, of which each spoils one part. In
+    an order that hangs on what a part holds, the first part that both sets have stands behind spoiled ones only, so each
+    lists `most` and one. Those with most rare n-grams come first, so that single and frequent ones are left out. A set
+    that has no more filled parts than `most` lists all, and is dealt in another way too; so is any other of its kind."""
     if percent >= 100:
         return np.empty(0, np.uint64)
     upto, out = _classes(percent), []
@@ -129,18 +130,15 @@ def parts(s: np.ndarray, rare: np.ndarray, percent: int) -> np.ndarray:
             continue
         for way in range(WAYS):
             h = s if not way else np.sort(tk.mix(s + tk.U(way)))
-            part = ex.bucket(h, d + 2 + d // 32).astype(np.uint64)  # sorted, as h is
+            part = ex.bucket(h, d + 2 + d // 6).astype(np.uint64)  # sorted, as h is
             cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             g = tk.mix(np.add.reduceat(tk.mix(h) if way else mixed, cut) ^ tk.mix(part[cut] + tk.U((k * WAYS + way) << 40)))
-            if rare is not None and not way:
-                some = np.logical_or.reduceat(rare, cut)
-                out.append(g[some])
-                if some.sum() > most:
-                    break
-                g = g[~some]
-            out.append(g)
             if len(cut) > most:
+                held = np.diff(np.append(cut, len(h))) if way or rare is None else np.add.reduceat(rare.astype(np.int64), cut)
+                rank = (15 - np.minimum(held, 15)).astype(np.uint64) << tk.U(60) | g >> tk.U(4)
+                out.append(g[np.argpartition(rank, most)[: most + 1]])
                 break
+            out.append(g)
         else:
             out.append(tk.mix(np.array([k], np.uint64)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)

@@ -178,6 +178,18 @@ def test_jaccard_parts_lose_no_pair(percent):
     assert seen > 600
 
 
+def test_jaccard_parts_of_long_sets_differ():
+    """Long sets that share one n-gram in fifty have no part in common, also none of a single n-gram."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: textkit.mix(rng.integers(0, 2**63, n).astype(np.uint64))
+    met = 0
+    for _ in range(60):
+        both = draw(80)
+        a, b = (jaccard_rtree.parts(np.sort(np.concatenate((both, draw(n)))), np.ones(80 + n, bool), 80) for n in (3920, 3600))
+        met += len(np.intersect1d(a, b)) > 0
+    assert met <= 2
+
+
 def test_jaccard_chance_keeps_documents_apart(spark, monkeypatch):
     """Documents that only share a rare passage of a few words with the next one don't come into one cluster, of which
     all would be compared, the more the larger the corpus."""
